@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from dealgraph.llm import decontaminate, mixing
+from dealgraph.llm import decontaminate, mixing, secrets, sharding
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5,
     "op8_mix_sources": mixing.op8,
+    "op9_kd_shards": sharding.op9,
+    "op10_scan_secrets": secrets.op10,
 }
 
-ORACLES = {"op8_mix_sources": mixing.OP8_SQL}
+ORACLES = {
+    "op8_mix_sources": mixing.OP8_SQL,
+    "op10_scan_secrets": secrets.OP10_SQL,
+}
