@@ -151,7 +151,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    def count_of(k: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{BASE[k]}")
+
+    counts = [count_of(k) for k in range(len(BASE))]
     return out.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"] < len(BASE))), 256).alias("base_sha256"),
                       joined(F.col("spans")).alias("spans"))
 
