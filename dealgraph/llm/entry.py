@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dealgraph.llm import decontaminate, mixing, secrets, sharding
+from dealgraph.llm import decontaminate, mixing, near_dedup, secrets, sharding
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5,
+    "op6_near_duplicates": near_dedup.op6,
     "op8_mix_sources": mixing.op8,
     "op9_kd_shards": sharding.op9,
     "op10_scan_secrets": secrets.op10,
