@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dealgraph.llm import decontaminate, mixing, near_dedup, secrets, sharding
+from dealgraph.llm import decontaminate, mixing, near_dedup, quality, secrets, sharding
 
 QUERIES = {
+    "op1_quality": quality.op1,
     "op5_decontaminate": decontaminate.op5,
     "op6_near_duplicates": near_dedup.op6,
     "op8_mix_sources": mixing.op8,
