@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dealgraph.llm import decontaminate, mixing, near_dedup, quality, secrets, sharding
+from dealgraph.llm import decontaminate, langid, media, mixing, near_dedup, quality, secrets, sharding
 
 QUERIES = {
     "op1_quality": quality.op1,
+    "op2_language": langid.op2,
+    "op3_media_columns": media.op3,
     "op5_decontaminate": decontaminate.op5,
     "op6_near_duplicates": near_dedup.op6,
     "op8_mix_sources": mixing.op8,
