@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dealgraph.llm import decontaminate, langid, media, mixing, near_dedup, quality, secrets, sharding
+from dealgraph.llm import decontaminate, langid, media, mixing, near_dedup, quality, secrets, sharding, substring_dedup
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_media_columns": media.op3,
     "op5_decontaminate": decontaminate.op5,
     "op6_near_duplicates": near_dedup.op6,
+    "op7_substring_dedup": substring_dedup.op7,
     "op8_mix_sources": mixing.op8,
     "op9_kd_shards": sharding.op9,
     "op10_scan_secrets": secrets.op10,
