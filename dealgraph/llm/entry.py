@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dealgraph.llm import decontaminate, langid, media, mixing, near_dedup, quality, secrets, sharding, substring_dedup
+from dealgraph.llm import brown, decontaminate, langid, media, mixing, near_dedup, quality, secrets, sharding, substring_dedup
 
 QUERIES = {
     "op1_quality": quality.op1,
     "op2_language": langid.op2,
     "op3_media_columns": media.op3,
+    "op4_class_lm": brown.op4,
     "op5_decontaminate": decontaminate.op5,
     "op6_near_duplicates": near_dedup.op6,
     "op7_substring_dedup": substring_dedup.op7,
