@@ -67,6 +67,14 @@ def semi_join(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     return df.join(small, key, "left_semi")
 
 
+def drop_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not among ids (doc_id), which are counted before they are
+    broadcast; null ids can't be told apart and go together."""
+    gone = cut(ids.select(F.col("doc_id").alias("_gone")).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs[doc_id].eqNullSafe(side["_gone"]), "left_anti")
+
+
 def gapless_rank(df: DataFrame, parts: Sequence[str], key: Column, bits: int = 32, rows_per_cell: int = 50_000,
                  weight: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """Adds `rank` (0-based, by `key` within `parts`) and, with `weight`, `before` (sum of the

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.llm.common import byte_chunks, cut, hash_words, lower_ascii, map_arrow, table, words_in
+from dealgraph.llm.common import byte_chunks, cut, drop_ids, hash_words, lower_ascii, map_arrow, table, words_in
 
 #: Consecutive words of a window.
 WINDOW = 10
@@ -242,6 +242,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return map_arrow(merged.select("doc_id", "n_words", "_h", "items"), unite, f"doc_id {kind}, n_words bigint, hits binary, items array<string>")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that have no window of the benchmark."""
+    found = decontaminate(docs, benchmark, doc_id, item_id, text)
+    return drop_ids(docs, found.where("octet_length(hits) > 0").select("doc_id"), doc_id)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", (F.octet_length("hits") / 4).cast("long").alias("n_hit"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dealgraph.llm.common import cut, gapless_rank, only, table
+from dealgraph.llm.common import BROADCAST_IDS, cut, gapless_rank, only, table
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -82,6 +82,16 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
                       (F.col("epochs") + whole).cast("int").alias("copies"))
 
 
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The rows of the mix, with all the columns of docs: each as often as the mix takes it in whole
+    documents. Rows that repeat an id are taken as often as the one taken most."""
+    copies = cut(mix_sources(docs, doc_id, text, source, **how).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
+                 .select(F.col("doc_id").alias("_taken"), "_copies"))
+    side = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    out = docs.join(side, docs[doc_id].eqNullSafe(side["_taken"]))
+    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.llm.common import BLANK, U, byte_chunks, components, cut, hash_windows, hash_words, lower_ascii, map_arrow, mix, semi_join, table, words_in
+from dealgraph.llm.common import BLANK, U, byte_chunks, components, cut, drop_ids, hash_windows, hash_words, lower_ascii, map_arrow, mix, semi_join, table, words_in
 
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union links two sets.
@@ -208,6 +208,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of which one per group of near-duplicates stays:
+    the one with the smallest id, and one row of those that repeat an id."""
+    found = cut(near_duplicates(docs, doc_id, text).select("doc_id", "kept"))
+    out = drop_ids(docs, found.where("not kept"), doc_id)
+    again = cut(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return out
+    one = out.join(again.select(F.col("doc_id").alias("_again")), out[doc_id] == F.col("_again"), "left_semi").dropDuplicates([doc_id])
+    return drop_ids(out, again, doc_id).unionByName(one)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -263,6 +263,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     return map_arrow(src, run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least the threshold."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, doc_id, text, label)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, network = model.value
+        for batch in batches:
+            for a, b, raw, offsets in byte_chunks(batch, text):
+                yield batch.slice(a, b - a).filter(pa.array(network(pool(raw, offsets)) >= threshold))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
