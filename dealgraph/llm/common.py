@@ -34,6 +34,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """Deals the rows out by the keys and cuts the lineage. The plan of what is read again says so
+    that later groupings by the keys shuffle nothing; for that, the one job here runs without
+    adaptive execution, which hides the partitioning of its result."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df.repartition(partitions, *keys))
+    finally:
+        conf.set(name, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, wherever the driver was started."""
     sc = spark.sparkContext

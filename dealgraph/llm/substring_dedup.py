@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.llm.common import BLANK, U, cut, hash_windows, hash_words, map_arrow, ship, table, words_in
+from dealgraph.llm.common import BLANK, U, cut, cut_by, hash_windows, hash_words, map_arrow, ship, table, words_in
 
 WINDOW, BLOCK = 13, 7
 #: Text bytes of a segment and of a partition, and bytes of hashes of a shard, about.
@@ -143,7 +143,7 @@ def deal_out(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
 
     rows = map_arrow(src, squeeze, f"doc_id {kind}, body binary").unionByName(copies.select("doc_id", F.lit(None).cast("binary").alias("body")))
     segment = F.pmod(F.xxhash64("doc_id"), F.lit(segments))
-    return cut(rows.select(segment.alias("segment"), "doc_id", "body").repartition(partitions, "segment")), bits
+    return cut_by(rows.select(segment.alias("segment"), "doc_id", "body"), partitions, "segment"), bits
 
 
 def find_anchors(rows: DataFrame, bits: int) -> DataFrame:
