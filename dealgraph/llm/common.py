@@ -119,28 +119,39 @@ def gapless_rank(df: DataFrame, parts: Sequence[str], key: Column, bits: int = 3
     return out.select(*df.columns, "rank", *(["before"] if weight else []))
 
 
+#: Rows of a small table that one task holds; counted tables are packed into tasks of about so many.
+PACK_ROWS = 250_000
+
+
+def pack(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer, fuller partitions for a table of a counted size, whatever the shuffles' setting is."""
+    return df.coalesce(max(4, -(-rows // PACK_ROWS)))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges(src, dst): (id, component) with the smallest id reachable.
 
     Alternates large-star and small-star steps, each a pre-aggregated minimum and a join on the
     vertex, so that a vertex with very many neighbours is never one group in one task."""
     e = cut(edges.select("src", "dst").where("src <> dst").select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    before = None
+        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")))
+    n, before = e.count(), None
     for _ in range(rounds):
+        e = pack(e, n)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = pack(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), n)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        e = cut(small)
+        small = pack(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                     .unionByName(least.select("u", F.col("m").alias("v"))), n).distinct()
+        e = cut(pack(small, n))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             break
-        before = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+        n, before = now[0], now
+    e = pack(e, n)
+    return pack(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+        e.select(F.col("v").alias("id"), F.col("v").alias("component"))), n).groupBy("id").agg(F.min("component").alias("component"))
 
 
 # ---------------------------------------------------------------- numpy kernels

@@ -8,11 +8,12 @@ banding would take 256.
 
 Equal sets are grouped first by a 128-bit signature, so that only distinct sets are compared.
 A pair meets in a table only if it meets on either side, so keys whose left or right half is
-unique are never formed. Buckets with the same members are one bucket. Candidates are verified
-on full shingle sets, in rounds: a bucket's members are compared with one member, the links
-found are contracted to components, and a bucket goes on only while it spans more than one
-component, with another member each time, or with all remaining pairs between components once
-these are few. Pairs within a component add nothing to it, so this finds the components that
+unique are never formed. Candidates are verified on full shingle sets, in rounds: a bucket's
+members are compared with one member, the links found are contracted to components, and a bucket
+goes on only while it spans more than one component, with another member each time, or with all
+remaining pairs between components once these are few. Such a pair is emitted in one of its
+buckets only, that of the first keys it shares on either side, and only if the sets' sizes allow
+the similarity. Pairs within a component add nothing to it, so this finds the components that
 comparing all pairs would, without emitting all pairs of a large group.
 
 Defined results: a null or wordless text has an empty set and no links; texts of fewer words
@@ -28,18 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.llm.common import BLANK, U, byte_chunks, components, cut, drop_ids, hash_windows, hash_words, lower_ascii, map_arrow, mix, semi_join, table, words_in
+from dealgraph.llm.common import BLANK, U, byte_chunks, components, cut, drop_ids, hash_windows, hash_words, lower_ascii, map_arrow, mix, pack, semi_join, table, words_in
 
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union links two sets.
 PERCENT = 75
 #: Band keys of each side, and minhashes of a band key.
 SIDE, ROWS = 8, 2
-#: All remaining pairs between components are compared once there are at most so many a member.
-PAIRS_PER_MEMBER = 4
+#: All remaining pairs between components are compared once their buckets have at most so many
+#: places a member where two may meet (a pair of similarity 0.5 meets in 4 buckets, of 0.75 in 20).
+PLACES_PER_MEMBER = 60
 #: Rounds with one member per bucket before all remaining pairs are compared anyway.
 MOST_ROUNDS = 8
 
@@ -111,27 +113,40 @@ def full_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """(bucket, id) of the tables' buckets with at least two distinct sets, one of each set of members."""
+    """(bucket, left, right, id, n, bands) of the tables' buckets with at least two distinct sets.
+    reps: (id, n, bands)."""
     halves = reps.select("id", F.posexplode("bands").alias("k", "band"))
     alive = halves.groupBy("k", "band").agg(F.count("*").alias("n")).where("n > 1").select("k", "band")
     kept = cut(halves.join(alive, ["k", "band"], "left_semi"))
+    size = kept.count()
+    kept = pack(kept, size)
     left, right = kept.where(F.col("k") < SIDE), kept.where(F.col("k") >= SIDE)
     # both sides of one set meet on its id: at most SIDE rows of either
-    pairs = left.select("id", "band").join(right.select("id", F.col("band").alias("other")), "id")
-    keyed = pairs.select(F.xxhash64("band", "other").alias("bucket"), "id")
-    found = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"), F.min("id").alias("first"))
-    once = found.where("n > 1").groupBy("n", "members", "first").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return cut(keyed.join(once, "bucket", "left_semi"))
+    pairs = left.select("id", F.col("k").alias("left"), "band").join(right.select("id", F.col("k").alias("right"), F.col("band").alias("other")), "id")
+    keyed = pack(pairs.select(F.xxhash64("left", "right", "band", "other").alias("bucket"), "left", "right", "id"), size)
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = cut(pack(keyed.join(shared, "bucket", "left_semi"), size))
+    size = members.count()
+    return cut(pack(pack(members, size).join(reps, "id"), size))
+
+
+def first_meeting(a: str, b: str) -> Column:
+    """Whether `left` and `right` are the first keys of either side that two sets share."""
+    def first(lo: int, hi: int) -> Column:
+        out = F.lit(-1)
+        for k in reversed(range(lo, hi)):
+            out = F.when(F.col(a)[k] == F.col(b)[k], k).otherwise(out)
+        return out
+
+    return (F.col("left") == first(0, SIDE)) & (F.col("right") == first(SIDE, 2 * SIDE))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of ids whose sets are similar enough, with both sizes and the intersection."""
     kind = pairs.schema["a"].dataType.simpleString()
-    n = F.octet_length("elements")
-    one = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"), n.alias("nx"))
-    two = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"), n.alias("ny"))
-    both = pairs.join(one, "a").join(two, "b").where(
-        100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select("a", "b", "x", "y")
+    one = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
+    two = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,43 +165,50 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
 
 def link(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Components (id, component) over all verified pairs within the buckets (bucket, id)."""
+    """Components (id, component) over all verified pairs within the buckets."""
     kind = members.schema["id"].dataType.simpleString()
     spark = members.sparkSession
     links = tested = None
     comps = spark.createDataFrame([], f"id {kind}, component {kind}")
     n_members = members.select("id").distinct().count()
-    left = members.withColumn("component", F.col("id"))
+    left, rows = members.withColumn("component", F.col("id")), members.count()
     for step in range(MOST_ROUNDS + 1):
-        # of each bucket: members by component, and those pairs that span two components
-        size = left.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        spans = size.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "component")).alias("largest"))
-        spans = spans.where("n * n > same")
-        left = cut(left.join(spans.select("bucket", F.col("largest.component").alias("main")), "bucket"))
-        todo = spans.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-        if not todo:
+        # of each bucket: members by component, and the places where two components meet
+        size = pack(left, rows).groupBy("bucket", "component").agg(F.count("*").alias("m"))
+        spans = pack(size, rows).groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "component")).alias("largest"))
+        spans = cut(pack(spans.where("m * m > same").select("bucket", F.col("largest.component").alias("main"), ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("places")), rows))
+        places = spans.agg(F.sum("places")).first()[0] or 0
+        if not places:
             break
-        whole = todo <= PAIRS_PER_MEMBER * n_members or step == MOST_ROUNDS
+        left = cut(pack(pack(left, rows).join(spans.select("bucket", "main"), "bucket"), rows))
+        rows = left.count()
+        left = pack(left, rows)
+        whole = places <= PLACES_PER_MEMBER * n_members or step == MOST_ROUNDS
         if whole:
-            other = left.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(other, "bucket").where("component <> cb and id < b").select(F.col("id").alias("a"), "b")
+            other = left.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bands").alias("other"))
+            meet = ((left["bucket"] == other["bucket"]) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb"))
+                    & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) & first_meeting("bands", "other"))
+            pairs = left.join(other, meet).select(F.col("id").alias("a"), "b")
         else:
             # first the smallest id, the same one in most buckets of a group; then any of the largest component
             by = F.struct("id") if step == 0 else F.struct(F.xxhash64("id", "bucket", F.lit(step)), "id")
-            pivots = left.where("component = main" if step else "true").groupBy("bucket").agg(F.min(F.struct(by.alias("by"), "component")).alias("p"))
-            pivots = pivots.select("bucket", F.col("p.by.id").alias("pivot"), F.col("p.component").alias("pc"))
-            pairs = left.join(pivots, "bucket").where("component <> pc").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        pairs = pairs.distinct()
+            pivots = left.where("component = main" if step else "true").groupBy("bucket").agg(F.min(F.struct(by.alias("by"), "component", "n")).alias("p"))
+            pivots = pivots.select(F.col("bucket").alias("_b"), F.col("p.by.id").alias("pivot"), F.col("p.component").alias("pc"), F.col("p.n").alias("pn"))
+            fits = (F.col("bucket") == F.col("_b")) & (F.col("component") != F.col("pc")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+            pairs = left.join(pivots, fits).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            pairs = pack(pairs, rows).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = verify(pairs, sets, percent)
-        links = cut(found if links is None else links.unionByName(found))
-        comps = cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+            pairs = pack(pairs, rows).join(tested, ["a", "b"], "left_anti")
+        pairs = cut(pack(pairs, rows))
+        n_pairs = pairs.count()
+        found = verify(pack(pairs, n_pairs), sets, percent)
+        found = cut(pack(found, n_pairs))
+        links = found if links is None else links.unionByName(found)
+        comps = cut(pack(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), n_members))
         if whole:
             break
-        tested = pairs if tested is None else cut(tested.unionByName(pairs))
-        left = left.select("bucket", "id").join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        left = left.drop("component", "main").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return comps
 
 
@@ -196,11 +218,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     rows = cut(sketch(src, size))
     linked = rows.where("signature is not null and doc_id is not null")
-    reps = cut(linked.groupBy("signature").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    members = buckets(reps.select("id", "bands").dropDuplicates(["id", "bands"]))
+    reps = cut(linked.groupBy("signature").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")))
+    # rows that repeat an id are one document, compared by one of their texts
+    members = buckets(reps.groupBy("id").agg(F.min(F.struct("n", "bands")).alias("_one")).select("id", "_one.n", "_one.bands"))
     ids = cut(members.select("id").distinct())
-    wanted = semi_join(src.where("doc_id is not null"), ids.select(F.col("id").alias("doc_id")), "doc_id", ids.count())
-    sets = cut(full_sets(wanted, size).select(F.col("doc_id").alias("id"), "elements").dropDuplicates(["id"]))
+    n_ids = ids.count()
+    wanted = semi_join(src.where("doc_id is not null"), ids.select(F.col("id").alias("doc_id")), "doc_id", n_ids)
+    sets = cut(full_sets(wanted, size).select(F.col("doc_id").alias("id"), "elements"))
+    if sets.count() > n_ids:
+        sets = cut(sets.groupBy("id").agg(F.min_by("elements", F.octet_length("elements")).alias("elements")))
+    sets = pack(sets, 60 * n_ids)  # a set weighs more than an ordinary row
     comps = link(members, sets, percent)
     named = reps.select(F.col("signature").alias("_s"), "id").join(comps, "id", "left").select("_s", F.coalesce("component", "id").alias("_c"))
     out = rows.select("doc_id", "n_shingles", "signature").join(named, F.when(F.col("doc_id").isNotNull(), F.col("signature")) == F.col("_s"), "left")
