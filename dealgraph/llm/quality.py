@@ -236,7 +236,7 @@ def fit(train: DataFrame) -> tuple[Pool, Network]:
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     rows = map_arrow(sample, run, f"doc_id {kind}, label int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label").collect()  # MAX_FIT rows at most
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float32).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float32).reshape(len(rows), 2 * DIM + 2)
     return pool, Network().fit(x, np.array([r["label"] for r in rows], np.int64))
 
 
