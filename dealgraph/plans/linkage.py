@@ -44,7 +44,7 @@ def d15(s: SparkSession, d: str) -> DataFrame:
 register("d15_best_strategy", d15, PLAIN + f"""
 , f AS (SELECT id_1, id_2, 'exact' AS strategy, 1.0::DOUBLE AS score, 1 AS r FROM p WHERE n1 = n2 AND gap < 1 UNION ALL SELECT id_1, id_2, 'customer_value', 0.6 + 0.4 * v, 3 FROM p WHERE v >= 0.85
 UNION ALL SELECT id_1, id_2, 'customer_date', 0.6 + 0.4 * t, 4 FROM p WHERE t >= 0.85 UNION ALL SELECT id_1, id_2, 'multi_factor', 0.25 * {_N} + 0.25 + 0.15 * coalesce((v1 = v2)::INT, 0) + 0.15 * v + 0.10 * t, 6 FROM p WHERE 0.25 * {_N} + 0.25 + 0.15 * coalesce((v1 = v2)::INT, 0) + 0.15 * v + 0.10 * t >= 0.70)
-SELECT id_1, id_2, strategy, round(score, 3)::DOUBLE AS score FROM f WHERE round(score, 6) >= 0.9 QUALIFY row_number() OVER (PARTITION BY id_1, id_2 ORDER BY round(score, 6) DESC, r) = 1""")
+SELECT id_1, id_2, strategy, round(round(score, 6), 3)::DOUBLE AS score FROM f WHERE round(score, 6) >= 0.9 QUALIFY row_number() OVER (PARTITION BY id_1, id_2 ORDER BY round(score, 6) DESC, r) = 1""")
 
 
 def d18(s: SparkSession, d: str) -> DataFrame:
