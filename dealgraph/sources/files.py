@@ -174,7 +174,7 @@ def vendor_rows(table: DataFrame) -> DataFrame:
     from dealgraph.functions.normalize import vendor_key
 
     name = first_filled(table, ("Vendor Name", "Vendor", "Company"))
-    domains = F.filter(F.transform(F.split(F.coalesce(first_filled(table, ("Domains", "Domain", "Website", "Email")), F.lit("")), "[,;]"), lambda x: F.regexp_replace(F.lower(F.trim(x)), r"^(https?://)?(www\.)?|^.*@|/.*$", "")), lambda x: x != "")
+    domains = F.filter(F.transform(F.split(F.coalesce(first_filled(table, ("Domains", "Domain", "Website", "Email")), F.lit("")), "[,;]"), lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"^.*@|^https?://", ""), r"^www\.|/.*$", "")), lambda x: x != "")
     rows = table.select(name.alias("vendor_name"), domains.alias("domains")).where("vendor_name is not null").withColumn("key", vendor_key(F.col("vendor_name")))
     return rows.groupBy("key").agg(F.min("vendor_name").alias("vendor_name"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("domains")))).alias("domains"))
 
