@@ -86,13 +86,11 @@ def inverse_frequencies(train: DataFrame) -> np.ndarray:
                     total, n = total + (counts > 0).sum(0), n + int(has.sum())
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["n", "df"])
 
-    parts = map_arrow(train.select("text"), run, "n bigint, df array<bigint>")
-    n = parts.agg(F.sum("n").alias("n"))
-    df = parts.select(F.posexplode("df").alias("k", "df")).groupBy("k").agg(F.sum("df").alias("df"))
-    rows = df.crossJoin(F.broadcast(n)).collect()  # BUCKETS rows; n is one row
+    parts = cut(map_arrow(train.select("text"), run, "n bigint, df array<bigint>"))
+    n = parts.agg(F.sum("n")).first()[0] or 0
     out = np.zeros(BUCKETS, np.float32)
-    for r in rows:
-        out[r["k"]] = np.log((1 + (r["n"] or 0)) / (1 + r["df"])) + 0.1
+    for r in parts.select(F.posexplode("df").alias("k", "df")).groupBy("k").agg(F.sum("df").alias("df")).collect():  # BUCKETS rows
+        out[r["k"]] = np.log((1 + n) / (1 + r["df"])) + 0.1
     return np.maximum(out, 0)
 
 
