@@ -100,16 +100,16 @@ def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, elements): the shingle hashes, sorted, as 64-bit integers in a binary."""
+    """(doc_id, elements): the shingle hashes, sorted as unsigned 64-bit integers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, offsets in byte_chunks(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in shingle_sets(raw, offsets, size)], pa.binary())],
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.view(np.int64) for x in shingle_sets(raw, offsets, size)], pa.list_(pa.int64()))],
                                                  names=["doc_id", "elements"])
 
-    return map_arrow(docs, run, f"doc_id {kind}, elements binary")
+    return map_arrow(docs, run, f"doc_id {kind}, elements array<bigint>")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
         for batch in batches:
             keep = []
             for row, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                x, y = x.values.to_numpy().view(U), y.values.to_numpy().view(U)
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 common = int((x[at] == y).sum())
@@ -164,8 +164,18 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return map_arrow(both, run, f"a {kind}, b {kind}")
 
 
+def linkable(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id) of the sets that may have a link at all: a link needs `percent` of a set's elements in one
+    other set, so a set with fewer that occur in any other candidate has none. This spares a large
+    group of copies the comparison of all those of its members that differ too much from each other."""
+    one = sets.select("id", F.explode("elements").alias("h"))
+    shared = one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    common = one.join(shared, "h", "left_semi").groupBy("id").agg(F.count("*").alias("common"))
+    return sets.select("id", F.size("elements").alias("n")).join(common, "id").where(100 * F.col("common") >= percent * F.col("n")).select("id")
+
+
 def link(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Components (id, component) over all verified pairs within the buckets."""
+    """Components (id, component) over all verified pairs within the buckets (sets may hold more ids)."""
     kind = members.schema["id"].dataType.simpleString()
     spark = members.sparkSession
     links = tested = None
@@ -226,8 +236,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = semi_join(src.where("doc_id is not null"), ids.select(F.col("id").alias("doc_id")), "doc_id", n_ids)
     sets = cut(full_sets(wanted, size).select(F.col("doc_id").alias("id"), "elements"))
     if sets.count() > n_ids:
-        sets = cut(sets.groupBy("id").agg(F.min_by("elements", F.octet_length("elements")).alias("elements")))
+        sets = cut(sets.groupBy("id").agg(F.min_by("elements", F.size("elements")).alias("elements")))
     sets = pack(sets, 60 * n_ids)  # a set weighs more than an ordinary row
+    may = cut(pack(linkable(sets, percent), n_ids))
+    members = pack(members, members.count()).join(may, "id", "left_semi")
+    members = cut(pack(members, 8 * n_ids))
     comps = link(members, sets, percent)
     named = reps.select(F.col("signature").alias("_s"), "id").join(comps, "id", "left").select("_s", F.coalesce("component", "id").alias("_c"))
     out = rows.select("doc_id", "n_shingles", "signature").join(named, F.when(F.col("doc_id").isNotNull(), F.col("signature")) == F.col("_s"), "left")
