@@ -8,7 +8,9 @@ first. A segment holds whole documents, so no posting is ever shuffled, and a fr
 costs one list in each segment.
 
 Terms that no test item has can't take part in a match; a segment keeps postings for test terms
-only. The test set is taken in blocks of a fixed size, each searched against all segments.
+only, those of all items, so that the index is built once. The test set is taken in blocks of a
+fixed size, each searched against all segments; rows are numbered before the segments are written,
+and what the blocks find is united by that number.
 
 Defined results: a null or wordless text has no words, no hits and no items; a null or wordless
 item has no window; repeated items count once per item id; repeated rows each get their result;
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,28 +51,50 @@ def text_words(text: str | bytes | None) -> np.ndarray:
     return hash_words(raw, starts, ends)
 
 
+def item_words(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, np.ndarray]:
+    """(item, words) of every item, its words as 64-bit hashes, and the ascending terms of all items."""
+    src = benchmark.select(F.col(item_id).alias("item"), F.col(text).cast("binary").alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_words(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())],
+                                             names=["item", "words"])
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)))], names=["term"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy(zero_copy_only=False).tobytes()], pa.binary())], names=["terms"])
+
+    words = cut(map_arrow(src, hashed, f"item {src.schema['item'].dataType.simpleString()}, words binary"))
+    terms = map_arrow(map_arrow(words.select("words"), flat, "term bigint").distinct(), packed, "terms binary").collect()  # 8 bytes a term
+    return words, np.unique(np.frombuffer(b"".join(r["terms"] for r in terms), np.uint64))
+
+
 class Windows:
-    """The windows of a block of items: terms (windows, WINDOW) as term numbers, -1 beyond a short
-    item; owners: the items of each distinct window."""
+    """The windows of a block of items (item, word hashes): terms (windows, WINDOW) as numbers of
+    the given terms, -1 beyond a short item; owners: the items of each distinct window."""
 
-    def __init__(self, items: list[tuple], window: int = WINDOW):
+    def __init__(self, items: list[tuple], terms: np.ndarray, window: int = WINDOW):
         owners: dict[tuple, set] = {}
-        for item, text in items:
-            words = text_words(text)
-            for i in range(max(1, len(words) - window + 1) if len(words) else 0):
-                owners.setdefault(tuple(words[i : i + window].tolist()), set()).add(str(item))
-        self.terms = np.array(sorted({t for w in owners for t in w}), np.uint64)
+        for item, hashes in items:
+            words = np.searchsorted(terms, np.frombuffer(hashes, np.uint64)).tolist()
+            for i in range(max(1, len(words) - window + 1) if words else 0):
+                owners.setdefault(tuple(words[i : i + window]), set()).add(str(item))
+        self.n_terms = len(terms)
         flat = list(owners)
         self.window = np.full((len(flat), window), -1, np.int64)
         for row, w in enumerate(flat):
-            self.window[row, : len(w)] = np.searchsorted(self.terms, np.array(w, np.uint64))
+            self.window[row, : len(w)] = w
         self.sizes = (self.window >= 0).sum(1)
         self.owners = [sorted(owners[w]) for w in flat]
 
 
 def index_segments(docs: DataFrame, terms: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Segments (doc_ids, firsts, terms, counts, postings): firsts are the documents' first word
-    positions (and the end), terms the segment's term numbers, counts their postings, postings
+    """Segments (doc_ids, firsts, terms, counts, postings, rows): rows number the documents of all
+    segments, firsts are the documents' first word positions (and the end), terms the segment's term numbers, counts their postings, postings
     the ascending word positions of one term after another, as 32-bit integers."""
     kind = docs.schema[doc_id].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(terms)
@@ -77,7 +102,7 @@ def index_segments(docs: DataFrame, terms: np.ndarray, doc_id: str = "doc_id", t
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
         for batch in batches:
-            ids = batch.column(0)
+            ids, rows = batch.column(0), batch.column(2)
             for a, b, raw, offsets in byte_chunks(batch):
                 raw = lower_ascii(raw)
                 starts, ends, firsts = words_in(raw, offsets, IS_WORD)
@@ -93,17 +118,18 @@ def index_segments(docs: DataFrame, terms: np.ndarray, doc_id: str = "doc_id", t
                     pa.array([firsts.astype("<i4").tobytes()], pa.binary()),
                     pa.array([names.astype("<i4").tobytes()], pa.binary()),
                     pa.array([counts.astype("<i4").tobytes()], pa.binary()),
-                    pa.array([found[order].astype("<i4").tobytes()], pa.binary())],
-                    names=["doc_ids", "firsts", "terms", "counts", "postings"])
+                    pa.array([found[order].astype("<i4").tobytes()], pa.binary()),
+                    pa.array([rows.slice(a, b - a).to_pylist()], pa.list_(pa.int64()))],
+                    names=["doc_ids", "firsts", "terms", "counts", "postings", "rows"])
 
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return cut(map_arrow(src, build, f"doc_ids array<{kind}>, firsts binary, terms binary, counts binary, postings binary"))
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
+    return cut(map_arrow(src, build, f"doc_ids array<{kind}>, firsts binary, terms binary, counts binary, postings binary, rows array<bigint>"))
 
 
 def search_segment(windows: Windows, firsts: np.ndarray, terms: np.ndarray, counts: np.ndarray, postings: np.ndarray,
                    slop: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(window, start positions of exact matches, positions of the rarest term in proximity matches)."""
-    number = np.full(len(windows.terms) + 1, -1, np.int64)
+    number = np.full(windows.n_terms + 1, -1, np.int64)
     number[terms] = np.arange(len(terms))
     ends = np.cumsum(counts)
     begins = ends - counts
@@ -144,7 +170,7 @@ def _unpack(batch: pa.RecordBatch, row: int):
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, per_block: int = BLOCK_ITEMS) -> Iterator[list[tuple]]:
-    """The items in blocks of bounded size, streamed through the driver one block at a time."""
+    """The items, with their text or words, in blocks of bounded size, streamed through the driver one block at a time."""
     block: list[tuple] = []
     for row in benchmark.select(item_id, text).toLocalIterator():
         block.append((row[0], row[1]))
@@ -156,7 +182,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, per_block: int = BLOCK
 
 
 def scan(segments: DataFrame, windows: Windows, kind: str) -> DataFrame:
-    """Per document: (doc_id, n_words, hits, items): hits are the positions of hit words in the
+    """Per row: (row, doc_id, n_words, hits, items): hits are the positions of hit words in the
     document as 32-bit integers, items the ids of the items with occurring windows."""
     held = segments.sparkSession.sparkContext.broadcast(windows)
 
@@ -175,11 +201,11 @@ def scan(segments: DataFrame, windows: Windows, kind: str) -> DataFrame:
                 hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 part = np.searchsorted(hit, firsts)
                 yield pa.RecordBatch.from_arrays([
-                    ids, pa.array(np.diff(firsts)),
+                    batch.column(5)[row].values, ids, pa.array(np.diff(firsts)),
                     pa.array([(hit[part[d] : part[d + 1]] - firsts[d]).astype("<i4").tobytes() for d in range(len(items))], pa.binary()),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "n_words", "hits", "items"])
+                    pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["row", "doc_id", "n_words", "hits", "items"])
 
-    return map_arrow(segments, search, f"doc_id {kind}, n_words bigint, hits binary, items array<string>")
+    return map_arrow(segments, search, f"row bigint, doc_id {kind}, n_words bigint, hits binary, items array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
@@ -189,9 +215,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_
     words of its rarest term (in the segment), which stands at `position`."""
     out, kind = None, docs.schema[doc_id].dataType.simpleString()
     spark = docs.sparkSession
-    for items in blocks(benchmark, item_id, text):
-        w = Windows(items, window)
-        held = spark.sparkContext.broadcast(w)
+    words, terms = item_words(benchmark, item_id, text)
+    segments = index_segments(docs, terms, doc_id, text)
+    for items in blocks(words, "item", "words"):
+        held = spark.sparkContext.broadcast(Windows(items, terms, window))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             w = held.value
@@ -208,7 +235,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_
                         pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())],
                         names=["doc_id", "item_id", "kind", "position"])
 
-        part = map_arrow(index_segments(docs, w.terms, doc_id, text), search, f"doc_id {kind}, item_id string, kind string, position bigint")
+        part = map_arrow(segments, search, f"doc_id {kind}, item_id string, kind string, position bigint")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], f"doc_id {kind}, item_id string, kind string, position bigint")
@@ -217,21 +244,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
                   window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, hits, items) for every document, hits as in scan()."""
+    """(doc_id, n_words, hits, items) for every row, hits as in scan()."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    out, n = None, 0
-    for items in blocks(benchmark, item_id, text):
-        w = Windows(items, window)
-        part = scan(index_segments(docs, w.terms, doc_id, text), w, kind)
-        out, n = part if out is None else out.unionByName(part), n + 1
-    if out is None:
-        w = Windows([], window)
-        return scan(index_segments(docs, w.terms, doc_id, text), w, kind)
-    if n == 1:
-        return out
-    # several blocks: one row per document again (rows that repeat an id are one document here)
-    merged = out.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.collect_list("hits").alias("_h"),
-                                       F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    words, terms = item_words(benchmark, item_id, text)
+    segments = index_segments(docs, terms, doc_id, text)
+    todo = blocks(words, "item", "words")
+    out = scan(segments, Windows(next(todo, []), terms, window), kind)
+    # of further blocks, the rows that they hit
+    rest = [cut(scan(segments, Windows(items, terms, window), kind).where("octet_length(hits) > 0")) for items in todo]
+    if not rest:
+        return out.drop("row")
+    merged = reduce(DataFrame.unionByName, rest, out).groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("_h"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,9 +268,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that have no window of the benchmark."""
-    found = decontaminate(docs, benchmark, doc_id, item_id, text)
-    return drop_ids(docs, found.where("octet_length(hits) > 0").select("doc_id"), doc_id)
+    """The rows of docs, with all their columns, that have no window of the benchmark. They are told
+    apart by their texts, on which alone it depends; rows without an id or with the same id are not one."""
+    key = F.sha2(F.col(text).cast("binary"), 256)
+    found = decontaminate(docs.select(key.alias("_text_key"), text), benchmark, "_text_key", item_id, text)
+    return drop_ids(docs.withColumn("_text_key", key), found.where("octet_length(hits) > 0").select("doc_id"), "_text_key").drop("_text_key")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,26 @@ def test_decontaminate_in_blocks(docs, benchmark, monkeypatch):
     assert rows_of(decontaminate.decontaminate(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), benchmark), "doc_id", "n_words", "hits", "items") == whole
 
 
+def test_decontaminate_in_blocks_keeps_every_row(docs, benchmark, monkeypatch):
+    """Rows without an id or with the same id are not one row, however many blocks the benchmark has."""
+    items = [(r.item_id, r.text) for r in benchmark.collect()]
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (2,))
+    more = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(9).cast("bigint"), "text": F.lit(prose(3, 300))}))
+    texts = [(r.doc_id, r.text) for r in more.collect()]
+    got = decontaminate.decontaminate(more, benchmark).select("doc_id", "n_words", F.expr("octet_length(hits) div 4").alias("h"), F.size("items").alias("i"))
+    assert rows_of(got, "doc_id", "n_words", "h", "i") == sorted(((d, n, h, i) for d, n, h, i, *_ in decontaminate.brute(texts, items)), key=repr)
+
+
+def test_drop_contaminated_by_row(spark):
+    """A contaminated row takes no clean row along that has its id or, like it, none."""
+    bad, clean = "so " + prose(1, 20), prose(2, 20)
+    rows = spark.createDataFrame([(None, bad, "x"), (None, clean, "y"), (None, None, "z"), (1, bad, "x"), (1, clean, "y"), (2, clean, "y")], "doc_id bigint, text string, _c string")
+    items = spark.createDataFrame([(0, prose(1, 20))], "item_id bigint, text string")
+    kept = decontaminate.drop_contaminated(rows, items)
+    assert kept.columns == rows.columns
+    assert rows_of(kept, "doc_id", "_c") == sorted([(None, "y"), (None, "z"), (1, "y"), (2, "y")], key=repr)
+
+
 def test_phrase_and_proximity_matches(spark):
     docs = spark.createDataFrame([(1, "x a b c d"), (2, "d z c b a"), (3, "a b"), (4, "c d " + "y " * 50 + "a b")], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, "A, b; C d")], "item_id bigint, text string")
