@@ -2,7 +2,7 @@
 network with temperature-calibrated probabilities.
 
 Word vectors: every word has a sparse ternary index vector drawn from its hash, plus those of its
-character trigrams and of its shape, so that unseen words are placed too. The context vector of a
+character trigrams and of its shape, over all of its bytes, so that unseen words are placed too. The context vector of a
 frequent word is the sum of the index vectors of its neighbours over the training sample; its word
 vector is the sum of both, each normalised. A document is pooled twice: the mean of its word
 vectors, and the mean product of the vectors of adjacent words, which shows repetition; its
@@ -57,14 +57,48 @@ _CLASS[0x61:0x7B], _CLASS[0x80:], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A] = 0, 0, 1
 #: Index vectors of hashed trigrams and shapes.
 _GRAMS = _index(mix(np.arange(1 << 14, dtype=U) + U(1 << 32)))
 _SHAPES = _index(mix(np.arange(1 << 12, dtype=U) + U(1 << 33)))
-#: Bytes of a word that are looked at for its trigrams and shape.
-_HEAD = 64
+#: Words of more bytes than this are added up one at a time, in pieces of so many bytes.
+_LONG, _PIECE = 256, 1 << 18
+
+
+def _keys(low: np.ndarray, back: np.ndarray, back2: np.ndarray) -> np.ndarray:
+    """The numbers of the trigrams that end at each byte."""
+    return (low * np.uint32(0x9E3779B1) + back * np.uint32(0x85EBCA6B) + back2 * np.uint32(0xC2B2AE35)) >> np.uint32(18)
+
+
+def _long(word: np.ndarray) -> tuple[np.ndarray, int]:
+    """The sum of a long word's trigrams' index vectors, and a bit for each class of its bytes."""
+    count, some = np.zeros(len(_GRAMS), np.int64), np.zeros(8, bool)
+    for a in range(0, len(word), _PIECE):
+        low = np.zeros(len(part := word[a : a + _PIECE]) + 2, np.uint32)
+        low[2:] = lower_ascii(part)
+        if a:
+            low[:2] = lower_ascii(word[a - 2 : a])
+        key = _keys(low[2:], low[1:-1], low[:-2])
+        some[_CLASS[part]] = True
+        if len(word) <= 8192:  # counting first pays for longer words only
+            return _GRAMS[key].sum(0), int((1 << np.flatnonzero(some)).sum())
+        count += np.bincount(key, minlength=len(_GRAMS))
+    used = np.flatnonzero(count)
+    return (count[used].astype(np.float64) @ _GRAMS[used]).astype(np.float32), int((1 << np.flatnonzero(some)).sum())
 
 
 def _static(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Unit vectors of words from themselves: the mean of their trigrams' index vectors, and that of
     their shape (the classes of bytes they have, the first and the last one), which weighs more."""
-    n = np.minimum(ends - starts, _HEAD)
+    sums, some = np.zeros((len(starts), DIM), np.float32), np.zeros(len(starts), np.int64)
+    short = np.flatnonzero(ends - starts <= _LONG)
+    if len(short):
+        sums[short], some[short] = _short(raw, starts[short], ends[short])
+    for k in np.flatnonzero(ends - starts > _LONG):
+        sums[k], some[k] = _long(raw[starts[k] : ends[k]])
+    shape = some | _CLASS[raw[starts]] << 7 | _CLASS[raw[ends - 1]] << 10
+    return _unit(_unit(sums) + 1.5 * _unit(_SHAPES[(mix(shape.astype(U)) >> U(52)).astype(np.int64)]))
+
+
+def _short(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What _long() gives, of many short words at once."""
+    n = ends - starts
     first = np.cumsum(n) - n
     at = np.arange(int(n.sum())) - np.repeat(first - starts, n)
     low = lower_ascii(raw[at]).astype(np.uint32)
@@ -74,16 +108,14 @@ def _static(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     back2 = back.copy()
     back2[1:] = back[:-1]
     back2[first] = 0
-    key = (low * np.uint32(0x9E3779B1) + back * np.uint32(0x85EBCA6B) + back2 * np.uint32(0xC2B2AE35)) >> np.uint32(18)
+    key = _keys(low, back, back2)
     order = np.argsort(-n, kind="stable")
     begin, grams = first[order], np.zeros((len(n), DIM), np.float32)
     for k in range(int(n.max(initial=0))):  # the k-th trigram of all words that are long enough
         m = int(np.count_nonzero(n > k))
         grams[:m] += _GRAMS[key[begin[:m] + k]]
     grams[order] = grams.copy()
-    kinds = _CLASS[raw[at]]
-    shape = np.bitwise_or.reduceat(1 << kinds, first) | kinds[first] << 7 | _CLASS[raw[ends - 1]] << 10
-    return _unit(_unit(grams) + 1.5 * _unit(_SHAPES[(mix(shape.astype(U)) >> U(52)).astype(np.int64)]))
+    return grams, np.bitwise_or.reduceat(1 << _CLASS[raw[at]], first)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,21 @@ def test_quality(spark, docs, labels, empty):
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
 
 
+def test_quality_reads_whole_words():
+    """Words of any length are placed by all of their bytes, in pieces or not."""
+    pool = quality.Pool(np.zeros(0, np.uint64), np.zeros((0, quality.DIM), np.float32))
+    for n in (100, 1_000, 20_000, 600_000):  # each way of adding up
+        texts = [b"x" * 64 + bytes(random.Random(seed).choices(b"abcdefgh", k=n)) + b"x" for seed in (1, 2)]
+        a, b = (pool(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0, : quality.DIM] for t in texts)
+        assert np.abs(a - b).max() > 1e-3 if n < 20_000 else (a != b).any()
+        # the sums are those of the trigrams one by one
+        whole, low = np.frombuffer(texts[0], np.uint8), [0, 0, *texts[0]]
+        keys = [(low[k] * 0x9E3779B1 + low[k - 1] * 0x85EBCA6B + low[k - 2] * 0xC2B2AE35) % 2**32 >> 18 for k in range(2, len(low))]
+        grams = quality._GRAMS[keys].sum(0, dtype=np.float64)
+        assert np.array_equal(quality._long(whole)[0], grams)
+        assert np.array_equal(quality._short(whole[:20_000], np.array([0]), np.array([min(len(whole), 20_000)]))[0][0], quality._GRAMS[keys[:20_000]].sum(0))
+
+
 def test_language(docs, empty):
     got = {(r.doc_id, r.lang_pred, r.score == 0) for r in langid.identify(docs, docs).collect()}
     assert {(5, "und", True), (6, "und", True), (7, "und", True)} <= got
