@@ -73,7 +73,7 @@ register("e04_unsigned", lambda s, d: literal(s, SIGNED, "id int, x string").sel
 KEYS = ["the", "und", "para", "quote", "license", "password", "les"]
 register("e10_keywords", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(text.keywords(F.col("text"), KEYS), ",").alias("found")), "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{k}' END" for k in KEYS) + ") AS found FROM documents")
 register("e12_first_keyword", lambda s, d: table(s, d, "documents").groupBy(F.coalesce(F.get(text.keywords(F.col("text"), KEYS[2:]), F.lit(0)), F.lit("none")).alias("kind")).agg(F.count("*").alias("n")), "SELECT CASE " + " ".join(f"WHEN contains(lower(text), '{k}') THEN '{k}'" for k in KEYS[2:]) + " ELSE 'none' END AS kind, count(*) AS n FROM documents GROUP BY 1")
-register("e34_stage_hints", lambda s, d: table(s, d, "documents").groupBy(text.stage_hint(F.substring("text", 1, 10_000_000)).alias("hint")).agg(F.count("*").alias("n")), "SELECT CASE WHEN lower(text) LIKE '%po%' THEN 'po_in_progress' WHEN lower(text) LIKE '%rfq%' OR lower(text) LIKE '%quote%' THEN 'quote' WHEN lower(text) LIKE '%integration%' THEN 'integration' WHEN lower(text) LIKE '%research%' THEN 'research' ELSE 'unknown' END AS hint, count(*) AS n FROM documents GROUP BY 1")
+register("e34_stage_hints", lambda s, d: table(s, d, "documents").groupBy(text.stage_hint(F.col("text")).alias("hint")).agg(F.count("*").alias("n")), "SELECT CASE WHEN lower(text) LIKE '%po%' THEN 'po_in_progress' WHEN lower(text) LIKE '%rfq%' OR lower(text) LIKE '%quote%' THEN 'quote' WHEN lower(text) LIKE '%integration%' THEN 'integration' WHEN lower(text) LIKE '%research%' THEN 'research' ELSE 'unknown' END AS hint, count(*) AS n FROM documents GROUP BY 1")
 register("e40_text_quality", lambda s, d: table(s, d, "documents").select("doc_id", text.quality_score(F.col("text")).alias("score")), r"SELECT doc_id, round(100 * length(regexp_replace(text, '[^A-Za-z0-9 .,;:!?\n]', '', 'g')) / greatest(length(text), 1) - 100 * (length(text) - length(regexp_replace(text, '[\x{FFFD}\x00-\x08\x0E-\x1F]', '', 'g'))) / greatest(length(text), 1), 4)::DOUBLE AS score FROM documents")
 register("e13_money", lambda s, d: literal(s, TURNS + [(6, 0, "worth $1,200.50 or $3M, maybe $75k")], "conv int, turn int, x string").select("conv", F.explode(F.regexp_extract_all("x", F.lit(r"\$([0-9][0-9,]*(?:\.[0-9]+)?[KMBkmb]?)"), F.lit(1))).alias("amount")), sql_rows([(6, "1,200.50"), (6, "3M"), (6, "75k")], "conv, amount") + "SELECT * FROM t")
 
