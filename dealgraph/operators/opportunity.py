@@ -63,8 +63,9 @@ def override(records: DataFrame, notes: DataFrame, fields: tuple[str, ...]) -> D
 
 
 def applicable(insights: DataFrame, records: DataFrame, least: float = 0.8) -> DataFrame:
-    """Sure insights by the vendor they are about, or about any (null)."""
+    """Sure insights by the vendor they are about, or about any (null): each of those applies to
+    every record, so that there are as many rows as general insights times records."""
     sure = insights.where(F.col("confidence") >= least)
     named = records.select("id", "vendor_id").join(sure.where("vendor_id is not null"), "vendor_id").select("id", "insight_id")
-    anyone = records.select("id").crossJoin(F.broadcast(sure.where("vendor_id is null").select("insight_id").limit(100)))  # general insights are few; the newest 100 apply
+    anyone = records.select("id").crossJoin(sure.where("vendor_id is null").select("insight_id"))
     return named.unionByName(anyone)
