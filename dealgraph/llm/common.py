@@ -128,15 +128,15 @@ def pack(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(4, -(-rows // PACK_ROWS)))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(src, dst): (id, component) with the smallest id reachable.
 
     Alternates large-star and small-star steps, each a pre-aggregated minimum and a join on the
-    vertex, so that a vertex with very many neighbours is never one group in one task."""
+    vertex, until a round changes nothing; Spark splits the join of a vertex with very many neighbours."""
     e = cut(edges.select("src", "dst").where("src <> dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")))
     n, before = e.count(), None
-    for _ in range(rounds):
+    while True:
         e = pack(e, n)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

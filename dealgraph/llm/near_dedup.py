@@ -8,42 +8,46 @@ banding would take 256.
 
 Equal sets are grouped first by a 128-bit signature, so that only distinct sets are compared.
 A pair meets in a table only if it meets on either side, so keys whose left or right half is
-unique are never formed. Candidates are verified on full shingle sets, in rounds: a bucket's
-members are compared with one member, the links found are contracted to components, and a bucket
-goes on only while it spans more than one component, with another member each time, or with all
-remaining pairs between components once these are few. Such a pair is emitted in one of its
-buckets only, that of the first keys it shares on either side, and only if the sets' sizes allow
-the similarity. Pairs within a component add nothing to it, so this finds the components that
-comparing all pairs would, without emitting all pairs of a large group.
+unique are never formed. Candidates are verified on full shingle sets. The pairs of a bucket of up
+to SMALL members are all verified, each pair in one of its buckets only, that of the first keys it
+shares on either side, and only if the sets' sizes allow the similarity. Larger buckets go in rounds:
+their members are compared with a few members, twice as many each time, what is linked gets one
+label, and a bucket goes on only while it spans more than one label. A member that was compared
+with all others leaves its bucket, so that the rounds end with every pair tested or implied; what is
+left is compared at once when it is a few places a member. Pairs of one label add nothing to its
+component, so this finds the components that comparing all pairs would, without emitting all pairs
+of a large group.
 
 Defined results: a null or wordless text has an empty set and no links; texts of fewer words
 than a shingle have their whole word sequence as the only element; repeated rows are exact
-copies, and rows that repeat an id are one document for linking; a null id links with nothing;
-empty tables give empty results; other columns are never read.
+copies; rows that repeat an id with other texts are linked each for itself; a null id links with
+nothing and its row stays; empty tables give empty results; other columns are never read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.llm.common import BLANK, U, byte_chunks, components, cut, drop_ids, hash_windows, hash_words, lower_ascii, map_arrow, mix, pack, semi_join, table, words_in
+from dealgraph.llm.common import BLANK, BROADCAST_IDS, U, byte_chunks, components, cut, hash_windows, hash_words, lower_ascii, map_arrow, mix, pack, table, words_in
 
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union links two sets.
 PERCENT = 75
 #: Band keys of each side, and minhashes of a band key.
 SIDE, ROWS = 8, 2
-#: All remaining pairs between components are compared once their buckets have at most so many
-#: places a member where two may meet (a pair of similarity 0.5 meets in 4 buckets, of 0.75 in 20).
+#: Members (distinct sets) up to which all pairs of a bucket are verified at once.
+SMALL = 32
+#: The rounds over larger buckets end with all remaining pairs of different labels once these have at
+#: most so many places a member where two may meet. It decides the cost of what is left, not its result.
 PLACES_PER_MEMBER = 60
-#: Rounds with one member per bucket before all remaining pairs are compared anyway.
-MOST_ROUNDS = 8
 
 _SEEDS = mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=U) * U(0x9E6C63D0876A9A35))
 _FACTORS = mix(_SEEDS) | U(1)
@@ -82,7 +86,7 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, signature, bands) for rows (doc_id, text binary)."""
+    """(doc_id, key, n_shingles, signature, bands) for rows (doc_id, text binary, key binary)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,41 +97,36 @@ def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     n.append(len(found))
                     signature.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                     bands.append(band_keys(found).view(np.int64) if len(found) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(signature, pa.binary()),
-                                                  pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "signature", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), pa.array(signature, pa.binary()),
+                                                  pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "signature", "bands"])
 
-    return map_arrow(docs, run, f"doc_id {kind}, n_shingles bigint, signature binary, bands array<bigint>")
+    return map_arrow(docs, run, f"doc_id {kind}, key binary, n_shingles bigint, signature binary, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, elements): the shingle hashes, sorted as unsigned 64-bit integers."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """(id, elements) for rows (id, text binary): the shingle hashes, sorted as unsigned 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, offsets in byte_chunks(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.view(np.int64) for x in shingle_sets(raw, offsets, size)], pa.list_(pa.int64()))],
-                                                 names=["doc_id", "elements"])
+                                                 names=["id", "elements"])
 
-    return map_arrow(docs, run, f"doc_id {kind}, elements array<bigint>")
+    return map_arrow(docs, run, "id bigint, elements array<bigint>")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """(bucket, left, right, id, n, bands) of the tables' buckets with at least two distinct sets.
-    reps: (id, n, bands)."""
+    """(bucket, left, right, id, n, bands, m): the members of the tables' buckets that have at least
+    two distinct sets, m in number. reps: (id, n, bands)."""
     halves = reps.select("id", F.posexplode("bands").alias("k", "band"))
     alive = halves.groupBy("k", "band").agg(F.count("*").alias("n")).where("n > 1").select("k", "band")
-    kept = cut(halves.join(alive, ["k", "band"], "left_semi"))
-    size = kept.count()
-    kept = pack(kept, size)
-    left, right = kept.where(F.col("k") < SIDE), kept.where(F.col("k") >= SIDE)
-    # both sides of one set meet on its id: at most SIDE rows of either
-    pairs = left.select("id", F.col("k").alias("left"), "band").join(right.select("id", F.col("k").alias("right"), F.col("band").alias("other")), "id")
-    keyed = pack(pairs.select(F.xxhash64("left", "right", "band", "other").alias("bucket"), "left", "right", "id"), size)
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = cut(pack(keyed.join(shared, "bucket", "left_semi"), size))
-    size = members.count()
-    return cut(pack(pack(members, size).join(reps, "id"), size))
+    # what is left of a set's keys: 2 * SIDE at most
+    kept = halves.join(alive, ["k", "band"], "left_semi").groupBy("id").agg(F.collect_list(F.struct("k", "band")).alias("h"))
+    pairs = (kept.select("id", F.explode(F.filter("h", lambda x: x["k"] < SIDE)).alias("l"), F.filter("h", lambda x: x["k"] >= SIDE).alias("r"))
+             .select("id", "l", F.explode("r").alias("r")))
+    keyed = cut(pairs.select(F.xxhash64("l.k", "r.k", "l.band", "r.band").alias("bucket"), F.col("l.k").alias("left"), F.col("r.k").alias("right"), "id"))
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    return cut(keyed.join(shared, "bucket").join(reps, "id"))
 
 
 def first_meeting(a: str, b: str) -> Column:
@@ -165,99 +164,114 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
 
 def linkable(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id) of the sets that may have a link at all: a link needs `percent` of a set's elements in one
-    other set, so a set with fewer that occur in any other candidate has none. This spares a large
-    group of copies the comparison of all those of its members that differ too much from each other."""
+    """(id) of the sets that may have a link with another of these at all: a link needs `percent` of a
+    set's elements in one other set, so a set with fewer that occur in any other one has none. This spares
+    a large group of copies the comparison of those of its members that differ too much from each other."""
     one = sets.select("id", F.explode("elements").alias("h"))
     shared = one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     common = one.join(shared, "h", "left_semi").groupBy("id").agg(F.count("*").alias("common"))
     return sets.select("id", F.size("elements").alias("n")).join(common, "id").where(100 * F.col("common") >= percent * F.col("n")).select("id")
 
 
-def link(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Components (id, component) over all verified pairs within the buckets (sets may hold more ids)."""
-    kind = members.schema["id"].dataType.simpleString()
-    spark = members.sparkSession
-    links = tested = None
-    comps = spark.createDataFrame([], f"id {kind}, component {kind}")
-    n_members = members.select("id").distinct().count()
-    left, rows = members.withColumn("component", F.col("id")), members.count()
-    for step in range(MOST_ROUNDS + 1):
-        # of each bucket: members by component, and the places where two components meet
-        size = pack(left, rows).groupBy("bucket", "component").agg(F.count("*").alias("m"))
-        spans = pack(size, rows).groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "component")).alias("largest"))
-        spans = cut(pack(spans.where("m * m > same").select("bucket", F.col("largest.component").alias("main"), ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("places")), rows))
-        places = spans.agg(F.sum("places")).first()[0] or 0
+def pairs_of_small(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of the candidate pairs in buckets of at most SMALL members, each pair once."""
+    one = members.where(F.col("m") <= SMALL)
+    other = one.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("other"))
+    meet = (F.col("id") < F.col("b")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) & first_meeting("bands", "other")
+    return one.join(other, "bucket").where(meet).select(F.col("id").alias("a"), "b")
+
+
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, label) after the links (a, b): every label goes to the least one that it is linked
+    with, and on to where that one goes."""
+    x, y = labels.select(F.col("id").alias("a"), F.col("label").alias("x")), labels.select(F.col("id").alias("b"), F.col("label").alias("y"))
+    joined = links.join(x, "a").join(y, "b").select(F.greatest("x", "y").alias("label"), F.least("x", "y").alias("least")).where("label <> least")
+    hook = cut(joined.groupBy("label").agg(F.min("least").alias("least")))
+    onward = hook.select(F.col("label").alias("least"), F.col("least").alias("onward"))
+    hook = hook.join(onward, "least", "left").select("label", F.coalesce("onward", "least").alias("to"))
+    return labels.join(hook, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+
+
+def links_of_large(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
+    """Links (a, b) that give the buckets of more than SMALL members their components, in rounds."""
+    left = members.where(F.col("m") > SMALL).select("bucket", "id", "n")
+    ids = cut(left.select("id").distinct())
+    n_ids = ids.count()
+    if not n_ids:
+        return []
+    may = cut(linkable(sets.join(ids, "id", "left_semi"), percent))
+    left = cut(left.join(may, "id", "left_semi"))
+    labels, links = may.select("id", F.col("id").alias("label")), []
+    for step in count():
+        placed = left.join(labels, "id")
+        # of each bucket: its members, and the places where two labels meet
+        size = placed.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.min("id").alias("first"))
+        spans = size.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.min("first").alias("first")).where("m * m > same")
+        left = cut(placed.join(spans, "bucket"))
+        places = left.agg(F.sum((F.col("m") - F.col("same") / F.col("m")) / 2)).first()[0] or 0
         if not places:
-            break
-        left = cut(pack(pack(left, rows).join(spans.select("bucket", "main"), "bucket"), rows))
-        rows = left.count()
-        left = pack(left, rows)
-        whole = places <= PLACES_PER_MEMBER * n_members or step == MOST_ROUNDS
-        if whole:
-            other = left.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bands").alias("other"))
-            meet = ((left["bucket"] == other["bucket"]) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb"))
-                    & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) & first_meeting("bands", "other"))
-            pairs = left.join(other, meet).select(F.col("id").alias("a"), "b")
-        else:
-            # first the smallest id, the same one in most buckets of a group; then any of the largest component
-            by = F.struct("id") if step == 0 else F.struct(F.xxhash64("id", "bucket", F.lit(step)), "id")
-            pivots = left.where("component = main" if step else "true").groupBy("bucket").agg(F.min(F.struct(by.alias("by"), "component", "n")).alias("p"))
-            pivots = pivots.select(F.col("bucket").alias("_b"), F.col("p.by.id").alias("pivot"), F.col("p.component").alias("pc"), F.col("p.n").alias("pn"))
-            fits = (F.col("bucket") == F.col("_b")) & (F.col("component") != F.col("pc")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-            pairs = left.join(pivots, fits).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-            pairs = pack(pairs, rows).distinct()
-        if tested is not None:
-            pairs = pack(pairs, rows).join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pack(pairs, rows))
-        n_pairs = pairs.count()
-        found = verify(pack(pairs, n_pairs), sets, percent)
-        found = cut(pack(found, n_pairs))
-        links = found if links is None else links.unionByName(found)
-        comps = cut(pack(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), n_members))
+            return links
+        whole = places <= PLACES_PER_MEMBER * n_ids
+        # the smallest id first (the same one in most buckets of a group), then 2, 4, 8, ... chosen by a hash
+        chosen = F.col("id") == F.col("first") if not step else F.pmod(F.xxhash64("id", "bucket", F.lit(step)), "m") < (1 << step)
+        pivots = (left if whole else left.where(chosen)).select("bucket", F.col("id").alias("pivot"), F.col("label").alias("pl"), F.col("n").alias("pn"))
+        fits = (F.col("label") != F.col("pl")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+        pairs = left.join(pivots, "bucket").where(fits & (F.col("id") < F.col("pivot")) if whole else fits)
+        found = cut(verify(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), sets, percent))
+        links.append(found)
         if whole:
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        left = left.drop("component", "main").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return comps
+            return links
+        labels = cut(relabel(labels, found))
+        left = left.where(~chosen).select("bucket", "id", "n")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row; component_id is the smallest id
-    reachable over links, itself included."""
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows = cut(sketch(src, size))
+def found_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, best) for every row of docs (doc_id, text binary, key binary):
+    key is a digest of the text, best whether the row is of the one text that stays of its component."""
+    rows = cut(sketch(docs, size))
     linked = rows.where("signature is not null and doc_id is not null")
-    reps = cut(linked.groupBy("signature").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")))
-    # rows that repeat an id are one document, compared by one of their texts
-    members = buckets(reps.groupBy("id").agg(F.min(F.struct("n", "bands")).alias("_one")).select("id", "_one.n", "_one.bands"))
-    ids = cut(members.select("id").distinct())
+    reps = cut(linked.groupBy("signature").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+               .withColumn("id", F.monotonically_increasing_id()))
+    members = buckets(reps.select("id", "n", "bands"))
+    ids = cut(members.select("id").distinct().join(reps, "id").select("id", F.col("best.doc_id").alias("_d"), F.col("best.key").alias("_k")))
     n_ids = ids.count()
-    wanted = semi_join(src.where("doc_id is not null"), ids.select(F.col("id").alias("doc_id")), "doc_id", n_ids)
-    sets = cut(full_sets(wanted, size).select(F.col("doc_id").alias("id"), "elements"))
-    if sets.count() > n_ids:
-        sets = cut(sets.groupBy("id").agg(F.min_by("elements", F.size("elements")).alias("elements")))
-    sets = pack(sets, 60 * n_ids)  # a set weighs more than an ordinary row
-    may = cut(pack(linkable(sets, percent), n_ids))
-    members = pack(members, members.count()).join(may, "id", "left_semi")
-    members = cut(pack(members, 8 * n_ids))
-    comps = link(members, sets, percent)
-    named = reps.select(F.col("signature").alias("_s"), "id").join(comps, "id", "left").select("_s", F.coalesce("component", "id").alias("_c"))
-    out = rows.select("doc_id", "n_shingles", "signature").join(named, F.when(F.col("doc_id").isNotNull(), F.col("signature")) == F.col("_s"), "left")
-    component = F.coalesce("_c", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    texts = docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, (docs["doc_id"] == ids["_d"]) & (docs["key"] == ids["_k"])).select("id", "text")
+    sets = cut(full_sets(texts, size).dropDuplicates(["id"]))
+    links = [cut(verify(pairs_of_small(members, percent), sets, percent)), *links_of_large(members, sets, percent)]
+    comps = components(reduce(DataFrame.unionByName, links).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    named = reps.select("id", "signature", "best").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("best").alias("least"))
+    named = cut(named.join(least, "component").select(F.col("signature").alias("_s"), F.col("least.doc_id").alias("_c"), F.col("least.key").alias("_k")))
+    # rows without an id or words have no component, and no key to meet on
+    out = rows.select("doc_id", "key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("signature")).alias("_o")).join(named, F.col("_o") == F.col("_s"), "left")
+    best = F.coalesce((F.col("doc_id") == F.col("_c")) & (F.col("key") == F.col("_k")), F.lit(True))
+    return out.select("doc_id", "key", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"), best.alias("best"), F.col("_s").isNotNull().alias("named"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row; component_id is the smallest id
+    reachable over links, itself included; kept whether it is the row's own."""
+    body = F.col(text).cast("binary")
+    out = found_rows(docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.unhex(F.md5(body)).alias("key")), size, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, of which one per group of near-duplicates stays:
-    the one with the smallest id, and one row of those that repeat an id."""
-    found = cut(near_duplicates(docs, doc_id, text).select("doc_id", "kept"))
-    out = drop_ids(docs, found.where("not kept"), doc_id)
-    again = cut(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if again.isEmpty():
-        return out
-    one = out.join(again.select(F.col("doc_id").alias("_again")), out[doc_id] == F.col("_again"), "left_semi").dropDuplicates([doc_id])
-    return drop_ids(out, again, doc_id).unionByName(one)
+    """The rows of docs, with all their columns, of which one per group of near-duplicates stays: one
+    with the smallest id. Rows without an id or without words stay all."""
+    keyed = docs.withColumns({"_nd_key": F.unhex(F.md5(F.col(text).cast("binary"))), "_nd_id": F.col(doc_id)})
+    found = cut(found_rows(keyed.select(F.col("_nd_id").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col("_nd_key").alias("key"))).where("named"))
+    # per id and text: does it go, or do its rows repeat? Exact copies with other ids are such rows
+    odd = cut(found.groupBy("doc_id", "key").agg(F.first("best").alias("best"), F.count("*").alias("n")).where("not best or n > 1")
+              .select(F.col("doc_id").alias("_g_id"), F.col("key").alias("_g_key"), "best"))
+    same = (F.col("_nd_id") == F.col("_g_id")) & (F.col("_nd_key") == F.col("_g_key"))
+    n = odd.count()
+    out = keyed.join(F.broadcast(odd) if n <= BROADCAST_IDS else odd, same, "left_anti")
+    twice = odd.where("best")
+    if not twice.isEmpty():
+        again = keyed.join(F.broadcast(twice) if n <= BROADCAST_IDS else twice, same, "left_semi")
+        out = out.unionByName(again.dropDuplicates(["_nd_id", "_nd_key"]))
+    return out.drop("_nd_key", "_nd_id")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

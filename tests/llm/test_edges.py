@@ -220,9 +220,20 @@ def test_near_duplicates(docs, empty):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(d for d, (_, c) in ref.items() if d == c)
 
 
-@pytest.mark.parametrize("places", [0, 60])
-def test_near_duplicates_of_chains_and_groups(spark, monkeypatch, places):
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows with the same id and other texts are linked each for itself, and no text is lost."""
+    a, b, c = (prose(40 + k, 40) for k in range(3))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (3, b), (4, c), (4, c), (None, c)], "doc_id bigint, text string")
+    got = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(docs).collect()))
+    assert got == [(0, 0, True), (1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (3, 2, False), (4, 4, True), (4, 4, True)]
+    kept = sorted((r.doc_id or 0, r.text) for r in near_dedup.drop_near_duplicates(docs).collect())
+    assert kept == sorted([(1, a), (2, b), (4, c), (0, c)])
+
+
+@pytest.mark.parametrize(("small", "places"), [(32, 60), (3, 0), (3, 60)])
+def test_near_duplicates_of_chains_and_groups(spark, monkeypatch, small, places):
     """Random edits make chains whose ends are not similar; all rounds must find brute force's components."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "PLACES_PER_MEMBER", places)
     r = random.Random(5)
     rows = []
