@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -34,6 +35,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df as a table written to the shared folder of the session. Where steps build on one
+    another this is to be preferred to cut(): a checkpoint keeps the size that was estimated for its plan, and
+    that of a join is the product of both sides', so in a chain of joins the number's digits double each time
+    until they fill the driver's memory. A table has the size of its files."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        cut(spark.range(0))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table of stored() that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(os.path.dirname(df.inputFiles()[0])) if df.inputFiles() else None
+    if path is not None:
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_by(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
     """Deals the rows out by the keys and cuts the lineage. The plan of what is read again says so
     that later groupings by the keys shuffle nothing; for that, the one job here runs without
@@ -119,39 +141,29 @@ def gapless_rank(df: DataFrame, parts: Sequence[str], key: Column, bits: int = 3
     return out.select(*df.columns, "rank", *(["before"] if weight else []))
 
 
-#: Rows of a small table that one task holds; counted tables are packed into tasks of about so many.
-PACK_ROWS = 250_000
-
-
-def pack(df: DataFrame, rows: int) -> DataFrame:
-    """Fewer, fuller partitions for a table of a counted size, whatever the shuffles' setting is."""
-    return df.coalesce(max(4, -(-rows // PACK_ROWS)))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(src, dst): (id, component) with the smallest id reachable.
 
     Alternates large-star and small-star steps, each a pre-aggregated minimum and a join on the
     vertex, until a round changes nothing; Spark splits the join of a vertex with very many neighbours."""
-    e = cut(edges.select("src", "dst").where("src <> dst").select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")))
-    n, before = e.count(), None
+    e = stored(edges.select("src", "dst").where("src <> dst").select(
+        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    before = None
     while True:
-        e = pack(e, n)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = pack(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), n)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = pack(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                     .unionByName(least.select("u", F.col("m").alias("v"))), n).distinct()
-        e = cut(pack(small, n))
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        after = stored(small.distinct())
+        now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        forget(e)
+        e = after
         if now == before:
             break
-        n, before = now[0], now
-    e = pack(e, n)
-    return pack(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("id"), F.col("v").alias("component"))), n).groupBy("id").agg(F.min("component").alias("component"))
+        before = now
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+        e.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
 
 
 # ---------------------------------------------------------------- numpy kernels

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.llm.common import BLANK, BROADCAST_IDS, U, byte_chunks, components, cut, hash_windows, hash_words, lower_ascii, map_arrow, mix, pack, table, words_in
+from dealgraph.llm.common import BLANK, BROADCAST_IDS, U, byte_chunks, components, hash_windows, hash_words, lower_ascii, map_arrow, mix, stored, table, words_in
 
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union links two sets.
@@ -124,9 +124,9 @@ def buckets(reps: DataFrame) -> DataFrame:
     kept = halves.join(alive, ["k", "band"], "left_semi").groupBy("id").agg(F.collect_list(F.struct("k", "band")).alias("h"))
     pairs = (kept.select("id", F.explode(F.filter("h", lambda x: x["k"] < SIDE)).alias("l"), F.filter("h", lambda x: x["k"] >= SIDE).alias("r"))
              .select("id", "l", F.explode("r").alias("r")))
-    keyed = cut(pairs.select(F.xxhash64("l.k", "r.k", "l.band", "r.band").alias("bucket"), F.col("l.k").alias("left"), F.col("r.k").alias("right"), "id"))
+    keyed = stored(pairs.select(F.xxhash64("l.k", "r.k", "l.band", "r.band").alias("bucket"), F.col("l.k").alias("left"), F.col("r.k").alias("right"), "id"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    return cut(keyed.join(shared, "bucket").join(reps, "id"))
+    return stored(keyed.join(shared, "bucket").join(reps, "id"))
 
 
 def first_meeting(a: str, b: str) -> Column:
@@ -186,7 +186,7 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     with, and on to where that one goes."""
     x, y = labels.select(F.col("id").alias("a"), F.col("label").alias("x")), labels.select(F.col("id").alias("b"), F.col("label").alias("y"))
     joined = links.join(x, "a").join(y, "b").select(F.greatest("x", "y").alias("label"), F.least("x", "y").alias("least")).where("label <> least")
-    hook = cut(joined.groupBy("label").agg(F.min("least").alias("least")))
+    hook = stored(joined.groupBy("label").agg(F.min("least").alias("least")))
     onward = hook.select(F.col("label").alias("least"), F.col("least").alias("onward"))
     hook = hook.join(onward, "least", "left").select("label", F.coalesce("onward", "least").alias("to"))
     return labels.join(hook, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
@@ -195,19 +195,19 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
 def links_of_large(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
     """Links (a, b) that give the buckets of more than SMALL members their components, in rounds."""
     left = members.where(F.col("m") > SMALL).select("bucket", "id", "n")
-    ids = cut(left.select("id").distinct())
+    ids = stored(left.select("id").distinct())
     n_ids = ids.count()
     if not n_ids:
         return []
-    may = cut(linkable(sets.join(ids, "id", "left_semi"), percent))
-    left = cut(left.join(may, "id", "left_semi"))
+    may = stored(linkable(sets.join(ids, "id", "left_semi"), percent))
+    left = stored(left.join(may, "id", "left_semi"))
     labels, links = may.select("id", F.col("id").alias("label")), []
     for step in count():
         placed = left.join(labels, "id")
         # of each bucket: its members, and the places where two labels meet
         size = placed.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.min("id").alias("first"))
         spans = size.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.min("first").alias("first")).where("m * m > same")
-        left = cut(placed.join(spans, "bucket"))
+        left = stored(placed.join(spans, "bucket"))
         places = left.agg(F.sum((F.col("m") - F.col("same") / F.col("m")) / 2)).first()[0] or 0
         if not places:
             return links
@@ -217,31 +217,31 @@ def links_of_large(members: DataFrame, sets: DataFrame, percent: int = PERCENT)
         pivots = (left if whole else left.where(chosen)).select("bucket", F.col("id").alias("pivot"), F.col("label").alias("pl"), F.col("n").alias("pn"))
         fits = (F.col("label") != F.col("pl")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
         pairs = left.join(pivots, "bucket").where(fits & (F.col("id") < F.col("pivot")) if whole else fits)
-        found = cut(verify(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), sets, percent))
+        found = stored(verify(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), sets, percent))
         links.append(found)
         if whole:
             return links
-        labels = cut(relabel(labels, found))
+        labels = stored(relabel(labels, found))
         left = left.where(~chosen).select("bucket", "id", "n")
 
 
 def found_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, best) for every row of docs (doc_id, text binary, key binary):
     key is a digest of the text, best whether the row is of the one text that stays of its component."""
-    rows = cut(sketch(docs, size))
+    rows = stored(sketch(docs, size))
     linked = rows.where("signature is not null and doc_id is not null")
-    reps = cut(linked.groupBy("signature").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-               .withColumn("id", F.monotonically_increasing_id()))
+    reps = stored(linked.groupBy("signature").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+                  .withColumn("id", F.monotonically_increasing_id()))
     members = buckets(reps.select("id", "n", "bands"))
-    ids = cut(members.select("id").distinct().join(reps, "id").select("id", F.col("best.doc_id").alias("_d"), F.col("best.key").alias("_k")))
+    ids = stored(members.select("id").distinct().join(reps, "id").select("id", F.col("best.doc_id").alias("_d"), F.col("best.key").alias("_k")))
     n_ids = ids.count()
     texts = docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, (docs["doc_id"] == ids["_d"]) & (docs["key"] == ids["_k"])).select("id", "text")
-    sets = cut(full_sets(texts, size).dropDuplicates(["id"]))
-    links = [cut(verify(pairs_of_small(members, percent), sets, percent)), *links_of_large(members, sets, percent)]
+    sets = stored(full_sets(texts, size).dropDuplicates(["id"]))
+    links = [stored(verify(pairs_of_small(members, percent), sets, percent)), *links_of_large(members, sets, percent)]
     comps = components(reduce(DataFrame.unionByName, links).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = reps.select("id", "signature", "best").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("best").alias("least"))
-    named = cut(named.join(least, "component").select(F.col("signature").alias("_s"), F.col("least.doc_id").alias("_c"), F.col("least.key").alias("_k")))
+    named = stored(named.join(least, "component").select(F.col("signature").alias("_s"), F.col("least.doc_id").alias("_c"), F.col("least.key").alias("_k")))
     # rows without an id or words have no component, and no key to meet on
     out = rows.select("doc_id", "key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("signature")).alias("_o")).join(named, F.col("_o") == F.col("_s"), "left")
     best = F.coalesce((F.col("doc_id") == F.col("_c")) & (F.col("key") == F.col("_k")), F.lit(True))
@@ -260,9 +260,9 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """The rows of docs, with all their columns, of which one per group of near-duplicates stays: one
     with the smallest id. Rows without an id or without words stay all."""
     keyed = docs.withColumns({"_nd_key": F.unhex(F.md5(F.col(text).cast("binary"))), "_nd_id": F.col(doc_id)})
-    found = cut(found_rows(keyed.select(F.col("_nd_id").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col("_nd_key").alias("key"))).where("named"))
+    found = stored(found_rows(keyed.select(F.col("_nd_id").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col("_nd_key").alias("key"))).where("named"))
     # per id and text: does it go, or do its rows repeat? Exact copies with other ids are such rows
-    odd = cut(found.groupBy("doc_id", "key").agg(F.first("best").alias("best"), F.count("*").alias("n")).where("not best or n > 1")
+    odd = stored(found.groupBy("doc_id", "key").agg(F.first("best").alias("best"), F.count("*").alias("n")).where("not best or n > 1")
               .select(F.col("doc_id").alias("_g_id"), F.col("key").alias("_g_key"), "best"))
     same = (F.col("_nd_id") == F.col("_g_id")) & (F.col("_nd_key") == F.col("_g_key"))
     n = odd.count()
