@@ -19,12 +19,14 @@ not in size.
      in the segment; back: is there a smaller id in another segment?
 
 Defined results: a null or wordless text has no words; texts of fewer words than a window lose
-none; a document never loses words to itself or to rows that repeat its id; a null id loses
+none; a document never loses words to itself or to rows that repeat its id, each of which is judged by its own
+text; a null id loses
 nothing and takes nothing away; empty tables give empty results; other columns are never read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.llm.common import BLANK, U, cut, cut_by, hash_windows, hash_words, map_arrow, ship, table, words_in
+from dealgraph.llm.common import BLANK, U, cut, cut_by, hash_windows, hash_words, map_arrow, ship, stored, table, words_in
 
 WINDOW, BLOCK = 13, 7
 #: Text bytes of a segment and of a partition, and bytes of hashes of a shard, about.
@@ -45,11 +47,12 @@ class Segment:
     """The documents of one segment: words, their hashes, and which windows lie within a document."""
 
     def __init__(self, rows: pa.Table):
-        ids, bodies = rows.column("doc_id").to_pylist(), rows.column("body").to_pylist()
-        copies = {i for i, b in zip(ids, bodies, strict=True) if b is None}
-        own = sorted(((i, b) for i, b in zip(ids, bodies, strict=True) if b is not None and i is not None and i not in copies), key=lambda x: x[0])
-        self.copies = [(i, zlib.decompress(b)) for i, b in zip(ids, bodies, strict=True) if b is not None and i in copies]
-        self.unnamed = [(i, zlib.decompress(b)) for i, b in zip(ids, bodies, strict=True) if b is not None and i is None]
+        ids, digests, bodies = (rows.column(n).to_pylist() for n in ("doc_id", "digest", "body"))
+        copies = {(i, d) for i, d, b in zip(ids, digests, bodies, strict=True) if b is None}
+        given = [(i, d, b) for i, d, b in zip(ids, digests, bodies, strict=True) if b is not None]
+        own = sorted(((i, b) for i, d, b in given if i is not None and (i, d) not in copies), key=lambda x: x[0])
+        self.copies = [(i, zlib.decompress(b)) for i, d, b in given if (i, d) in copies]
+        self.unnamed = [(i, zlib.decompress(b)) for i, _, b in given if i is None]
         self.ids = [i for i, _ in own]
         texts = [zlib.decompress(b) for _, b in own]
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -123,27 +126,29 @@ ANSWER = "segment bigint, shard bigint, answer binary"
 
 
 def deal_out(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
-    """Rows (segment, doc_id, body) by segment, compressed, in the shared folder; a copy of a text
+    """Rows (segment, doc_id, digest, body) by segment, compressed, in the shared folder; a copy of a text
     with a smaller id is named by a further row without a body. Also the number of shard bits."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    seen = cut(src.select("doc_id", F.md5("body").alias("digest"), F.octet_length("body").alias("n")))
+    seen = cut(src.select("doc_id", F.unhex(F.md5("body")).alias("digest"), F.octet_length("body").alias("n")))
     size = seen.agg(F.sum("n")).first()[0] or 0
     segments = max(1, math.ceil(size / SEGMENT_BYTES))
     partitions = max(8, math.ceil(size / PARTITION_BYTES))
     bits = max(3, math.ceil(math.log2(max(1, size / 6 * 4 / SHARD_BYTES))))
-    first = seen.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = seen.select("doc_id", "digest").join(first.select("digest", "first"), "digest").where("doc_id > first")
+    # a table of its own, so that the join deals both sides out anew and Spark splits a digest of very many rows
+    first = stored(seen.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
+    copies = seen.select("doc_id", "digest").join(first, "digest").where("doc_id > first")
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
-                part = batch.column(1).slice(a, 1000)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1000), pa.array([zlib.compress(x.as_py(), 1) for x in part], pa.binary())], names=["doc_id", "body"])
+                part = [x.as_py() for x in batch.column(1).slice(a, 1000)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1000), pa.array([hashlib.md5(x).digest() for x in part], pa.binary()),
+                                                  pa.array([zlib.compress(x, 1) for x in part], pa.binary())], names=["doc_id", "digest", "body"])
 
-    rows = map_arrow(src, squeeze, f"doc_id {kind}, body binary").unionByName(copies.select("doc_id", F.lit(None).cast("binary").alias("body")))
+    rows = map_arrow(src, squeeze, f"doc_id {kind}, digest binary, body binary").unionByName(copies.select("doc_id", "digest", F.lit(None).cast("binary").alias("body")))
     segment = F.pmod(F.xxhash64("doc_id"), F.lit(segments))
-    return cut_by(rows.select(segment.alias("segment"), "doc_id", "body"), partitions, "segment"), bits
+    return cut_by(rows.select(segment.alias("segment"), "doc_id", "digest", "body"), partitions, "segment"), bits
 
 
 def find_anchors(rows: DataFrame, bits: int) -> DataFrame:
