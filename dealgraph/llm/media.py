@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.llm.common import cut, map_arrow, table
+from dealgraph.llm.common import cut, map_arrow, stored, table
 
 #: Samples of an image's row; payloads are padded to a positive multiple.
 ROW = 64
@@ -97,7 +97,7 @@ class _Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.words, self.skipped = [], [], 0
+        self.items, self.words, self.skipped = [], [], []
         self.figure, self.caption = None, None
 
     def flush(self):
@@ -107,8 +107,10 @@ class _Reader(HTMLParser):
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
+        if self.skipped == ["head"] and (tag == "body" or tag in _BLOCKS or tag in _MEDIA):
+            self.skipped.clear()  # a head's end tag may be left out
         if tag in _SKIP:
-            self.skipped += 1
+            self.skipped.append(tag)
         if self.skipped:
             return
         if tag in _BLOCKS:
@@ -128,7 +130,8 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in _SKIP:
-            self.skipped = max(0, self.skipped - 1)
+            if tag in self.skipped:  # what was opened in it and not closed ends with it
+                del self.skipped[self.skipped.index(tag):]
             return
         if self.skipped:
             return
@@ -214,14 +217,24 @@ def read_back(store: DataFrame) -> DataFrame:
 
     found = map_arrow(store.where("media is not null").select("digest", "media"), run,
                       "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
-    return cut(found).dropDuplicates(["digest"])
+    # a table of its own, so that a join with it deals both sides out anew and Spark splits a digest of very many rows
+    return stored(found.dropDuplicates(["digest"]))
 
 
 def resolve(sequences: DataFrame, payloads: DataFrame, page_id: str) -> DataFrame:
-    """References of the sequences with what their payloads give: (page_id, pos, caption, digest, ...)."""
-    refs = sequences.select(page_id, F.explode("sequence").alias("_i")).where("_i.kind = 'media'").select(
-        page_id, F.col("_i.pos").alias("pos"), F.col("_i.caption").alias("caption"), F.col("_i.digest").alias("digest"))
-    return refs.join(payloads, "digest", "left").select(page_id, "pos", "caption", "digest", *[c for c in payloads.columns if c != "digest"])
+    """The items of all sequences with what the payloads of their references give: (page_id, pos, kind, text,
+    caption, digest, ...). Texts, and references without a payload, have nulls there; `pos` gives the order."""
+    items = sequences.select(page_id, F.explode("sequence").alias("_i")).select(page_id, "_i.pos", "_i.kind", "_i.text", "_i.caption", "_i.digest")
+    more = [c for c in payloads.columns if c != "digest"]
+    names = [page_id, "pos", "kind", "text", "caption", "digest", *more]
+    media = items.where("kind = 'media'").join(payloads, "digest", "left").select(*names)
+    return media.unionByName(items.where("kind <> 'media'").select("*", *[F.lit(None).cast(payloads.schema[c].dataType).alias(c) for c in more]))
+
+
+def interleave(items: DataFrame, page_id: str) -> DataFrame:
+    """(page_id, items): resolved items put back in the order of their page; pages are told apart by their id."""
+    rest = [c for c in items.columns if c not in (page_id, "pos")]
+    return items.groupBy(page_id).agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("items"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,5 +242,5 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the interleaved document: a heading, the text as a figure, and its size as the caption
     page = F.concat(F.lit("<article><h1>payload</h1><figure><img src=\"" + SCHEME), F.col("digest"), F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure></article>"))
     sequences = parse_sequences(store.select("doc_id", page.alias("html")), "doc_id", "html")
-    out = resolve(sequences, read_back(store), "doc_id")
+    out = resolve(sequences, read_back(store), "doc_id").where("kind = 'media'")
     return out.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos")
