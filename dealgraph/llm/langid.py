@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.llm.common import byte_chunks, cut, map_arrow, table
+from dealgraph.llm.common import BROADCAST_IDS, byte_chunks, cut, map_arrow, table
 from dealgraph.llm.quality import held_out
 
 BUCKETS = 1 << 12
@@ -131,12 +131,12 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mod
     idf = inverse_frequencies(train)
     held = spark.sparkContext.broadcast(idf)
     # a share of each language by hash of the id: about `sample` rows of each, however many it has
-    share = train.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), sample / F.col("n")).alias("share"))
-    spread = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / F.lit(float(1 << 31))
-    chosen = train.join(F.broadcast(share), "lang").where(spread < F.col("share")).select("lang", "text")
+    share = cut(train.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), sample / F.col("n")).alias("share")))
+    spread = F.shiftrightunsigned(F.xxhash64("doc_id", F.crc32("text")), 33) / F.lit(float(1 << 31))
+    chosen = train.join(F.broadcast(share) if share.count() <= BROADCAST_IDS else share, "lang").where(spread < F.col("share")).select("lang", "text")
 
     def centroids(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bodies = sorted(rows["text"])[: 2 * sample]
+        bodies = sorted(rows["text"])
         offsets = np.cumsum([0, *map(len, bodies)])
         counts, has = features(np.frombuffer(b"".join(bodies), np.uint8), offsets)
         x = vectors(counts[has], held.value)
