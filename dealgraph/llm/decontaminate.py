@@ -1,16 +1,19 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The corpus is indexed in segments, one row each: the documents of one Arrow piece, with a
-posting list of word positions for every term. The segments are written to the shared folder,
-then searched where they lie: each benchmark window starts from the postings of its rarest term
-in the segment and intersects them with the offset-adjusted postings of the others, rarest
-first. A segment holds whole documents, so no posting is ever shuffled, and a frequent term
+posting list of word positions for every one of its terms. The segments are written once to the
+shared folder, where any test set can be searched: each benchmark window starts from the postings of
+its rarest term in the segment and intersects them with the offset-adjusted postings of the others,
+rarest first. A segment holds whole documents, so no posting is ever shuffled, and a frequent term
 costs one list in each segment.
 
-Terms that no test item has can't take part in a match; a segment keeps postings for test terms
-only, those of all items, so that the index is built once. The test set is taken in blocks of a
-fixed size, each searched against all segments; rows are numbered before the segments are written,
-and what the blocks find is united by that number.
+The windows of the test set are broadcast in blocks of bounded size, each searched against the stored
+segments; rows are numbered before the segments are written, and what the blocks find is united
+by that number.
+
+A proximity match is a minimal covering window: an interval of a document that has all terms of a
+benchmark window, in any order, holds no smaller such interval, and is at most `slop` words longer
+than the window. It does not depend on how documents are dealt to segments.
 
 Defined results: a null or wordless text has no words, no hits and no items; a null or wordless
 item has no window; repeated items count once per item id; repeated rows each get their result;
@@ -32,10 +35,10 @@ from dealgraph.llm.common import byte_chunks, cut, drop_ids, hash_words, lower_a
 
 #: Consecutive words of a window.
 WINDOW = 10
-#: Words by which proximity matches may stray from the rarest term.
+#: Words by which a proximity match may be longer than the window.
 SLOP = 20
-#: Items of one block; their windows are broadcast (some 60 words an item, 8 bytes each).
-BLOCK_ITEMS = 5_000
+#: Words of the items of one block, about; its windows are broadcast (WINDOW numbers of 8 bytes a word, so 24 MB).
+BLOCK_WORDS = 300_000
 
 #: Words are runs of 0-9, a-z (after lower-casing A-Z) and non-ASCII bytes.
 IS_WORD = np.zeros(256, bool)
@@ -51,8 +54,8 @@ def text_words(text: str | bytes | None) -> np.ndarray:
     return hash_words(raw, starts, ends)
 
 
-def item_words(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """(item, words) of every item, its words as 64-bit hashes, and the ascending terms of all items."""
+def item_words(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item, words) of every item, its words as 64-bit hashes."""
     src = benchmark.select(F.col(item_id).alias("item"), F.col(text).cast("binary").alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,30 +63,21 @@ def item_words(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_words(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())],
                                              names=["item", "words"])
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)))], names=["term"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy(zero_copy_only=False).tobytes()], pa.binary())], names=["terms"])
-
-    words = cut(map_arrow(src, hashed, f"item {src.schema['item'].dataType.simpleString()}, words binary"))
-    terms = map_arrow(map_arrow(words.select("words"), flat, "term bigint").distinct(), packed, "terms binary").collect()  # 8 bytes a term
-    return words, np.unique(np.frombuffer(b"".join(r["terms"] for r in terms), np.uint64))
+    return cut(map_arrow(src, hashed, f"item {src.schema['item'].dataType.simpleString()}, words binary"))
 
 
 class Windows:
-    """The windows of a block of items (item, word hashes): terms (windows, WINDOW) as numbers of
-    the given terms, -1 beyond a short item; owners: the items of each distinct window."""
+    """The distinct windows of a block of items (item, word hashes): `terms`, ascending hashes; `window`, the
+    windows' terms as numbers of these (windows, WINDOW), -1 beyond a short item; `owners`, the items of each window."""
 
-    def __init__(self, items: list[tuple], terms: np.ndarray, window: int = WINDOW):
+    def __init__(self, items: list[tuple], window: int = WINDOW):
+        words = [np.frombuffer(hashes, np.uint64) for _, hashes in items]
+        self.terms = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
         owners: dict[tuple, set] = {}
-        for item, hashes in items:
-            words = np.searchsorted(terms, np.frombuffer(hashes, np.uint64)).tolist()
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners.setdefault(tuple(words[i : i + window]), set()).add(str(item))
-        self.n_terms = len(terms)
+        for (item, _), hashes in zip(items, words, strict=True):
+            own = np.searchsorted(self.terms, hashes).tolist()
+            for i in range(max(1, len(own) - window + 1) if own else 0):
+                owners.setdefault(tuple(own[i : i + window]), set()).add(str(item))
         flat = list(owners)
         self.window = np.full((len(flat), window), -1, np.int64)
         for row, w in enumerate(flat):
@@ -92,33 +86,28 @@ class Windows:
         self.owners = [sorted(owners[w]) for w in flat]
 
 
-def index_segments(docs: DataFrame, terms: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Segments (doc_ids, firsts, terms, counts, postings, rows): rows number the documents of all
-    segments, firsts are the documents' first word positions (and the end), terms the segment's term numbers, counts their postings, postings
-    the ascending word positions of one term after another, as 32-bit integers."""
+def index_segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Segments (doc_ids, firsts, terms, counts, postings, rows): rows number the documents of all segments,
+    firsts are the documents' first word positions (and the end), terms the ascending hashes of the segment's
+    words, counts their postings, postings the ascending word positions of one term after another, as 32-bit integers."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(terms)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
         for batch in batches:
             ids, rows = batch.column(0), batch.column(2)
             for a, b, raw, offsets in byte_chunks(batch):
                 raw = lower_ascii(raw)
                 starts, ends, firsts = words_in(raw, offsets, IS_WORD)
                 words = hash_words(raw, starts, ends)
-                at = np.searchsorted(known, words) if len(known) else np.zeros(len(words), np.int64)
-                at[at == len(known)] = 0
-                found = np.flatnonzero(known[at] == words) if len(known) else np.zeros(0, np.int64)
-                term = at[found]
-                order = np.argsort(term, kind="stable")
-                names, counts = np.unique(term, return_counts=True)
+                order = np.argsort(words, kind="stable")
+                words = words[order]
+                new = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([ids.slice(a, b - a).to_pylist()], pa.list_(ids.type)),
                     pa.array([firsts.astype("<i4").tobytes()], pa.binary()),
-                    pa.array([names.astype("<i4").tobytes()], pa.binary()),
-                    pa.array([counts.astype("<i4").tobytes()], pa.binary()),
-                    pa.array([found[order].astype("<i4").tobytes()], pa.binary()),
+                    pa.array([words[new].tobytes()], pa.binary()),
+                    pa.array([np.diff(np.r_[new, len(words)]).astype("<i4").tobytes()], pa.binary()),
+                    pa.array([order.astype("<i4").tobytes()], pa.binary()),
                     pa.array([rows.slice(a, b - a).to_pylist()], pa.list_(pa.int64()))],
                     names=["doc_ids", "firsts", "terms", "counts", "postings", "rows"])
 
@@ -126,16 +115,35 @@ def index_segments(docs: DataFrame, terms: np.ndarray, doc_id: str = "doc_id", t
     return cut(map_arrow(src, build, f"doc_ids array<{kind}>, firsts binary, terms binary, counts binary, postings binary, rows array<bigint>"))
 
 
+def _covering(lists: list[np.ndarray], most: int, firsts: np.ndarray) -> np.ndarray:
+    """Starts of the minimal intervals of at most `most` words of one document that meet all lists, the shortest list first."""
+    ends = np.unique(np.concatenate(lists))
+    rare = lists[0]  # an interval has a position of the rarest term
+    at = np.searchsorted(rare, ends - most, "right")
+    at[at == len(rare)] = len(rare) - 1
+    ends = ends[(rare[at] > ends - most) & (rare[at] < ends + most)]
+    begin = np.full(len(ends), np.iinfo(np.int64).max)
+    for held in lists:  # the last position of each term up to the end
+        k = np.searchsorted(held, ends, "right") - 1
+        begin = np.minimum(begin, np.where(k >= 0, held[np.maximum(k, 0)], -1))
+    doc = np.searchsorted(firsts, ends, "right") - 1
+    ok = (begin >= firsts[doc]) & (ends - begin < most)
+    return np.unique(begin[ok])  # of the intervals that begin at one place the first is minimal
+
+
 def search_segment(windows: Windows, firsts: np.ndarray, terms: np.ndarray, counts: np.ndarray, postings: np.ndarray,
                    slop: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(window, start positions of exact matches, positions of the rarest term in proximity matches)."""
-    number = np.full(windows.n_terms + 1, -1, np.int64)
-    number[terms] = np.arange(len(terms))
+    """(window, start positions of exact matches, start positions of proximity matches)."""
+    if not len(terms) or not len(windows.sizes):
+        return
+    number = np.searchsorted(terms, windows.terms)
+    number[number == len(terms)] = 0
+    number[terms[number] != windows.terms] = -1
     ends = np.cumsum(counts)
     begins = ends - counts
-    have = number[windows.window]
+    have = np.where(windows.window >= 0, number[windows.window], -1)
     whole = ((have >= 0) | (windows.window < 0)).all(1) & (windows.sizes > 0)
-    lengths = np.where(have >= 0, counts[np.maximum(have, 0)] if len(counts) else 0, np.iinfo(np.int64).max)
+    lengths = np.where(have >= 0, counts[np.maximum(have, 0)], np.iinfo(np.int64).max)
     for w in np.flatnonzero(whole):
         n = int(windows.sizes[w])
         rarest = np.argsort(lengths[w, :n], kind="stable")
@@ -150,35 +158,31 @@ def search_segment(windows: Windows, firsts: np.ndarray, terms: np.ndarray, coun
         if len(found):  # the words must be of one document
             doc = np.searchsorted(firsts, found, "right")
             found = found[(found >= 0) & (found + n <= firsts[np.minimum(doc, len(firsts) - 1)])]
-        near = np.zeros(0, np.int64)
-        if slop is not None:
-            near = lists[rarest[0]].astype(np.int64)
-            doc = np.searchsorted(firsts, near, "right")
-            low, high = np.maximum(near - slop, firsts[doc - 1]), np.minimum(near + slop, firsts[doc] - 1)
-            for k in rarest[1:]:
-                ok = np.searchsorted(lists[k], high, "right") > np.searchsorted(lists[k], low)
-                near, low, high = near[ok], low[ok], high[ok]
-                if not len(near):
-                    break
+        near = np.zeros(0, np.int64) if slop is None else _covering([lists[k] for k in rarest], n + slop, firsts)
         if len(found) or len(near):
             yield int(w), found, near
 
 
 def _unpack(batch: pa.RecordBatch, row: int):
-    firsts, terms, counts, postings = (np.frombuffer(batch.column(k)[row].as_py(), "<i4").astype(np.int64) for k in (1, 2, 3, 4))
-    return batch.column(0)[row].values, firsts, terms, counts, postings
-
-
-def blocks(benchmark: DataFrame, item_id: str, text: str, per_block: int = BLOCK_ITEMS) -> Iterator[list[tuple]]:
-    """The items, with their text or words, in blocks of bounded size, streamed through the driver one block at a time."""
-    block: list[tuple] = []
-    for row in benchmark.select(item_id, text).toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == per_block:
-            yield block
-            block = []
+    firsts, terms, counts, postings = (np.frombuffer(batch.column(k)[row].as_py(), np.uint64 if k == 2 else "<i4") for k in (1, 2, 3, 4))
+    return batch.column(0)[row].values, firsts.astype(np.int64), terms, counts.astype(np.int64), postings.astype(np.int64)
+
+
+def blocks(words: DataFrame, window: int = WINDOW, per_block: int = BLOCK_WORDS) -> Iterator[Windows]:
+    """The items' windows in blocks of bounded size, streamed through the driver one block at a time. An item
+    longer than a block is cut with an overlap, so that every window of it is in one piece."""
+    block, size = [], 0
+    for item, hashes in words.select("item", "words").toLocalIterator():
+        n = len(hashes) // 8
+        for a in range(0, max(1, n - window + 1), per_block):
+            part = bytes(hashes[8 * a : 8 * (a + per_block + window - 1)])
+            block.append((item, part))
+            size += len(part) // 8
+            if size >= per_block:
+                yield Windows(block, window)
+                block, size = [], 0
     if block:
-        yield block
+        yield Windows(block, window)
 
 
 def scan(segments: DataFrame, windows: Windows, kind: str) -> DataFrame:
@@ -211,14 +215,12 @@ def scan(segments: DataFrame, windows: Windows, kind: str) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
             window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """Every match: (doc_id, item_id, kind, position). kind `phrase`: the window's words stand at
-    word `position` and after; kind `near`: all of its terms stand, in any order, within `slop`
-    words of its rarest term (in the segment), which stands at `position`."""
+    word `position` and after; kind `near`: a minimal covering window of all its terms starts at `position`."""
     out, kind = None, docs.schema[doc_id].dataType.simpleString()
     spark = docs.sparkSession
-    words, terms = item_words(benchmark, item_id, text)
-    segments = index_segments(docs, terms, doc_id, text)
-    for items in blocks(words, "item", "words"):
-        held = spark.sparkContext.broadcast(Windows(items, terms, window))
+    segments = index_segments(docs, doc_id, text)
+    for windows in blocks(item_words(benchmark, item_id, text), window, BLOCK_WORDS):
+        held = spark.sparkContext.broadcast(windows)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             w = held.value
@@ -246,12 +248,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                   window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, hits, items) for every row, hits as in scan()."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    words, terms = item_words(benchmark, item_id, text)
-    segments = index_segments(docs, terms, doc_id, text)
-    todo = blocks(words, "item", "words")
-    out = scan(segments, Windows(next(todo, []), terms, window), kind)
+    segments = index_segments(docs, doc_id, text)
+    todo = blocks(item_words(benchmark, item_id, text), window, BLOCK_WORDS)
+    out = scan(segments, next(todo, None) or Windows([], window), kind)
     # of further blocks, the rows that they hit
-    rest = [cut(scan(segments, Windows(items, terms, window), kind).where("octet_length(hits) > 0")) for items in todo]
+    rest = [cut(scan(segments, windows, kind).where("octet_length(hits) > 0")) for windows in todo]
     if not rest:
         return out.drop("row")
     merged = reduce(DataFrame.unionByName, rest, out).groupBy("row").agg(
