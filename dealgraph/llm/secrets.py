@@ -1,8 +1,8 @@
 """Secret scans with a trigram inverted index. DataFrame operations only.
 
 From each rule's regex a Boolean trigram query is derived: an OR of ANDs of trigrams that every
-match must contain. The index holds postings (trigram, id) of all documents for the trigrams of
-all rules; a rule's candidates are the ids whose postings fill one of its ANDs. Only candidates
+match must contain. The index holds postings (trigram, id) of all texts' overlapping trigrams, as far
+as some rule asks for them; a rule's candidates are the ids whose postings fill one of its ANDs. Only candidates
 are verified, with the rule's regex over the whole text. A rule without mandatory trigrams (a run
 of hexadecimal digits) scans every text.
 
@@ -20,10 +20,10 @@ import re._parser as sre_parser
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dealgraph.llm.common import BROADCAST_IDS, cut, table
+from dealgraph.llm.common import BROADCAST_IDS, cut, stored, table
 
 #: kind: (regex, group whose length counts, least length). Java, Python and RE2 read them alike.
 RULES = {
@@ -90,58 +90,67 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
     return [] if query == [frozenset()] else [q for q in query if not any(o < q for o in query)]
 
 
+#: Characters of a piece of text whose trigrams are posted together (two more overlap with the next).
+PIECE = 20_000
+SPANS = "array<struct<start:int,kind:int,stop:int>>"
+
+
 def build_index(docs: DataFrame, queries: dict[str, list[frozenset[str]]], doc_id: str, text: str) -> DataFrame:
-    """Postings (trigram, id) of the trigrams of all queries, written to the shared folder."""
-    grams = sorted({g for q in queries.values() for clause in q for g in clause})
-    low = F.lower(F.col(text))
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
-    posted = docs.select(F.col(doc_id).alias("id"), F.explode(found).alias("_k"))
-    return cut(posted.select(F.element_at(F.array(*[F.lit(g) for g in grams]), F.col("_k") + 1).alias("trigram"), "id"))
+    """Postings (trigram, id), written to the shared folder: the texts' trigrams, overlapping, in pieces of
+    bounded length, as far as any rule asks for them."""
+    grams = F.array(*[F.lit(g) for g in sorted({g for q in queries.values() for clause in q for g in clause})])
+    cutter = F.lit("(?s)(.{1,%d})(?=(.{0,2}))" % PIECE)
+    low = docs.select(F.col(doc_id).alias("id"), F.lower(F.col(text)).alias("_t"))
+    pieces = low.select("id", F.explode(F.arrays_zip(F.regexp_extract_all("_t", cutter, F.lit(1)).alias("a"), F.regexp_extract_all("_t", cutter, F.lit(2)).alias("b"))).alias("_p"))
+    found = F.array_intersect(F.regexp_extract_all(F.concat("_p.a", "_p.b"), F.lit("(?s)(?=(...))"), F.lit(1)), grams)
+    return cut(pieces.select(F.explode(found).alias("trigram"), "id").distinct())
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
     """(id, rules): the ids whose postings fill a clause of a rule."""
-    spark = index.sparkSession
-    wanted = [(rule, n, g, 1 << k, (1 << len(clause)) - 1) for rule, q in queries.items() for n, clause in enumerate(q) for k, g in enumerate(sorted(clause))]
-    clauses = spark.createDataFrame(wanted, "rule string, clause int, trigram string, bit long, full long")
+    wanted = [F.struct(F.lit(rule).alias("rule"), F.lit(n).alias("clause"), F.lit(g).alias("trigram"), F.lit(1 << k).cast("long").alias("bit"), F.lit((1 << len(clause)) - 1).cast("long").alias("full"))
+              for rule, q in queries.items() for n, clause in enumerate(q) for k, g in enumerate(sorted(clause))]
+    clauses = index.sparkSession.range(1).select(F.inline(F.array(*wanted)))
     hit = (index.join(F.broadcast(clauses), "trigram")  # a row per trigram of the fixed rules
            .groupBy("rule", "clause", "id").agg(F.bit_or("bit").alias("got"), F.first("full").alias("full")).where("got = full"))
     return hit.groupBy("id").agg(F.collect_set("rule").alias("rules"))
 
 
-def spans_of(text: Column, kind: str) -> Column:
-    """Array of (start, kind number, end) of a rule's matches in a text."""
+def matches_of(text: Column, kind: str) -> Column:
+    """Array of (kind, g, m, keep) of a rule's matches in a text: the lengths of what stands before the match
+    (since the one before it) and of the match, and whether it is long enough."""
     regex, group, least = RULES[kind]
     pattern = F.lit(TIGHT.get(kind, regex))
     matched, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, TIGHT.get(kind, regex), -1)
     counted = F.regexp_extract_all(text, pattern, F.lit(group)) if group else matched
-    lengths = F.transform(F.arrays_zip(gaps.alias("g"), matched.alias("m"), counted.alias("c")),
-                          lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("m"), F.length(x["c"]).alias("c")))
-    empty = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
-    number = list(RULES).index(kind)
+    zipped = F.filter(F.arrays_zip(gaps.alias("g"), matched.alias("m"), counted.alias("c")), lambda x: x["m"].isNotNull())
+    return F.transform(zipped, lambda x: F.struct(F.lit(list(RULES).index(kind)).alias("kind"), F.length(x["g"]).alias("g"), F.length(x["m"]).alias("m"), (F.length(x["c"]) >= least).alias("keep")))
 
-    def step(acc, x):
-        start = acc["at"] + x["g"]
-        new = F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + x["m"]).alias("stop"))
-        keep = x["m"].isNotNull() & (x["c"] >= least)
-        return F.struct((start + F.coalesce(x["m"], F.lit(0))).alias("at"), F.when(keep, F.concat(acc["out"], F.array(new))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+def spans_of(found: DataFrame) -> DataFrame:
+    """(id, spans) from rows (id, pos, kind, g, m, keep): positions are running sums over a text's matches of a kind."""
+    upto = Window.partitionBy("id", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    at = found.withColumn("stop", F.sum(F.col("g") + F.col("m")).over(upto).cast("int")).where("keep")
+    span = F.struct((F.col("stop") - F.col("m")).alias("start"), "kind", "stop")
+    return at.groupBy("id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, spans) for every row: spans are (start, kind, stop) structs by start, then kind number."""
+    """(doc_id, spans) for every row: spans are (start, kind, stop) structs by start, then kind number. Texts are
+    told apart by a digest, so that rows with equal ids stay apart and copies are searched alike."""
     queries = {kind: trigram_query(regex) for kind, (regex, _, _) in RULES.items()}
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = cut(candidates(build_index(src, queries, "doc_id", "text"), queries).select(F.col("id").alias("_id"), "rules"))
-    few = found.count() <= BROADCAST_IDS
-    joined = src.join(F.broadcast(found) if few else found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
-    lists = []
-    for kind, query in queries.items():
-        due = F.array_contains("rules", kind) if query else F.rlike("text", F.lit(TIGHT.get(kind, RULES[kind][0])))
-        lists.append(F.when(due, spans_of(F.col("text"), kind)).otherwise(none))
-    return joined.select("doc_id", F.array_sort(F.concat(*lists)).alias("spans"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    src = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.unhex(F.md5(body)).alias("key"))
+    rules = cut(candidates(build_index(src, queries, "key", "text"), queries).select(F.col("id").alias("_id"), "rules"))
+    joined = src.join(F.broadcast(rules) if rules.count() <= BROADCAST_IDS else rules, F.col("key") == F.col("_id"), "left")
+    none = F.array().cast("array<struct<kind:int,g:int,m:int,keep:boolean>>")
+    lists = [F.when(F.array_contains("rules", kind) if query else F.rlike("text", F.lit(TIGHT.get(kind, RULES[kind][0]))), matches_of(F.col("text"), kind)).otherwise(none)
+             for kind, query in queries.items()]
+    rows = cut(joined.select("doc_id", "key", F.concat(*lists).alias("_m")))
+    once = rows.where(F.size("_m") > 0).groupBy("key").agg(F.first("_m").alias("_m"))
+    spans = stored(spans_of(once.select(F.col("key").alias("id"), F.posexplode("_m").alias("pos", "_x")).select("id", "pos", "_x.*")).select(F.col("id").alias("_key"), "spans"))
+    out = rows.select("doc_id", "key").join(spans, F.col("key") == F.col("_key"), "left")
+    return out.select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dealgraph.llm.common import byte_chunks
 from dealgraph.llm import brown, decontaminate, langid, media, mixing, near_dedup, quality, secrets, sharding, substring_dedup
 from dealgraph.llm.common import components, gapless_rank
 
@@ -177,7 +178,7 @@ def test_decontaminate(docs, benchmark, empty):
 
 def test_decontaminate_in_blocks(docs, benchmark, monkeypatch):
     whole = rows_of(decontaminate.decontaminate(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), benchmark), "doc_id", "n_words", "hits", "items")
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 25)
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", (2,))
     assert rows_of(decontaminate.decontaminate(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), benchmark), "doc_id", "n_words", "hits", "items") == whole
 
@@ -209,6 +210,21 @@ def test_phrase_and_proximity_matches(spark):
     assert got == [(1, "near"), (1, "phrase"), (2, "near")]
 
 
+@pytest.mark.parametrize("chunk", [1, 200, 2_000_000])
+def test_proximity_is_of_a_document_alone(spark, monkeypatch, chunk):
+    """A minimal covering window, whichever documents share a segment."""
+    monkeypatch.setattr(decontaminate, "byte_chunks", lambda batch: byte_chunks(batch, chunk=chunk))
+    fill = " y" * 14
+    rows = [(1, f"aa{fill} bb{fill} cc"), (2, "bb " * 9), (3, "cc " * 9 + "aa"), (4, "cc x aa bb x x aa cc"), (5, "aa bb"), (6, "cc")]
+    items = spark.createDataFrame([(0, "aa bb cc")], "item_id bigint, text string")
+    for slop, want in ((20, []), (28, [(1, 0)])):
+        for docs in (rows, rows[:2], rows[:3], rows[1:], rows[::-1]):
+            found = decontaminate.matches(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), items, slop=slop).where("kind = 'near'")
+            got = rows_of(found, "doc_id", "position")
+            # document 4: cc x aa bb, and bb x x aa cc
+            assert got == [x for x in want if x[0] in dict(docs)] + [x for x in ((4, 0), (4, 3)) if 4 in dict(docs)]
+
+
 def test_near_duplicates(docs, empty):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
     ref = near_dedup.brute([(d, t) for d, t, _, _ in ROWS if d is not None])
@@ -249,6 +265,33 @@ def test_near_duplicates_of_chains_and_groups(spark, monkeypatch, small, places)
     assert got == near_dedup.brute(rows)
 
 
+def test_repeats_of_repeated_ids(spark):
+    """A row is judged by its own text: a copy under the same id takes no other text along."""
+    a, b = prose(60, 20), prose(61, 20)
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_removed, bytes(r.kept).decode()) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == sorted([(3, 0, a), (5, 20, ""), (5, 0, b), (9, 20, "")])
+
+
+def test_pages_are_read_whole_and_in_order(spark):
+    page = "<head><title>no</title><body>one<img src='digest:x' alt='pic'>two<template><b>no</template>three"
+    pages = spark.createDataFrame([(1, page), (2, "only text"), (3, None)], "page_id bigint, html string")
+    payloads = spark.createDataFrame([("x", 64)], "digest string, payload_bytes bigint")
+    items = media.resolve(media.parse_sequences(pages), payloads, "page_id")
+    got = {r.page_id: [(i.kind, i.text, i.caption, i.payload_bytes) for i in r["items"]] for r in media.interleave(items, "page_id").collect()}
+    assert got == {1: [("text", "one", None, None), ("media", None, "pic", 64), ("text", "twothree", None, None)], 2: [("text", "only text", None, None)]}
+
+
+def test_trigrams_across_pieces(spark, monkeypatch):
+    """No trigram is lost at a piece's end, and many matches in one text are found in order."""
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    key = "AKIA" + "A1" * 10
+    texts = ["x" * k + key for k in range(9)] + [" ".join([key] * 300), "\n".join(["\U0001F600" * 5, key])]
+    docs = spark.createDataFrame([(k % 3, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = sorted(tuple(s.start for s in r.spans) for r in secrets.scan_secrets(docs).collect())
+    assert got == sorted([(k,) for k in range(9)] + [tuple(25 * k for k in range(300)), (6,)])
+
+
 def test_tensored_bands_need_few_hashes():
     assert len(near_dedup._SEEDS) == 2 * near_dedup.SIDE * near_dedup.ROWS
     s, side, rows = 0.75, near_dedup.SIDE, near_dedup.ROWS
