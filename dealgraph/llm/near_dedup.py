@@ -10,13 +10,13 @@ Equal sets are grouped first by a 128-bit signature, so that only distinct sets
 A pair meets in a table only if it meets on either side, so keys whose left or right half is
 unique are never formed. Candidates are verified on full shingle sets. The pairs of a bucket of up
 to SMALL members are all verified, each pair in one of its buckets only, that of the first keys it
-shares on either side, and only if the sets' sizes allow the similarity. Larger buckets go in rounds:
-their members are compared with a few members, twice as many each time, what is linked gets one
-label, and a bucket goes on only while it spans more than one label. A member that was compared
-with all others leaves its bucket, so that the rounds end with every pair tested or implied; what is
-left is compared at once when it is a few places a member. Pairs of one label add nothing to its
-component, so this finds the components that comparing all pairs would, without emitting all pairs
-of a large group.
+shares on either side, and only if the sets' sizes allow the similarity. Members of larger buckets are
+first compared with PIVOTS members of their bucket, one after the other: those that share most of their
+elements with other sets. What is linked gets one label, and pairs of one label add nothing to its
+component, so that a large group of copies costs some comparisons a member. Then all pairs of different
+labels are verified, but for those that an exact bound rules out: two sets have no more elements in
+common than either has that occur in any other set. So this finds the components that comparing all
+pairs would, without emitting all pairs of a large group.
 
 Defined results: a null or wordless text has an empty set and no links; texts of fewer words
 than a shingle have their whole word sequence as the only element; repeated rows are exact
@@ -29,7 +29,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +44,8 @@ PERCENT = 75
 SIDE, ROWS = 8, 2
 #: Members (distinct sets) up to which all pairs of a bucket are verified at once.
 SMALL = 32
-#: The rounds over larger buckets end with all remaining pairs of different labels once these have at
-#: most so many places a member where two may meet. It decides the cost of what is left, not its result.
-PLACES_PER_MEMBER = 60
+#: Members with which those of a larger bucket are compared, one after the other, before the pairs that are left.
+PIVOTS = 3
 
 _SEEDS = mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=U) * U(0x9E6C63D0876A9A35))
 _FACTORS = mix(_SEEDS) | U(1)
@@ -164,13 +162,22 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
 
 def linkable(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id) of the sets that may have a link with another of these at all: a link needs `percent` of a
-    set's elements in one other set, so a set with fewer that occur in any other one has none. This spares
-    a large group of copies the comparison of those of its members that differ too much from each other."""
-    one = sets.select("id", F.explode("elements").alias("h"))
-    shared = one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    common = one.join(shared, "h", "left_semi").groupBy("id").agg(F.count("*").alias("common"))
-    return sets.select("id", F.size("elements").alias("n")).join(common, "id").where(100 * F.col("common") >= percent * F.col("n")).select("id")
+    """(id, common) of the sets that may have a link with another of these at all: `common` of a set's elements
+    occur in any other one. A link needs `percent` of a set's elements in one other set, so a set with fewer has
+    none; nor do its elements help any other set, so it is done twice. This spares a large group of copies the
+    comparison of those of its members that differ too much from each other."""
+    one = stored(sets.select("id", F.size("elements").alias("n"), F.explode("elements").alias("h")))
+    for _ in range(2):
+        shared = one.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+        found = stored(one.join(shared, "h", "left_semi").groupBy("id").agg(F.count("*").alias("common"), F.first("n").alias("n")).where(100 * F.col("common") >= percent * F.col("n")).select("id", "common"))
+        one = one.join(found.select("id"), "id", "left_semi")
+    return found
+
+
+def may_link(percent: int, n: str, common: str, other_n: str, other_common: str) -> Column:
+    """Whether two sets of these sizes, with so many elements that occur in any other set, may be similar enough."""
+    most = F.least(common, other_common)
+    return 100 * most >= percent * (F.col(n) + F.col(other_n) - most)
 
 
 def pairs_of_small(members: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -193,36 +200,36 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def links_of_large(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
-    """Links (a, b) that give the buckets of more than SMALL members their components, in rounds."""
-    left = members.where(F.col("m") > SMALL).select("bucket", "id", "n")
-    ids = stored(left.select("id").distinct())
-    n_ids = ids.count()
-    if not n_ids:
+    """Links (a, b) that give the buckets of more than SMALL members their components."""
+    large = members.where(F.col("m") > SMALL).select("bucket", "left", "right", "id", "n", "bands")
+    ids = stored(large.select("id").distinct())
+    if ids.isEmpty():
         return []
     may = stored(linkable(sets.join(ids, "id", "left_semi"), percent))
-    left = stored(left.join(may, "id", "left_semi"))
+    large = stored(large.join(may, "id"))
     labels, links = may.select("id", F.col("id").alias("label")), []
-    for step in count():
-        placed = left.join(labels, "id")
-        # of each bucket: its members, and the places where two labels meet
-        size = placed.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.min("id").alias("first"))
-        spans = size.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.min("first").alias("first")).where("m * m > same")
-        left = stored(placed.join(spans, "bucket"))
-        places = left.agg(F.sum((F.col("m") - F.col("same") / F.col("m")) / 2)).first()[0] or 0
-        if not places:
-            return links
-        whole = places <= PLACES_PER_MEMBER * n_ids
-        # the smallest id first (the same one in most buckets of a group), then 2, 4, 8, ... chosen by a hash
-        chosen = F.col("id") == F.col("first") if not step else F.pmod(F.xxhash64("id", "bucket", F.lit(step)), "m") < (1 << step)
-        pivots = (left if whole else left.where(chosen)).select("bucket", F.col("id").alias("pivot"), F.col("label").alias("pl"), F.col("n").alias("pn"))
-        fits = (F.col("label") != F.col("pl")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-        pairs = left.join(pivots, "bucket").where(fits & (F.col("id") < F.col("pivot")) if whole else fits)
-        found = stored(verify(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), sets, percent))
+    for step in range(PIVOTS + 1):
+        placed = large.join(labels, "id")
+        # buckets that span several labels, and the label that most of their members have
+        size = placed.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+        spans = size.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("_x"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("_x.label").alias("main"))
+        placed = placed.join(spans, "bucket")
+        if step < PIVOTS:
+            # the most central member; later another central one of that label
+            share = F.col("common") / F.col("n")
+            central = F.struct((F.floor(share * 20) if step else share).alias("share"), F.xxhash64("id", F.lit(step)).alias("by"), F.col("id").alias("pivot"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("common").alias("pc"))
+            pivots = placed.where((F.col("label") == F.col("main")) if step else F.lit(True)).groupBy("bucket").agg(F.max(central).alias("_p")).select("bucket", "_p.*")
+            fits = (F.col("label") != F.col("pl")) & may_link(percent, "n", "common", "pn", "pc")
+            pairs = placed.join(pivots, "bucket").where(fits).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        else:
+            other = placed.select("bucket", F.col("id").alias("b"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("common").alias("pc"), F.col("bands").alias("other"))
+            fits = (F.col("id") < F.col("b")) & (F.col("label") != F.col("pl")) & may_link(percent, "n", "common", "pn", "pc") & first_meeting("bands", "other")
+            pairs = placed.join(other, "bucket").where(fits).select(F.col("id").alias("a"), "b")
+        found = stored(verify(pairs, sets, percent))
         links.append(found)
-        if whole:
-            return links
-        labels = stored(relabel(labels, found))
-        left = left.where(~chosen).select("bucket", "id", "n")
+        if step < PIVOTS:
+            labels = stored(relabel(labels, found))
+    return links
 
 
 def found_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

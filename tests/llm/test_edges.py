@@ -246,11 +246,11 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert kept == sorted([(1, a), (2, b), (4, c), (0, c)])
 
 
-@pytest.mark.parametrize(("small", "places"), [(32, 60), (3, 0), (3, 60)])
-def test_near_duplicates_of_chains_and_groups(spark, monkeypatch, small, places):
+@pytest.mark.parametrize(("small", "pivots"), [(32, 3), (3, 3), (3, 1)])
+def test_near_duplicates_of_chains_and_groups(spark, monkeypatch, small, pivots):
     """Random edits make chains whose ends are not similar; all rounds must find brute force's components."""
     monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "PLACES_PER_MEMBER", places)
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
     r = random.Random(5)
     rows = []
     for g in range(6):
