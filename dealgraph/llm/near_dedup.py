@@ -209,7 +209,9 @@ def links_of_large(members: DataFrame, sets: DataFrame, percent: int = PERCENT)
     large = stored(large.join(may, "id"))
     labels, links = may.select("id", F.col("id").alias("label")), []
     for step in range(PIVOTS + 1):
-        placed = large.join(labels, "id")
+        # stored, as both what follows and the pairs read it; the bands are needed for the last pairs alone
+        placed = large.drop("bands") if step < PIVOTS else large
+        placed = stored(placed.join(labels, "id") if step else placed.withColumn("label", F.col("id")))
         # buckets that span several labels, and the label that most of their members have
         size = placed.groupBy("bucket", "label").agg(F.count("*").alias("m"))
         spans = size.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("_x"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("_x.label").alias("main"))
