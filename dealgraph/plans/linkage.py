@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dealgraph.functions import scoring
 from dealgraph.operators import dedupe, vendor_match
 from dealgraph.plans.registry import register
-from dealgraph.plans.scalars import literal, sql_rows
+from dealgraph.plans.scalars import customers_sql, customers
 from dealgraph.sources.fixtures import SQL, deal_vendors, deals, table, vendors
 
 
@@ -118,8 +118,8 @@ register("f17_date_issues", f17, SQL + """
 , x AS (SELECT id, created_at::DATE AS c, created_at::DATE + CAST(id % 9 - 5 AS INT) AS r, DATE '1999-01-01' AS n FROM deals)
 SELECT id, concat_ws(',', CASE WHEN c - n < -180 THEN 'close_long_past' END, CASE WHEN c - n > 730 THEN 'close_far' END, CASE WHEN r > n THEN 'registered_in_future' END, CASE WHEN r > c THEN 'registered_after_close' END) AS issues FROM x WHERE issues <> ''""")
 
-CUSTOMERS = [(1, "John Smith"), (2, "ACME HOLDINGS"), (3, "globex"), (4, "info@acme.com"), (5, "A"), (6, "Acme Corp 7"), (7, "https://x.y")]
-register("f18_customer_issues", lambda s, d: literal(s, CUSTOMERS, "id int, x string").select("id", F.array_join(scoring.customer_issues(F.col("x")), ",").alias("issues")), sql_rows(CUSTOMERS, "id, x") + """
+CUSTOMERS = ["John Smith", "ACME HOLDINGS {}", "globex", "info@acme{}.com", "A", "Acme Corp {}", "https://x{}.y"]
+register("f18_customer_issues", lambda s, d: customers(s, d, CUSTOMERS).select("id", F.array_join(scoring.customer_issues(F.col("x")), ",").alias("issues")), customers_sql(CUSTOMERS) + """
 SELECT id, concat_ws(',', CASE WHEN regexp_matches(x, '^[A-Z][a-z]+ [A-Z][a-z]+$') THEN 'person' END, CASE WHEN x = upper(x) AND regexp_matches(x, '[A-Z]') AND length(x) > 5 THEN 'all_caps' END, CASE WHEN x = lower(x) AND regexp_matches(x, '[a-z]') THEN 'all_lower' END, CASE WHEN regexp_matches(x, '@|https?://|www[.]') THEN 'address' END, CASE WHEN length(x) NOT BETWEEN 2 AND 200 THEN 'length' END) AS issues FROM t""")
 
 

@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from dealgraph.functions import text
 from dealgraph.operators import opportunity
 from dealgraph.plans.registry import register
-from dealgraph.plans.scalars import literal, sql_rows
+from dealgraph.plans.written import written, written_sql
 from dealgraph.sources.fixtures import SQL, deal_vendors, deals, table
 
-TURNS = [(1, 0, "What is the price of this?"), (1, 1, "We are struggling with our current system, it is too slow"), (1, 2, "Sounds good, send me a proposal"), (2, 0, "It is too expensive for us"), (2, 1, "Can you explain the onboarding process?"),
-         (3, 0, "hello there"), (3, 1, "When can we go live? How soon can we get started?"), (4, 0, "We need approval from the board"), (4, 1, "show me a demo"), (5, 0, "what's our budget")]
+#: What is said in every turn of a conversation beside its own text.
+TURNS = ["{} What is the price of this?", "{}\nWe are struggling with our current system, it is too slow", "Sounds good, send me a proposal. {}", "It is too expensive for us {}", "Can you explain the onboarding process? {}",
+         "{}", "{} When can we go live? How soon can we get started?", "We need approval from the board\n{}", "{} show me a demo", "what's our budget {}", "{} worth $1,200.50 or $3M, maybe $75k", "{}"]
+
+
+def turns(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "conversations").select("conv_id", "turn", written(F.col("text"), F.col("conv_id") * 5 + F.col("turn"), TURNS).alias("x"))
+
+
+_TURNS = f"WITH t AS (SELECT conv_id, turn, {written_sql('text', '(conv_id * 5 + turn)', TURNS)} AS x FROM conversations)"
 
 
 def _alt(groups: dict) -> list[str]:
@@ -24,17 +32,16 @@ def _hits(groups: dict) -> str:
 
 
 def e27(s: SparkSession, d: str) -> DataFrame:
-    x = F.col("x")
-    t = literal(s, TURNS, "conv int, turn int, x string").select("conv", *[text.signal_hits(x, g).alias(n) for n, g in (("e", text.EXPLICIT), ("i", text.IMPLICIT), ("g", text.ENGAGEMENT))])
-    c = t.groupBy("conv").agg(*[F.sum(n).alias(n) for n in "eig"])
+    t = turns(s, d).select("conv_id", *[text.signal_hits(F.col("x"), g).alias(n) for n, g in (("e", text.EXPLICIT), ("i", text.IMPLICIT), ("g", text.ENGAGEMENT))])
+    c = t.groupBy("conv_id").agg(*[F.sum(n).alias(n) for n in "eig"])
     return c.withColumn("score", F.round(text.signal_score(F.col("e"), F.col("i"), F.col("g")), 6)).withColumn("registerable", F.col("score") >= 0.5)
 
 
-register("e27_buying_signals", e27, sql_rows(TURNS, "conv, turn, x") + f"""
-, h AS (SELECT conv, CAST(sum({_hits(text.EXPLICIT)}) AS BIGINT) AS e, CAST(sum({_hits(text.IMPLICIT)}) AS BIGINT) AS i, CAST(sum({_hits(text.ENGAGEMENT)}) AS BIGINT) AS g FROM t GROUP BY 1)
+register("e27_buying_signals", e27, _TURNS + f"""
+, h AS (SELECT conv_id, CAST(sum({_hits(text.EXPLICIT)}) AS BIGINT) AS e, CAST(sum({_hits(text.IMPLICIT)}) AS BIGINT) AS i, CAST(sum({_hits(text.ENGAGEMENT)}) AS BIGINT) AS g FROM t GROUP BY 1)
 SELECT *, round(0.4 * least(e / 3, 1) + 0.3 * least(i / 5, 1) + 0.3 * least(g / 4, 1), 6)::DOUBLE AS score, score >= 0.5 AS registerable FROM h""")
 _OBJECTION = "(?i)" + "|".join(f"(?:{p})" for ps in text.OBJECTIONS.values() for p in ps).replace("'", "''")
-register("e29_intents", lambda s, d: literal(s, TURNS, "conv int, turn int, x string").select("conv", "turn", text.intent(F.col("x")).alias("intent")), sql_rows(TURNS, "conv, turn, x") + f"SELECT conv, turn, CASE WHEN regexp_matches(x, '{_OBJECTION}') THEN 'raising_objection' " + " ".join("WHEN regexp_matches(x, '(?i){}') THEN '{}'".format(p.replace("'", "''"), n) for n, p, _ in text.INTENTS) + " ELSE 'off_topic' END AS intent FROM t")
+register("e29_intents", lambda s, d: turns(s, d).select("conv_id", "turn", text.intent(F.col("x")).alias("intent")), _TURNS + f" SELECT conv_id, turn, CASE WHEN regexp_matches(x, '{_OBJECTION}') THEN 'raising_objection' " + " ".join("WHEN regexp_matches(x, '(?i){}') THEN '{}'".format(p.replace("'", "''"), n) for n, p, _ in text.INTENTS) + " ELSE 'off_topic' END AS intent FROM t")
 register("e28_conversation_signals", lambda s, d: table(s, d, "conversations").select("conv_id", text.signal_hits(F.col("text"), text.EXPLICIT).alias("h"), text.intent(F.col("text")).alias("intent")).groupBy("conv_id", "intent").agg(F.sum("h").alias("hits"), F.count("*").alias("turns")),
          f"SELECT conv_id, CASE WHEN regexp_matches(x, '{_OBJECTION}') THEN 'raising_objection' " + " ".join("WHEN regexp_matches(x, '(?i){}') THEN '{}'".format(p.replace("'", "''"), n) for n, p, _ in text.INTENTS) + f" ELSE 'off_topic' END AS intent, CAST(sum({_hits(text.EXPLICIT)}) AS BIGINT) AS hits, count(*) AS turns FROM (SELECT conv_id, text AS x FROM conversations) GROUP BY 1, 2")
 
@@ -44,38 +51,43 @@ for _n, _c in text.ENTITIES:
     _H = "replace({}, '{}', '{}')".format(_H, _n, _c.replace("'", "''"))
 register("e08_html_text", lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.html_text(F.col("html"))).alias("digest")), rf"SELECT page_id, md5(trim(regexp_replace(regexp_replace({_H}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ')) AS digest FROM pages")
 
-MESSY = [(1, "Wow!!!! Really????? Wait...... Break------here"), (2, "a\tb   c\r\nd\n\n\n\n\ne"), (3, "ctrl\x01\x02x  "), (4, "  lead\n  both  \nend"), (5, "")]
+MESSY = ["{} Wow!!!! Really????? Wait...... Break------here", "a\tb   c\r\nd\n\n\n\n\n{}", "ctrl\x01\x02x  {}  ", "  lead\n  both  \n{} \n end", "", None, "{}"]
+
+
+def documents(s: SparkSession, d: str, forms: list[str | None]) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", written(F.col("text"), F.col("doc_id"), forms).alias("x"))
+
+
+def _documents(forms: list[str | None]) -> str:
+    return f"WITH t AS (SELECT doc_id, {written_sql('text', 'doc_id', forms)} AS x FROM documents) "
+
+
 _T = r"regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')"
 _T = rf"regexp_replace(regexp_replace(regexp_replace({_T}, '\r\n?', chr(10), 'g'), '\t', ' ', 'g'), ' {{2,}}', ' ', 'g')"
 for _p, _s in ((r"!{3,}", "'!!'"), (r"\?{3,}", "'??'"), (r"\.{4,}", "'...'"), (r"-{4,}", "'---'"), (r"\n{3,}", "chr(10) || chr(10)")):
     _T = f"regexp_replace({_T}, '{_p}', {_s}, 'g')"
 
 
-def _sql_text(rows: list[tuple], names: str) -> str:
-    """Literal rows with control characters written as chr()."""
-    def one(v) -> str:
-        if not isinstance(v, str):
-            return str(v)
-        parts = ["'" + c.replace("'", "''") + "'" if c >= " " else f"chr({ord(c)})" for c in v]
-        return " || ".join(parts) or "''"
-
-    return f"WITH t({names}) AS (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) "
-
-
-register("e06_tidy", lambda s, d: literal(s, MESSY, "id int, x string").select("id", text.tidy(F.col("x")).alias("y")), _sql_text(MESSY, "id, x") + rf"SELECT id, trim(regexp_replace({_T}, '(?m)^ +| +$', '', 'g'), ' ') AS y FROM t")
+register("e06_tidy", lambda s, d: documents(s, d, MESSY).select("doc_id", F.md5(text.tidy(F.col("x"))).alias("digest")), _documents(MESSY) + rf"SELECT doc_id, md5(trim(regexp_replace({_T}, '(?m)^ +| +$', '', 'g'), ' ')) AS digest FROM t")
 
-MAILS = [(1, "Hello\n> quoted\n> more\nbye"), (2, "Top\nOn Mon, Jan 1, A wrote:\n> x\n> y"), (3, "no quotes"), (4, "> all\n> quoted"), (5, "text\n----- Original Message -----\nold")]
-register("e03_quote_share", lambda s, d: literal(s, MAILS, "id int, x string").select("id", text.quote_share(F.col("x")).alias("pct")), _sql_text(MAILS, "id, x") + "SELECT id, round(len(list_filter(string_split(x, chr(10)), lambda l: trim(l) LIKE '>%')) * 100 / len(string_split(x, chr(10))), 4)::DOUBLE AS pct FROM t")
-register("e02_unquoted", lambda s, d: literal(s, MAILS, "id int, x string").select("id", text.unquoted(F.col("x")).alias("y")), _sql_text([(1, "Hello\nbye"), (2, "Top"), (3, "no quotes"), (4, ""), (5, "text")], "id, y") + "SELECT id, rtrim(y, chr(10)) || CASE WHEN id IN (2, 5) THEN chr(10) ELSE '' END AS y FROM t")
-SIGNED = [(1, "Body\n-- \nJane\nCEO"), (2, "Hi\nall good\nBest regards,\nJohn"), (3, "nothing here"), (4, "Thanks,\nX")]
-register("e04_unsigned", lambda s, d: literal(s, SIGNED, "id int, x string").select("id", F.regexp_replace(text.unsigned(F.col("x")), r"\n+$", "").alias("y")), _sql_text([(1, "Body"), (2, "Hi\nall good"), (3, "nothing here"), (4, "")], "id, y") + "SELECT id, y FROM t")
+MAILS = ["Hello\n> quoted\n{}\n> more\nbye", "{}\nOn Mon, Jan 1, A wrote:\n> x\n> y", "no quotes {}", "> all\n> quoted {}", "{}\n----- Original Message -----\nold", "From: someone\n{}", "", None, " > {}\nfrom here: on\nFROM: x@y.z\nend"]
+_QUOTED = "list_filter(string_split({}, chr(10)), lambda l: trim(l, ' ') LIKE '>%')"
+register("e03_quote_share", lambda s, d: documents(s, d, MAILS).select("doc_id", text.quote_share(F.col("x")).alias("pct")), _documents(MAILS) + f"SELECT doc_id, round(len({_QUOTED.format('x')}) * 100 / len(string_split(x, chr(10))), 4)::DOUBLE AS pct FROM t")
+_HEAD = r"regexp_replace(x, '(?mi)^(?:on .{1,200} wrote:|-{2,} ?original message ?-{2,}|from: .{1,200})\s*$(?s:.*)', '')"
+register("e02_unquoted", lambda s, d: documents(s, d, MAILS).select("doc_id", F.md5(text.unquoted(F.col("x"))).alias("digest")), _documents(MAILS) + f"SELECT doc_id, md5(trim(array_to_string(list_filter(string_split({_HEAD}, chr(10)), lambda l: NOT trim(l, ' ') LIKE '>%'), chr(10)), ' ')) AS digest FROM t")
+SIGNED = ["{}\n-- \nJane\nCEO", "Hi {}\nall good\nBest regards,\nJohn", "{}", "Thanks,\n{}", "a\nCheers\n1\n2\n3\n4\n5\n6\n7\n8\n9\n10\n11", "--\n{}", "", None, "{}\nthank you\n\nX\nsincerely,"]
+register("e04_unsigned", lambda s, d: documents(s, d, SIGNED).select("doc_id", F.md5(text.unsigned(F.col("x"))).alias("digest")), _documents(SIGNED) + r"""
+, l AS (SELECT doc_id, string_split(regexp_replace(x, '(?m)^-- ?$(?s:.*)', ''), chr(10)) AS l FROM t),
+c AS (SELECT doc_id, l, list_min(list_filter(range(1, len(l) + 1), lambda i: i > len(l) - 10 AND regexp_matches(lower(trim(l[i], ' ')), '^(best|kind|warm)? ?(regards|wishes),?$|^(thanks|cheers|sincerely|thank you),?$'))) AS k FROM l)
+SELECT doc_id, md5(trim(array_to_string(CASE WHEN k IS NULL THEN l ELSE l[1:k - 1] END, chr(10)), ' ')) AS digest FROM c""")
 
 KEYS = ["the", "und", "para", "quote", "license", "password", "les"]
 register("e10_keywords", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(text.keywords(F.col("text"), KEYS), ",").alias("found")), "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{k}' END" for k in KEYS) + ") AS found FROM documents")
 register("e12_first_keyword", lambda s, d: table(s, d, "documents").groupBy(F.coalesce(F.get(text.keywords(F.col("text"), KEYS[2:]), F.lit(0)), F.lit("none")).alias("kind")).agg(F.count("*").alias("n")), "SELECT CASE " + " ".join(f"WHEN contains(lower(text), '{k}') THEN '{k}'" for k in KEYS[2:]) + " ELSE 'none' END AS kind, count(*) AS n FROM documents GROUP BY 1")
 register("e34_stage_hints", lambda s, d: table(s, d, "documents").groupBy(text.stage_hint(F.col("text")).alias("hint")).agg(F.count("*").alias("n")), "SELECT CASE WHEN lower(text) LIKE '%po%' THEN 'po_in_progress' WHEN lower(text) LIKE '%rfq%' OR lower(text) LIKE '%quote%' THEN 'quote' WHEN lower(text) LIKE '%integration%' THEN 'integration' WHEN lower(text) LIKE '%research%' THEN 'research' ELSE 'unknown' END AS hint, count(*) AS n FROM documents GROUP BY 1")
 register("e40_text_quality", lambda s, d: table(s, d, "documents").select("doc_id", text.quality_score(F.col("text")).alias("score")), r"SELECT doc_id, round(100 * length(regexp_replace(text, '[^A-Za-z0-9 .,;:!?\n]', '', 'g')) / greatest(length(text), 1) - 100 * (length(text) - length(regexp_replace(text, '[\x{FFFD}\x00-\x08\x0E-\x1F]', '', 'g'))) / greatest(length(text), 1), 4)::DOUBLE AS score FROM documents")
-register("e13_money", lambda s, d: literal(s, TURNS + [(6, 0, "worth $1,200.50 or $3M, maybe $75k")], "conv int, turn int, x string").select("conv", F.explode(F.regexp_extract_all("x", F.lit(r"\$([0-9][0-9,]*(?:\.[0-9]+)?[KMBkmb]?)"), F.lit(1))).alias("amount")), sql_rows([(6, "1,200.50"), (6, "3M"), (6, "75k")], "conv, amount") + "SELECT * FROM t")
+_MONEY = r"\$([0-9][0-9,]*(?:\.[0-9]+)?[KMBkmb]?)"
+register("e13_money", lambda s, d: turns(s, d).select("conv_id", "turn", F.explode(F.regexp_extract_all("x", F.lit(_MONEY), F.lit(1))).alias("amount")), _TURNS + f" SELECT conv_id, turn, unnest(regexp_extract_all(x, '{_MONEY}', 1)) AS amount FROM t")
 
 
 def e19(s: SparkSession, d: str) -> DataFrame:
@@ -121,8 +133,10 @@ c AS (SELECT key, count(*) AS c FROM a JOIN g USING (key) WHERE n = members GROU
 SELECT key, members, ['po_in_progress', 'quote', 'rfq'][rank] AS stage, round(most / members, 6)::DOUBLE AS stage_confidence, coalesce(c, 0) AS common_actors, round(0.5::DOUBLE + 0.3::DOUBLE * least(coalesce(c, 0) / 3, 1) + 0.2::DOUBLE * (most / members), 3)::DOUBLE AS score FROM g JOIN s USING (key) LEFT JOIN c USING (key)""")
 register("o05_consolidate", lambda s, d: opportunity.consolidate(deals(s, d), "customer_id", ("stage", "priority")), SQL + """
 SELECT customer_id, count(*) AS members, CASE WHEN count(DISTINCT stage) > 1 THEN array_to_string(list_sort(list(DISTINCT stage)), ';') ELSE '' END AS stage_conflicts, CASE WHEN count(DISTINCT priority) > 1 THEN array_to_string(list_sort(list(DISTINCT priority)), ';') ELSE '' END AS priority_conflicts FROM deals GROUP BY 1""")
-ALIASES = [(1, "PO"), (2, "purchase_order"), (3, "rollout"), (4, "Discovery"), (5, "quote"), (6, "??")]
-register("o01_stage_alias", lambda s, d: literal(s, ALIASES, "id int, x string").select("id", opportunity.stage_alias(F.col("x")).alias("stage")), sql_rows([(1, "po_in_progress"), (2, "po_in_progress"), (3, "integration"), (4, "research"), (5, "quote"), (6, "unknown")], "id, stage") + "SELECT * FROM t")
+ALIASES = ["PO", "purchase_order", "rollout", "Discovery", "{}", "??", None, " quote "]
+register("o01_stage_alias", lambda s, d: deals(s, d).select("id", opportunity.stage_alias(written(F.col("stage"), F.col("id"), ALIASES)).alias("stage")), SQL + f"""
+, t AS (SELECT id, lower(trim({written_sql('stage', 'id', ALIASES)})) AS x FROM deals)
+SELECT id, CASE WHEN x IN ('po', 'purchase_order', 'po_in_progress') THEN 'po_in_progress' WHEN x IN ('deploy', 'rollout', 'integration') THEN 'integration' WHEN x IN ('discovery', 'research') THEN 'research' WHEN x IN ('quote', 'rfq') THEN x ELSE 'unknown' END AS stage FROM t""")
 register("f30_record_ids", lambda s, d: deals(s, d).select("id", opportunity.record_id(F.col("customer_name"), F.col("deal_name")).alias("rid")), SQL + "SELECT id, sha1(concat_ws('|', customer_name, deal_name))[1:12] AS rid FROM deals")
 register("o06_overrides", lambda s, d: opportunity.override(deals(s, d).select("id", "stage", "priority"), deals(s, d).where("id % 10 = 0").select("id", F.lit("integration").alias("stage")), ("stage",)), SQL + "SELECT id, CASE WHEN id % 10 = 0 THEN 'integration' ELSE stage END AS stage, priority FROM deals")
 
