@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealgraph.functions.normalize import email_domain, vendor_key
+from dealgraph.functions.similarity import grams
 
 LEAST = 0.3
 #: In the order that decides ties.
@@ -59,3 +60,110 @@ def review_queue(detections: DataFrame) -> DataFrame:
 def domain_owner(domains: DataFrame) -> DataFrame:
     """The vendor with the most matches per domain, the smallest id among equals."""
     return domains.groupBy("domain").agg(F.max_by("vendor_id", F.struct("match_count", -F.col("vendor_id"))).alias("vendor_id"))
+
+
+# ---------------------------------------------------------------- containment, products, texts
+
+def contained_in(shorts: DataFrame, longs: DataFrame, gram: int = 6) -> DataFrame:
+    """Pairs (short, long) of distinct strings, short a substring of long, empty ones left out. An equi join on
+    the first `gram` characters of the short one (all, if it has fewer) with the long one's substrings of that
+    length, then the exact test: no pair is lost and none is tried that shares no gram."""
+    s = shorts.select("short").where("short <> ''").distinct().withColumn("_k", F.left("short", F.lit(gram)))
+    lengths = [r[0] for r in s.select(F.length("_k")).distinct().collect()]  # at most `gram` numbers
+    if not lengths:
+        return s.select("short", F.col("short").alias("long"))
+    one = F.col("long")
+    keys = F.array_distinct(F.flatten(F.array(*[grams(one, n) for n in sorted(lengths)])))
+    t = longs.select("long").where("long <> ''").distinct().select("long", F.explode(keys).alias("_k"))
+    return s.join(t, "_k").where(F.contains("long", F.col("short"))).select("short", "long").distinct()
+
+
+def by_products(mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """V06 without its edit-distance test: mentions (mention_id, products), catalogue (vendor_id, keywords). A product
+    counts if it holds one of the vendor's keywords or is held by one; the vendor with most of them, the smallest id
+    among equals."""
+    m = mentions.select("mention_id", F.size("products").alias("n"), F.posexplode("products").alias("_pos", "product")).withColumn("product", vendor_key(F.col("product")))
+    k = catalogue.select("vendor_id", F.explode("keywords").alias("keyword")).select("vendor_id", vendor_key(F.col("keyword")).alias("keyword"))
+    a = contained_in(k.select(F.col("keyword").alias("short")), m.select(F.col("product").alias("long"))).select(F.col("short").alias("keyword"), F.col("long").alias("product"))
+    b = contained_in(m.select(F.col("product").alias("short")), k.select(F.col("keyword").alias("long"))).select(F.col("long").alias("keyword"), F.col("short").alias("product"))
+    vendor_of = a.unionByName(b).distinct().join(k, "keyword").select("product", "vendor_id").distinct()
+    hits = m.join(vendor_of, "product").groupBy("mention_id", "vendor_id", "n").agg(F.count("*").alias("hits"))
+    best = hits.groupBy("mention_id", "n").agg(F.max(F.struct("hits", (-F.col("vendor_id")).alias("v"))).alias("b"))
+    return best.select("mention_id", (-F.col("b.v")).alias("vendor_id"), F.lit("product").alias("strategy"), F.round(F.least(F.lit(0.85), 0.5 + F.col("b.hits") / F.col("n") * 0.35), 6).alias("confidence"))
+
+
+def product_ratio(products: Column, keywords: Column) -> Column:
+    """The share of the keywords that a product holds or is held by; 0 without keywords."""
+    p, k = F.transform(products, vendor_key), F.transform(keywords, vendor_key)
+    hit = F.filter(k, lambda x: F.exists(p, lambda y: F.contains(x, y) | F.contains(y, x)))
+    return F.when((F.size(k) == 0) | (F.size(p) == 0), 0.0).otherwise(F.size(hit) / F.size(k))
+
+
+def by_containment(mentions: DataFrame, catalogue: DataFrame, least: float = 0.75) -> DataFrame:
+    """The same normalised name, else one that holds the other and is not much longer; the surest, then the smallest vendor."""
+    m = mentions.select("mention_id", vendor_key(F.col("name")).alias("m"))
+    v = catalogue.select("vendor_id", vendor_key(F.col("vendor_name")).alias("v"))
+    a = contained_in(v.select(F.col("v").alias("short")), m.select(F.col("m").alias("long"))).select(F.col("short").alias("v"), F.col("long").alias("m"))
+    b = contained_in(m.select(F.col("m").alias("short")), v.select(F.col("v").alias("long"))).select(F.col("long").alias("v"), F.col("short").alias("m"))
+    share = F.least(F.length("m"), F.length("v")) / F.greatest(F.length("m"), F.length("v"))
+    near = a.unionByName(b).distinct().withColumn("confidence", share).where(F.col("confidence") >= least)
+    best = m.join(near, "m").join(v, "v").groupBy("mention_id").agg(F.max(F.struct("confidence", (-F.col("vendor_id")).alias("v"))).alias("b"))
+    return best.select("mention_id", (-F.col("b.v")).alias("vendor_id"), F.round("b.confidence", 6).alias("confidence"), F.when(F.col("b.confidence") == 1, "normalized").otherwise("fuzzy").alias("strategy"))
+
+
+def in_texts(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(text_id, vendor_id, confidence, strategy): vendors whose normalised name a text (text_id, text) holds, or at whose
+    domain it has an address; a name wins."""
+    v = catalogue.select("vendor_id", vendor_key(F.col("vendor_name")).alias("v"), F.lower("domain").alias("domain"))
+    low = texts.select("text_id", F.lower("text").alias("long"))
+    named = contained_in(v.select(F.col("v").alias("short")), low).join(low, "long").join(v, F.col("short") == F.col("v")).select("text_id", "vendor_id", F.lit("fuzzy").alias("strategy"))
+    domains = texts.select("text_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})\b"), F.lit(1))).alias("domain")).select("text_id", F.lower("domain").alias("domain"))
+    at = domains.distinct().join(v.where("domain is not null"), "domain").select("text_id", "vendor_id", F.lit("domain").alias("strategy"))
+    found = named.unionByName(at).groupBy("text_id", "vendor_id").agg(F.max("strategy").alias("strategy"))
+    return found.withColumn("confidence", F.when(F.col("strategy") == "fuzzy", 0.8).otherwise(0.9))
+
+
+# ---------------------------------------------------------------- aliases, detections, reviews
+
+def best_alias(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The surest alias (alias, vendor_id, confidence, usage), then the most used, then the smallest vendor."""
+    a = aliases.select(vendor_key(F.col("alias")).alias("_k"), "vendor_id", F.coalesce("confidence", F.lit(0.95)).alias("confidence"), "usage")
+    a = a.groupBy("_k").agg(F.max(F.struct("confidence", "usage", (-F.col("vendor_id")).alias("v"))).alias("b"))
+    return mentions.select("mention_id", vendor_key(F.col("name")).alias("_k")).join(a, "_k").select("mention_id", (-F.col("b.v")).alias("vendor_id"), F.col("b.confidence").alias("confidence"))
+
+
+def strategy_statistics(log: DataFrame, metadata: str) -> DataFrame:
+    """Matches and mean confidence by strategy of a JSON column, and of all (strategy null)."""
+    m = log.select(F.get_json_object(metadata, "$.matchStrategy").alias("strategy"), F.get_json_object(metadata, "$.matchConfidence").try_cast("double").alias("c")).where("strategy is not null")
+    return m.rollup("strategy").agg(F.count("*").alias("matches"), F.round(F.avg("c"), 6).alias("avg_confidence"))
+
+
+def detection_confidence(match: Column, source: Column, domain: Column, mentioned: Column, known: Column) -> Column:
+    """The match's confidence or 0.45, raised by a talking source, a domain, a mention and a hint; 0 to 1."""
+    def plus(test: Column, value: float) -> Column:
+        return F.when(test, value).otherwise(0.0)
+
+    score = F.coalesce(match, F.lit(0.45)) + plus(source.isin("email", "transcript"), 0.1) + plus(F.coalesce(domain, F.lit("")) != "", 0.1) + plus(mentioned, 0.05) + plus(known, 0.1)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def alias_usage(aliases: DataFrame, used: DataFrame, corrected: DataFrame) -> DataFrame:
+    """Aliases (vendor_id, alias, confidence, usage) after uses (vendor_id, alias, confidence), which keep the larger
+    confidence, and users' corrections (vendor_id, alias), which start at 0.9 and add 0.1 each, up to 1."""
+    def rows(df: DataFrame, confidence: Column, usage: Column, corrections: int) -> DataFrame:
+        return df.select("vendor_id", vendor_key(F.col("alias")).alias("alias"), confidence.alias("c"), usage.alias("u"), F.lit(corrections).alias("k"))
+
+    all_ = rows(aliases, F.col("confidence"), F.col("usage"), 0).unionByName(rows(used, F.col("confidence"), F.lit(1).cast("long"), 0)).unionByName(rows(corrected, F.lit(None).cast("double"), F.lit(1).cast("long"), 1))
+    g = all_.groupBy("vendor_id", "alias").agg(F.max("c").alias("c"), F.sum("u").alias("usage"), F.sum("k").alias("k"))
+    return g.select("vendor_id", "alias", F.round(F.least(F.lit(1.0), F.coalesce(F.col("c") + F.col("k") * 0.1, 0.8 + F.col("k") * 0.1)), 6).alias("confidence"), "usage")
+
+
+def unmatched_log(found: DataFrame) -> DataFrame:
+    """Unmatched names (name, source, at): occurrences, first and last time, and the number of sources."""
+    return found.groupBy(vendor_key(F.col("name")).alias("name")).agg(F.count("*").alias("occurrences"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.countDistinct("source").alias("sources"))
+
+
+def promote(pending: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Parked deals (deal_id, review_id) with their reviews' outcome (review_id, status, vendor_id): promoted, dropped or still pending."""
+    state = F.when(F.col("status") == "approved", "promoted").when(F.col("status") == "denied", "dropped").otherwise("pending")
+    return pending.join(reviews, "review_id", "left").select("deal_id", state.alias("state"), F.when(F.col("status") == "approved", F.col("vendor_id")).alias("vendor_id"))
