@@ -85,14 +85,14 @@ def detect(records: DataFrame, least: float = REVIEW) -> DataFrame:
     return combine(exact(records), customer_value(records), customer_date(records), vendor_customer(records), multi_factor(records), least=least)
 
 
-def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def clusters(pairs: DataFrame) -> DataFrame:
     """(cluster_id, id): connected components of the pairs, by minimum labels that are also
     jumped along, until nothing changes. The lineage is cut in the session's checkpoint folder."""
     edges = pairs.select(F.col("id_1").alias("a"), F.col("id_2").alias("b"))
     edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = _cut(edges)
     labels = _cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         stepped = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
         jumped = stepped.join(labels.select(F.col("id").alias("next"), F.col("label").alias("far")), "next").select("id", "label", F.least("next", "far").alias("next"))
@@ -108,7 +108,10 @@ def _cut(df: DataFrame) -> DataFrame:
 
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="dealgraph-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="dealgraph-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
