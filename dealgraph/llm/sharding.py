@@ -3,8 +3,8 @@ medians along the widest metadata dimension. DataFrame operations only.
 
 A point is a piece of a group of equal texts. All rows of a piece share their coordinates (those
 of the group's smallest id), so that equal texts stay in one leaf; a group that weighs more than
-GROUP_SHARE of a leaf is split by id into pieces below that, so that no group of copies can
-spoil the balance. A median is found by radix refinement: the ordinals of a node are histogrammed
+group_share of a leaf is split by id into pieces below that, so that no group of copies can
+spoil the balance; at a share of infinity no group is ever split, and none is balanced either. A median is found by radix refinement: the ordinals of a node are histogrammed
 by their highest bits, then by the next ones within the bin that holds the median. The driver
 sees at most 2**RADIX_BITS sums per node and round, whatever the input is.
 
@@ -18,40 +18,62 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dealgraph.llm.common import cut, gapless_rank, table
+from dealgraph.llm.common import BROADCAST_IDS, cut, gapless_rank, table
 from dealgraph.llm.mixing import random_key
 
 SHARDS = 24
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 8
-#: Of a leaf's target bytes, the most that one piece of a group of copies weighs.
+#: Of a leaf's target bytes, the most that one piece of a group of copies weighs, unless the caller says otherwise.
 GROUP_SHARE = 0.05
 #: An ordinal: 12 bits of the coordinate, then 21 bits of the piece's hash, refined in 3 rounds of 11 bits.
 COORD_BITS, TIE_BITS, RADIX_BITS, ROUNDS = 12, 21, 11, 3
-
-
-def _prefix_number(col: Column) -> Column:
-    """The first six bytes as a number, in the order of the strings; null is lowest."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(col.cast("string"), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
-
-
-def points(docs: DataFrame, shards: int, doc_id: str, text: str, labels: Sequence[str]) -> tuple[DataFrame, float, list[str]]:
+#: Shares of a label in a join with more labels than are broadcast.
+SALTS = 32
+
+
+def _label_ranks(rows: DataFrame, label: str) -> DataFrame:
+    """(_label, _rank): the dense ranks, from 0, of a label's distinct values by their bytes; _label is the value's digest.
+    Values are range-partitioned and numbered within each partition, whose counts are added up."""
+    spread = cut(rows.select(F.col(label).alias("_v")).where("_v is not null").distinct().orderBy(F.encode("_v", "UTF-8")).withColumn("_p", F.spark_partition_id()))
+    counts = spread.groupBy(F.col("_p").alias("_q")).agg(F.count("*").alias("_n"))
+    before = counts.select("_q", F.coalesce(F.sum("_n").over(Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per partition
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(F.encode("_v", "UTF-8"))) - 1
+    return spread.withColumn("_r", inside).join(F.broadcast(before), F.col("_p") == F.col("_q")).select(F.md5("_v").alias("_label"), (F.col("_before") + F.col("_r")).cast("double").alias("_rank"))
+
+
+def _with_rank(groups: DataFrame, ranks: DataFrame, digest: Column, name: str) -> DataFrame:
+    """Adds the rank of a label's digest; null is lowest. The ranks, of a fixed width, are broadcast if they are counted to be
+    few; otherwise both sides are dealt out by label and a salt, as a label may be that of a third of all groups."""
+    ranks = cut(ranks)
+    keyed = groups.withColumn("_d", digest)
+    if ranks.count() <= BROADCAST_IDS:
+        out = keyed.join(F.broadcast(ranks), F.col("_d") == F.col("_label"), "left")
+    else:
+        salted = ranks.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = keyed.withColumn("_t", F.pmod(F.xxhash64("_group"), F.lit(SALTS)).cast("int")).join(salted, (F.col("_d") == F.col("_label")) & (F.col("_t") == F.col("_s")), "left")
+    return out.withColumn(name, F.coalesce("_rank", F.lit(-1.0))).select(*groups.columns, name)
+
+
+def points(docs: DataFrame, shards: int, doc_id: str, text: str, labels: Sequence[str], group_share: float = GROUP_SHARE) -> tuple[DataFrame, float, list[str]]:
     """Rows (doc_id, size, text_crc32, o0, o1, ...) with an ordinal per dimension, and their total bytes."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
                            F.crc32(body).alias("text_crc32"), F.md5(body).alias("_group"),
-                           *[_prefix_number(F.col(c)).alias(f"_m{i}") for i, c in enumerate(labels)]))
+                           *[F.col(c).cast("string").alias(f"_m{i}") for i, c in enumerate(labels)]))
     groups = rows.groupBy("_group").agg(
         F.sum("size").alias("_weight"),
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *[f"_m{i}" for i in range(len(labels))])).alias("_first"), F.max("size").alias("_one"))
-    dims = [F.col(f"_first._m{i}") for i in range(len(labels))] + [F.log2(F.col("_one").cast("double"))]
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *[F.md5(f"_m{i}").alias(f"_m{i}") for i in range(len(labels))])).alias("_first"), F.max("size").alias("_one"))
+    for i in range(len(labels)):
+        groups = _with_rank(groups, _label_ranks(rows, f"_m{i}"), F.col(f"_first._m{i}"), f"_rank{i}")
+    dims = [F.col(f"_rank{i}") for i in range(len(labels))] + [F.log2(F.col("_one").cast("double"))]
     groups = cut(groups.select(F.col("_group").alias("_g"), "_weight", *[d.alias(f"_d{i}") for i, d in enumerate(dims)]))
     ranges = groups.agg(F.sum("_weight").alias("total"), *[f(f"_d{i}").alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     total = float(ranges["total"] or 0)
-    piece_bytes = max(1.0, total / shards * GROUP_SHARE)
+    piece_bytes = max(1.0, total / shards * group_share)
     pieces = F.ceil(F.col("_weight") / piece_bytes)
     piece = F.when(pieces > 1, F.pmod(F.xxhash64("doc_id"), pieces)).otherwise(F.lit(0))
     tie = F.shiftrightunsigned(F.xxhash64("_group", piece.cast("long")), 64 - TIE_BITS)
@@ -115,11 +137,11 @@ def _split(rows: DataFrame, root: Node, level: list[Node], dims: list[str]) -> N
         n.left, n.right = Node(n.first, half), Node(n.first + half, n.shards - half)
 
 
-def kd_shards(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", labels: Sequence[str] = ("source", "lang")) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) for every row. Dimensions: the labels, by their first
-    six bytes, and the logarithm of the size. shards may be any number: a node of n leaves is cut
+def kd_shards(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", labels: Sequence[str] = ("source", "lang"), group_share: float = GROUP_SHARE) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) for every row. Dimensions: the labels, by the ranks of
+    their whole values (4 096 steps), and the logarithm of the size. shards may be any number: a node of n leaves is cut
     at the weighted (n // 2) / n quantile."""
-    rows, _, dims = points(docs, shards, doc_id, text, labels)
+    rows, _, dims = points(docs, shards, doc_id, text, labels, group_share)
     root = Node(0, shards)
     level = [root] if shards > 1 else []
     while level:

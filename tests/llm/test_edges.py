@@ -377,6 +377,45 @@ def test_shards_balance_and_keep_copies_together(spark):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def brute_tree(points, dims, shards, first=0):
+    """Shards by recursive weighted medians over (key, size, ordinals); medians by sorting."""
+    if shards == 1 or not points:
+        return {p[0]: first for p in points}
+    widths = [(max(p[2][d] for p in points) >> sharding.TIE_BITS) - (min(p[2][d] for p in points) >> sharding.TIE_BITS) for d in dims]
+    d = widths.index(max(widths))
+    goal, before, at = sum(p[1] for p in points) * (shards // 2) / shards, 0, {}
+    for p in points:
+        at[p[2][d]] = at.get(p[2][d], 0) + p[1]
+    for o in sorted(at):
+        if before + at[o] >= goal:
+            cut = o + int(abs(before + at[o] - goal) < abs(before - goal))
+            break
+        before += at[o]
+    half = shards // 2
+    return {**brute_tree([p for p in points if p[2][d] < cut], dims, half, first), **brute_tree([p for p in points if p[2][d] >= cut], dims, shards - half, first + half)}
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_shards_are_those_of_a_sorted_tree(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(sharding, "BROADCAST_IDS", broadcast)
+    r = random.Random(8)
+    # labels that agree in their first bytes, nulls, repeated texts
+    rows = [(i, prose(r.randrange(900), 10 + r.randrange(30)), r.choice([None, "same-prefix-a", "same-prefix-b", "same-prefix-é", ""]), f"https://one.host/path/{r.randrange(300)}") for i in range(1500)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    points, _, dims = sharding.points(frame, 24, "doc_id", "text", ("source", "lang"))
+    found = [(p.doc_id, p.size, [p[d] for d in dims]) for p in points.collect()]
+    assert len({p[2][0] >> sharding.TIE_BITS for p in found}) > 4 and len({p[2][1] >> sharding.TIE_BITS for p in found}) > 4
+    expected = brute_tree(found, range(len(dims)), 24)
+    assert {x.doc_id: x.shard for x in sharding.kd_shards(frame).collect()} == expected
+
+
+def test_label_ranks(spark):
+    r = random.Random(4)
+    names = ["".join(r.choice("abé Z\U0001f600") for _ in range(r.randrange(9))) for _ in range(500)]
+    got = {x["_label"]: x["_rank"] for x in sharding._label_ranks(spark.createDataFrame([(n,) for n in [*names, None]], "x string").repartition(7), "x").collect()}
+    assert got == {hashlib.md5(n.encode()).hexdigest(): k for k, n in enumerate(sorted(set(names), key=lambda n: n.encode()))}
+
+
 def test_secrets(spark, docs, empty):
     import re
 
