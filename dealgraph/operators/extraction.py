@@ -101,6 +101,7 @@ def threads(messages: DataFrame, days: int = SUBJECT_DAYS) -> DataFrame:
     """(thread_id, id) of messages (id, in_reply_to, refs, subject, at): connected by replies and references to
     messages that are there, or, where a message has none of these, to the messages of the same plain subject right before and after it, within `days`.
     The order of the messages decides nothing, unlike in a scan that assigns them one by one."""
+    messages = messages.withColumn("at", F.col("at").cast("timestamp"))
     known = messages.select(F.col("id").alias("id_1"))
     up = messages.select("id", F.explode(F.array_distinct(F.array_compact(F.array_append(F.coalesce("refs", F.array().cast(messages.schema["refs"].dataType)), F.col("in_reply_to"))))).alias("id_1"))
     replies = up.where("id <> id_1").join(known, "id_1").select(F.least("id", "id_1").alias("id_1"), F.greatest("id", "id_1").alias("id_2"), F.col("id").alias("of"))
