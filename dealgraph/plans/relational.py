@@ -165,10 +165,10 @@ register("j09_deal_files", lambda s, d: deals(s, d).where("stage = 'rfq'").selec
 
 def j10(s: SparkSession, d: str) -> DataFrame:
     r = deals(s, d).select("id", "customer_id", "vendor_id")
-    return joins.related_either(r, "id", ("customer_id", "vendor_id"), r.where("id < 20"))
+    return joins.related_either(r, "id", ("customer_id", "vendor_id"), r.where("id % 50 = 0"))
 
 
-register("j10_related_deals", j10, SQL + "SELECT DISTINCT a.id AS of_id, b.id AS related_id FROM deals a JOIN deals b ON (a.customer_id = b.customer_id OR a.vendor_id = b.vendor_id) AND a.id <> b.id WHERE a.id < 20")
+register("j10_related_deals", j10, SQL + "SELECT DISTINCT a.id AS of_id, b.id AS related_id FROM deals a JOIN deals b ON (a.customer_id = b.customer_id OR a.vendor_id = b.vendor_id) AND a.id <> b.id WHERE a.id % 50 = 0")
 
 register("j12_similar_nearby", lambda s, d: joins.similar_nearby(deals(s, d), "customer_name", "deal_value", "created_at"), SQL + """
 SELECT a.id AS id_1, b.id AS id_2, a.customer_name FROM deals a JOIN deals b ON a.customer_name = b.customer_name AND a.id < b.id

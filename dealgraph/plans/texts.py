@@ -142,8 +142,8 @@ register("o06_overrides", lambda s, d: opportunity.override(deals(s, d).select("
 
 
 def o07(s: SparkSession, d: str) -> DataFrame:
-    i = table(s, d, "supplier").where("s_suppkey < 30").select(F.col("s_suppkey").alias("insight_id"), F.when(F.col("s_suppkey") > 1, F.col("s_suppkey")).alias("vendor_id"), (F.col("s_suppkey") % 3 / 3 + 0.5).alias("confidence"))
+    i = table(s, d, "supplier").select(F.col("s_suppkey").alias("insight_id"), F.when(F.col("s_suppkey") > 1, F.col("s_suppkey")).alias("vendor_id"), (F.col("s_suppkey") % 3 / 3 + 0.5).alias("confidence"))
     return opportunity.applicable(i, deals(s, d))
 
 
-register("o07_insights", o07, SQL + ", i AS (SELECT s_suppkey AS insight_id, CASE WHEN s_suppkey > 1 THEN s_suppkey END AS vendor_id, s_suppkey % 3 / 3 + 0.5 AS confidence FROM supplier WHERE s_suppkey < 30) SELECT id, insight_id FROM deals d JOIN i ON i.confidence >= 0.8 AND (i.vendor_id IS NULL OR i.vendor_id = d.vendor_id)")
+register("o07_insights", o07, SQL + ", i AS (SELECT s_suppkey AS insight_id, CASE WHEN s_suppkey > 1 THEN s_suppkey END AS vendor_id, s_suppkey % 3 / 3 + 0.5 AS confidence FROM supplier) SELECT id, insight_id FROM deals d JOIN i ON i.confidence >= 0.8 AND (i.vendor_id IS NULL OR i.vendor_id = d.vendor_id)")
