@@ -49,7 +49,7 @@ def customer_date(records: DataFrame, least: float = 0.85) -> DataFrame:
 
 
 def vendor_customer(records: DataFrame, least: float = 0.80) -> DataFrame:
-    """D13, blocked on vendor and the customer's first letters: alike customers of one vendor."""
+    """D13, blocked on vendor and the last two letters of the company key: alike customers of one vendor whose names end alike."""
     r = records.withColumn("_b", F.concat_ws("\u0001", F.col("vendor_id").cast("string"), F.right(company_key(F.col("customer_name")), F.lit(2))))
     p = pairs_by(r.where("vendor_id is not null"), "_b", ("customer_name", "deal_name"))
     c, n = both(similarity.edit_similarity, "customer_name"), both(similarity.edit_similarity, "deal_name")

@@ -14,6 +14,7 @@ TIERS = (("tier1", 0.95, ("deal", "opportunity", "deal name", "opportunity name"
 NEAR = 50
 SHORTEST = 20
 SECTIONS = (("attendees", r"\b(attendees|participants|present|in attendance)\b"), ("action_items", r"\b(next steps?|action items?|todo|follow ups?)\b"), ("pricing", r"\b(pricing|price|cost|quote|rfq|margin)\b"))
+ACTION_LINE = r"^[-*•]\s*(?:\[.\]\s*)?(?:action|todo|follow up|send|schedule|call|email|deliver|ping)\b"
 PERSONAL_DOMAINS = ("gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "aol.com", "icloud.com", "me.com", "mac.com", "protonmail.com", "pm.me")
 ROLES = (("primary", r"prime\s+contractor|lead\s+vendor|primary\s+vendor"), ("partner", r"partner|teaming|joint\s+venture|alliance"), ("subcontractor", r"subcontractor|sub\s+contractor|tier\s+2|secondary"), ("reseller", r"reseller|distributor|channel\s+partner"))
 SUBJECT_DAYS = 7
@@ -71,7 +72,7 @@ def valid_boundaries(merged: DataFrame, texts: DataFrame) -> DataFrame:
     return b.where(F.col("end") - F.col("start") >= SHORTEST).where(part.rlike("[a-zA-Z]{5,}")).select("text_id", "start", "end", "confidence", "line", "method")
 
 
-def sections(texts: DataFrame, action: str = r"^(action|todo|next step)s?\b") -> DataFrame:
+def sections(texts: DataFrame, action: str = ACTION_LINE) -> DataFrame:
     """(text_id, line, section, x): lines under the last label seen; lines of an action are action items wherever they
     stand and open no section; percentages under prices are margins."""
     rows = texts.select("text_id", F.posexplode(F.split("text", "\r?\n")).alias("line", "x")).withColumn("x", F.trim("x")).where("x <> ''")

@@ -46,11 +46,11 @@ register("e24_valid_boundaries", e24, texts_sql(LISTED, True) + _MERGED + """
 , v AS (SELECT text_id, start, coalesce(lead(start) OVER (PARTITION BY text_id ORDER BY start), length(text))::INT AS "end", confidence, line, text FROM g JOIN t USING (text_id))
 SELECT text_id, start, "end", confidence, line FROM v WHERE "end" - start >= 20 AND regexp_matches(text[start + 1:"end"], '[a-zA-Z]{5,}')""")
 
-MINUTES = ["Attendees:\nAnn\n Bob \nNext steps\nsend it\nActions: call\nPricing\n5% off\n10 USD\n{}", "{}", "cost is high\n20%\nTODO list\nfirst\n\nparticipants\n{}", "action: a\n{}\nIn attendance: c\nd\nquote\n7 %", None, ""]
+MINUTES = ["Attendees:\nAnn\n Bob \nNext steps\nsend it\n- [x] call them\nPricing\n* Send the quote\n5% off\n10 USD\n{}", "{}", "cost is high\n20%\nTODO list\nfirst\n\nparticipants\n{}", "• action: a\n{}\nIn attendance: c\nd\nquote\n7 %", None, ""]
 _LABEL = "CASE " + " ".join(f"WHEN regexp_matches(lower(x), '{p}') THEN '{n}'" for n, p in extraction.SECTIONS) + " END"
 register("e35_sections", lambda s, d: extraction.sections(texts(s, d, MINUTES)).select("text_id", "line", "section", F.md5("x").alias("digest")), texts_sql(MINUTES) + rf"""
 , i AS (SELECT text_id, unnest(string_split_regex(text, '\r?\n')) AS x, CAST(generate_subscripts(string_split_regex(text, '\r?\n'), 1) - 1 AS INT) AS line FROM t),
-j AS (SELECT text_id, line, trim(x, ' ') AS x FROM i WHERE trim(x, ' ') <> ''), a AS (SELECT *, regexp_matches(x, '(?i)^(action|todo|next step)s?\b') AS acts FROM j),
+j AS (SELECT text_id, line, trim(x, ' ') AS x FROM i WHERE trim(x, ' ') <> ''), a AS (SELECT *, regexp_matches(x, '(?i){extraction.ACTION_LINE}') AS acts FROM j),
 l AS (SELECT *, CASE WHEN NOT acts THEN {_LABEL} END AS label FROM a), u AS (SELECT *, last_value(label IGNORE NULLS) OVER (PARTITION BY text_id ORDER BY line) AS under FROM l),
 s AS (SELECT text_id, line, CASE WHEN acts THEN 'action_items' WHEN label IS NOT NULL THEN label WHEN under = 'pricing' AND contains(x, '%') THEN 'margins' ELSE under END AS section, md5(x) AS digest FROM u)
 SELECT * FROM s WHERE section IS NOT NULL""")
