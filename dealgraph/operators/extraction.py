@@ -15,6 +15,7 @@ NEAR = 50
 SHORTEST = 20
 SECTIONS = (("attendees", r"\b(attendees|participants|present|in attendance)\b"), ("action_items", r"\b(next steps?|action items?|todo|follow ups?)\b"), ("pricing", r"\b(pricing|price|cost|quote|rfq|margin)\b"))
 ACTION_LINE = r"^[-*•]\s*(?:\[.\]\s*)?(?:action|todo|follow up|send|schedule|call|email|deliver|ping)\b"
+QUOTE_LINE = r"^>|^On .+ wrote:|^From:.+Sent:.+To:.+Subject:|^-+\s*Original Message\s*-+|^-+\s*Forwarded message\s*-+|^Begin forwarded message:"
 PERSONAL_DOMAINS = ("gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "aol.com", "icloud.com", "me.com", "mac.com", "protonmail.com", "pm.me")
 ROLES = (("primary", r"prime\s+contractor|lead\s+vendor|primary\s+vendor"), ("partner", r"partner|teaming|joint\s+venture|alliance"), ("subcontractor", r"subcontractor|sub\s+contractor|tier\s+2|secondary"), ("reseller", r"reseller|distributor|channel\s+partner"))
 SUBJECT_DAYS = 7
@@ -90,8 +91,8 @@ def quote_blocks(texts: DataFrame) -> DataFrame:
     """(text_id, first_line, last_line, quoted): runs of quoted lines; blank and header lines go on with a run that has
     begun, any other line ends it. Gaps and islands over the ordered lines."""
     rows = texts.select("text_id", F.posexplode(F.split("text", "\n")).alias("line", "x"))
-    quote = F.trim("x").startswith(">")
-    soft = (F.trim("x") == "") | F.trim("x").rlike(r"(?i)^(from|to|cc|subject|date|sent):")
+    quote = F.trim("x").rlike("(?i)" + QUOTE_LINE)
+    soft = (F.trim("x") == "") | F.trim("x").rlike(r"(?i)^(from|to|cc|bcc|subject|date|sent):\s*.+$")
     w = Window.partitionBy("text_id").orderBy("line")
     rows = rows.withColumn("q", quote).withColumn("hard", (~quote & ~soft).cast("int")).withColumn("run", F.sum("hard").over(w)).where("hard = 0")
     inside = rows.withColumn("begun", F.max(F.col("q").cast("int")).over(Window.partitionBy("text_id", "run").orderBy("line"))).where("begun = 1")

@@ -55,10 +55,10 @@ l AS (SELECT *, CASE WHEN NOT acts THEN {_LABEL} END AS label FROM a), u AS (SEL
 s AS (SELECT text_id, line, CASE WHEN acts THEN 'action_items' WHEN label IS NOT NULL THEN label WHEN under = 'pricing' AND contains(x, '%') THEN 'margins' ELSE under END AS section, md5(x) AS digest FROM u)
 SELECT * FROM s WHERE section IS NOT NULL""")
 
-QUOTED = ["{}\n> a\n>b\n\nFrom: x\n> c\nno\n\n> d", "{}", "> {}\nSubject: y\nend", "\n\n> a\n{}\n >b\nTo: z", None, ""]
-register("w05_quote_blocks", lambda s, d: extraction.quote_blocks(texts(s, d, QUOTED)), texts_sql(QUOTED) + r"""
+QUOTED = ["{}\n> a\n>b\n\nFrom: x\nBcc:\n> c\nno\n\n> d", "{}", "> {}\nSubject: y\nend\nOn Monday, A wrote:\nx\n-- Original message --\nBegin forwarded message:", "\n\n> a\n{}\n >b\nTo: z", None, ""]
+register("w05_quote_blocks", lambda s, d: extraction.quote_blocks(texts(s, d, QUOTED)), texts_sql(QUOTED) + rf"""
 , i AS (SELECT text_id, unnest(string_split(text, chr(10))) AS x, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line FROM t),
-q AS (SELECT text_id, line, trim(x, ' ') LIKE '>%' AS q, trim(x, ' ') = '' OR regexp_matches(trim(x, ' '), '(?i)^(from|to|cc|subject|date|sent):') AS soft FROM i),
+q AS (SELECT text_id, line, regexp_matches(trim(x, ' '), '(?i){extraction.QUOTE_LINE}') AS q, trim(x, ' ') = '' OR regexp_matches(trim(x, ' '), '(?i)^(from|to|cc|bcc|subject|date|sent):\s*.+$') AS soft FROM i),
 r AS (SELECT *, (SELECT coalesce(max(o.line), -1) FROM q o WHERE o.text_id = q.text_id AND o.line < q.line AND NOT o.q AND NOT o.soft) AS hard FROM q WHERE q OR soft),
 f AS (SELECT text_id, hard, min(line) AS first_line FROM r WHERE q GROUP BY 1, 2)
 SELECT text_id, first_line, max(line) AS last_line, count(*) FILTER (q) AS quoted FROM r JOIN f USING (text_id, hard) WHERE line >= first_line GROUP BY text_id, hard, first_line""")
