@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dealgraph.llm import brown, decontaminate, langid, media, mixing, near_dedup, quality, secrets, sharding, substring_dedup
+from dealgraph.llm import brown, decontaminate, langid, media, mixing, near_dedup, quality, secrets, sharding, spelling, substring_dedup
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_mix_sources": mixing.op8,
     "op9_kd_shards": sharding.op9,
     "op10_scan_secrets": secrets.op10,
+    "op13_spelling_variants": spelling.op13,
 }
 
 ORACLES = {
     "op8_mix_sources": mixing.OP8_SQL,
     "op10_scan_secrets": secrets.OP10_SQL,
+    "op13_spelling_variants": spelling.OP13_SQL,
 }
