@@ -40,12 +40,17 @@ def stored(df: DataFrame) -> DataFrame:
     another this is to be preferred to cut(): a checkpoint keeps the size that was estimated for its plan, and
     that of a join is the product of both sides', so in a chain of joins the number's digits double each time
     until they fill the driver's memory. A table has the size of its files."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of the session."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         cut(spark.range(0))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
 def forget(df: DataFrame) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dealgraph.llm import brown, decontaminate, langid, media, mixing, near_dedup, quality, secrets, sharding, spelling, substring_dedup
+from dealgraph.llm import brown, decontaminate, langid, lexical, media, mixing, near_dedup, quality, secrets, sharding, spelling, substring_dedup, warc
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -15,11 +15,15 @@ QUERIES = {
     "op8_mix_sources": mixing.op8,
     "op9_kd_shards": sharding.op9,
     "op10_scan_secrets": secrets.op10,
+    "op11_warc": warc.op11,
+    "op12_ranked_search": lexical.op12,
     "op13_spelling_variants": spelling.op13,
 }
 
 ORACLES = {
     "op8_mix_sources": mixing.OP8_SQL,
     "op10_scan_secrets": secrets.OP10_SQL,
+    "op11_warc": warc.OP11_SQL,
+    "op12_ranked_search": lexical.OP12_SQL,
     "op13_spelling_variants": spelling.OP13_SQL,
 }
