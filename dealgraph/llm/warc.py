@@ -149,8 +149,7 @@ class Splicer:
 
     def end(self) -> Iterator[dict]:
         if self.head is not None:
-            whole = b"".join([*self.parts, END.encode()])
-            yield self.take(whole[: self.need], len(whole) < self.need)
+            yield self.take(b"".join(self.parts), True)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

@@ -125,7 +125,8 @@ def test_interleaved_sequences(spark):
     assert got[1] == [(0, "text", "One two", None, None), (1, "media", None, "aa", "A caption"), (2, "text", "tail", None, None), (3, "media", None, "bb", "only alt"), (4, "media", None, "cc", None)]
     assert got[2] == got[3] == []
     payloads = spark.createDataFrame([("aa", 64), ("bb", 128)], "digest string, payload_bytes bigint")
-    assert rows_of(media.resolve(seq, payloads, "page_id"), "pos", "caption", "payload_bytes") == [(1, "A caption", 64), (3, "only alt", 128), (4, None, None)]
+    assert rows_of(media.resolve(seq, payloads, "page_id"), "pos", "kind", "text", "caption", "payload_bytes") == [
+        (0, "text", "One two", None, None), (1, "media", None, "A caption", 64), (2, "text", "tail", None, None), (3, "media", None, "only alt", 128), (4, "media", None, None, None)]
 
 
 def test_class_lm(docs, empty):
