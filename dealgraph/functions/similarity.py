@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,41 +75,110 @@ def weighted(**parts: Column) -> Column:
     return total / sum(WEIGHTS.values())
 
 
-def _ratio(a: str, b: str) -> float:
-    """Percent of matched characters: twice the longest common subsequence over both lengths."""
-    if not a or not b:
-        return 0.0
-    last = [0] * (len(b) + 1)
-    for ca in a:
-        left = diagonal = 0
-        for j, cb in enumerate(b, 1):
-            above = last[j]
-            left = diagonal + 1 if ca == cb else max(above, left)
-            diagonal, last[j] = above, left
-    return 200.0 * last[-1] / (len(a) + len(b))
-
-
-def _fuzzy(a: str | None, b: str | None) -> float:
-    if not a or not b:
+# ---------------------------------------------------------------- the edit-based family, on Arrow batches
+
+_CELLS = 20_000_000  # characters compared at once
+
+
+def _codes(texts: list[str], pad: int) -> np.ndarray:
+    width = max(map(len, texts), default=0)
+    raw = np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le"), np.uint32).reshape(len(texts), width).astype(np.int64)
+    return np.where(np.arange(width) < np.array([len(t) for t in texts])[:, None], raw, pad)
+
+
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of the pairs, row by row of all their tables at once; pairs of like lengths go together."""
+    out = np.zeros(len(a), np.int64)
+    order = sorted(range(len(a)), key=lambda k: (len(a[k]), len(b[k])))
+    at = 0
+    while at < len(order):
+        n, end = 0, at
+        while end < len(order) and (end == at or ((n := len(a[order[end]]) * max(len(b[order[at]]), len(b[order[end]]))) * (end - at + 1) <= _CELLS and len(a[order[end]]) <= 2 * len(a[order[at]]) + 8)):
+            end += 1
+        rows = order[at:end]
+        x, y = _codes([a[k] for k in rows], -1), _codes([b[k] for k in rows], -2)
+        last = np.zeros((len(rows), y.shape[1] + 1), np.int32)
+        for column in x.T:
+            step = np.maximum(last[:, 1:], last[:, :-1] + (column[:, None] == y))
+            last[:, 1:] = np.maximum.accumulate(step, axis=1)
+        out[rows] = last[:, -1]
+        at = end
+    return out
+
+
+def _ratios(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Whole percents of matched characters: twice the longest common subsequence over both lengths, halves up."""
+    if not pairs:
+        return np.zeros(0)
+    total = np.array([len(x) + len(y) for x, y in pairs])
+    common = common_lengths([x for x, _ in pairs], [y for _, y in pairs])
+    both = np.array([bool(x and y) for x, y in pairs])
+    return np.where(both, np.floor(200.0 * common / np.maximum(total, 1) + 0.5), 0.0)
+
+
+def _dice(a: str, b: str) -> float:
+    x, y = "".join(a.split()), "".join(b.split())
+    if x == y:
+        return 1.0
+    if len(x) < 2 or len(y) < 2:
         return 0.0
-    if a == b:
-        return 100.0
-    short, long = sorted((a, b), key=len)
-    partial = max(_ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
-    ta, tb = sorted(a.split()), sorted(b.split())
-    common, only_a, only_b = sorted(set(ta) & set(tb)), sorted(set(ta) - set(tb)), sorted(set(tb) - set(ta))
-    base = " ".join(common)
-    one, two = " ".join([*common, *only_a]), " ".join([*common, *only_b])
-    sets = max(_ratio(one, two), _ratio(base, one), _ratio(base, two)) if base else _ratio(one, two)
-    return max(_ratio(a, b), partial, _ratio(" ".join(ta), " ".join(tb)), sets)
+    gx, gy = Counter(x[k : k + 2] for k in range(len(x) - 1)), Counter(y[k : k + 2] for k in range(len(y) - 1))
+    return 2.0 * sum((gx & gy).values()) / (len(x) + len(y) - 2)
+
+
+def _arranged(a: str, b: str) -> list[tuple[str, str]]:
+    """The pairs of the whole, token-sort and token-set ratios."""
+    ta, tb = a.split(), b.split()
+    sa, sb = set(ta), set(tb)
+    base = " ".join(sorted(sa & sb))
+    one, two = (" ".join(x for x in (base, " ".join(sorted(rest))) if x) for rest in (sa - sb, sb - sa))
+    return [(a, b), (" ".join(sorted(ta)), " ".join(sorted(tb))), (one, two)] + ([(base, one), (base, two)] if base else [])
+
+
+def fuzzy_scores(a: list[str | None], b: list[str | None]) -> np.ndarray:
+    """D03 of pairs of plain texts, in percent; 0 where one is empty. The partial ratio is the best one of the shorter text with a window of its length in the longer."""
+    best = np.zeros(len(a))
+    pairs, owner = [], []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        if x and y:
+            if x == y:
+                best[k] = 100.0
+            else:
+                best[k] = 100.0 * _dice(x, y)
+                found = _arranged(x, y)
+                pairs += found
+                owner += [k] * len(found)
+    np.maximum.at(best, owner, _ratios(pairs))
+    pairs, owner = [], []
+    for k in np.flatnonzero(best < 100).tolist():
+        x, y = sorted((a[k] or "", b[k] or ""), key=len)
+        # no window matches more than the characters that both have
+        if x and 200.0 * sum((Counter(x) & Counter(y)).values()) / (2 * len(x)) + 0.5 > best[k]:
+            found = [(x, y[i : i + len(x)]) for i in range(len(y) - len(x) + 1)]
+            pairs += found
+            owner += [k] * len(found)
+    np.maximum.at(best, owner, _ratios(pairs))
+    return best
 
 
 def _fuzzy_series(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_fuzzy(x, y) for x, y in zip(a, b, strict=True)])
+    return pd.Series(fuzzy_scores(list(a), list(b)))
+
+
+def _ratio_series(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(_ratios([(x or "", y or "") for x, y in zip(a, b, strict=True)]))
+
+
+def fuzzy_of_plain(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_fuzzy_series, "double")(a, b)
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """The whole ratio of two texts as they are, in whole percents; 0 where one is empty."""
+    return F.pandas_udf(_ratio_series, "double")(a, b)
 
 
 def fuzzy(a: Column, b: Column) -> Column:
-    """The best of whole, partial, token-sort and token-set ratios and dice, in percent, of plain texts.
-    Meant for candidates that a blocked join has left."""
-    x, y = plain(a), plain(b)
-    return F.greatest(F.pandas_udf(_fuzzy_series, "double")(x, y), dice(x, y) * 100)
+    """The best of whole, partial, token-sort and token-set ratios (whole percents) and dice, of plain texts. Meant for candidates
+    that fuzzy_join has left."""
+    return fuzzy_of_plain(plain(a), plain(b))

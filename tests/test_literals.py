@@ -4,6 +4,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  (registers the queries)
 from dealgraph.functions import normalize, similarity, text
 from dealgraph.plans import registry
 from dealgraph.sources import files
@@ -54,7 +55,7 @@ def brute_fuzzy(a, b):
         return 100.0
 
     def ratio(x, y):
-        return 200 * common(x, y) / (len(x) + len(y)) if x and y else 0.0
+        return int(200 * common(x, y) / (len(x) + len(y)) + 0.5) if x and y else 0.0
 
     short, long = sorted((a, b), key=len)
     ta, tb = set(a.split()), set(b.split())
