@@ -30,15 +30,14 @@ def company_key(text: Column) -> Column:
     """plain(), then each trailing suffix in turn."""
     out = plain(text)
     for suffix in TRAILING_SUFFIXES:
-        out = F.trim(F.regexp_replace(out, rf"\s+{suffix}$", ""))
+        out = F.trim(F.regexp_replace(out, rf"\b{suffix}$", ""))
     return out
 
 
 def vendor_key(text: Column) -> Column:
-    """Letters, digits and blanks, without suffix words wherever they stand."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9\s]", ""), r"\s+", " ")
-    out = F.regexp_replace(out, r"\b(inc|llc|ltd|corp|corporation|company|co|limited)\b", "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """Letters, digits and blanks, without suffix words wherever they stand (the blanks around one stay)."""
+    out = F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), r"[^a-z0-9\s]", ""), r"\s+", " ")
+    return F.trim(F.regexp_replace(out, r"\b(inc|llc|ltd|corp|corporation|company|co)\b", ""))
 
 
 def email_domain(text: Column) -> Column:

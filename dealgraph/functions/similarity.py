@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dealgraph.functions.normalize import plain
+from dealgraph.functions.normalize import company_key, plain
 
 #: Weights of name, customer, vendor, value, date, products and contacts.
 WEIGHTS = {"name": 0.25, "customer": 0.25, "vendor": 0.15, "value": 0.15, "date": 0.10, "products": 0.05, "contacts": 0.05}
@@ -61,12 +61,6 @@ def date_similarity(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), 0.0).when(days <= 7, _falling(days, 7)).when(days <= 28, 0.7 * (1 - (days - 7) / 21)).otherwise(0.0)
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance over the longer length, of the plain texts (built in, for joins over very many pairs)."""
-    x, y = plain(a), plain(b)
-    return F.when((x == "") | (y == ""), 0.0).otherwise(1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
-
-
 def weighted(**parts: Column) -> Column:
     """The weighted mean of all seven factors; a missing one counts as 0 and so lowers it."""
     total = F.lit(0.0)
@@ -135,25 +129,55 @@ def _arranged(a: str, b: str) -> list[tuple[str, str]]:
     return [(a, b), (" ".join(sorted(ta)), " ".join(sorted(tb))), (one, two)] + ([(base, one), (base, two)] if base else [])
 
 
-def fuzzy_scores(a: list[str | None], b: list[str | None]) -> np.ndarray:
-    """D03 of pairs of plain texts, in percent; 0 where one is empty. The partial ratio is the best one of the shorter text with a window of its length in the longer."""
+def _overlaps(a: list[str], b: list[str]) -> np.ndarray:
+    """How many characters (with repeats) the pairs have in common."""
+    kinds = {t: k for k, t in enumerate(dict.fromkeys([*a, *b]))}
+    codes = _codes(list(kinds), -1)
+    counts = np.stack([(codes == c).sum(1) for c in np.unique(codes[codes >= 0])] or [np.zeros(len(kinds), np.int64)], axis=1).astype(np.int16)
+    out = np.zeros(len(a), np.int64)
+    for k in range(0, len(a), 50_000):
+        out[k : k + 50_000] = np.minimum(counts[[kinds[t] for t in a[k : k + 50_000]]], counts[[kinds[t] for t in b[k : k + 50_000]]]).sum(1)
+    return out
+
+
+def fuzzy_scores(a: list[str | None], b: list[str | None], least: float = 0.0) -> np.ndarray:
+    """D03 of pairs of plain texts, in percent; 0 where one is empty. The partial ratio is the best one of the shorter text with a window of its length in the
+    longer. Scores below `least` may be given as 0: pairs whose characters in common can't make it are not looked at any further."""
     best = np.zeros(len(a))
+    rows = np.array([k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x and y], np.int64)
+    if not len(rows):
+        return best
+    common = _overlaps([a[k] for k in rows], [b[k] for k in rows])
+    shorter = np.array([min(len(a[k]), len(b[k])) for k in rows])
+    bare = np.array([min(len(a[k]) - a[k].count(" "), len(b[k]) - b[k].count(" ")) for k in rows])
+    # the most that a whole, sorted or partial ratio (common of the shorter text) or dice (common of its bigrams) can be
+    hope = 100.0 * np.maximum(common / shorter, common / np.maximum(1, bare - 1)) + 0.5
+    # words in common against one of the texts: c of its characters give 2 c / (c + all)
+    loose = np.flatnonzero((hope < least) & (200.0 * common / (common + shorter) + 0.5 >= least))
+    words = {t: set(t.split()) for k in rows[loose] for t in (a[k], b[k])}
+    for j in loose.tolist():
+        one, two = words[a[rows[j]]], words[b[rows[j]]]
+        base = one & two
+        if base:
+            c, n = (sum(map(len, w)) + len(w) - 1 for w in (base, min(one, two, key=lambda w: sum(map(len, w)) + len(w))))
+            hope[j] = 200.0 * c / (c + n) + 0.5
+    rows = rows[hope >= least]
     pairs, owner = [], []
-    for k, (x, y) in enumerate(zip(a, b, strict=True)):
-        if x and y:
-            if x == y:
-                best[k] = 100.0
-            else:
-                best[k] = 100.0 * _dice(x, y)
-                found = _arranged(x, y)
-                pairs += found
-                owner += [k] * len(found)
+    for k in rows.tolist():
+        x, y = a[k], b[k]
+        if x == y:
+            best[k] = 100.0
+        else:
+            best[k] = 100.0 * _dice(x, y)
+            found = _arranged(x, y)
+            pairs += found
+            owner += [k] * len(found)
     np.maximum.at(best, owner, _ratios(pairs))
     pairs, owner = [], []
-    for k in np.flatnonzero(best < 100).tolist():
-        x, y = sorted((a[k] or "", b[k] or ""), key=len)
+    for k in rows[best[rows] < 100].tolist():
+        x, y = sorted((a[k], b[k]), key=len)
         # no window matches more than the characters that both have
-        if x and 200.0 * sum((Counter(x) & Counter(y)).values()) / (2 * len(x)) + 0.5 > best[k]:
+        if 100.0 * sum((Counter(x) & Counter(y)).values()) / len(x) + 0.5 >= max(best[k], least):
             found = [(x, y[i : i + len(x)]) for i in range(len(y) - len(x) + 1)]
             pairs += found
             owner += [k] * len(found)
@@ -161,24 +185,35 @@ def fuzzy_scores(a: list[str | None], b: list[str | None]) -> np.ndarray:
     return best
 
 
-def _fuzzy_series(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(fuzzy_scores(list(a), list(b)))
-
-
 def _ratio_series(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_ratios([(x or "", y or "") for x, y in zip(a, b, strict=True)]))
 
 
-def fuzzy_of_plain(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_fuzzy_series, "double")(a, b)
+def fuzzy_of_plain(a: Column, b: Column, least: float = 0.0) -> Column:
+    """D03 of two plain texts; with `least`, what doesn't reach it may be 0. It is dear, so it is marked as one that must stay where it is written: a filter on it
+    would be moved below joins and distinct(), and evaluated there for all rows, and once more above."""
+    def scores(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(fuzzy_scores(list(x), list(y), least))
+
+    return F.pandas_udf(scores, "double").asNondeterministic()(a, b)
 
 
 def ratio(a: Column, b: Column) -> Column:
     """The whole ratio of two texts as they are, in whole percents; 0 where one is empty."""
-    return F.pandas_udf(_ratio_series, "double")(a, b)
+    return F.pandas_udf(_ratio_series, "double").asNondeterministic()(a, b)
 
 
 def fuzzy(a: Column, b: Column) -> Column:
     """The best of whole, partial, token-sort and token-set ratios (whole percents) and dice, of plain texts. Meant for candidates
     that fuzzy_join has left."""
     return fuzzy_of_plain(plain(a), plain(b))
+
+
+def weighted_score(one: str, two: str) -> Column:
+    """D08 of the columns deal_name, customer_name, vendor_id, deal_value, created_at, products and emails with the suffixes `one` and `two`."""
+    def of(f, name: str) -> Column:
+        return f(F.col(name + one), F.col(name + two))
+
+    return weighted(name=of(fuzzy, "deal_name") / 100, customer=of(lambda a, b: fuzzy_of_plain(company_key(a), company_key(b)), "customer_name") / 100, vendor=of(lambda a, b: (a == b).cast("double"), "vendor_id"),
+                    value=of(value_similarity, "deal_value"), date=of(date_similarity, "created_at"), products=of(lambda a, b: jaccard(F.transform(a, plain), F.transform(b, plain)), "products"),
+                    contacts=of(lambda a, b: jaccard(F.transform(a, F.lower), F.transform(b, F.lower)), "emails"))

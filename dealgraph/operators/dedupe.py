@@ -1,18 +1,28 @@
-"""Duplicate detection between records (D09-D20) and survivorship.
+"""Duplicate detection between records (D04, D08-D20, D27) and survivorship.
 
-Candidates come from equi joins on blocking keys, one per strategy family; no strategy compares
-all pairs. A hot block is split by AQE's skew handling, as both sides of the joins are shuffled
-by the block alone."""
+Names meet by the fuzzy similarity join (operators.fuzzy_join), on distinct names; records then meet by equi joins on what is
+alike: pairs of names, and buckets of values or dates as wide as the score allows. No strategy compares
+all pairs, needs an equal name, or loses a pair. `asked` picks the records that are compared with all others
+(rows (asked, other)); without it, each pair of the whole table is found once, the smaller id first. A hot key's
+rows are split by AQE, as both sides of the joins are shuffled by the join's keys alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealgraph.functions import similarity
 from dealgraph.functions.normalize import company_key, plain
+from dealgraph.operators.fuzzy_join import similar_pairs
 
 AUTO, REVIEW = 0.95, 0.85
+#: Thresholds of the strategies.
+NAME_LEAST, NAME_MEAN, ALIKE, VENDOR_ALIKE, FACTORS = 70, 85, 0.85, 0.80, 0.70
+#: Candidates of one record on line, the newest first.
+NEWEST = 200
+_FIELDS = ("id", "_n", "_m", "_k", "vendor_id", "deal_value", "created_at")
 
 
 def pairs_by(records: DataFrame, block: str, columns: tuple[str, ...], key: str = "id") -> DataFrame:
@@ -27,41 +37,111 @@ def both(f, name: str) -> Column:
     return f(F.col(f"{name}_1"), F.col(f"{name}_2"))
 
 
-def exact(records: DataFrame) -> DataFrame:
-    """The same plain name and company, values within 1 where both are known."""
-    r = records.withColumn("_key", F.concat(plain(F.col("deal_name")), F.lit("\u0001"), company_key(F.col("customer_name"))))
-    p = pairs_by(r, "_key", ("deal_value",))
-    return p.where(F.coalesce(F.abs(F.col("deal_value_1") - F.col("deal_value_2")) < 1, F.lit(True))).select("id_1", "id_2", F.lit("exact").alias("strategy"), F.lit(1.0).alias("score"))
+def prepared(records: DataFrame) -> DataFrame:
+    """Records (id, deal_name, customer_name, vendor_id, deal_value, created_at) with the forms that are compared: _n and _m, the plain
+    names of deal and customer, and _k, the customer's without company suffixes."""
+    return records.select("id", plain(F.col("deal_name")).alias("_n"), plain(F.col("customer_name")).alias("_m"), company_key(F.col("customer_name")).alias("_k"), "vendor_id", "deal_value", "created_at")
 
 
-def customer_value(records: DataFrame, least: float = 0.85) -> DataFrame:
-    """D11, blocked on the company: alike customer (the block) and value."""
-    p = pairs_by(records.withColumn("_c", company_key(F.col("customer_name"))), "_c", ("deal_value",))
-    v = both(similarity.value_similarity, "deal_value")
-    return p.where(v >= least).select("id_1", "id_2", F.lit("customer_value").alias("strategy"), (0.6 + 0.4 * v).alias("score"))
+def _sides(r: DataFrame, asked: Column | None) -> tuple[DataFrame, DataFrame, Column]:
+    left = (r if asked is None else r.where(asked)).select([F.col(c).alias(f"{c}_1") for c in _FIELDS])
+    return left, r.select([F.col(c).alias(f"{c}_2") for c in _FIELDS]), F.col("id_1") < F.col("id_2") if asked is None else F.col("id_1") != F.col("id_2")
 
 
-def customer_date(records: DataFrame, least: float = 0.85) -> DataFrame:
-    """D12, blocked on the company: alike customer (the block) and date."""
-    p = pairs_by(records.withColumn("_c", company_key(F.col("customer_name"))), "_c", ("created_at",))
-    d = both(similarity.date_similarity, "created_at")
-    return p.where(d >= least).select("id_1", "id_2", F.lit("customer_date").alias("strategy"), (0.6 + 0.4 * d).alias("score"))
+def alike(r: DataFrame, asked: Column | None, form: str, least: float) -> DataFrame:
+    """(a, b, score 0 to 1): the forms of asked records, and the forms of all records that are alike, equal ones included."""
+    mine = r if asked is None else r.where(asked)
+    return similar_pairs(mine.select(F.col(form).alias("text")), r.select(F.col(form).alias("text")), least * 100).withColumn("score", F.col("score") / 100)
+
+
+def _by_customer(r: DataFrame, asked: Column | None, customers: DataFrame, near: Column, other: Column) -> DataFrame:
+    """Pairs with alike customers (a, b, score: _c) of which a value of the array `near` of the first is `other` of the second."""
+    left, right, order = _sides(r, asked)
+    left = left.join(customers.select(F.col("a").alias("_k_1"), F.col("b").alias("_to"), F.col("score").alias("_c")), "_k_1").withColumn("_near", F.explode(near))
+    return left.join(right.withColumn("_near", other).withColumnRenamed("_k_2", "_to"), ["_to", "_near"]).where(order)
+
+
+def _value_bucket(value: Column, percent: float, steps: tuple[int, ...] = (0,)) -> Column:
+    """Buckets of values as wide as `percent` of the mean allows two values to lie apart; with -1, 0 and 1 as steps, all that may be near."""
+    width = math.log((2 + percent / 100) / (2 - percent / 100)) + 1e-9
+    bucket = F.when(value > 0, F.floor(F.log(value) / width))
+    return F.transform(F.array(*[F.lit(k) for k in steps]), lambda k: bucket + k) if len(steps) > 1 else bucket
+
+
+def _found(pairs: DataFrame, strategy: str, score: Column) -> DataFrame:
+    return pairs.select("id_1", "id_2", F.lit(strategy).alias("strategy"), score.alias("score"))
+
+
+def exact(r: DataFrame, asked: Column | None = None) -> DataFrame:
+    """The same plain name and company, values less than 1 apart where both are known and not 0."""
+    left, right, order = _sides(r, asked)
+    p = left.join(right, (F.col("_n_1") == F.col("_n_2")) & (F.col("_k_1") == F.col("_k_2"))).where(order)
+    known = (F.coalesce("deal_value_1", F.lit(0.0)) != 0) & (F.coalesce("deal_value_2", F.lit(0.0)) != 0)
+    return _found(p.where(~known | (F.abs(F.col("deal_value_1") - F.col("deal_value_2")) < 1)), "exact", F.lit(1.0))
+
+
+def fuzzy_name(r: DataFrame, asked: Column | None = None) -> DataFrame:
+    """Deal and customer names (suffixes and all) at least 70 percent alike, and 85 in the mean. Names meet as distinct names; pairs of
+    alike names that reach the mean are the key on which the records meet."""
+    left, right, order = _sides(r, asked)
+    names, customers = alike(r, asked, "_n", NAME_LEAST / 100), alike(r, asked, "_m", NAME_LEAST / 100)
+    kinds = left.select("_n_1", "_m_1").distinct()
+    kinds = kinds.join(names.select(F.col("a").alias("_n_1"), F.col("b").alias("_n_2"), F.col("score").alias("_x")), "_n_1").join(
+        customers.select(F.col("a").alias("_m_1"), F.col("b").alias("_m_2"), F.col("score").alias("_y")), "_m_1").where(F.round((F.col("_x") + F.col("_y")) / 2, 9) >= NAME_MEAN / 100)
+    p = left.join(kinds, ["_n_1", "_m_1"]).join(right, ["_n_2", "_m_2"]).where(order)
+    return _found(p, "fuzzy_name", (F.col("_x") + F.col("_y")) / 2)
 
 
-def vendor_customer(records: DataFrame, least: float = 0.80) -> DataFrame:
-    """D13, blocked on vendor and the last two letters of the company key: alike customers of one vendor whose names end alike."""
-    r = records.withColumn("_b", F.concat_ws("\u0001", F.col("vendor_id").cast("string"), F.right(company_key(F.col("customer_name")), F.lit(2))))
-    p = pairs_by(r.where("vendor_id is not null"), "_b", ("customer_name", "deal_name"))
-    c, n = both(similarity.edit_similarity, "customer_name"), both(similarity.edit_similarity, "deal_name")
-    return p.where(c >= least).select("id_1", "id_2", F.lit("vendor_customer").alias("strategy"), F.least(F.lit(1.0), 0.3 + 0.5 * c + 0.2 * n).alias("score"))
+def customer_value(r: DataFrame, asked: Column | None = None, customers: DataFrame | None = None, least: float = ALIKE) -> DataFrame:
+    """Customers and values alike; values meet in buckets. customers: alike(..., "_k", at most `least`), if it is there."""
+    customers = (alike(r, asked, "_k", least) if customers is None else customers).where(F.col("score") >= least)
+    percent = (1 - least) / 0.3 * 10
+    p = _by_customer(r, asked, customers, _value_bucket(F.col("deal_value_1"), percent, (-1, 0, 1)), _value_bucket(F.col("deal_value_2"), percent))
+    v = both(similarity.value_similarity, "deal_value")
+    return _found(p.where(v >= least), "customer_value", 0.6 * F.col("_c") + 0.4 * v)
+
 
+def customer_date(r: DataFrame, asked: Column | None = None, customers: DataFrame | None = None, least: float = ALIKE) -> DataFrame:
+    """Customers and dates alike; dates meet in buckets of days."""
+    customers = (alike(r, asked, "_k", least) if customers is None else customers).where(F.col("score") >= least)
+    days = math.floor((1 - least) / 0.3 * 7 + 1e-9) + 1
 
-def multi_factor(records: DataFrame, least: float = 0.70) -> DataFrame:
-    """D14, blocked on the company: the weighted score of all factors."""
-    p = pairs_by(records.withColumn("_c", company_key(F.col("customer_name"))), "_c", ("customer_name", "deal_name", "vendor_id", "deal_value", "created_at"))
-    s = similarity.weighted(name=both(similarity.edit_similarity, "deal_name"), customer=both(similarity.edit_similarity, "customer_name"), vendor=both(lambda a, b: (a == b).cast("double"), "vendor_id"),
-                            value=both(similarity.value_similarity, "deal_value"), date=both(similarity.date_similarity, "created_at"))
-    return p.where(s >= least).select("id_1", "id_2", F.lit("multi_factor").alias("strategy"), s.alias("score"))
+    def bucket(x: Column) -> Column:
+        return F.floor(F.datediff(x, F.lit("1970-01-01").cast("date")) / days)
+
+    p = _by_customer(r, asked, customers, F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: bucket(F.col("created_at_1")) + k), bucket(F.col("created_at_2")))
+    d = both(similarity.date_similarity, "created_at")
+    return _found(p.where(d >= least), "customer_date", 0.6 * F.col("_c") + 0.4 * d)
+
+
+def vendor_customer(r: DataFrame, asked: Column | None = None, customers: DataFrame | None = None, least: float = VENDOR_ALIKE) -> DataFrame:
+    """The same vendor and alike customers; the deals' names add to the score."""
+    customers = (alike(r, asked, "_k", least) if customers is None else customers).where(F.col("score") >= least)
+    p = _by_customer(r, asked, customers, F.array("vendor_id_1"), F.col("vendor_id_2"))
+    return _found(p, "vendor_customer", F.least(F.lit(1.0), 0.3 + 0.5 * F.col("_c") + 0.2 * both(similarity.fuzzy_of_plain, "_n") / 100))
+
+
+def multi_factor(r: DataFrame, asked: Column | None = None, customers: DataFrame | None = None, least: float = FACTORS) -> DataFrame:
+    """The weighted score of name, customer, vendor, value and date. A pair of one vendor and with some value in common meets by vendor and
+    value bucket; any other one can reach the score only if both names are alike, and meets by these."""
+    w = similarity.WEIGHTS
+    need = (least - w["value"] - w["date"]) / w["name"] - 1  # what each name must reach where the other is equal
+    if need <= 0.5:
+        raise ValueError("at so low a score, pairs without any alike name would count")
+    left, right, order = _sides(r, asked)
+    names = alike(r, asked, "_n", need)
+    customers = (alike(r, asked, "_k", need) if customers is None else customers).where(F.col("score") >= need)
+    to = names.select(F.col("a").alias("_n_1"), F.col("b").alias("_n_2"))
+    by_names = left.join(to, "_n_1").join(customers.select(F.col("a").alias("_k_1"), F.col("b").alias("_k_2")), "_k_1").join(right, ["_n_2", "_k_2"]).where(order)
+    near = left.withColumn("_near", F.explode(_value_bucket(F.col("deal_value_1"), 30, (-1, 0, 1)))).withColumn("_v", F.col("vendor_id_1"))
+    by_vendor = near.join(right.withColumn("_near", _value_bucket(F.col("deal_value_2"), 30)).withColumn("_v", F.col("vendor_id_2")), ["_v", "_near"]).where(order)
+    names_of = [f"{c}_{k}" for k in (1, 2) for c in _FIELDS]
+    p = by_names.select(names_of).unionByName(by_vendor.select(names_of)).dropDuplicates(["id_1", "id_2"])
+    rest = w["vendor"] * F.coalesce((F.col("vendor_id_1") == F.col("vendor_id_2")).cast("double"), F.lit(0.0)) + w["value"] * both(similarity.value_similarity, "deal_value") + w["date"] * both(similarity.date_similarity, "created_at")
+    # a pair that could not reach the score with equal names needs no comparison of names
+    p = p.withColumn("_rest", rest).where(F.col("_rest") + w["name"] + w["customer"] >= least - 1e-9)
+    score = F.col("_rest") + w["name"] * both(similarity.fuzzy_of_plain, "_n") / 100 + w["customer"] * both(similarity.fuzzy_of_plain, "_k") / 100
+    return _found(p.withColumn("_score", F.round(score, 9)).where(F.col("_score") >= least), "multi_factor", F.col("_score"))
 
 
 #: In the order that decides ties.
@@ -80,9 +160,45 @@ def combine(*found: DataFrame, least: float = REVIEW) -> DataFrame:
     return scored.withColumn("action", F.when(F.col("score") >= AUTO, "auto_merge").otherwise("manual_review"))
 
 
-def detect(records: DataFrame, least: float = REVIEW) -> DataFrame:
-    """Duplicates of a whole batch."""
-    return combine(exact(records), customer_value(records), customer_date(records), vendor_customer(records), multi_factor(records), least=least)
+def detect(records: DataFrame, asked: Column | None = None, least: float = REVIEW) -> DataFrame:
+    """Duplicates by all six strategies. The records and the alike customers are computed once."""
+    r = _cut(prepared(records))
+    customers = _cut(alike(r, asked, "_k", VENDOR_ALIKE))
+    return combine(exact(r, asked), fuzzy_name(r, asked), customer_value(r, asked, customers), customer_date(r, asked, customers), vendor_customer(r, asked, customers), multi_factor(r, asked, customers), least=least)
+
+
+def online_candidates(records: DataFrame, asked: Column, newest: int = NEWEST) -> DataFrame:
+    """(id_1, id_2, rank): what an asked record (id, customer_name, vendor_id, status, created_at) is compared with on line: records that are not
+    rejected, have the same vendor or hold the customer's name in theirs, the newest (then the smallest id) first. No more than `newest` of a
+    vendor or of a name can be among the newest of both, so only these are joined."""
+    from dealgraph.operators.vendor_match import contained_in
+
+    low = records.withColumn("_c", F.lower("customer_name"))
+    newest_first = [F.desc("created_at"), F.asc("id")]
+
+    def newest_of(key: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(*newest_first))
+        return low.where(F.coalesce("status", F.lit("")) != "rejected").where(F.col(key).isNotNull()).withColumn("_r", rank).where(F.col("_r") <= newest).select(key, F.col("id").alias("id_2"), F.col("created_at").alias("_at"))
+
+    mine = low.where(asked).select(F.col("id").alias("id_1"), "vendor_id", "_c")
+    held = contained_in(mine.select(F.col("_c").alias("short")), low.select(F.col("_c").alias("long")))
+    named = mine.join(held, F.col("_c") == F.col("short")).select("id_1", F.col("long").alias("_c")).join(newest_of("_c"), "_c").select("id_1", "id_2", "_at")
+    found = named.unionByName(mine.select("id_1", "vendor_id").join(newest_of("vendor_id"), "vendor_id").select("id_1", "id_2", "_at")).distinct()
+    rank = F.row_number().over(Window.partitionBy("id_1").orderBy(F.desc("_at"), F.asc("id_2")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= newest).where("id_1 <> id_2").select("id_1", "id_2", "rank")
+
+
+def find_similar(records: DataFrame, asked: Column, least: float = 0.5) -> DataFrame:
+    """The duplicates of each asked record among its on-line candidates, the surest first: (id_1, rank, id_2, strategy, score, action)."""
+    found = detect(records, asked, max(least, REVIEW)).join(online_candidates(records, asked).select("id_1", "id_2"), ["id_1", "id_2"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("id_1").orderBy(F.desc("score"), "id_2"))
+    return found.withColumn("rank", rank).select("id_1", "rank", "id_2", "strategy", "score", "action")
+
+
+def batch_summary(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """How many records (id) were asked, and how many of them have a duplicate in found (id_1, ...)."""
+    hit = found.select(F.col("id_1").alias("id")).distinct().withColumn("_hit", F.lit(1))
+    return asked.select("id").join(hit, "id", "left").agg(F.count("*").alias("total"), F.count("_hit").alias("duplicates_found"), (F.count("*") - F.count("_hit")).alias("unique_entities"))
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

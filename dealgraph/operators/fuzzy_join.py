@@ -91,5 +91,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
         index = other.select(F.col("text").alias("other"), F.explode(held).alias("piece"))
         return _probes(probing, t, often).join(index, "piece").select(F.col("text").alias(names[0]), F.col("other").alias(names[1]))
 
-    candidates = met(left, right, ("a", "b")).unionByName(met(right, left, ("b", "a"))).distinct()
-    return candidates.withColumn("score", fuzzy_of_plain(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    candidates = met(left, right, ("a", "b")).unionByName(met(right, left, ("b", "a")))
+    # rows are small, but their comparison is not: as many tasks as a shuffle has
+    candidates = candidates.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").distinct()
+    return candidates.withColumn("score", fuzzy_of_plain(F.col("a"), F.col("b"), least)).where(F.col("score") >= least)

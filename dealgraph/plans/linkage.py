@@ -5,54 +5,94 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.functions import scoring
+from dealgraph.functions import scoring, similarity
 from dealgraph.operators import dedupe, vendor_match
+from dealgraph.plans.named import ASKED, NAMED, fuzzy_ctes, named_deals, product_sets
 from dealgraph.plans.registry import register
 from dealgraph.plans.scalars import customers_sql, customers
 from dealgraph.sources.fixtures import SQL, deal_vendors, deals, table, vendors
 
 
-def block(s: SparkSession, d: str) -> DataFrame:
-    return deals(s, d)
+_V = "CASE WHEN coalesce({a}, 0) = 0 OR coalesce({b}, 0) = 0 THEN 0 WHEN {a} = {b} THEN 1 WHEN abs({a} - {b}) / (({a} + {b}) / 2) * 100 <= 10 THEN 1 - abs({a} - {b}) / (({a} + {b}) / 2) * 100 / 10 * 0.3 WHEN abs({a} - {b}) / (({a} + {b}) / 2) * 100 <= 30 THEN 0.7 * (1 - (abs({a} - {b}) / (({a} + {b}) / 2) * 100 - 10) / 20) ELSE 0 END::DOUBLE".format(a="x.deal_value", b="y.deal_value")
+_D = "CASE WHEN abs(date_diff('day', x.created_at, y.created_at)) <= 7 THEN 1 - abs(date_diff('day', x.created_at, y.created_at)) / 7 * 0.3 WHEN abs(date_diff('day', x.created_at, y.created_at)) <= 28 THEN 0.7 * (1 - (abs(date_diff('day', x.created_at, y.created_at)) - 7) / 21) ELSE 0 END::DOUBLE"
+_W = "coalesce((x.vendor_id = y.vendor_id)::INT, 0)"
+ASK = F.col("id") % ASKED == 0
+#: All asked deals against all others, and the fuzzy similarities of their names, each by comparing all distinct pairs.
+PAIRS = f"nd x JOIN nd y ON x.id % {ASKED} = 0 AND x.id <> y.id"
+_SIMILAR = {c: fuzzy_ctes(f"s{c}", f"SELECT x.{c} AS a, y.{c} AS b FROM (SELECT DISTINCT {c} FROM nd WHERE id % {ASKED} = 0) x, (SELECT DISTINCT {c} FROM nd) y") for c in "nmk"}
 
 
-_V = "CASE WHEN {a} = {b} THEN 1 WHEN abs({a} - {b}) / (({a} + {b}) / 2) * 100 <= 10 THEN 1 - abs({a} - {b}) / (({a} + {b}) / 2) * 100 / 10 * 0.3 WHEN abs({a} - {b}) / (({a} + {b}) / 2) * 100 <= 30 THEN 0.7 * (1 - (abs({a} - {b}) / (({a} + {b}) / 2) * 100 - 10) / 20) ELSE 0 END".format(a="a.deal_value", b="b.deal_value")
-_D = "CASE WHEN abs(date_diff('day', a.created_at, b.created_at)) <= 7 THEN 1 - abs(date_diff('day', a.created_at, b.created_at)) / 7 * 0.3 WHEN abs(date_diff('day', a.created_at, b.created_at)) <= 28 THEN 0.7 * (1 - (abs(date_diff('day', a.created_at, b.created_at)) - 7) / 21) ELSE 0 END"
-# plain forms are computed once per record
-PLAIN = SQL + r"""
-, k AS (SELECT id, regexp_replace(lower(deal_name), '[^\w\s]', '', 'g') AS deal_name, regexp_replace(lower(customer_name), '[^\w\s]', '', 'g') AS customer_name FROM deals)
-, p AS (SELECT a.id AS id_1, b.id AS id_2, a.vendor_id AS v1, b.vendor_id AS v2, a.customer_id AS c1, b.customer_id AS c2, k.deal_name AS n1, o.deal_name AS n2, k.customer_name AS m1, o.customer_name AS m2, abs(a.deal_value - b.deal_value) AS gap, """ + _V + " AS v, " + _D + """ AS t
-  FROM deals a JOIN deals b ON a.customer_id = b.customer_id AND a.id < b.id JOIN k ON k.id = a.id JOIN k o ON o.id = b.id)
-"""
-_N = "coalesce(1 - levenshtein(n1, n2) / greatest(length(n1), length(n2)), 0)"
-register("d09_exact", lambda s, d: dedupe.exact(block(s, d).withColumn("deal_value", F.lit(None).cast("double"))).select("id_1", "id_2", "score"), PLAIN + "SELECT id_1, id_2, CAST(1.0 AS DOUBLE) AS score FROM p WHERE n1 = n2")
-register("d11_customer_value", lambda s, d: dedupe.customer_value(block(s, d)).select("id_1", "id_2", F.round("score", 6).alias("score")), PLAIN + "SELECT id_1, id_2, round(0.6 + 0.4 * v, 6)::DOUBLE AS score FROM p WHERE v >= 0.85")
-register("d12_customer_date", lambda s, d: dedupe.customer_date(block(s, d)).select("id_1", "id_2", F.round("score", 6).alias("score")), PLAIN + "SELECT id_1, id_2, round(0.6 + 0.4 * t, 6)::DOUBLE AS score FROM p WHERE t >= 0.85")
-register("d14_multi_factor", lambda s, d: dedupe.multi_factor(block(s, d)).select("id_1", "id_2", F.round("score", 5).alias("score")), PLAIN + f"SELECT id_1, id_2, round(0.25 * {_N} + 0.25 + 0.15 * coalesce((v1 = v2)::INT, 0) + 0.15 * v + 0.10 * t, 5)::DOUBLE AS score FROM p WHERE 0.25 * {_N} + 0.25 + 0.15 * coalesce((v1 = v2)::INT, 0) + 0.15 * v + 0.10 * t >= 0.70")
-VC = SQL + r"""
-, k AS (SELECT id, vendor_id, regexp_replace(lower(deal_name), '[^\w\s]', '', 'g') AS n, regexp_replace(lower(customer_name), '[^\w\s]', '', 'g') AS m FROM deals)
-, vc AS (SELECT a.id AS id_1, b.id AS id_2, 1 - levenshtein(a.m, b.m) / greatest(length(a.m), length(b.m)) AS c, 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) AS n FROM k a JOIN k b ON a.vendor_id = b.vendor_id AND right(a.m, 2) = right(b.m, 2) AND a.id < b.id)
-"""
-register("d13_vendor_customer", lambda s, d: dedupe.vendor_customer(block(s, d)).select("id_1", "id_2", F.round("score", 5).alias("score")), VC + "SELECT id_1, id_2, round(least(1, 0.3 + 0.5 * c + 0.2 * n), 5)::DOUBLE AS score FROM vc WHERE c >= 0.80")
+def similar_sql(*forms: str) -> str:
+    return NAMED + "," + ",".join(_SIMILAR[c] for c in forms)
+
+
+def asked(f):
+    """A strategy over the named deals: those with an id divisible by ASKED against all."""
+    return lambda s, d: f(dedupe.prepared(named_deals(s, d)), ASK).select("id_1", "id_2", F.round("score", 5).alias("score"))
+
+
+_SK, _SN, _SM = (f"JOIN s{c} ON s{c}.a = x.{c} AND s{c}.b = y.{c}" for c in "knm")
+_SCORES = {
+    "exact": f"SELECT x.id AS id_1, y.id AS id_2, 1.0::DOUBLE AS score FROM {PAIRS} WHERE x.n = y.n AND x.k = y.k AND (coalesce(x.deal_value, 0) = 0 OR coalesce(y.deal_value, 0) = 0 OR abs(x.deal_value - y.deal_value) < 1)",
+    "fuzzy_name": f"SELECT x.id AS id_1, y.id AS id_2, (sn.score + sm.score) / 200 AS score FROM {PAIRS} {_SN} {_SM} WHERE sn.score >= 70 AND sm.score >= 70 AND round(sn.score + sm.score, 7) >= 170",
+    "customer_value": f"SELECT x.id AS id_1, y.id AS id_2, 0.6 * sk.score / 100 + 0.4 * {_V} AS score FROM {PAIRS} {_SK} WHERE sk.score >= 85 AND {_V} >= 0.85",
+    "customer_date": f"SELECT x.id AS id_1, y.id AS id_2, 0.6 * sk.score / 100 + 0.4 * {_D} AS score FROM {PAIRS} {_SK} WHERE sk.score >= 85 AND {_D} >= 0.85",
+    "vendor_customer": f"SELECT x.id AS id_1, y.id AS id_2, least(1, 0.3 + 0.5 * sk.score / 100 + 0.2 * sn.score / 100) AS score FROM {PAIRS} AND x.vendor_id = y.vendor_id {_SK} {_SN} WHERE sk.score >= 80",
+    "multi_factor": f"SELECT x.id AS id_1, y.id AS id_2, round(0.25 * sn.score / 100 + 0.25 * sk.score / 100 + 0.15 * {_W} + 0.15 * {_V} + 0.10 * {_D}, 9) AS score FROM {PAIRS} {_SK} {_SN} WHERE round(0.25 * sn.score / 100 + 0.25 * sk.score / 100 + 0.15 * {_W} + 0.15 * {_V} + 0.10 * {_D}, 9) >= 0.70",
+}
+_NEEDS = {"exact": "", "fuzzy_name": "nm", "customer_value": "k", "customer_date": "k", "vendor_customer": "kn", "multi_factor": "kn"}
+for _name, _strategy, _run in (("d09_exact", "exact", dedupe.exact), ("d10_fuzzy_name", "fuzzy_name", dedupe.fuzzy_name), ("d11_customer_value", "customer_value", dedupe.customer_value), ("d12_customer_date", "customer_date", dedupe.customer_date),
+                               ("d13_vendor_customer", "vendor_customer", dedupe.vendor_customer), ("d14_multi_factor", "multi_factor", dedupe.multi_factor)):
+    register(_name, asked(_run), (similar_sql(*_NEEDS[_strategy]) if _NEEDS[_strategy] else NAMED) + f" SELECT id_1, id_2, round(score, 5)::DOUBLE AS score FROM ({_SCORES[_strategy]})")
+register("d04_similar_customers", lambda s, d: dedupe.alike(dedupe.prepared(named_deals(s, d)), ASK, "_k", 0.85).select("a", "b", F.round("score", 6).alias("score")), similar_sql("k") + " SELECT a, b, round(score / 100, 6)::DOUBLE AS score FROM sk WHERE score >= 85")
+
+
+def d08(s: SparkSession, d: str) -> DataFrame:
+    """All seven factors of asked deals and the deals of alike customers."""
+    r = named_deals(s, d).join(product_sets(s, d), "id")
+    p = dedupe.prepared(r)
+    pairs = dedupe.vendor_customer(p, ASK, least=0.85).select("id_1", "id_2").unionByName(dedupe.customer_value(p, ASK).select("id_1", "id_2")).distinct()
+    fields = ["deal_name", "customer_name", "vendor_id", "deal_value", "created_at", "products", "emails"]
+    both = pairs.join(r.select(F.col("id").alias("id_1"), *[F.col(c).alias(f"{c}_1") for c in fields]), "id_1").join(r.select(F.col("id").alias("id_2"), *[F.col(c).alias(f"{c}_2") for c in fields]), "id_2")
+    return both.select("id_1", "id_2", F.round(similarity.weighted_score("_1", "_2"), 6).alias("score"))
+
+
+register("d08_weighted_score", d08, similar_sql("k", "n") + f"""
+, f AS (SELECT l_orderkey AS id, list_distinct(list(p_type)) AS products, [any_value('a' || (o_custkey % 100) || '@x.com'), any_value('b' || o_custkey || '@y.com')] AS emails FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+z AS (SELECT x.id AS id_1, y.id AS id_2, 0.25 * sn.score / 100 + 0.25 * sk.score / 100 + 0.15 * {_W} + 0.15 * {_V} + 0.10 * {_D} AS most FROM {PAIRS} {_SK} {_SN} WHERE sk.score >= 85 AND (x.vendor_id = y.vendor_id OR {_V} >= 0.85))
+SELECT id_1, id_2, round(most + 0.05 * len(list_intersect(a.products, b.products)) / len(list_distinct(a.products || b.products)) + 0.05 * len(list_intersect(a.emails, b.emails)) / len(list_distinct(a.emails || b.emails)), 6)::DOUBLE AS score
+FROM z JOIN f a ON a.id = id_1 JOIN f b ON b.id = id_2""")
 
 
 def d15(s: SparkSession, d: str) -> DataFrame:
-    r = block(s, d)
-    return dedupe.combine(dedupe.exact(r), dedupe.customer_value(r), dedupe.customer_date(r), dedupe.multi_factor(r), least=0.9).select("id_1", "id_2", "strategy", F.round("score", 3).alias("score"))
+    return dedupe.detect(named_deals(s, d), ASK).select("id_1", "id_2", "strategy", F.round("score", 3).alias("score"), "action")
+
+
+_BEST = similar_sql("n", "m", "k") + ", f AS (" + " UNION ALL ".join(f"SELECT id_1, id_2, '{name}' AS strategy, round(score, 6)::DOUBLE AS score, {k} AS r FROM ({sql})" for k, (name, sql) in enumerate(_SCORES.items())) + """),
+best AS (SELECT id_1, id_2, strategy, score, CASE WHEN score >= 0.95 THEN 'auto_merge' ELSE 'manual_review' END AS action FROM f WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY id_1, id_2 ORDER BY score DESC, r) = 1)"""
+register("d15_best_strategy", d15, _BEST + " SELECT id_1, id_2, strategy, round(score, 3)::DOUBLE AS score, action FROM best")
+
+_ONLINE = f"""
+o AS (SELECT x.id AS id_1, y.id AS id_2, y.created_at FROM nd x JOIN nd y ON x.id % {ASKED} = 0 AND y.status <> 'rejected' AND (x.vendor_id = y.vendor_id OR contains(lower(y.customer_name), lower(x.customer_name)))),
+c AS (SELECT id_1, id_2, row_number() OVER (PARTITION BY id_1 ORDER BY created_at DESC, id_2)::INT AS rank FROM o QUALIFY rank <= 200)"""
+register("d16_online_candidates", lambda s, d: dedupe.online_candidates(named_deals(s, d), ASK), NAMED + "," + _ONLINE + " SELECT id_1, id_2, rank FROM c WHERE id_1 <> id_2")
+
+
+def d27(s: SparkSession, d: str) -> DataFrame:
+    return dedupe.find_similar(named_deals(s, d), ASK)
 
 
-register("d15_best_strategy", d15, PLAIN + f"""
-, f AS (SELECT id_1, id_2, 'exact' AS strategy, 1.0::DOUBLE AS score, 1 AS r FROM p WHERE n1 = n2 AND gap < 1 UNION ALL SELECT id_1, id_2, 'customer_value', 0.6 + 0.4 * v, 3 FROM p WHERE v >= 0.85
-UNION ALL SELECT id_1, id_2, 'customer_date', 0.6 + 0.4 * t, 4 FROM p WHERE t >= 0.85 UNION ALL SELECT id_1, id_2, 'multi_factor', 0.25 * {_N} + 0.25 + 0.15 * coalesce((v1 = v2)::INT, 0) + 0.15 * v + 0.10 * t, 6 FROM p WHERE 0.25 * {_N} + 0.25 + 0.15 * coalesce((v1 = v2)::INT, 0) + 0.15 * v + 0.10 * t >= 0.70)
-SELECT id_1, id_2, strategy, round(round(score, 6), 3)::DOUBLE AS score FROM f WHERE round(score, 6) >= 0.9 QUALIFY row_number() OVER (PARTITION BY id_1, id_2 ORDER BY round(score, 6) DESC, r) = 1""")
+_FOUND = _BEST + "," + _ONLINE + ", found AS (SELECT id_1, row_number() OVER (PARTITION BY id_1 ORDER BY score DESC, id_2)::INT AS rank, id_2, strategy, score, action FROM best SEMI JOIN c USING (id_1, id_2))"
+register("d27_find_similar", lambda s, d: d27(s, d).withColumn("score", F.round("score", 5)), _FOUND + " SELECT id_1, rank, id_2, strategy, round(score, 5)::DOUBLE AS score, action FROM found")
+register("d27_batch_summary", lambda s, d: dedupe.batch_summary(named_deals(s, d).where(ASK), d27(s, d)), _FOUND + f" SELECT count(*) AS total, count(h) AS duplicates_found, count(*) - count(h) AS unique_entities FROM nd LEFT JOIN (SELECT DISTINCT id_1 AS h FROM found) ON h = id WHERE id % {ASKED} = 0")
 
 
 def d18(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.cluster_keys(dedupe.clusters(dedupe.customer_date(block(s, d)).where("score >= 0.95")))
+    return dedupe.cluster_keys(dedupe.clusters(dedupe.vendor_customer(dedupe.prepared(named_deals(s, d)), least=0.95).where("score >= 0.95")))
 
 
-register("d18_clusters", d18, PLAIN.replace("WITH deals", "WITH RECURSIVE deals", 1) + """
-, e AS (SELECT id_1 AS a, id_2 AS b FROM p WHERE t >= 0.85 AND 0.6 + 0.4 * t >= 0.95 UNION SELECT id_2, id_1 FROM p WHERE t >= 0.85 AND 0.6 + 0.4 * t >= 0.95),
+register("d18_clusters", d18, NAMED.replace("WITH deals", "WITH RECURSIVE deals", 1) + "," + fuzzy_ctes("sk", "SELECT x.k AS a, y.k AS b FROM (SELECT DISTINCT k FROM nd) x, (SELECT DISTINCT k FROM nd) y") + "," + fuzzy_ctes("sn", "SELECT x.n AS a, y.n AS b FROM (SELECT DISTINCT n FROM nd) x, (SELECT DISTINCT n FROM nd) y") + f"""
+, e AS (SELECT x.id AS a, y.id AS b FROM nd x JOIN nd y ON x.id <> y.id AND x.vendor_id = y.vendor_id {_SK} {_SN} WHERE sk.score >= 95 AND least(1, 0.3 + 0.5 * sk.score / 100 + 0.2 * sn.score / 100) >= 0.95),
 w(id, reached) AS (SELECT DISTINCT a, a FROM e UNION SELECT id, b FROM w JOIN e ON a = reached), c AS (SELECT id, min(reached) AS cluster_id FROM w GROUP BY 1)
 SELECT cluster_id, count(*) AS size, min(id) AS first_id, max(id) AS last_id FROM c GROUP BY 1 HAVING count(*) > 1""")
 register("d19_pair_log", lambda s, d: dedupe.ordered_pair_log(deal_vendors(s, d).select(F.col("vendor_id").alias("a"), (F.col("deal_id") % 100).alias("b"), F.lit(1).alias("score")).where("a <> b"), "a", "b", "score"), SQL + "SELECT least(vendor_id, deal_id % 100) AS id_1, greatest(vendor_id, deal_id % 100) AS id_2, max(1) AS score FROM deal_vendors WHERE vendor_id <> deal_id % 100 GROUP BY 1, 2")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealgraph.functions import normalize, similarity
+from dealgraph.plans.named import fuzzy_ctes
 from dealgraph.plans.registry import register
 from dealgraph.plans.written import written, written_sql
 from dealgraph.sources.fixtures import SQL, deals, table, vendors
@@ -26,13 +27,13 @@ register("d01_plain", lambda s, d: companies(s, d).select("id", normalize.plain(
 
 def _suffixes(x: str) -> str:
     for suffix in normalize.TRAILING_SUFFIXES:
-        x = rf"trim(regexp_replace({x}, '\s+{suffix}$', ''))"
+        x = rf"trim(regexp_replace({x}, '\b{suffix}$', ''))"
     return x
 
 
 register("d02_company_key", lambda s, d: companies(s, d).select("id", normalize.company_key(F.col("x")).alias("y")), _COMPANIES + f"SELECT id, {_suffixes(PLAIN)} AS y FROM t")
 register("v08_vendor_key", lambda s, d: companies(s, d).select("id", normalize.vendor_key(F.col("x")).alias("y")), _COMPANIES + r"""
-SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(x)), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'), '\b(inc|llc|ltd|corp|corporation|company|co|limited)\b', '', 'g'), '\s+', ' ', 'g')) AS y FROM t""")
+SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(x)), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'), '\b(inc|llc|ltd|corp|corporation|company|co)\b', '', 'g')) AS y FROM t""")
 
 
 def _company_sql() -> str:
@@ -151,8 +152,8 @@ _X, _Y = r"regexp_replace(a, '\s+', '', 'g')", r"regexp_replace(b, '\s+', '', 'g
 register("v05_dice", lambda s, d: name_pairs(s, d).select("id", F.round(similarity.dice(F.col("a"), F.col("b")), 6).alias("dice")), _PAIRS + f"""
 , g AS (SELECT id, {_X} AS x, {_Y} AS y FROM t), h AS (SELECT *, {_BIGRAMS.format('x')} AS gx, {_BIGRAMS.format('y')} AS gy FROM g)
 SELECT id, round(CASE WHEN x = y THEN 1.0 WHEN length(x) < 2 OR length(y) < 2 THEN 0.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(gx), lambda e: least(len(list_filter(gx, lambda q: q = e)), len(list_filter(gy, lambda q: q = e))))), 0) / (len(gx) + len(gy)) END, 6)::DOUBLE AS dice FROM h""")
-# the longest common subsequences of D03 have no SQL; tests compare it with another implementation
-register("d03_fuzzy", lambda s, d: name_pairs(s, d).select("id", "a", "b", F.round(similarity.fuzzy(F.col("a"), F.col("b")), 4).alias("score")))
+register("d03_fuzzy", lambda s, d: name_pairs(s, d).select("id", "a", "b", F.round(similarity.fuzzy(F.col("a"), F.col("b")), 4).alias("score")), _PAIRS + "," + fuzzy_ctes("f", "SELECT trim(a) AS a, trim(b) AS b FROM t") + """
+SELECT id, t.a, t.b, round(coalesce(score, 0), 4)::DOUBLE AS score FROM t LEFT JOIN f ON f.a = trim(t.a) AND f.b = trim(t.b)""")
 
 
 def d05(s: SparkSession, d: str) -> DataFrame:
@@ -207,23 +208,6 @@ WITH v AS (SELECT c_custkey AS id, {_TRI.format('c_name')} AS g, right(c_name, 3
 SELECT a.id AS id_1, b.id AS id_2, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6)::DOUBLE AS sim FROM v a JOIN v b ON a.k = b.k AND a.id < b.id""")
 
 
-def d08(s: SparkSession, d: str) -> DataFrame:
-    """Weighted scores of deals of one customer (the block), without products and contacts."""
-    c = deals(s, d).select("id", "customer_id", "customer_name", "vendor_id", "deal_name", "deal_value", "created_at")
-    a, b = c.select([F.col(x).alias(f"{x}_1") for x in c.columns]), c.select([F.col(x).alias(f"{x}_2") for x in c.columns])
-    p = a.join(b, F.col("customer_id_1") == F.col("customer_id_2")).where("id_1 < id_2")
-    score = similarity.weighted(name=similarity.edit_similarity(F.col("deal_name_1"), F.col("deal_name_2")), customer=(F.col("customer_name_1") == F.col("customer_name_2")).cast("double"), vendor=(F.col("vendor_id_1") == F.col("vendor_id_2")).cast("double"),
-                                value=similarity.value_similarity(F.col("deal_value_1"), F.col("deal_value_2")), date=similarity.date_similarity(F.col("created_at_1"), F.col("created_at_2")))
-    return p.select("id_1", "id_2", F.round(score, 6).alias("score"))
-
-
-register("d08_weighted_score", d08, SQL + """
-, p AS (SELECT a.id AS id_1, b.id AS id_2, a.deal_name AS n1, b.deal_name AS n2, a.vendor_id AS v1, b.vendor_id AS v2, a.deal_value AS x, b.deal_value AS y, abs(date_diff('day', a.created_at, b.created_at)) AS n,
-  abs(a.deal_value - b.deal_value) / ((a.deal_value + b.deal_value) / 2) * 100 AS p FROM deals a JOIN deals b ON a.customer_id = b.customer_id AND a.id < b.id)
-SELECT id_1, id_2, round(0.25 * coalesce(1 - levenshtein(n1, n2) / greatest(length(n1), length(n2)), 0) + 0.25 + 0.15 * coalesce((v1 = v2)::INT, 0)
- + 0.15 * CASE WHEN x = y THEN 1 WHEN p <= 10 THEN 1 - p / 10 * 0.3 WHEN p <= 30 THEN 0.7 * (1 - (p - 10) / 20) ELSE 0 END
- + 0.10 * CASE WHEN n <= 7 THEN 1 - n / 7 * 0.3 WHEN n <= 28 THEN 0.7 * (1 - (n - 7) / 21) ELSE 0 END, 6)::DOUBLE AS score FROM p""")
-
 def v02(s: SparkSession, d: str) -> DataFrame:
     """Exact match on the normalised name, of documents' sources to vendors by a padded number."""
     v = vendors(s, d).select("vendor_id", normalize.vendor_key(F.col("vendor_name")).alias("k"))

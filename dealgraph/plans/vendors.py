@@ -10,7 +10,7 @@ from dealgraph.plans.registry import register
 from dealgraph.plans.written import written, written_sql
 from dealgraph.sources.fixtures import SQL, deals, table
 
-KEY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'), '\\b(inc|llc|ltd|corp|corporation|company|co|limited)\\b', '', 'g'), '\\s+', ' ', 'g'))"
+KEY = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'), '\\b(inc|llc|ltd|corp|corporation|company|co)\\b', '', 'g'))"
 
 
 def products(s: SparkSession, d: str) -> DataFrame:
