@@ -1,20 +1,15 @@
 """Linking vendor mentions to a vendor catalogue.
 
-Each strategy is an equi join that yields candidates; the cascade ranks their union."""
+Similar names and combined factors are in vendor_search."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgraph.functions.normalize import email_domain, vendor_key
 from dealgraph.functions.similarity import grams
 
-LEAST = 0.3
-#: In the order that decides ties.
-STRATEGIES = ("exact", "alias", "domain", "fuzzy", "product", "combined")
-
-
 def by_name(mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The same normalised name."""
     v = catalogue.select("vendor_id", vendor_key(F.col("vendor_name")).alias("_k"))
@@ -33,14 +28,6 @@ def by_domain(mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
     return mentions.select("mention_id", email_domain(F.col("email")).alias("_k")).join(v, "_k").select("mention_id", "vendor_id", F.lit("domain").alias("strategy"), F.lit(0.9).alias("confidence"))
 
 
-def cascade(mentions: DataFrame, catalogue: DataFrame, keep: int = 4) -> DataFrame:
-    """The best candidate and up to three alternatives per mention."""
-    found = by_name(mentions, catalogue).unionByName(by_alias(mentions, catalogue)).unionByName(by_domain(mentions, catalogue)).where(F.col("confidence") >= LEAST)
-    rank = F.array_position(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("strategy"))
-    w = Window.partitionBy("mention_id").orderBy(F.desc("confidence"), rank, "vendor_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
-
-
 def level(confidence: Column) -> Column:
     """V14."""
     return F.when(confidence >= 0.9, "High").when(confidence >= 0.7, "Medium").otherwise("Low")
@@ -78,31 +65,10 @@ def contained_in(shorts: DataFrame, longs: DataFrame, gram: int = 6) -> DataFram
     return s.join(t, "_k").where(F.contains("long", F.col("short"))).select("short", "long").distinct()
 
 
-def by_products(mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """V06 without its edit-distance test: mentions (mention_id, products), catalogue (vendor_id, keywords). A product
-    counts if it holds one of the vendor's keywords or is held by one; the vendor with most of them, the smallest id
-    among equals."""
-    m = mentions.select("mention_id", F.size("products").alias("n"), F.posexplode("products").alias("_pos", "product")).withColumn("product", vendor_key(F.col("product")))
-    k = catalogue.select("vendor_id", F.explode("keywords").alias("keyword")).select("vendor_id", vendor_key(F.col("keyword")).alias("keyword"))
-    a = contained_in(k.select(F.col("keyword").alias("short")), m.select(F.col("product").alias("long"))).select(F.col("short").alias("keyword"), F.col("long").alias("product"))
-    b = contained_in(m.select(F.col("product").alias("short")), k.select(F.col("keyword").alias("long"))).select(F.col("long").alias("keyword"), F.col("short").alias("product"))
-    vendor_of = a.unionByName(b).distinct().join(k, "keyword").select("product", "vendor_id").distinct()
-    hits = m.join(vendor_of, "product").groupBy("mention_id", "vendor_id", "n").agg(F.count("*").alias("hits"))
-    best = hits.groupBy("mention_id", "n").agg(F.max(F.struct("hits", (-F.col("vendor_id")).alias("v"))).alias("b"))
-    return best.select("mention_id", (-F.col("b.v")).alias("vendor_id"), F.lit("product").alias("strategy"), F.round(F.least(F.lit(0.85), 0.5 + F.col("b.hits") / F.col("n") * 0.35), 6).alias("confidence"))
-
-
-def product_ratio(products: Column, keywords: Column) -> Column:
-    """The share of the keywords that a product holds or is held by; 0 without keywords."""
-    p, k = F.transform(products, vendor_key), F.transform(keywords, vendor_key)
-    hit = F.filter(k, lambda x: F.exists(p, lambda y: F.contains(x, y) | F.contains(y, x)))
-    return F.when((F.size(k) == 0) | (F.size(p) == 0), 0.0).otherwise(F.size(hit) / F.size(k))
-
-
 def by_containment(mentions: DataFrame, catalogue: DataFrame, least: float = 0.75) -> DataFrame:
     """The same normalised name, else one that holds the other and is not much longer; the surest, then the smallest vendor."""
-    m = mentions.select("mention_id", vendor_key(F.col("name")).alias("m"))
-    v = catalogue.select("vendor_id", vendor_key(F.col("vendor_name")).alias("v"))
+    m = mentions.select("mention_id", text_key(F.col("name")).alias("m"))
+    v = catalogue.select("vendor_id", text_key(F.col("vendor_name")).alias("v"))
     a = contained_in(v.select(F.col("v").alias("short")), m.select(F.col("m").alias("long"))).select(F.col("short").alias("v"), F.col("long").alias("m"))
     b = contained_in(m.select(F.col("m").alias("short")), v.select(F.col("v").alias("long"))).select(F.col("long").alias("v"), F.col("short").alias("m"))
     share = F.least(F.length("m"), F.length("v")) / F.greatest(F.length("m"), F.length("v"))
@@ -111,13 +77,45 @@ def by_containment(mentions: DataFrame, catalogue: DataFrame, least: float = 0.7
     return best.select("mention_id", (-F.col("b.v")).alias("vendor_id"), F.round("b.confidence", 6).alias("confidence"), F.when(F.col("b.confidence") == 1, "normalized").otherwise("fuzzy").alias("strategy"))
 
 
+#: Characters of a piece of a text that is scanned at once.
+PIECE = 4_000
+
+
+def found_in_texts(texts: DataFrame, names: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(text_id, name): the names (name, distinct) that a text (text_id, text) holds anywhere, in lower case. Texts are cut into pieces that overlap by the longest name's
+    length; a piece gives the hash of the window at each of its positions, for each of the lengths of which names
+    begin (up to 12), and these hashes, with no more of the text than the characters of the longest name, meet the names' in an equi join, which compares the
+    characters. So a text is never copied, and a piece of any text is a bounded row."""
+    known = names.select(F.lower("name").alias("low"), "name").where("low <> ''").distinct().withColumn("n", F.length("low"))
+    longest = known.agg(F.max("n")).first()[0] or 0
+    keyed = known.withColumn("k", F.least("n", F.lit(12)))
+    lengths = sorted(r["k"] for r in keyed.select("k").distinct().collect())  # at most 12 numbers
+    if not lengths:
+        return texts.select("text_id", F.lit("").alias("name")).limit(0)
+    low = texts.select("text_id", F.lower("text").alias("t"))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("t") - 1, F.lit(0)), F.lit(piece))
+    pieces = low.where("t <> ''").select("text_id", F.explode(F.transform(starts, lambda a: F.substring("t", a + 1, F.lit(piece + longest - 1)))).alias("p"))
+    heads = keyed.select(F.xxhash64(F.left("low", F.col("k"))).alias("h"), "low", "name", "n")
+    at = F.sequence(F.lit(1), F.least(F.length("p"), F.lit(piece)))
+    windows = pieces.select("text_id", "p", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("k")).select(
+        "text_id", F.explode(F.transform(at, lambda i: F.struct(F.xxhash64(F.substring("p", i, F.col("k"))).alias("h"), F.substring("p", i, F.lit(longest)).alias("w")))).alias("x")).select("text_id", "x.h", "x.w")
+    # all but few windows are of no name: first by the hashes alone, which are handed to the tasks while they are few
+    hashes = heads.select("h").distinct()
+    hashes = F.broadcast(hashes) if hashes.count() <= 500_000 else hashes
+    return windows.join(hashes, "h", "left_semi").distinct().join(heads, "h").where(F.left("w", F.col("n")) == F.col("low")).select("text_id", "name").distinct()
+
+
+def text_key(text: Column) -> Column:
+    """Lower case, without suffix words wherever they stand (with a dot, if they have one) and without signs."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\b(inc|llc|ltd|corp|corporation|company|co)\b\.?", ""), r"[^\w\s]", ""))
+
+
 def in_texts(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(text_id, vendor_id, confidence, strategy): vendors whose normalised name a text (text_id, text) holds, or at whose
     domain it has an address; a name wins."""
-    v = catalogue.select("vendor_id", vendor_key(F.col("vendor_name")).alias("v"), F.lower("domain").alias("domain"))
-    low = texts.select("text_id", F.lower("text").alias("long"))
-    named = contained_in(v.select(F.col("v").alias("short")), low).join(low, "long").join(v, F.col("short") == F.col("v")).select("text_id", "vendor_id", F.lit("fuzzy").alias("strategy"))
-    domains = texts.select("text_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})\b"), F.lit(1))).alias("domain")).select("text_id", F.lower("domain").alias("domain"))
+    v = catalogue.select("vendor_id", text_key(F.col("vendor_name")).alias("name"), F.lower("domain").alias("domain"))
+    named = found_in_texts(texts, v.select("name")).join(v.select("vendor_id", "name"), "name").select("text_id", "vendor_id", F.lit("fuzzy").alias("strategy"))
+    domains = texts.select("text_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z|]{2,})\b"), F.lit(1))).alias("domain")).select("text_id", F.lower("domain").alias("domain"))
     at = domains.distinct().join(v.where("domain is not null"), "domain").select("text_id", "vendor_id", F.lit("domain").alias("strategy"))
     found = named.unionByName(at).groupBy("text_id", "vendor_id").agg(F.max("strategy").alias("strategy"))
     return found.withColumn("confidence", F.when(F.col("strategy") == "fuzzy", 0.8).otherwise(0.9))

@@ -217,15 +217,7 @@ def catalogue(s: SparkSession, d: str) -> DataFrame:
     return vendors(s, d).select("vendor_id", "vendor_name", F.concat(F.lit("s"), F.col("vendor_id").cast("string"), F.lit(".example.com")).alias("domain"), F.concat(F.lit("alias "), (F.col("vendor_id") % 40).cast("string")).alias("alias"))
 
 
-register("v01_match_cascade", lambda s, d: vendor_match.cascade(mentions(s, d), catalogue(s, d)), r"""
-WITH q AS (SELECT c_custkey AS mention_id, 'supplier' || lpad((c_custkey * 7 % 140)::VARCHAR, 9, '0') AS k, 's' || (c_custkey % 120) || '.example.com' AS domain FROM customer),
-v AS (SELECT s_suppkey AS vendor_id, regexp_replace(lower(s_name), '[^a-z0-9\s]', '', 'g') AS k, 's' || s_suppkey || '.example.com' AS domain FROM supplier),
-c AS (SELECT mention_id, vendor_id, 'exact' AS strategy, 1.0 AS confidence, 1 AS r FROM q JOIN v USING (k) UNION ALL SELECT mention_id, vendor_id, 'domain', 0.9, 3 FROM q JOIN v ON q.domain = v.domain)
-SELECT mention_id, vendor_id, strategy, confidence::DOUBLE AS confidence, CAST(row_number() OVER (PARTITION BY mention_id ORDER BY confidence DESC, r, vendor_id) AS INT) AS rank FROM c QUALIFY rank <= 4""")
 register("v04_domain_match", lambda s, d: vendor_match.by_domain(mentions(s, d), catalogue(s, d)).select("mention_id", "vendor_id"), "SELECT c_custkey AS mention_id, s_suppkey AS vendor_id FROM customer JOIN supplier ON c_custkey % 120 = s_suppkey")
-register("v14_match_levels", lambda s, d: vendor_match.cascade(mentions(s, d), catalogue(s, d)).where("rank = 1").groupBy(vendor_match.level(F.col("confidence")).alias("level")).agg(F.count("*").alias("n")), """
-WITH c AS (SELECT c_custkey, max(CASE WHEN c_custkey * 7 % 140 = s_suppkey THEN 1.0 WHEN c_custkey % 120 = s_suppkey THEN 0.9 END) AS x FROM customer JOIN supplier ON c_custkey * 7 % 140 = s_suppkey OR c_custkey % 120 = s_suppkey GROUP BY 1)
-SELECT CASE WHEN x >= 0.9 THEN 'High' WHEN x >= 0.7 THEN 'Medium' ELSE 'Low' END AS level, count(*) AS n FROM c GROUP BY 1""")
 register("v12_learned_aliases", lambda s, d: vendor_match.learn_aliases(table(s, d, "events").select(F.col("user_id").alias("vendor_id"), F.col("event_type").alias("alias"), (F.col("value") / 100).alias("confidence")), 0.85, 3), """
 SELECT user_id AS vendor_id, event_type AS alias, count(*) AS frequency, round(least(0.95, 0.7 + count(*) / 10 * 0.25), 6)::DOUBLE AS confidence FROM events WHERE value / 100 >= 0.85 GROUP BY 1, 2 HAVING count(*) >= 3""")
 register("v18_review_queue", lambda s, d: vendor_match.review_queue(table(s, d, "events").select(F.col("event_type").alias("name"), "ts", "value")), "SELECT event_type AS alias, count(*) AS detections, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")

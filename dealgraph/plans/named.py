@@ -85,3 +85,69 @@ def fuzzy_ctes(name: str, pairs: str) -> str:
 {name}_d AS (SELECT a, b, CASE WHEN x = y THEN 100 WHEN length(x) < 2 OR length(y) < 2 THEN 0 ELSE 200.0 * coalesce(list_sum(list_transform(list_distinct(gx), lambda e: least(len(list_filter(gx, lambda q: q = e)), len(list_filter(gy, lambda q: q = e))))), 0) / (len(gx) + len(gy)) END::DOUBLE AS d
   FROM (SELECT *, {grams.format('x')} AS gx, {grams.format('y')} AS gy FROM {name}_g)),
 {name} AS (SELECT a, b, greatest(r, d)::DOUBLE AS score FROM {name}_r JOIN {name}_d USING (a, b) UNION ALL SELECT a, b, 100 FROM {name}_p WHERE a = b)"""
+
+
+# ---------------------------------------------------------------- vendors and mentions of them
+
+MENTIONED = ["{}", "{} Inc.", "{} Hldgs", "{}s LLC", "the {}", "{} Grp.", "x{}", "{}", None, "LLC"]
+
+
+def _spread(k: Column) -> Column:
+    """Another number for each number, so that names near in number are not alike."""
+    return k * 7919 % 10_000 + F.floor(k / 10_000) * 10_000
+
+
+def _spread_sql(k: str) -> str:
+    return f"({k} * 7919 % 10000 + {k} // 10000 * 10000)"
+
+
+def _company_of(k: str) -> str:
+    return _COMPANY.replace(_K, k)
+
+
+def vendor_catalogue(s: SparkSession, d: str) -> DataFrame:
+    """(vendor_id, vendor_name, domains, products): suppliers as companies; the products are the name (whole or its last word) and the type of the part with their number."""
+    k = F.col("s_suppkey")
+    part = table(s, d, "part").select(F.col("p_partkey").alias("s_suppkey"), "p_name", "p_type")
+    return table(s, d, "supplier").join(part, "s_suppkey", "left").select(
+        k.alias("vendor_id"), F.concat(_company(_spread(k)), F.when(k % 3 == 0, ", Inc.").otherwise("")).alias("vendor_name"),
+        F.array(F.concat(F.lit("s"), k.cast("string"), F.lit(".example.com")), F.concat(F.lit("m"), (k % 60).cast("string"), F.lit(".example.com"))).alias("domains"),
+        F.array(F.when(k % 2 == 0, F.col("p_name")).otherwise(F.element_at(F.split("p_name", " "), -1)), F.lower("p_type")).alias("products"))
+
+
+def vendor_mentions(s: SparkSession, d: str) -> DataFrame:
+    """(mention_id, name, email, products, keywords): customers as mentions of vendors, some of them unknown."""
+    k = F.col("c_custkey")
+    part = table(s, d, "part").select(F.col("p_partkey").alias("_p"), "p_name", "p_type")
+    return table(s, d, "customer").withColumn("_p", k % 150).join(part, "_p", "left").select(
+        k.alias("mention_id"), written(_company(_spread(k * 7 % 130)), k, MENTIONED).alias("name"),
+        F.when(k % 4 == 0, F.concat(F.lit("x@s"), (k * 3 % 120).cast("string"), F.lit(".example.com"))).when(k % 4 == 1, F.concat(F.lit("y@m"), (k % 70).cast("string"), F.lit(".example.com"))).alias("email"),
+        F.when(k % 3 == 0, F.array(F.initcap("p_name"), F.element_at(F.split("p_name", " "), 1))).when(k % 3 == 1, F.array(F.concat("p_name", F.lit("x")))).otherwise(F.array().cast("array<string>")).alias("products"),
+        F.when(k % 5 == 0, F.array(F.lower("p_type"), F.lit("none"))).otherwise(F.array().cast("array<string>")).alias("keywords"))
+
+
+def key_sql(x: str) -> str:
+    """V08 in SQL."""
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'), '\b(inc|llc|ltd|corp|corporation|company|co)\b', '', 'g'))"
+
+
+def ratio_ctes(name: str, pairs: str) -> str:
+    """Common table expressions that end in `name`(a, b, ratio, dice), in percent, of the distinct pairs of texts that `pairs` selects."""
+    grams = "list_transform(range(1, length({0})), lambda i: {0}[i:i+1])"
+    mask = "list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN a[i] = c THEN 1::BIGINT << (i - 1)::INT ELSE 0 END))::BIGINT"
+    return f"""
+{name}_p AS (SELECT DISTINCT a, b FROM ({pairs}) WHERE a <> '' AND b <> ''),
+{name}_m AS (SELECT a, length(a)::INT AS l, map_from_entries(list_transform(list_distinct(string_split(a, '')), lambda c: struct_pack(k := c, v := {mask}))) AS ms FROM (SELECT DISTINCT a FROM {name}_p)),
+{name}_r AS (SELECT a, b, floor(200.0 * (l - bit_count(list_reduce([(1::BIGINT << l) - 1] || list_transform(string_split(b, ''), lambda c: coalesce(ms[c], 0)::BIGINT), lambda s, m: ((s + (s & m)) | (s - (s & m))) & ((1::BIGINT << l) - 1)))) / (l + length(b)) + 0.5) AS ratio,
+  replace(a, ' ', '') AS x, replace(b, ' ', '') AS y FROM {name}_p JOIN {name}_m USING (a)),
+{name} AS (SELECT a, b, ratio::DOUBLE AS ratio, CASE WHEN x = y THEN 100 WHEN length(x) < 2 OR length(y) < 2 THEN 0 ELSE 200.0 * coalesce(list_sum(list_transform(list_distinct(gx), lambda e: least(len(list_filter(gx, lambda q: q = e)), len(list_filter(gy, lambda q: q = e))))), 0) / (len(gx) + len(gy)) END::DOUBLE AS dice
+  FROM (SELECT *, {grams.format('x')} AS gx, {grams.format('y')} AS gy FROM {name}_r))"""
+
+
+#: vc, the catalogue, and vm, the mentions, with their normalised names; nr, ratio and dice of all pairs of names.
+VENDORS = f"""WITH vc AS (SELECT s_suppkey AS vendor_id, ({_company_of(_spread_sql('s_suppkey'))}) || CASE WHEN s_suppkey % 3 = 0 THEN ', Inc.' ELSE '' END AS vendor_name, ['s' || s_suppkey || '.example.com', 'm' || (s_suppkey % 60) || '.example.com'] AS domains,
+  [CASE WHEN s_suppkey % 2 = 0 THEN p_name ELSE string_split(p_name, ' ')[-1] END, lower(p_type)] AS products, {key_sql('vendor_name')} AS k FROM supplier LEFT JOIN part ON p_partkey = s_suppkey),
+vm AS (SELECT c_custkey AS mention_id, {written_sql(f"({_company_of(_spread_sql('(c_custkey * 7 % 130)'))})", 'c_custkey', MENTIONED)} AS name,
+  CASE c_custkey % 4 WHEN 0 THEN 's' || (c_custkey * 3 % 120) || '.example.com' WHEN 1 THEN 'm' || (c_custkey % 70) || '.example.com' END AS domain,
+  CASE c_custkey % 3 WHEN 0 THEN [p_name, string_split(p_name, ' ')[1]] WHEN 1 THEN [p_name || 'x'] ELSE [] END AS products, CASE WHEN c_custkey % 5 = 0 THEN [lower(p_type), 'none'] ELSE [] END AS keywords, {key_sql('name')} AS k FROM customer LEFT JOIN part ON p_partkey = c_custkey % 150),
+""" + ratio_ctes("nr", "SELECT x.k AS a, y.k AS b FROM (SELECT DISTINCT k FROM vm) x, (SELECT DISTINCT k FROM vc) y")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.operators import vendor_match
+from dealgraph.operators import vendor_match, vendor_search
+from dealgraph.plans.named import VENDORS, ratio_ctes, vendor_catalogue, vendor_mentions
 from dealgraph.plans.registry import register
 from dealgraph.plans.written import written, written_sql
 from dealgraph.sources.fixtures import SQL, deals, table
@@ -29,20 +30,78 @@ def keywords(s: SparkSession, d: str) -> DataFrame:
 _PRODUCTS = f"""WITH l AS (SELECT l_orderkey AS mention_id, min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem GROUP BY 1),
 m AS (SELECT mention_id, [p.p_name, string_split(q.p_name, ' ')[1]] AS products FROM l JOIN part p ON p.p_partkey = a JOIN part q ON q.p_partkey = b),
 v AS (SELECT s_suppkey AS vendor_id, [CASE WHEN s_suppkey % 2 = 0 THEN p_name ELSE string_split(p_name, ' ')[-1] END, lower(p_type)] AS keywords FROM supplier JOIN part ON p_partkey = s_suppkey)"""
-register("v06_product_match", lambda s, d: vendor_match.by_products(products(s, d), keywords(s, d)), _PRODUCTS + """
-, h AS (SELECT mention_id, vendor_id, len(list_filter(products, lambda p: len(list_filter(keywords, lambda k: contains(p, k) OR contains(k, p))) > 0)) AS hits FROM m, v),
-b AS (SELECT mention_id, arg_max(vendor_id, (hits, -vendor_id)) AS vendor_id, max(hits) AS hits FROM h WHERE hits > 0 GROUP BY 1)
-SELECT mention_id, vendor_id, 'product' AS strategy, round(least(0.85::DOUBLE, 0.5::DOUBLE + hits / 2 * 0.35::DOUBLE), 6) AS confidence FROM b""")
+_HIT = "len(list_filter({0}, lambda p: len(list_filter({1}, lambda k: contains(p, k) OR contains(k, p))) > 0))"
+register("v05_similar_name", lambda s, d: vendor_search.by_similar_name(vendor_mentions(s, d), vendor_catalogue(s, d)).withColumn("score", F.round("score", 5)), VENDORS + """
+, f AS (SELECT mention_id, vendor_id, (ratio + dice) / 2 AS score FROM vm JOIN nr ON a = k JOIN vc ON vc.k = b QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY (ratio + dice) / 2 DESC, vendor_name, vendor_id) = 1)
+SELECT mention_id, vendor_id, round(score, 5) AS score, CASE WHEN score >= 95 THEN 0.98 WHEN score >= 85 THEN 0.85 WHEN score >= 70 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN score >= 95 THEN 'fuzzy_exact' WHEN score >= 85 THEN 'fuzzy_high' WHEN score >= 70 THEN 'fuzzy_medium' ELSE 'fuzzy_low' END AS strategy FROM f WHERE score >= 50""")
+register("v11_alias_suggestions", lambda s, d: vendor_search.suggestions(vendor_mentions(s, d), vendor_catalogue(s, d)), VENDORS + """
+SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY ratio DESC, vendor_name, vendor_id)::INT AS rank, vendor_id, ratio / 100 AS confidence FROM vm JOIN nr ON a = k JOIN vc ON vc.k = b WHERE ratio >= 50 AND ratio < 85 QUALIFY rank <= 5""")
+_TERMS = VENDORS + "," + ratio_ctes("tr", "SELECT x.t AS a, y.t AS b FROM (SELECT DISTINCT unnest(products) AS t FROM vm) x, (SELECT DISTINCT unnest(products) AS t FROM vc) y") + """
+, ph AS (SELECT mention_id, vendor_id, vendor_name, len(vm.products) AS n, len(list_filter(vm.products, lambda p: len(list_filter(vc.products, lambda k: contains(p, k) OR contains(k, p) OR list_contains(close, p || '|' || k))) > 0)) AS hits FROM vm, vc, (SELECT list(a || '|' || b) AS close FROM tr WHERE ratio >= 85) WHERE vc.products[1] IS NOT NULL)
+, pm AS (SELECT mention_id, vendor_id, 'product_match' AS strategy, round(least(0.85, 0.5 + hits / n * 0.35), 6)::DOUBLE AS confidence FROM ph WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY hits DESC, vendor_name, vendor_id) = 1)"""
+register("v06_product_match", lambda s, d: vendor_search.by_product_terms(vendor_mentions(s, d), vendor_catalogue(s, d)), _TERMS + " SELECT * FROM pm")
+_COMBINED = f"""
+, cs AS (SELECT mention_id, vendor_id, vendor_name, round(0.4 * coalesce(dice, 0) / 100 + CASE WHEN list_contains(domains, domain) THEN 0.25 ELSE 0 END + 0.2 * CASE WHEN len(vm.products) > 0 THEN {_HIT.format('vm.products', 'vc.products')} / len(vm.products) ELSE 0 END
+    + 0.1 * CASE WHEN len(keywords) > 0 THEN {_HIT.format('keywords', 'vc.products')} / len(keywords) ELSE 0 END, 9)::DOUBLE AS score FROM vm CROSS JOIN vc LEFT JOIN nr ON a = vm.k AND b = vc.k)
+, cm AS (SELECT mention_id, vendor_id, 'combined_factors' AS strategy, least(0.95, score) AS confidence FROM cs WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, vendor_name, vendor_id) = 1)"""
+register("v07_combined_match", lambda s, d: vendor_search.by_factors(vendor_mentions(s, d), vendor_catalogue(s, d)).withColumn("confidence", F.round("confidence", 6)), VENDORS + _COMBINED + " SELECT * REPLACE (round(confidence, 6) AS confidence) FROM cm")
+
+
+def vendor_aliases(s: SparkSession, d: str) -> DataFrame:
+    """(alias, vendor_id, confidence): some mentions' names as aliases."""
+    return vendor_mentions(s, d).where("mention_id % 9 = 2").select(F.col("name").alias("alias"), (F.col("mention_id") % 77).alias("vendor_id"), F.when(F.col("mention_id") % 2 == 0, F.col("mention_id") % 10 / 10).alias("confidence")).where("alias is not null").distinct()
+
+
+_CASCADE = _TERMS + _COMBINED + """
+, al AS (SELECT k, arg_max(mention_id % 77, (coalesce(CASE WHEN mention_id % 2 = 0 THEN mention_id % 10 / 10 END, 0.95), -(mention_id % 77))) AS vendor_id, max(coalesce(CASE WHEN mention_id % 2 = 0 THEN mention_id % 10 / 10 END, 0.95))::DOUBLE AS confidence FROM vm WHERE mention_id % 9 = 2 AND k <> '' GROUP BY 1)
+, f AS (SELECT mention_id, vendor_id, (ratio + dice) / 2 AS score FROM vm JOIN nr ON a = k JOIN vc ON vc.k = b QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY (ratio + dice) / 2 DESC, vendor_name, vendor_id) = 1)
+, found AS (SELECT mention_id, vendor_id, 'exact_name' AS strategy, 1.0::DOUBLE AS confidence, 1 AS r FROM vm JOIN vc USING (k) WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY vendor_name, vendor_id) = 1
+UNION ALL SELECT mention_id, vendor_id, 'alias_match', confidence, 2 FROM vm JOIN al USING (k)
+UNION ALL SELECT * FROM (SELECT mention_id, vendor_id, 'email_domain', 0.9, 3 FROM vm JOIN vc ON list_contains(domains, domain) QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY vendor_name, vendor_id) = 1)
+UNION ALL SELECT mention_id, vendor_id, CASE WHEN score >= 95 THEN 'fuzzy_exact' WHEN score >= 85 THEN 'fuzzy_high' WHEN score >= 70 THEN 'fuzzy_medium' ELSE 'fuzzy_low' END, CASE WHEN score >= 95 THEN 0.98 WHEN score >= 85 THEN 0.85 WHEN score >= 70 THEN 0.7 ELSE 0.5 END, 4 FROM f WHERE score >= 50
+UNION ALL SELECT mention_id, vendor_id, strategy, confidence, 5 FROM pm UNION ALL SELECT mention_id, vendor_id, strategy, confidence, 6 FROM cm)
+SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY confidence DESC, r)::INT AS rank, vendor_id, strategy, round(confidence, 6)::DOUBLE AS confidence FROM found WHERE confidence >= 0.3 QUALIFY rank <= 4"""
+
+
+def v01(s: SparkSession, d: str) -> DataFrame:
+    return vendor_search.cascade(vendor_mentions(s, d), vendor_catalogue(s, d), vendor_aliases(s, d))
+
+
+register("v01_match_cascade", v01, _CASCADE)
+register("v14_match_levels", lambda s, d: v01(s, d).where("rank = 1").groupBy(vendor_match.level(F.col("confidence")).alias("level")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN confidence >= 0.9 THEN 'High' WHEN confidence >= 0.7 THEN 'Medium' ELSE 'Low' END AS level, count(*) AS n FROM ({_CASCADE}) WHERE rank = 1 GROUP BY 1")
+
+
+def engine_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = vendor_catalogue(s, d)
+    return vendor_mentions(s, d), v.withColumn("aliases", F.array(F.concat(F.lit("the "), F.col("vendor_name")), F.concat(F.lit("V"), F.col("vendor_id").cast("string")))).withColumn("keywords", F.transform("products", lambda x: F.concat(x, F.lit(" kit"))))
+
+
+_EKEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\s+(inc|llc|ltd|corp|corporation|company|co|limited|gmbh|ag|sa|bv|nv)\.?$', ''), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))"
+_EHELD = "len(list_filter({0}, lambda p: len(list_filter({1}, lambda q: contains(" + _EKEY.format("q") + ", " + _EKEY.format("p") + "))) > 0)) / len({0})"
+register("v15_engine", lambda s, d: vendor_search.engine(*engine_inputs(s, d)), VENDORS + f"""
+, ev AS (SELECT *, {_EKEY.format('vendor_name')} AS e, [{_EKEY.format("'the ' || vendor_name")}, 'v' || vendor_id] AS aliases, list_transform(products, lambda x: x || ' kit') AS words FROM vc),
+em AS (SELECT *, {_EKEY.format('name')} AS e FROM vm),
+""" + ratio_ctes("er", "SELECT x.e AS a, y.e AS b FROM (SELECT DISTINCT e FROM em) x, (SELECT DISTINCT e FROM ev) y") + f"""
+, x AS (SELECT mention_id, vendor_id, name, lower(name) = lower(vendor_name) AS same, em.e AS e, ev.e AS f, list_contains(aliases, em.e) AS aliased, list_contains(domains, domain) AS domained, round((ratio / 100 + dice / 100) / 2, 9) AS mean, dice / 100 AS dice,
+  len(list_filter(em.products, lambda p: list_contains(list_transform(ev.products, lambda q: {_EKEY.format('q')}), {_EKEY.format('p')}) OR contains(ev.e, {_EKEY.format('p')}) OR contains({_EKEY.format('p')}, ev.e))) AS hits,
+  CASE WHEN len(em.products) > 0 THEN {_EHELD.format('em.products', 'ev.products')} ELSE 0 END AS ps, CASE WHEN len(em.keywords) > 0 THEN {_EHELD.format('em.keywords', 'ev.words')} ELSE 0 END AS ks FROM em CROSS JOIN ev LEFT JOIN er ON a = em.e AND b = ev.e),
+y AS (SELECT *, round(0.4 * coalesce(dice, 0) + CASE WHEN domained THEN 0.25 ELSE 0 END + 0.2 * ps + 0.1 * ks, 9) AS s FROM x),
+found AS (SELECT mention_id, min(vendor_id) AS vendor_id, 'exact_name' AS strategy, 1.0::DOUBLE AS confidence, 1 AS r FROM x WHERE same AND name <> '' GROUP BY 1
+UNION ALL SELECT mention_id, min(vendor_id), 'normalized_name', 1.0, 2 FROM x WHERE e = f AND e <> '' GROUP BY 1 UNION ALL SELECT mention_id, min(vendor_id), 'alias', 0.9, 3 FROM x WHERE aliased AND name <> '' GROUP BY 1
+UNION ALL SELECT mention_id, min(vendor_id), 'email_domain', 0.9, 4 FROM x WHERE domained GROUP BY 1 UNION ALL SELECT mention_id, arg_max(vendor_id, (mean, -vendor_id)), 'fuzzy_name', max(mean), 5 FROM x WHERE mean >= 0.7 GROUP BY 1
+UNION ALL SELECT mention_id, min(vendor_id), 'product', least(0.9, 0.7 + arg_min(hits, vendor_id) * 0.1), 6 FROM x WHERE hits > 0 GROUP BY 1 UNION ALL SELECT mention_id, arg_max(vendor_id, (s, -vendor_id)), 'combined', least(1, max(s)), 7 FROM y WHERE s >= 0.3 AND name <> '' GROUP BY 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY confidence DESC, r) AS k, first(vendor_id) OVER (PARTITION BY mention_id ORDER BY confidence DESC, r) AS best FROM found)
+SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY k)::INT AS rank, vendor_id, strategy, round(confidence, 6)::DOUBLE AS confidence FROM ranked WHERE k = 1 OR k <= 4 AND vendor_id <> best""")
 
 
 def v10(s: SparkSession, d: str) -> DataFrame:
     m = products(s, d).join(deals(s, d).select(F.col("id").alias("mention_id"), "vendor_id"), "mention_id").join(keywords(s, d), "vendor_id")
-    return m.select("mention_id", F.round(vendor_match.product_ratio(F.col("products"), F.col("keywords")), 6).alias("ratio"))
+    return m.select("mention_id", F.round(vendor_search.product_ratio(F.col("products"), F.col("keywords")), 6).alias("ratio"))
 
 
 register("v10_product_ratio", v10, _PRODUCTS + """
 , o AS (SELECT l_orderkey AS mention_id, min(l_suppkey) AS vendor_id FROM lineitem GROUP BY 1)
-SELECT mention_id, round(len(list_filter(keywords, lambda k: len(list_filter(products, lambda p: contains(p, k) OR contains(k, p))) > 0)) / 2, 6)::DOUBLE AS ratio FROM m JOIN o USING (mention_id) JOIN v USING (vendor_id)""")
+SELECT mention_id, round(len(list_filter(products, lambda p: len(list_filter(keywords, lambda k: contains(p, k) OR contains(k, p))) > 0)) / 2, 6)::DOUBLE AS ratio FROM m JOIN o USING (mention_id) JOIN v USING (vendor_id)""")
 
 NAMES = ["Supplier#{} Inc.", "The Supplier#{} Holding", "Supplier{}", "plier#{}", "{}", "", None]
 
@@ -56,10 +115,11 @@ def catalogue(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "supplier").select(F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("vendor_name"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".example.com")).alias("domain"))
 
 
+TEXT_KEY = "trim(regexp_replace(regexp_replace(lower({0}), '\\b(inc|llc|ltd|corp|corporation|company|co)\\b\\.?', '', 'g'), '[^\\w\\s]', '', 'g'))"
 _NUMBER = "lpad((c_custkey * 7 % 140)::VARCHAR, 9, '0')"
 _MENTIONS = f"WITH m AS (SELECT c_custkey AS mention_id, {written_sql(_NUMBER, 'c_custkey', NAMES)} AS name FROM customer)"
 register("v16_containment_match", lambda s, d: vendor_match.by_containment(mentions(s, d), catalogue(s, d)), _MENTIONS + f"""
-, k AS (SELECT mention_id, {KEY.format('name')} AS m FROM m), v AS (SELECT s_suppkey AS vendor_id, {KEY.format('s_name')} AS v FROM supplier),
+, k AS (SELECT mention_id, {TEXT_KEY.format('name')} AS m FROM m), v AS (SELECT s_suppkey AS vendor_id, {TEXT_KEY.format('s_name')} AS v FROM supplier),
 c AS (SELECT mention_id, vendor_id, least(length(m), length(v)) / greatest(length(m), length(v)) AS c FROM k JOIN v ON m <> '' AND (contains(m, v) OR contains(v, m)))
 SELECT mention_id, arg_max(vendor_id, (c, -vendor_id)) AS vendor_id, round(max(c), 6)::DOUBLE AS confidence, CASE WHEN max(c) = 1 THEN 'normalized' ELSE 'fuzzy' END AS strategy FROM c WHERE c >= 0.75 GROUP BY 1""")
 
@@ -74,7 +134,7 @@ def v17(s: SparkSession, d: str) -> DataFrame:
 register("v17_vendors_in_texts", v17, rf"""
 WITH t AS (SELECT doc_id AS text_id, CASE doc_id % 5 WHEN 1 THEN 'We spoke to SUPPLIER' || lpad((doc_id % 130)::VARCHAR, 9, '0') || ' about it. ' || text WHEN 2 THEN text || ' ask jane.doe@S' || (doc_id % 130) || '.example.com or x@s1.example.com'
   WHEN 3 THEN 'supplier' || lpad((doc_id % 130)::VARCHAR, 9, '0') || ': see a@s' || (doc_id % 130) || '.example.com ' || text ELSE text END AS text FROM documents),
-v AS (SELECT s_suppkey AS vendor_id, {KEY.format('s_name')} AS v, 's' || s_suppkey || '.example.com' AS domain FROM supplier),
+v AS (SELECT s_suppkey AS vendor_id, {TEXT_KEY.format('s_name')} AS v, 's' || s_suppkey || '.example.com' AS domain FROM supplier),
 n AS (SELECT text_id, vendor_id FROM t JOIN v ON contains(lower(text), v)),
 e AS (SELECT DISTINCT text_id, lower(unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{{2,}})\b', 1))) AS domain FROM t)
 SELECT text_id, vendor_id, 'fuzzy' AS strategy, 0.8::DOUBLE AS confidence FROM n
