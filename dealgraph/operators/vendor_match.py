@@ -77,8 +77,8 @@ def by_containment(mentions: DataFrame, catalogue: DataFrame, least: float = 0.7
     return best.select("mention_id", (-F.col("b.v")).alias("vendor_id"), F.round("b.confidence", 6).alias("confidence"), F.when(F.col("b.confidence") == 1, "normalized").otherwise("fuzzy").alias("strategy"))
 
 
-#: Characters of a piece of a text that is scanned at once.
-PIECE = 4_000
+#: Characters of a piece of a text that is scanned at once (a position in a piece is found by counting its characters from the start).
+PIECE = 256
 
 
 def found_in_texts(texts: DataFrame, names: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -97,8 +97,9 @@ def found_in_texts(texts: DataFrame, names: DataFrame, piece: int = PIECE) -> Da
     pieces = low.where("t <> ''").select("text_id", F.explode(F.transform(starts, lambda a: F.substring("t", a + 1, F.lit(piece + longest - 1)))).alias("p"))
     heads = keyed.select(F.xxhash64(F.left("low", F.col("k"))).alias("h"), "low", "name", "n")
     at = F.sequence(F.lit(1), F.least(F.length("p"), F.lit(piece)))
-    windows = pieces.select("text_id", "p", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("k")).select(
-        "text_id", F.explode(F.transform(at, lambda i: F.struct(F.xxhash64(F.substring("p", i, F.col("k"))).alias("h"), F.substring("p", i, F.lit(longest)).alias("w")))).alias("x")).select("text_id", "x.h", "x.w")
+    i = F.col("i")
+    windows = pieces.select("text_id", "p", F.explode(at).alias("i")).select(
+        "text_id", F.explode(F.array(*[F.xxhash64(F.substring("p", i, F.lit(n))) for n in lengths])).alias("h"), F.substring("p", i, F.lit(longest)).alias("w"))
     # all but few windows are of no name: first by the hashes alone, which are handed to the tasks while they are few
     hashes = heads.select("h").distinct()
     hashes = F.broadcast(hashes) if hashes.count() <= 500_000 else hashes
