@@ -112,3 +112,64 @@ def e41(s: SparkSession, d: str) -> DataFrame:
 
 register("e41_kept_deals", e41, SQL + """
 , c AS (SELECT id, round(deal_value / 500000, 4) AS c FROM deals) SELECT id, c AS confidence, c >= 0.3 AS kept, CASE WHEN c < 0.15 THEN 'far_below_threshold' WHEN c < 0.3 THEN 'below_threshold' ELSE '' END AS reason FROM c""")
+
+# ---------------------------------------------------------------- fields of sections
+
+FORMS = ["Deal: Big one\nCustomer: Globex\nValue: $1,200.50 k\nStatus: Closed Won\nOwner - Ann\nExpected Close Date: 2024-03-05\nProbability: 80%\nContact: Bob\nNotes: first line\n second line\nmore of it\nStage: none\n{}",
+         "Opportunity Name: Web {}\nClient: A b c\nAmount# 5M\nPhase: negotiating now\nAssigned to: Zed\nTimeline: Q2 2025\n120 % likely\nDeal-\nLead: next section of the text\nSize: 12\nClosing: March 3, 2024\nState: new",
+         "Project: p\nPrice: 77\nRep: someone\nDue Date: 12/31/2024\nConfidence: 30\nDetails: {}", "Customer Name - only a customer and $ 900 \nEnd-User: nobody\nClose: soon\nManager: M. M.", "{}", "Account: {}\nlead: 3) Deal# Acme Widgets Inc\nSummary: s", None]
+
+
+def e25(s: SparkSession, d: str) -> DataFrame:
+    from dealgraph.operators import deal_fields
+
+    t = texts(s, d, FORMS)
+    v = extraction.valid_boundaries(extraction.merged_boundaries(extraction.boundaries(t)), t).join(t, "text_id")
+    part = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    out = deal_fields.extract(v.select("text_id", "start", part.alias("part"), "confidence"))
+    return out.withColumns({c: F.md5(c) for c in ("deal_name", "customer_name", "description")}).withColumn("close_date", F.col("close_date").cast("string"))
+
+
+def _e25_sql() -> str:
+    from dealgraph.operators import deal_fields
+
+    rows = {}
+    for name, kind, _, patterns in deal_fields.FIELDS:
+        ps = [p.replace("'", "''") for p in patterns]
+        if kind == "lines":
+            # the same without looking ahead: lines go on until one is empty or opens with a label
+            ps = [p.split("([^")[0] + "([^\\n]+)" for p in ps]
+            hits = " ".join(f"WHEN regexp_extract(part, '{p}', 1) <> '' THEN part[strpos(part, regexp_extract(part, '{p}')) + length(regexp_extract(part, '{p}')) - length(regexp_extract(part, '{p}', 1)):]" for p in ps)
+            rows[name] = f"(SELECT nullif({_T.format(_JOIN)}, '') FROM (SELECT string_split(CASE {hits} END, chr(10)) AS ls) WHERE ls IS NOT NULL)"
+            continue
+        value = "CASE " + " ".join(f"WHEN regexp_extract(part, '{p}', 1) <> '' THEN regexp_extract(part, '{p}', 1)" for p in ps) + " END"
+        if kind == "money":
+            unit = "CASE " + " ".join(f"WHEN regexp_extract(part, '{p}', 1) <> '' THEN " + (f"regexp_extract(part, '{p}', 2)" if "([kKmM])" in p else "''") for p in ps) + " END"
+            rows[name] = rf"try_cast(nullif(regexp_extract(replace({value}, ',', ''), '^(\d+\.?\d*)', 1), '') AS DOUBLE) * CASE lower({unit}) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END"
+        elif kind == "status":
+            pairs = ", ".join(f"'{k}': '{v}'" for k, v in deal_fields.STATUSES.items())
+            rows[name] = f"coalesce(MAP {{{pairs}}}[lower({_T.format(value)})], nullif({_T.format(value)}, ''))"
+        elif kind == "date":
+            x = _T.format(value)
+            rows[name] = (rf"coalesce(CASE WHEN regexp_matches({x}, '^\d{{4}}-\d{{2}}-\d{{2}}$') THEN try_strptime({x}, '%Y-%m-%d') WHEN regexp_matches({x}, '^\d{{1,2}}/\d{{1,2}}/\d{{4}}$') THEN try_strptime({x}, '%m/%d/%Y') "
+                          rf"ELSE coalesce(try_strptime({x}, '%b %d, %Y'), try_strptime({x}, '%B %d, %Y')) END, CASE WHEN regexp_extract({x}, '(?i)Q([1-4])\s+(\d{{4}})', 1) <> '' THEN make_date(regexp_extract({x}, '(?i)Q([1-4])\s+(\d{{4}})', 2)::INT, regexp_extract({x}, '(?i)Q([1-4])\s+(\d{{4}})', 1)::INT * 3, 30) END)::DATE::VARCHAR")
+        elif kind == "percent":
+            rows[name] = f"least(100, coalesce(try_cast({value} AS INT), CASE WHEN {value} IS NOT NULL THEN 100 END))"
+        else:
+            rows[name] = f"nullif({_T.format(value)}, '')"
+    boosts = " + ".join(f"CASE WHEN {n} IS NOT NULL THEN {b} ELSE 0 END::DOUBLE" for n, _, b, _ in deal_fields.FIELDS)
+    count = " + ".join(f"({n} IS NOT NULL)::INT" for n, *_ in deal_fields.FIELDS)
+    return texts_sql(FORMS, True) + _MERGED + rf"""
+, v AS (SELECT text_id, start, coalesce(lead(start) OVER (PARTITION BY text_id ORDER BY start), length(text))::INT AS "end", confidence, text FROM g JOIN t USING (text_id)),
+z AS (SELECT text_id, start, text[start + 1:"end"] AS part, confidence FROM v WHERE "end" - start >= 20 AND regexp_matches(text[start + 1:"end"], '[a-zA-Z]{{5,}}')),
+e1 AS (SELECT *, {', '.join(f'{c} AS {n}' for n, c in rows.items())}, {_T.format("regexp_extract(part, '(?m)^[^\\S\\n]*(\\S[^\\n]*)', 1)")} AS line,
+  regexp_extract(part, '([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Inc|Corp|LLC|Ltd|Co)\.?)', 1) AS company, regexp_extract(part, '(?m)^([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){{0,4}})\s*$', 1) AS capitals FROM z),
+e2 AS (SELECT *, {_T.format("regexp_replace(regexp_replace(regexp_replace(line, '^[\\d.)\\-•]\\s*', ''), '(?i)^Deal[\\s:#-]*', ''), '(?i)^Opportunity[\\s:#-]*', '')")} AS clean FROM e1),
+e3 AS (SELECT *, CASE WHEN length(line) < 100 AND regexp_matches(line, '[a-zA-Z]{{3,}}') AND length(clean) > 2 THEN clean WHEN company <> '' THEN company WHEN capitals <> '' AND length(capitals) < 60 THEN capitals END AS inferred FROM e2)
+SELECT text_id, start, md5(coalesce(deal_name, inferred, 'Unknown Deal')) AS deal_name, md5(customer_name) AS customer_name, deal_value, status, owner, close_date, probability, decision_maker, md5(description) AS description,
+  ({count} + (deal_name IS NULL AND inferred IS NOT NULL)::INT)::INT AS n_fields, round(least(1, confidence + {boosts}), 6)::DOUBLE AS confidence FROM e3"""
+
+
+_T = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_JOIN = r"regexp_replace(array_to_string(list_filter(ls, lambda l, i: i = 1 OR i < coalesce(list_position(list_transform(range(2, len(ls) + 1), lambda j: ls[j] = '' OR regexp_matches(array_to_string(ls[j:], chr(10)), '^[A-Za-z]+\s*[:#-]')), true) + 1, len(ls) + 1)), chr(10)), '\n\s+', ' ', 'g')"
+register("e25_deal_fields", e25, _e25_sql())
