@@ -82,10 +82,21 @@ def status_adjustment(status: Column) -> Column:
     return F.when(F.coalesce(known, F.lit(False)), 0.05).otherwise(-0.05)
 
 
+def key_part(text: Column) -> Column:
+    """A part of a correlation key: lower case, without signs, blanks as underscores; empty if there is none."""
+    return F.coalesce(F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), r"[^\w\s]", ""), r"\s+", "_"), F.lit(""))
+
+
+def deal_key(customer: Column, vendor: Column, value: Column) -> Column:
+    """Customer:vendor:thousands; parts that are empty or 0 are left out."""
+    thousands = F.floor(F.coalesce(value, F.lit(0.0)) / 1000 + 0.5)
+    return F.concat_ws(":", F.nullif(key_part(customer), F.lit("")), F.nullif(key_part(vendor), F.lit("")), F.nullif(thousands, F.lit(0)).cast("string"))
+
+
 def contact_key(email: Column, name: Column) -> Column:
-    """email:x, or else name:y, both lower-cased and trimmed."""
-    e, n = F.lower(F.trim(email)), F.regexp_replace(F.lower(F.trim(name)), r"\s+", " ")
-    return F.when(F.coalesce(e, F.lit("")) != "", F.concat(F.lit("email:"), e)).otherwise(F.concat(F.lit("name:"), n))
+    """Email:x, lower case and trimmed, or else name:y."""
+    e = F.lower(F.trim(email))
+    return F.when(F.coalesce(e, F.lit("")) != "", F.concat(F.lit("email:"), e)).otherwise(F.concat(F.lit("name:"), key_part(name)))
 
 
 #: A rule: (name, kind, field, argument, severity, what it takes off a confidence). Arguments by kind: required, the least

@@ -46,8 +46,8 @@ def validation_score(status: Column, final: Column, ai: Column) -> Column:
 
 
 def entity_quality(complete: Column, ai: Column, valid: Column, recent: Column) -> Column:
-    """The weighted quality by which a master record is chosen."""
-    return 0.4 * complete + 0.3 * F.coalesce(F.nullif(ai, F.lit(0.0)), F.lit(0.4)) + 0.2 * valid + 0.1 * recent
+    """The weighted quality by which a master record is chosen; an unknown confidence (not one of 0) counts as 0.4."""
+    return 0.4 * complete + 0.3 * F.coalesce(ai, F.lit(0.4)) + 0.2 * valid + 0.1 * recent
 
 
 def validate_deal(name: Column, customer: Column, value: Column, confidence: Column) -> Column:
@@ -71,17 +71,28 @@ def date_issues(close: Column, registered: Column, as_of: Column) -> Column:
 
 
 def customer_issues(name: Column) -> Column:
-    """names that look like persons, shouts, addresses or are too short or long."""
-    n = F.trim(F.coalesce(name, F.lit("")))
-    return F.array_compact(F.array(
-        F.when(n.rlike(r"^[A-Z][a-z]+ [A-Z][a-z]+$"), F.lit("person")), F.when((n == F.upper(n)) & n.rlike("[A-Z]") & (F.length(n) > 5), F.lit("all_caps")),
-        F.when((n == F.lower(n)) & n.rlike("[a-z]"), F.lit("all_lower")), F.when(n.rlike("@|https?://|www[.]"), F.lit("address")), F.when(~F.length(n).between(2, 200), F.lit("length"))))
-
-
-def calibrate(confidence: Column, has_customer: Column, has_value: Column, has_date: Column, known_vendor: Column) -> Column:
-    """what is missing scales it down, a known vendor up to at most 0.99."""
-    out = confidence * F.when(has_customer, 1.0).otherwise(0.8) * F.when(has_value, 1.0).otherwise(0.8) * F.when(has_date, 1.0).otherwise(0.95)
-    return F.when(known_vendor, F.least(F.lit(0.99), out * 1.05)).otherwise(out * 0.9)
+    """(issues, valid, adjustment) of a customer's name: 'rule:severity' of each rule that it breaks, whether none is worse than a warning, and what it takes off a confidence."""
+    blank = F.coalesce(F.trim(name), F.lit("")) == ""
+    shouted = (name == F.upper(name)) & (F.length(name) > 5)
+    person = name.rlike(r"(?i)^(?:Mr|Mrs|Ms|Dr|Prof)\.?\s+[A-Z]") | name.rlike(r"^[A-Z][a-z]+ [A-Z][a-z]+$")
+    found = F.array_compact(F.array(
+        F.when(person, F.lit("name_not_person:warning")), F.when(shouted | (~shouted & (name == F.lower(name))), F.lit("name_capitalization:warning")), F.when(name.rlike("@|https?://"), F.lit("name_no_email_url:error")),
+        F.when(F.length(name) < 2, F.lit("name_length:error")).when(F.length(name) > 100, F.lit("name_length:warning"))))
+    issues = F.when(blank, F.array(F.lit("name_required:critical"))).otherwise(found)
+    bad = F.exists(issues, lambda x: ~x.endswith(":warning"))
+    return F.struct(issues.alias("issues"), (~bad).alias("valid"), F.when(blank, -0.5).when(bad, -0.3).when(F.size(issues) > 0, -0.05).otherwise(0.0).alias("adjustment"))
+
+
+def calibrate(confidence: Column, kind: Column, name: Column, customer: Column, value: Column, currency: Column, close: Column, email: Column, phone: Column) -> Column:
+    """what a deal, vendor or contact lacks scales its confidence down; a deal's currency and its closing date (a date, or null) scale it up, to at most 0.99 each."""
+    def gone(x: Column) -> Column:
+        return F.coalesce(x.cast("string"), F.lit("")) == ""
+
+    deal = kind == "deal"
+    out = confidence * F.when(kind.isin("deal", "vendor", "contact") & gone(name), 0.8).otherwise(1.0) * F.when(deal & gone(customer), 0.8).otherwise(1.0) * F.when(deal & (F.coalesce(value, F.lit(0.0)) == 0), 0.95).otherwise(1.0)
+    out = out * F.when((kind == "contact") & gone(email) & gone(phone), 0.9).otherwise(1.0)
+    out = F.when(deal & ~gone(currency), F.least(F.lit(0.99), out * 1.05)).otherwise(out)
+    return clamp(F.when(deal & close.isNotNull(), F.least(F.lit(0.99), out * 1.05)).otherwise(out), 0.0, 1.0)
 
 
 def mail_confidence(tier1: Column, tier2: Column, tier3: Column, filled: Column, corroboration: Column) -> Column:
@@ -106,7 +117,13 @@ def momentum(has_steps: Column, actors: Column, days_quiet: Column) -> Column:
 
 def risk_flags(win: Column, moving: Column, has_steps: Column, complete: Column) -> Column:
     """F27."""
-    return F.array_compact(F.array(F.when(win < 0.3, F.lit("low_win")), F.when(moving < 0.4, F.lit("stalled")), F.when(~has_steps, F.lit("missing_next_steps")), F.when(~complete, F.lit("incomplete_metadata"))))
+    return F.array_compact(F.array(F.when(win < 0.3, F.lit("low_win_probability")), F.when(moving < 0.4, F.lit("stalled")), F.when(~has_steps, F.lit("missing_next_steps")), F.when(~complete, F.lit("incomplete_metadata"))))
+
+
+def insight_notes(stage: Column, priority: Column, flags: Column) -> Column:
+    """what to mind about a high-priority RFQ and a stalled deal."""
+    return F.array_compact(F.array(F.when((priority == "high") & (stage == "rfq"), F.lit("High-priority RFQ: ensure follow-up on pricing.")),
+                                   F.when(F.array_contains(flags, "stalled"), F.lit("No recent activity detected; consider re-engaging stakeholders."))))
 
 
 def composite_quality(missing: Column, conflicts: Column, days: Column) -> Column:

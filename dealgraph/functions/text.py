@@ -99,12 +99,6 @@ def quote_share(text: Column) -> Column:
     return F.round(F.size(F.filter(ls, lambda x: F.trim(x).startswith(">"))) * 100 / F.size(ls), 4)
 
 
-def unquoted(text: Column) -> Column:
-    """The text before the first line that opens a quoted reply, without quoted lines."""
-    head = F.split(text, r"(?mi)^(?:on .{1,200} wrote:|-{2,} ?original message ?-{2,}|from: .{1,200})\s*$", 2)[0]
-    return F.trim(F.array_join(F.filter(lines(head), lambda x: ~F.trim(x).startswith(">")), "\n"))
-
-
 def unsigned(text: Column) -> Column:
     """The text before a signature delimiter, or else before a closing phrase in the last ten lines."""
     cut = F.split(text, r"(?m)^-- ?$", 2)[0]
@@ -116,11 +110,17 @@ def unsigned(text: Column) -> Column:
 
 
 def quality_score(text: Column) -> Column:
-    """Penalties for replacement and control characters, reward for common ones."""
+    """0 to 1: replacement characters take off up to .5 and control characters up to .3; the share of common characters weighs half; a share of
+    other than ASCII characters beyond .3 takes off half of what is beyond."""
     n = F.greatest(F.length(text), F.lit(1))
-    common = F.regexp_count(text, F.lit(r"[A-Za-z0-9 .,;:!?\n]")) / n
-    odd = F.regexp_count(text, F.lit(r"[\x{FFFD}]")) / n + F.regexp_count(text, F.lit(r"[\x00-\x08\x0E-\x1F]")) / n
-    return F.round(100 * common - 100 * odd, 4)
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern))
+
+    kept = 1.0 - F.least(F.lit(0.5), count(r"\x{FFFD}") * 0.01) - F.least(F.lit(0.3), count(r"[\x00-\x08\x0B\x0C\x0E-\x1F]") * 0.01)
+    foreign = count(r"[^\x00-\x7F]") / n
+    score = kept * (0.5 + count(r"[a-zA-Z0-9\s.,!?;:'\"()-]") / n * 0.5) - F.when(foreign > 0.3, (foreign - 0.3) * 0.5).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
 def keywords(text: Column, words: list[str]) -> Column:

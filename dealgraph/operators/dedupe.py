@@ -43,18 +43,18 @@ def prepared(records: DataFrame) -> DataFrame:
     return records.select("id", plain(F.col("deal_name")).alias("_n"), plain(F.col("customer_name")).alias("_m"), company_key(F.col("customer_name")).alias("_k"), "vendor_id", "deal_value", "created_at")
 
 
-def _sides(r: DataFrame, asked: Column | None) -> tuple[DataFrame, DataFrame, Column]:
+def _sides(r: DataFrame, asked: Column | str | None) -> tuple[DataFrame, DataFrame, Column]:
     left = (r if asked is None else r.where(asked)).select([F.col(c).alias(f"{c}_1") for c in _FIELDS])
     return left, r.select([F.col(c).alias(f"{c}_2") for c in _FIELDS]), F.col("id_1") < F.col("id_2") if asked is None else F.col("id_1") != F.col("id_2")
 
 
-def alike(r: DataFrame, asked: Column | None, form: str, least: float) -> DataFrame:
+def alike(r: DataFrame, asked: Column | str | None, form: str, least: float) -> DataFrame:
     """(a, b, score 0 to 1): the forms of asked records, and the forms of all records that are alike, equal ones included."""
     mine = r if asked is None else r.where(asked)
     return similar_pairs(mine.select(F.col(form).alias("text")), r.select(F.col(form).alias("text")), least * 100).withColumn("score", F.col("score") / 100)
 
 
-def _by_customer(r: DataFrame, asked: Column | None, customers: DataFrame, near: Column, other: Column) -> DataFrame:
+def _by_customer(r: DataFrame, asked: Column | str | None, customers: DataFrame, near: Column, other: Column) -> DataFrame:
     """Pairs with alike customers (a, b, score: _c) of which a value of the array `near` of the first is `other` of the second."""
     left, right, order = _sides(r, asked)
     left = left.join(customers.select(F.col("a").alias("_k_1"), F.col("b").alias("_to"), F.col("score").alias("_c")), "_k_1").withColumn("_near", F.explode(near))
@@ -72,7 +72,7 @@ def _found(pairs: DataFrame, strategy: str, score: Column) -> DataFrame:
     return pairs.select("id_1", "id_2", F.lit(strategy).alias("strategy"), score.alias("score"))
 
 
-def exact(r: DataFrame, asked: Column | None = None) -> DataFrame:
+def exact(r: DataFrame, asked: Column | str | None = None) -> DataFrame:
     """The same plain name and company, values less than 1 apart where both are known and not 0."""
     left, right, order = _sides(r, asked)
     p = left.join(right, (F.col("_n_1") == F.col("_n_2")) & (F.col("_k_1") == F.col("_k_2"))).where(order)
@@ -80,7 +80,7 @@ def exact(r: DataFrame, asked: Column | None = None) -> DataFrame:
     return _found(p.where(~known | (F.abs(F.col("deal_value_1") - F.col("deal_value_2")) < 1)), "exact", F.lit(1.0))
 
 
-def fuzzy_name(r: DataFrame, asked: Column | None = None) -> DataFrame:
+def fuzzy_name(r: DataFrame, asked: Column | str | None = None) -> DataFrame:
     """Deal and customer names (suffixes and all) at least 70 percent alike, and 85 in the mean. Names meet as distinct names; pairs of
     alike names that reach the mean are the key on which the records meet."""
     left, right, order = _sides(r, asked)
@@ -92,7 +92,7 @@ def fuzzy_name(r: DataFrame, asked: Column | None = None) -> DataFrame:
     return _found(p, "fuzzy_name", (F.col("_x") + F.col("_y")) / 2)
 
 
-def customer_value(r: DataFrame, asked: Column | None = None, customers: DataFrame | None = None, least: float = ALIKE) -> DataFrame:
+def customer_value(r: DataFrame, asked: Column | str | None = None, customers: DataFrame | None = None, least: float = ALIKE) -> DataFrame:
     """Customers and values alike; values meet in buckets. customers: alike(..., "_k", at most `least`), if it is there."""
     customers = (alike(r, asked, "_k", least) if customers is None else customers).where(F.col("score") >= least)
     percent = (1 - least) / 0.3 * 10
@@ -101,7 +101,7 @@ def customer_value(r: DataFrame, asked: Column | None = None, customers: DataFra
     return _found(p.where(v >= least), "customer_value", 0.6 * F.col("_c") + 0.4 * v)
 
 
-def customer_date(r: DataFrame, asked: Column | None = None, customers: DataFrame | None = None, least: float = ALIKE) -> DataFrame:
+def customer_date(r: DataFrame, asked: Column | str | None = None, customers: DataFrame | None = None, least: float = ALIKE) -> DataFrame:
     """Customers and dates alike; dates meet in buckets of days."""
     customers = (alike(r, asked, "_k", least) if customers is None else customers).where(F.col("score") >= least)
     days = math.floor((1 - least) / 0.3 * 7 + 1e-9) + 1
@@ -114,14 +114,14 @@ def customer_date(r: DataFrame, asked: Column | None = None, customers: DataFram
     return _found(p.where(d >= least), "customer_date", 0.6 * F.col("_c") + 0.4 * d)
 
 
-def vendor_customer(r: DataFrame, asked: Column | None = None, customers: DataFrame | None = None, least: float = VENDOR_ALIKE) -> DataFrame:
+def vendor_customer(r: DataFrame, asked: Column | str | None = None, customers: DataFrame | None = None, least: float = VENDOR_ALIKE) -> DataFrame:
     """The same vendor and alike customers; the deals' names add to the score."""
     customers = (alike(r, asked, "_k", least) if customers is None else customers).where(F.col("score") >= least)
     p = _by_customer(r, asked, customers, F.array("vendor_id_1"), F.col("vendor_id_2"))
     return _found(p, "vendor_customer", F.least(F.lit(1.0), 0.3 + 0.5 * F.col("_c") + 0.2 * both(similarity.fuzzy_of_plain, "_n") / 100))
 
 
-def multi_factor(r: DataFrame, asked: Column | None = None, customers: DataFrame | None = None, least: float = FACTORS) -> DataFrame:
+def multi_factor(r: DataFrame, asked: Column | str | None = None, customers: DataFrame | None = None, least: float = FACTORS) -> DataFrame:
     """The weighted score of name, customer, vendor, value and date. A pair of one vendor and with some value in common meets by vendor and
     value bucket; any other one can reach the score only if both names are alike, and meets by these."""
     w = similarity.WEIGHTS
@@ -160,14 +160,14 @@ def combine(*found: DataFrame, least: float = REVIEW) -> DataFrame:
     return scored.withColumn("action", F.when(F.col("score") >= AUTO, "auto_merge").otherwise("manual_review"))
 
 
-def detect(records: DataFrame, asked: Column | None = None, least: float = REVIEW) -> DataFrame:
+def detect(records: DataFrame, asked: Column | str | None = None, least: float = REVIEW) -> DataFrame:
     """Duplicates by all six strategies. The records and the alike customers are computed once."""
     r = _cut(prepared(records))
     customers = _cut(alike(r, asked, "_k", VENDOR_ALIKE))
     return combine(exact(r, asked), fuzzy_name(r, asked), customer_value(r, asked, customers), customer_date(r, asked, customers), vendor_customer(r, asked, customers), multi_factor(r, asked, customers), least=least)
 
 
-def online_candidates(records: DataFrame, asked: Column, newest: int = NEWEST) -> DataFrame:
+def online_candidates(records: DataFrame, asked: Column | str, newest: int = NEWEST) -> DataFrame:
     """(id_1, id_2, rank): what an asked record (id, customer_name, vendor_id, status, created_at) is compared with on line: records that are not
     rejected, have the same vendor or hold the customer's name in theirs, the newest (then the smallest id) first. No more than `newest` of a
     vendor or of a name can be among the newest of both, so only these are joined."""
@@ -188,7 +188,7 @@ def online_candidates(records: DataFrame, asked: Column, newest: int = NEWEST) -
     return found.withColumn("rank", rank).where(F.col("rank") <= newest).where("id_1 <> id_2").select("id_1", "id_2", "rank")
 
 
-def find_similar(records: DataFrame, asked: Column, least: float = 0.5) -> DataFrame:
+def find_similar(records: DataFrame, asked: Column | str, least: float = 0.5) -> DataFrame:
     """The duplicates of each asked record among its on-line candidates, the surest first: (id_1, rank, id_2, strategy, score, action)."""
     found = detect(records, asked, max(least, REVIEW)).join(online_candidates(records, asked).select("id_1", "id_2"), ["id_1", "id_2"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("id_1").orderBy(F.desc("score"), "id_2"))

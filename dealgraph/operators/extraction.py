@@ -99,6 +99,21 @@ def quote_blocks(texts: DataFrame) -> DataFrame:
     return inside.groupBy("text_id", "run").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count_if("q").alias("quoted")).drop("run")
 
 
+def unquoted(texts: DataFrame) -> DataFrame:
+    """(text_id, text) without the lines of quote blocks, wherever they stand; of what is left, no more than one empty line in a row, and no blanks around it. A
+    text without a quote stays as it is; null stays null. Lines of one text meet again in their order."""
+    rows = texts.where("text is not null").select("text_id", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    quote = F.trim("x").rlike("(?i)" + QUOTE_LINE)
+    soft = (F.trim("x") == "") | F.trim("x").rlike(r"(?i)^(from|to|cc|bcc|subject|date|sent):\s*.+$")
+    so_far = Window.partitionBy("text_id").orderBy("line")
+    last = F.max(F.when(quote, F.col("line"))).over(so_far), F.max(F.when(~quote & ~soft, F.col("line"))).over(so_far)
+    inside = last[0].isNotNull() & (last[0] > F.coalesce(last[1], F.lit(-1)))
+    kept = rows.withColumn("_in", inside).groupBy("text_id").agg(F.max("_in").alias("_any"), F.array_sort(F.collect_list(F.when(~F.col("_in"), F.struct("line", "x")))).alias("ls"))
+    joined = F.regexp_replace(F.regexp_replace(F.array_join(F.transform("ls", lambda l: l["x"]), "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    out = texts.join(kept.where("_any").select("text_id", joined.alias("_t"), "_any"), "text_id", "left")
+    return out.select("text_id", F.when(F.col("_any"), F.col("_t")).otherwise(F.col("text")).alias("text"))
+
+
 def threads(messages: DataFrame, days: int = SUBJECT_DAYS) -> DataFrame:
     """(thread_id, id) of messages (id, in_reply_to, refs, subject, at): connected by replies and references to
     messages that are there, or, where a message has none of these, to the messages of the same plain subject right before and after it, within `days`.

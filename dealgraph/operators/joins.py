@@ -52,11 +52,10 @@ def lineage(history: DataFrame, entity: str, field: str, at: str, source: str) -
     return history.groupBy(entity, field).agg(F.count("*").alias("changes"), F.countDistinct(source).alias("source_count"), F.max(at).alias("last_at"))
 
 
-def correlation_key(customer: Column, vendor: Column, value: Column) -> Column:
-    """Customer:vendor:thousands, lower case, blanks as underscores; missing and zero parts are left out."""
-    thousands = F.nullif(F.round(value / 1000).cast("bigint"), F.lit(0)).cast("string")
-    parts = [F.nullif(F.lower(F.trim(c)), F.lit("")) for c in (customer, vendor)]
-    return F.regexp_replace(F.concat_ws(":", *parts, thousands), r"\s+", "_")
+def cross_source(records: DataFrame, files: DataFrame, wanted: list[str]) -> DataFrame:
+    """Correlation keys that more than one record (id, key) has of those seen in one of the wanted files (id, file): (key, n, first_id, last_id)."""
+    seen = files.where(F.col("file").isin(*wanted)).select("id").distinct()
+    return records.where(F.coalesce("key", F.lit("")) != "").join(seen, "id", "left_semi").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("n > 1")
 
 
 def supersede(history: DataFrame, entity: str, field: str, at: str, key: str) -> DataFrame:

@@ -93,8 +93,9 @@ def found_in_texts(texts: DataFrame, names: DataFrame, piece: int = PIECE) -> Da
     if not lengths:
         return texts.select("text_id", F.lit("").alias("name")).limit(0)
     low = texts.select("text_id", F.lower("text").alias("t"))
-    starts = F.sequence(F.lit(0), F.greatest(F.length("t") - 1, F.lit(0)), F.lit(piece))
-    pieces = low.where("t <> ''").select("text_id", F.explode(F.transform(starts, lambda a: F.substring("t", a + 1, F.lit(piece + longest - 1)))).alias("p"))
+    piece = max(piece, longest)  # so that a name ends in the next piece at the latest
+    cut = low.where("t <> ''").select("text_id", F.regexp_extract_all("t", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)).alias("ps"))  # one pass, where substrings would each count from the start
+    pieces = cut.select("text_id", F.explode(F.transform("ps", lambda p, k: F.concat(p, F.left(F.coalesce(F.get("ps", k + 1), F.lit("")), F.lit(longest - 1))))).alias("p"))
     heads = keyed.select(F.xxhash64(F.left("low", F.col("k"))).alias("h"), "low", "name", "n")
     at = F.sequence(F.lit(1), F.least(F.length("p"), F.lit(piece)))
     i = F.col("i")

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.functions import scoring, similarity
-from dealgraph.operators import dedupe, vendor_match
+from dealgraph.functions import fields, scoring, similarity
+from dealgraph.operators import dedupe, joins, vendor_match
 from dealgraph.plans.named import ASKED, NAMED, fuzzy_ctes, named_deals, product_sets
 from dealgraph.plans.registry import register
 from dealgraph.plans.scalars import customers_sql, customers
-from dealgraph.sources.fixtures import SQL, deal_vendors, deals, table, vendors
+from dealgraph.sources.fixtures import SQL, deal_vendors, deals, source_files, table, vendors
 
 
 _V = "CASE WHEN coalesce({a}, 0) = 0 OR coalesce({b}, 0) = 0 THEN 0 WHEN {a} = {b} THEN 1 WHEN abs({a} - {b}) / (({a} + {b}) / 2) * 100 <= 10 THEN 1 - abs({a} - {b}) / (({a} + {b}) / 2) * 100 / 10 * 0.3 WHEN abs({a} - {b}) / (({a} + {b}) / 2) * 100 <= 30 THEN 0.7 * (1 - (abs({a} - {b}) / (({a} + {b}) / 2) * 100 - 10) / 20) ELSE 0 END::DOUBLE".format(a="x.deal_value", b="y.deal_value")
 _D = "CASE WHEN abs(date_diff('day', x.created_at, y.created_at)) <= 7 THEN 1 - abs(date_diff('day', x.created_at, y.created_at)) / 7 * 0.3 WHEN abs(date_diff('day', x.created_at, y.created_at)) <= 28 THEN 0.7 * (1 - (abs(date_diff('day', x.created_at, y.created_at)) - 7) / 21) ELSE 0 END::DOUBLE"
 _W = "coalesce((x.vendor_id = y.vendor_id)::INT, 0)"
-ASK = F.col("id") % ASKED == 0
+ASK = f"id % {ASKED} = 0"
 #: All asked deals against all others, and the fuzzy similarities of their names, each by comparing all distinct pairs.
 PAIRS = f"nd x JOIN nd y ON x.id % {ASKED} = 0 AND x.id <> y.id"
 _SIMILAR = {c: fuzzy_ctes(f"s{c}", f"SELECT x.{c} AS a, y.{c} AS b FROM (SELECT DISTINCT {c} FROM nd WHERE id % {ASKED} = 0) x, (SELECT DISTINCT {c} FROM nd) y") for c in "nmk"}
@@ -98,7 +98,20 @@ SELECT cluster_id, count(*) AS size, min(id) AS first_id, max(id) AS last_id FRO
 register("d19_pair_log", lambda s, d: dedupe.ordered_pair_log(deal_vendors(s, d).select(F.col("vendor_id").alias("a"), (F.col("deal_id") % 100).alias("b"), F.lit(1).alias("score")).where("a <> b"), "a", "b", "score"), SQL + "SELECT least(vendor_id, deal_id % 100) AS id_1, greatest(vendor_id, deal_id % 100) AS id_2, max(1) AS score FROM deal_vendors WHERE vendor_id <> deal_id % 100 GROUP BY 1, 2")
 register("d24_file_duplicates", lambda s, d: dedupe.file_duplicates(table(s, d, "documents"), "doc_id", "text"), "SELECT doc_id, first AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents) WHERE doc_id > first")
 register("d25_cheap_duplicates", lambda s, d: dedupe.pairs_by(deals(s, d).withColumn("_k", F.concat(F.col("vendor_id").cast("string"), F.lit("|"), F.lower("deal_name"))), "_k", ()).select("id_1", "id_2"), SQL + "SELECT a.id AS id_1, b.id AS id_2 FROM deals a JOIN deals b ON a.vendor_id = b.vendor_id AND lower(a.deal_name) = lower(b.deal_name) AND a.id < b.id")
-register("d26_cross_source", lambda s, d: table(s, d, "documents").groupBy(F.md5("text").alias("key")).agg(F.countDistinct("source").alias("n_sources"), F.count("*").alias("n")).where("n_sources > 1"), "SELECT md5(text) AS key, count(DISTINCT source) AS n_sources, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")
+
+
+def keyed_deals(s: SparkSession, d: str) -> DataFrame:
+    """(id, key): the named deals with their correlation keys; only every third one's value is known."""
+    x = named_deals(s, d).join(vendors(s, d).select("vendor_id", "vendor_name"), "vendor_id", "left")
+    return x.select("id", fields.deal_key(F.col("customer_name"), F.col("vendor_name"), F.when(F.col("id") % 3 == 0, F.col("deal_value"))).alias("key"))
+
+
+WANTED = ["1996-01", "1996-02", "1997-07", "1998-12"]
+PART = r"nullif(regexp_replace(regexp_replace(lower(trim({0})), '[^\w\s]', '', 'g'), '\s+', '_', 'g'), '')"
+KEYED = NAMED + f", keyed AS (SELECT id, concat_ws(':', {PART.format('customer_name')}, {PART.format('vendor_name')}, CASE WHEN id % 3 = 0 THEN nullif(floor(coalesce(deal_value, 0) / 1000 + 0.5)::BIGINT, 0)::VARCHAR END) AS key FROM nd LEFT JOIN vendors USING (vendor_id)) "
+register("c01_correlation_key", keyed_deals, KEYED + "SELECT id, key FROM keyed")
+register("d26_cross_source", lambda s, d: joins.cross_source(keyed_deals(s, d), source_files(s, d).select(F.col("deal_id").alias("id"), F.col("file_id").alias("file")), WANTED), KEYED + f"""
+SELECT key, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM keyed WHERE key <> '' AND id IN (SELECT deal_id FROM source_files WHERE file_id IN {tuple(WANTED)}) GROUP BY 1 HAVING count(*) > 1""")
 
 # ---------------------------------------------------------------- survivorship: clusters are a customer's deals of one stage
 
@@ -125,13 +138,13 @@ def m05(s: SparkSession, d: str) -> DataFrame:
     x = deals(s, d)
     last = F.lit("2001-08-01").cast("date")
     c = scoring.completeness([F.col("customer_name"), F.col("deal_name"), F.col("vendor_id"), F.col("product_type")])
-    q = scoring.entity_quality(c, F.col("deal_value") / 500_000, scoring.validation_score(F.when(F.col("status") == "F", "passed").otherwise("open"), F.lit(None).cast("double"), F.lit(0.6)), scoring.recency(F.datediff(last, "created_at")))
-    return x.select("id", F.round(c, 6).alias("completeness"), F.round(q, 6).alias("quality"))
+    q = scoring.entity_quality(c, F.when(F.col("id") % 10 > 1, F.col("deal_value") / 500_000).when(F.col("id") % 10 == 1, 0.0), scoring.validation_score(F.when(F.col("status") == "F", "passed").otherwise("open"), F.lit(None).cast("double"), F.lit(0.6)), scoring.recency(F.datediff(last, "created_at")))
+    return x.select("id", F.round(c, 6).alias("completeness"), F.round(q, 5).alias("quality"))
 
 
 register("m05_entity_quality", m05, SQL + """
-, x AS (SELECT id, pow(((customer_name IS NOT NULL)::INT + (deal_name IS NOT NULL)::INT + (vendor_id IS NOT NULL)::INT + (product_type IS NOT NULL)::INT) / 4, 4) AS c, deal_value / 500000 AS ai, CASE WHEN status = 'F' THEN 1.0 ELSE 0.6 END AS v, date_diff('day', created_at::DATE, DATE '2001-08-01') AS n FROM deals)
-SELECT id, round(c, 6)::DOUBLE AS completeness, round(0.4 * c + 0.3 * ai + 0.2 * v + 0.1 * CASE WHEN n <= 1 THEN 1 WHEN n <= 30 THEN 1 - (n - 1) / 29 * 0.5 WHEN n <= 180 THEN 0.5 - (n - 30) / 150 * 0.5 ELSE 0 END, 6)::DOUBLE AS quality FROM x""")
+, x AS (SELECT id, pow(((customer_name IS NOT NULL)::INT + (deal_name IS NOT NULL)::INT + (vendor_id IS NOT NULL)::INT + (product_type IS NOT NULL)::INT) / 4, 4) AS c, CASE WHEN id % 10 > 1 THEN deal_value / 500000 WHEN id % 10 = 1 THEN 0 ELSE 0.4 END AS ai, CASE WHEN status = 'F' THEN 1.0 ELSE 0.6 END AS v, date_diff('day', created_at::DATE, DATE '2001-08-01') AS n FROM deals)
+SELECT id, round(c, 6)::DOUBLE AS completeness, round(0.4 * c + 0.3 * ai + 0.2 * v + 0.1 * CASE WHEN n <= 1 THEN 1 WHEN n <= 30 THEN 1 - (n - 1) / 29 * 0.5 WHEN n <= 180 THEN 0.5 - (n - 30) / 150 * 0.5 ELSE 0 END, 5)::DOUBLE AS quality FROM x""")
 register("m11_merged_sources", lambda s, d: members(s, d).groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_set("vendor_id")).cast("array<string>"), ",").alias("vendors"), F.count("*").alias("merged")), M + "SELECT cluster_id, coalesce(array_to_string(list_sort(list(DISTINCT vendor_id) FILTER (vendor_id IS NOT NULL)), ','), '') AS vendors, count(*) AS merged FROM m GROUP BY 1")
 
 # ---------------------------------------------------------------- scores
@@ -158,18 +171,29 @@ register("f17_date_issues", f17, SQL + """
 , x AS (SELECT id, created_at::DATE AS c, created_at::DATE + CAST(id % 9 - 5 AS INT) AS r, DATE '1999-01-01' AS n FROM deals)
 SELECT id, concat_ws(',', CASE WHEN c - n < -180 THEN 'close_long_past' END, CASE WHEN c - n > 730 THEN 'close_far' END, CASE WHEN r > n THEN 'registered_in_future' END, CASE WHEN r > c THEN 'registered_after_close' END) AS issues FROM x WHERE issues <> ''""")
 
-CUSTOMERS = ["John Smith", "ACME HOLDINGS {}", "globex", "info@acme{}.com", "A", "Acme Corp {}", "https://x{}.y"]
-register("f18_customer_issues", lambda s, d: customers(s, d, CUSTOMERS).select("id", F.array_join(scoring.customer_issues(F.col("x")), ",").alias("issues")), customers_sql(CUSTOMERS) + """
-SELECT id, concat_ws(',', CASE WHEN regexp_matches(x, '^[A-Z][a-z]+ [A-Z][a-z]+$') THEN 'person' END, CASE WHEN x = upper(x) AND regexp_matches(x, '[A-Z]') AND length(x) > 5 THEN 'all_caps' END, CASE WHEN x = lower(x) AND regexp_matches(x, '[a-z]') THEN 'all_lower' END, CASE WHEN regexp_matches(x, '@|https?://|www[.]') THEN 'address' END, CASE WHEN length(x) NOT BETWEEN 2 AND 200 THEN 'length' END) AS issues FROM t""")
+CUSTOMERS = ["John Smith", "ACME HOLDINGS {}", "globex", "info@acme{}.com", "A", "Acme Corp {}", "https://x{}.y", "Dr. {} Who", "mrs x", "", None, "12{}", "{} " + "long " * 30, "Prof Adams"]
+register("f18_customer_issues", lambda s, d: customers(s, d, CUSTOMERS).select("id", scoring.customer_issues(F.col("x")).alias("c")).select("id", F.array_join("c.issues", ",").alias("issues"), "c.valid", "c.adjustment"), customers_sql(CUSTOMERS) + r"""
+, r AS (SELECT id, coalesce(trim(x), '') = '' AS b, regexp_matches(x, '(?i)^(Mr|Mrs|Ms|Dr|Prof)\.?\s+[A-Z]') OR regexp_matches(x, '^[A-Z][a-z]+ [A-Z][a-z]+$') AS p, (x = upper(x) AND length(x) > 5) OR x = lower(x) AS c, contains(x, '@') OR contains(x, 'http://') OR contains(x, 'https://') AS u, length(x) AS n FROM t)
+SELECT id, CASE WHEN b THEN 'name_required:critical' ELSE concat_ws(',', CASE WHEN p THEN 'name_not_person:warning' END, CASE WHEN c THEN 'name_capitalization:warning' END, CASE WHEN u THEN 'name_no_email_url:error' END, CASE WHEN n < 2 THEN 'name_length:error' WHEN n > 100 THEN 'name_length:warning' END) END AS issues,
+NOT (b OR u OR n < 2) AS valid, CASE WHEN b THEN -0.5 WHEN u OR n < 2 THEN -0.3 WHEN p OR c OR n > 100 THEN -0.05 ELSE 0 END::DOUBLE AS adjustment FROM r""")
 
 
 def f22(s: SparkSession, d: str) -> DataFrame:
-    return deals(s, d).select("id", F.round(scoring.calibrate(F.col("deal_value") / 500_000, F.col("customer_name").isNotNull(), F.col("deal_value") > 5000, F.col("id") % 2 == 0, F.col("vendor_id").isNotNull()), 6).alias("confidence"))
+    """Deals, vendors and contacts with the fields that extraction leaves: some lack their name, customer, value, currency or date."""
+    x, k, none = deals(s, d), F.col("id"), F.lit(None).cast("string")
+    rows = x.select(F.lit("deal").alias("kind"), k, (F.col("deal_value") / 500_000).alias("c"), F.when(k % 7 > 0, F.col("deal_name")).alias("name"), F.when(k % 5 > 0, F.col("customer_name")).alias("customer"), F.when(k % 3 > 0, F.col("deal_value")).otherwise(0.0).alias("value"),
+                    F.when(k % 2 == 0, "EUR").alias("currency"), F.when(k % 4 > 0, F.col("created_at")).alias("close"), none.alias("email"), none.alias("phone"))
+    c, m = table(s, d, "customer"), F.col("c_custkey")
+    rows = rows.unionByName(c.select(F.when(m % 2 == 0, "vendor").otherwise("contact").alias("kind"), m.alias("id"), (m % 10 / 10).alias("c"), F.when(m % 7 > 0, F.col("c_name")).otherwise("").alias("name"), none.alias("customer"), F.lit(0.0).alias("value"), none.alias("currency"),
+                                     F.lit(None).cast("timestamp_ntz").alias("close"), F.when(m % 3 == 0, "a@b.c").alias("email"), F.when(m % 5 == 0, "555").otherwise("").alias("phone")))
+    return rows.select("kind", "id", F.round(scoring.calibrate(F.col("c"), F.col("kind"), F.col("name"), F.col("customer"), F.col("value"), F.col("currency"), F.col("close"), F.col("email"), F.col("phone")), 6).alias("confidence"))
 
 
 register("f22_calibration", f22, SQL + """
-, x AS (SELECT id, vendor_id, deal_value / 500000 * CASE WHEN customer_name IS NOT NULL THEN 1.0 ELSE 0.8 END * CASE WHEN deal_value > 5000 THEN 1.0 ELSE 0.8 END * CASE WHEN id % 2 = 0 THEN 1.0 ELSE 0.95 END AS c FROM deals)
-SELECT id, round(CASE WHEN vendor_id IS NOT NULL THEN least(0.99, c * 1.05) ELSE c * 0.9 END, 6)::DOUBLE AS confidence FROM x""")
+, a AS (SELECT id, deal_value / 500000 * CASE WHEN id % 7 > 0 AND deal_name <> '' THEN 1.0 ELSE 0.8 END * CASE WHEN id % 5 > 0 AND customer_name <> '' THEN 1.0 ELSE 0.8 END * CASE WHEN id % 3 > 0 AND deal_value <> 0 THEN 1.0 ELSE 0.95 END AS c FROM deals),
+b AS (SELECT id, CASE WHEN id % 2 = 0 THEN least(0.99, c * 1.05) ELSE c END AS c FROM a)
+SELECT 'deal' AS kind, id, round(greatest(0, least(1, CASE WHEN id % 4 > 0 THEN least(0.99, c * 1.05) ELSE c END)), 6)::DOUBLE AS confidence FROM b
+UNION ALL SELECT CASE WHEN c_custkey % 2 = 0 THEN 'vendor' ELSE 'contact' END, c_custkey, round(c_custkey % 10 / 10 * CASE WHEN c_custkey % 7 > 0 THEN 1.0 ELSE 0.8 END * CASE WHEN c_custkey % 2 = 1 AND c_custkey % 3 > 0 AND c_custkey % 5 > 0 THEN 0.9 ELSE 1 END, 6)::DOUBLE FROM customer""")
 
 
 def insights(s: SparkSession, d: str) -> DataFrame:
@@ -178,7 +202,8 @@ def insights(s: SparkSession, d: str) -> DataFrame:
     x = deals(s, d).join(actors, "id", "left")
     steps, quiet = F.col("id") % 2 == 0, F.abs(F.datediff(F.lit("1999-01-01").cast("date"), "created_at"))
     x = x.withColumn("win", scoring.win_probability(F.col("stage"), F.col("priority"), F.col("deal_value") > 250_000, steps)).withColumn("momentum", scoring.momentum(steps, F.coalesce("actors", F.lit(0)), quiet))
-    return x.select("id", "stage", "priority", "win", "momentum", F.array_join(scoring.risk_flags(F.col("win"), F.col("momentum"), steps, F.col("vendor_id").isNotNull()), ",").alias("flags"))
+    flags = scoring.risk_flags(F.col("win"), F.col("momentum"), steps, F.col("vendor_id").isNotNull())
+    return x.select("id", "stage", "priority", "win", "momentum", flags.alias("f")).select("id", "stage", "priority", "win", "momentum", F.array_join("f", ",").alias("flags"), F.array_join(scoring.insight_notes(F.col("stage"), F.col("priority"), F.col("f")), " ").alias("notes"))
 
 
 INSIGHTS = SQL + """
@@ -187,7 +212,8 @@ x AS (SELECT id, stage, priority, vendor_id, id % 2 = 0 AS steps,
   round(greatest(0.05, least(0.95, CASE stage WHEN 'po_in_progress' THEN 0.8 WHEN 'quote' THEN 0.55 ELSE 0.4 END::DOUBLE + CASE priority WHEN 'high' THEN 0.1 WHEN 'low' THEN -0.05 ELSE 0 END::DOUBLE + CASE WHEN deal_value > 250000 THEN 0.05 ELSE 0 END::DOUBLE - CASE WHEN id % 2 = 0 THEN 0 ELSE 0.05 END::DOUBLE)), 2) AS win,
   round(greatest(0, least(1, 0.5::DOUBLE + CASE WHEN id % 2 = 0 THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN coalesce(actors, 0) > 2 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN abs(date_diff('day', created_at::DATE, DATE '1999-01-01')) <= 7 THEN 0.1 WHEN abs(date_diff('day', created_at::DATE, DATE '1999-01-01')) > 21 THEN -0.1 ELSE 0 END::DOUBLE)), 2) AS momentum
   FROM deals LEFT JOIN a ON deal_id = id),
-i AS (SELECT id, stage, priority, win::DOUBLE AS win, momentum::DOUBLE AS momentum, concat_ws(',', CASE WHEN win < 0.3 THEN 'low_win' END, CASE WHEN momentum < 0.4 THEN 'stalled' END, CASE WHEN NOT steps THEN 'missing_next_steps' END, CASE WHEN vendor_id IS NULL THEN 'incomplete_metadata' END) AS flags FROM x)
+i AS (SELECT id, stage, priority, win::DOUBLE AS win, momentum::DOUBLE AS momentum, concat_ws(',', CASE WHEN win < 0.3 THEN 'low_win_probability' END, CASE WHEN momentum < 0.4 THEN 'stalled' END, CASE WHEN NOT steps THEN 'missing_next_steps' END, CASE WHEN vendor_id IS NULL THEN 'incomplete_metadata' END) AS flags,
+  concat_ws(' ', CASE WHEN priority = 'high' AND stage = 'rfq' THEN 'High-priority RFQ: ensure follow-up on pricing.' END, CASE WHEN momentum < 0.4 THEN 'No recent activity detected; consider re-engaging stakeholders.' END) AS notes FROM x)
 """
 register("f25_insights", insights, INSIGHTS + "SELECT * FROM i")
 register("f28_notifications", lambda s, d: insights(s, d).where((F.col("win") <= 0.35) | F.contains("flags", F.lit("stalled"))).select("id", F.when(F.col("win") <= 0.3, "critical").otherwise("warning").alias("severity")), INSIGHTS + "SELECT id, CASE WHEN win <= 0.3 THEN 'critical' ELSE 'warning' END AS severity FROM i WHERE win <= 0.35 OR flags LIKE '%stalled%'")

@@ -310,10 +310,6 @@ register("a42_job_counts", lambda s, d: table(s, d, "orders").agg(*[F.count_if(F
 
 # ---------------------------------------------------------------- correlation, lineage, windows, sets
 
-register("c01_correlation_key", lambda s, d: deals(s, d).select("id", joins.correlation_key(F.col("customer_name"), F.col("vendor_id").cast("string"), F.col("deal_value")).alias("key")), SQL + r"""
-SELECT id, regexp_replace(concat_ws(':', nullif(lower(trim(customer_name)), ''), CAST(vendor_id AS VARCHAR), CAST(nullif(CAST(round(deal_value / 1000) AS BIGINT), 0) AS VARCHAR)), '\s+', '_', 'g') AS key FROM deals""")
-
-
 def c05(s: SparkSession, d: str) -> DataFrame:
     h = table(s, d, "events").withColumn("file", F.get_json_object("props", "$.k"))
     return joins.lineage(h, "user_id", "event_type", "ts", "file")

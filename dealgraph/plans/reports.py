@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dealgraph.functions import fields
 from dealgraph.operators import reports
 from dealgraph.plans.registry import register
+from dealgraph.plans.written import written, written_sql
 from dealgraph.sources.fixtures import SQL, deal_vendors, deals, source_files, table, vendors
 
 
@@ -162,18 +163,20 @@ register("a41_distinct_counts", lambda s, d: table(s, d, "events").agg(F.count("
 
 # ---------------------------------------------------------------- correlation
 
-_KEY = r"CASE WHEN coalesce(lower(trim({e})), '') <> '' THEN 'email:' || lower(trim({e})) ELSE 'name:' || regexp_replace(lower(trim({n})), '\s+', ' ', 'g') END"
+_KEY = r"CASE WHEN coalesce(lower(trim({e})), '') <> '' THEN 'email:' || lower(trim({e})) ELSE 'name:' || regexp_replace(regexp_replace(lower(trim({n})), '[^\w\s]', '', 'g'), '\s+', '_', 'g') END"
 
 
 def contacts(s: SparkSession, d: str) -> DataFrame:
     """Customers as contacts; those with a debt have no address."""
     return table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") >= 0, F.concat(F.lit(" "), F.regexp_replace("c_name", "#", "."), F.lit("@Example.org "))).alias("email"),
-                                          F.concat(F.lit(" "), F.regexp_replace("c_name", "#", "  ")).alias("name"))
+                                          F.concat(F.lit(" "), F.regexp_replace("c_name", "#", "  No. ")).alias("name"))
 
 
-_CONTACTS = "WITH c AS (SELECT c_custkey AS id, CASE WHEN c_acctbal >= 0 THEN ' ' || replace(c_name, '#', '.') || '@Example.org ' END AS email, ' ' || replace(c_name, '#', '  ') AS name FROM customer)"
+_CONTACTS = "WITH c AS (SELECT c_custkey AS id, CASE WHEN c_acctbal >= 0 THEN ' ' || replace(c_name, '#', '.') || '@Example.org ' END AS email, ' ' || replace(c_name, '#', '  No. ') AS name FROM customer)"
 
+VENDORS = ["{}, Inc.", " The  {} ", "{}", None, "A & {} (EU)"]
 register("c02_contact_key", lambda s, d: contacts(s, d).select("id", fields.contact_key(F.col("email"), F.col("name")).alias("key")), _CONTACTS + " SELECT id, " + _KEY.format(e="email", n="name") + " AS key FROM c")
+register("c02_vendor_key", lambda s, d: table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), fields.key_part(written(F.col("s_name"), F.col("s_suppkey"), VENDORS)).alias("key")), f"WITH v AS (SELECT s_suppkey AS id, {written_sql('s_name', 's_suppkey', VENDORS)} AS x FROM supplier) SELECT id, coalesce(regexp_replace(regexp_replace(lower(trim(x)), '[^\\w\\s]', '', 'g'), '\\s+', '_', 'g'), '') AS key FROM v")
 register("c07_backfill_keys", lambda s, d: contacts(s, d).withColumn("key", F.when(F.col("id") % 3 == 0, F.concat(F.lit("kept:"), F.col("id").cast("string")))).select("id", F.coalesce("key", fields.contact_key(F.col("email"), F.col("name"))).alias("key"), F.col("key").isNull().alias("filled")),
          _CONTACTS + " SELECT id, CASE WHEN id % 3 = 0 THEN 'kept:' || id ELSE " + _KEY.format(e="email", n="name") + " END AS key, id % 3 <> 0 AS filled FROM c")
 

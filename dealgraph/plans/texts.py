@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dealgraph.functions import text
-from dealgraph.operators import opportunity
+from dealgraph.operators import extraction, opportunity
 from dealgraph.plans.registry import register
 from dealgraph.plans.written import written, written_sql
 from dealgraph.sources.fixtures import SQL, deal_vendors, deals, table
@@ -73,8 +73,13 @@ register("e06_tidy", lambda s, d: documents(s, d, MESSY).select("doc_id", F.md5(
 MAILS = ["Hello\n> quoted\n{}\n> more\nbye", "{}\nOn Mon, Jan 1, A wrote:\n> x\n> y", "no quotes {}", "> all\n> quoted {}", "{}\n----- Original Message -----\nold", "From: someone\n{}", "", None, " > {}\nfrom here: on\nFROM: x@y.z\nend"]
 _QUOTED = "list_filter(string_split({}, chr(10)), lambda l: trim(l, ' ') LIKE '>%')"
 register("e03_quote_share", lambda s, d: documents(s, d, MAILS).select("doc_id", text.quote_share(F.col("x")).alias("pct")), _documents(MAILS) + f"SELECT doc_id, round(len({_QUOTED.format('x')}) * 100 / len(string_split(x, chr(10))), 4)::DOUBLE AS pct FROM t")
-_HEAD = r"regexp_replace(x, '(?mi)^(?:on .{1,200} wrote:|-{2,} ?original message ?-{2,}|from: .{1,200})\s*$(?s:.*)', '')"
-register("e02_unquoted", lambda s, d: documents(s, d, MAILS).select("doc_id", F.md5(text.unquoted(F.col("x"))).alias("digest")), _documents(MAILS) + f"SELECT doc_id, md5(trim(array_to_string(list_filter(string_split({_HEAD}, chr(10)), lambda l: NOT trim(l, ' ') LIKE '>%'), chr(10)), ' ')) AS digest FROM t")
+ANSWERED = [*MAILS, "top\nOn Mon, A wrote:\n> q\n\nFrom: b@c\nanswer below {}", "a\n\n\n\n> q\n{}\n\n\n\nb", "> {}\nTo: x\n\n"]
+register("e02_unquoted", lambda s, d: extraction.unquoted(documents(s, d, ANSWERED).select(F.col("doc_id").alias("text_id"), F.col("x").alias("text"))).select(F.col("text_id").alias("doc_id"), F.md5("text").alias("digest")), _documents(ANSWERED) + rf"""
+, i AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS l, generate_subscripts(string_split(x, chr(10)), 1) AS k FROM t),
+q AS (SELECT *, regexp_matches(trim(l, ' '), '(?i){extraction.QUOTE_LINE}') AS q, trim(l, ' ') = '' OR regexp_matches(trim(l, ' '), '(?i)^(from|to|cc|bcc|subject|date|sent):\s*.+$') AS soft FROM i),
+r AS (SELECT *, q OR soft AND coalesce((SELECT arg_max(o.q, o.k) FROM q o WHERE o.doc_id = q.doc_id AND o.k < q.k AND (o.q OR NOT o.soft)), false) AS gone FROM q),
+g AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(string_agg(l, chr(10) ORDER BY k) FILTER (NOT gone), ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS y, bool_or(gone) AS cut FROM r GROUP BY 1)
+SELECT doc_id, md5(CASE WHEN cut THEN y ELSE x END) AS digest FROM t LEFT JOIN g USING (doc_id)""")
 SIGNED = ["{}\n-- \nJane\nCEO", "Hi {}\nall good\nBest regards,\nJohn", "{}", "Thanks,\n{}", "a\nCheers\n1\n2\n3\n4\n5\n6\n7\n8\n9\n10\n11", "--\n{}", "", None, "{}\nthank you\n\nX\nsincerely,"]
 register("e04_unsigned", lambda s, d: documents(s, d, SIGNED).select("doc_id", F.md5(text.unsigned(F.col("x"))).alias("digest")), _documents(SIGNED) + r"""
 , l AS (SELECT doc_id, string_split(regexp_replace(x, '(?m)^-- ?$(?s:.*)', ''), chr(10)) AS l FROM t),
@@ -85,7 +90,12 @@ KEYS = ["the", "und", "para", "quote", "license", "password", "les"]
 register("e10_keywords", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(text.keywords(F.col("text"), KEYS), ",").alias("found")), "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{k}' END" for k in KEYS) + ") AS found FROM documents")
 register("e12_first_keyword", lambda s, d: table(s, d, "documents").groupBy(F.coalesce(F.get(text.keywords(F.col("text"), KEYS[2:]), F.lit(0)), F.lit("none")).alias("kind")).agg(F.count("*").alias("n")), "SELECT CASE " + " ".join(f"WHEN contains(lower(text), '{k}') THEN '{k}'" for k in KEYS[2:]) + " ELSE 'none' END AS kind, count(*) AS n FROM documents GROUP BY 1")
 register("e34_stage_hints", lambda s, d: table(s, d, "documents").groupBy(text.stage_hint(F.col("text")).alias("hint")).agg(F.count("*").alias("n")), "SELECT CASE WHEN lower(text) LIKE '%po%' THEN 'po_in_progress' WHEN lower(text) LIKE '%rfq%' OR lower(text) LIKE '%quote%' THEN 'quote' WHEN lower(text) LIKE '%integration%' THEN 'integration' WHEN lower(text) LIKE '%research%' THEN 'research' ELSE 'unknown' END AS hint, count(*) AS n FROM documents GROUP BY 1")
-register("e40_text_quality", lambda s, d: table(s, d, "documents").select("doc_id", text.quality_score(F.col("text")).alias("score")), r"SELECT doc_id, round(100 * length(regexp_replace(text, '[^A-Za-z0-9 .,;:!?\n]', '', 'g')) / greatest(length(text), 1) - 100 * (length(text) - length(regexp_replace(text, '[\x{FFFD}\x00-\x08\x0E-\x1F]', '', 'g'))) / greatest(length(text), 1), 4)::DOUBLE AS score FROM documents")
+GARBLED = ["{}", "{}\ufffd\ufffd", "\ufffd" * 70 + "{}", "{}" + "\x01" * 40, "ééé", "{}\x0b\x0c", "", None]
+_COUNT = "(length(x) - length(regexp_replace(x, '{0}', '', 'g')))"
+register("e40_text_quality", lambda s, d: documents(s, d, GARBLED).select("doc_id", F.round(text.quality_score(F.col("x")), 6).alias("score")), _documents(GARBLED) + rf"""
+, c AS (SELECT doc_id, x, greatest(length(x), 1) AS n, {_COUNT.format('[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')} / greatest(length(x), 1) AS f FROM t)
+SELECT doc_id, round(greatest(0, least(1, (1.0::DOUBLE - least(0.5::DOUBLE, {_COUNT.format(chr(92) + 'x{FFFD}')} * 0.01::DOUBLE) - least(0.3::DOUBLE, {_COUNT.format('[' + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0B' + chr(92) + 'x0C' + chr(92) + 'x0E-' + chr(92) + 'x1F]')} * 0.01::DOUBLE))
+ * (0.5 + {_COUNT.format("[a-zA-Z0-9" + chr(92) + "s" + chr(92) + "x0B.,!?;:''" + chr(34) + "()-]")} / n * 0.5) - CASE WHEN f > 0.3 THEN (f - 0.3) * 0.5 ELSE 0 END)), 6)::DOUBLE AS score FROM c""")
 _MONEY = r"\$([0-9][0-9,]*(?:\.[0-9]+)?[KMBkmb]?)"
 register("e13_money", lambda s, d: turns(s, d).select("conv_id", "turn", F.explode(F.regexp_extract_all("x", F.lit(_MONEY), F.lit(1))).alias("amount")), _TURNS + f" SELECT conv_id, turn, unnest(regexp_extract_all(x, '{_MONEY}', 1)) AS amount FROM t")
 

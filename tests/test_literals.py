@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
 from dealgraph.functions import normalize, similarity, text
+from dealgraph.operators import extraction
 from dealgraph.plans import registry
 from dealgraph.sources import files
 
@@ -28,7 +29,9 @@ def test_money(spark):
 
 
 def test_quotes_and_signatures(spark):
-    assert answers(spark, ["Hello\n> quoted\n> more\nbye", "Top\nOn Mon, Jan 1, A wrote:\n> x\n> y", "no quotes", "> all\n> quoted", "text\n----- Original Message -----\nold"], lambda x: F.rtrim(F.replace(text.unquoted(x), F.lit("\n"), F.lit("|")))) == ["Hello|bye", "Top|", "no quotes", "", "text|"]
+    mails = ["Hello\n> quoted\n> more\nbye", "Top\nOn Mon, Jan 1, A wrote:\n> x\n> y", "no quotes\n\n\n\nat all ", "> all\n> quoted", "text\n----- Original Message -----\nold", "top\nOn Mon, A wrote:\n> q\n\nFrom: b@c\nanswer below", "", None, "a\n> b\nTo: c\n\n> d\n\n\n\ne"]
+    got = extraction.unquoted(spark.createDataFrame(list(enumerate(mails)), "text_id int, text string")).orderBy("text_id").collect()
+    assert [r.text for r in got] == ["Hello\nbye", "Top", "no quotes\n\n\n\nat all ", "", "text\nold", "top\nanswer below", "", None, "a\ne"]
     assert answers(spark, ["Body\n-- \nJane\nCEO", "Hi\nall good\nBest regards,\nJohn", "nothing here", "Thanks,\nX"], lambda x: F.regexp_replace(text.unsigned(x), r"\n+$", "")) == ["Body", "Hi\nall good", "nothing here", ""]
 
 
