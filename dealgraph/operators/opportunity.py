@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +72,35 @@ def applicable(insights: DataFrame, records: DataFrame, least: float = 0.8) -> D
     named = records.select("id", "vendor_id").join(sure.where("vendor_id is not null"), "vendor_id").select("id", "insight_id")
     anyone = records.select("id").crossJoin(sure.where("vendor_id is null").select("insight_id"))
     return named.unionByName(anyone)
+
+
+def reseeded_intersections(lists: DataFrame, key: str, order: str, items: str) -> DataFrame:
+    """(key, items): what the lists of a key have in common, taken in order, starting from the first; when nothing is left, the next list starts anew. The result depends on the order, so
+    it is a fold: rows are sorted by key and order within partitions and streamed past one list that is kept, so a key's rows are never gathered. Null
+    lists count as empty; a key's rows are all read by one task."""
+    kind, item = lists.schema[key].dataType.simpleString(), lists.schema[items].dataType.simpleString()
+    rows = lists.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(F.col(items), F.array().cast(item)).alias("xs")).repartition("k").sortWithinPartitions("k", "o")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, begun, types = None, [], False, None
+
+        def made(done: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], types[0]), pa.array([x for _, x in done], types[1])], names=[key, items])
+
+        for batch in batches:
+            done, types = [], [batch.column(c).type for c in (0, 1)]
+            for k, xs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not begun or k != now:
+                    if begun:
+                        done.append((now, kept))
+                    now, kept, begun = k, xs, True
+                elif not kept:
+                    kept = list(dict.fromkeys(xs))
+                else:
+                    there = set(xs)
+                    kept = [x for x in kept if x in there]
+            yield made(done)
+        if begun:
+            yield made([(now, kept)])
+
+    return rows.select("k", "xs").mapInArrow(run, f"{key} {kind}, {items} {item}")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import email
 import email.policy
+import itertools
+import re
 from collections.abc import Iterator, Sequence
 from email.utils import getaddresses
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Header signatures by format.
@@ -70,11 +72,66 @@ def vendor_from_file_name(path: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(name, r"(?i)[\s_-]*(deals?|registrations?|pipeline|vendors?)\s*$", ""), "_", " "))
 
 
+_BREAK = "\nFrom "
+
+
+def opens_message(line: str, after_blank: bool) -> bool:
+    """A line that starts a message of a mail folder: `From ` with three words, a year and a time, or with any second word after an empty line."""
+    words = line.split(" ")
+    if not line.startswith("From "):
+        return False
+    if len(words) >= 3 and re.search(r"[0-9]{4}", line) and re.search(r"[0-9]{1,2}:[0-9]{2}", line):
+        return True
+    return after_blank and len(words) >= 2 and words[1].strip() != ""
+
+
+def _splice(pieces: Iterator[tuple[str, int, str]]) -> Iterator[tuple]:
+    """(file, block, k, head, tail, opens, blank, message) of the pieces between line breaks that `From ` follows, in order: the messages of each block (a split of a file). Whether a
+    block's first piece opens a message may depend on the block before: then `opens` is null."""
+    now, out = None, []
+
+    def flush() -> Iterator[tuple]:
+        for k, (opens, parts) in enumerate(out):
+            text = "".join(parts)
+            yield (*now, k, k == 0, k == len(out) - 1, opens, text.rsplit("\n", 1)[-1].strip() == "", text)
+
+    for file, block, piece in pieces:
+        if (file, block) != now:
+            yield from flush()
+            now, out = (file, block), []
+            line = piece.split("\n", 1)[0].rstrip("\r")
+            if block == 0:
+                out.append((opens_message(line, False), [piece]))
+            else:
+                line = "From " + line
+                out.append((True if opens_message(line, False) else None if opens_message(line, True) else False, ["From " + piece]))
+            continue
+        line = "From " + piece.split("\n", 1)[0].rstrip("\r")
+        before = out[-1][1][-1]
+        if opens_message(line, before.rsplit("\n", 1)[-1].strip() == ""):
+            out.append((True, ["From " + piece]))
+        else:
+            out[-1][1].append(_BREAK + piece)
+    yield from flush()
+
+
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """(file, message) of mail folders. Messages are split where a line starts with `From `
-    and a year; the reader splits large files, so no chunk files are needed."""
-    rows = spark.read.text(path, lineSep="\nFrom ").select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^From ", "").alias("message"))
-    return rows.where(F.trim("message") != "")
+    """(file, message) of mail folders, each message from its `From ` line on. The reader splits large files at any break before `From `, and gives the pieces of a
+    split in order; each task splices those that no message starts with to the ones before. Only the first and the last message of each split meet again, in the order of the splits, as a
+    message may go on over a split's end. What stands before a file's first message is no message."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["file", "block", "k", "head", "tail", "opens", "blank", "message"]
+        rows = _splice((f, b, v) for pdf in batches for f, b, v in zip(pdf["file"], pdf["block"], pdf["value"], strict=True))
+        while chunk := list(itertools.islice(rows, 500)):
+            yield pd.DataFrame(chunk, columns=names).astype({"opens": "object"})
+
+    pieces = spark.read.text(path, lineSep=_BREAK).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    rows = pieces.mapInPandas(run, "file string, block bigint, k int, head boolean, tail boolean, opens boolean, blank boolean, message string")
+    inner = rows.where("not head and not tail").select("file", "message")
+    w = Window.partitionBy("file").orderBy("block", "k")
+    edges = rows.where("head or tail").withColumn("opens", F.coalesce("opens", F.lag("blank").over(w), F.lit(False)))
+    joined = edges.withColumn("_m", F.sum(F.col("opens").cast("int")).over(w)).where("_m > 0").groupBy("file", "_m").agg(F.array_sort(F.collect_list(F.struct("block", "k", "message"))).alias("ps"))
+    return inner.unionByName(joined.select("file", F.array_join(F.transform("ps", lambda p: p["message"]), "\n").alias("message")))
 
 
 HEADER = "message_id string, sender string, recipients array<string>, subject string, date string, in_reply_to string, refs array<string>, labels array<string>, body string, html string, attachments int"

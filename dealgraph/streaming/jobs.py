@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -85,6 +85,49 @@ def throttle(events: DataFrame, seconds: int = 3600, most: int = 2, key: str = "
     return rows.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id").mapInPandas(run, "user_id bigint, event_id bigint")
 
 
+#: What an event does to a chunk; anything else leaves it as it is.
+ACTIONS = ("processing", "completed", "failed")
+
+
+def chunk_states(log: DataFrame) -> DataFrame:
+    """(chunk_id, status, resume_point, processed_at, error) of chunks by their log (chunk_id, at, seq, action, offset, error): the last action is the status, the offset of the last
+    start of processing the resume point (0 if it has none), the time of the last completion is kept. On a stream, the state per chunk is these five values and the time
+    of the last event, put out whenever it changes; late rows are placed by (at, seq), so that a restart anywhere, or rows in another order, end in the same states as the batch."""
+    rows = log.where(F.col("action").isin(*ACTIONS)).select("chunk_id", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), "seq", "action", F.coalesce("offset", F.lit(0)).cast("bigint").alias("offset"), "error")
+    if not rows.isStreaming:
+        order = F.struct("us", "seq")
+
+        def last(column: str, action: str | None = None) -> Column:
+            return F.max_by(column, order if action is None else F.when(F.col("action") == action, order))
+
+        g = rows.groupBy("chunk_id").agg(last("action").alias("status"), F.coalesce(last("offset", "processing"), F.lit(0)).alias("resume_point"), F.max(F.when(F.col("action") == "completed", F.col("us"))).alias("us"),
+                                         F.when(last("action") == "failed", last("error")).alias("error"))
+        return g.select("chunk_id", "status", "resume_point", F.timestamp_micros("us").alias("processed_at"), "error")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # (us, seq) of the last event and of the last start, then what they say
+        last, lseq, status, error, start, sseq, resume, done = state.get if state.exists else (-1, -1, "", None, -1, -1, 0, -1)
+        for pdf in batches:
+            for us, seq, action, offset, why in zip(pdf["us"], pdf["seq"], pdf["action"], pdf["offset"], pdf["error"], strict=True):
+                if (us, seq) > (last, lseq):
+                    last, lseq, status, error = us, seq, action, why if action == "failed" else None
+                if action == "processing" and (us, seq) > (start, sseq):
+                    start, sseq, resume = us, seq, offset
+                if action == "completed":
+                    done = max(done, us)
+        state.update((int(last), int(lseq), status, error, int(start), int(sseq), int(resume), int(done)))
+        yield pd.DataFrame({"chunk_id": [key[0]], "status": [status], "resume_point": [int(resume)], "processed_at": [pd.Timestamp(done, unit="us", tz="UTC") if done >= 0 else pd.NaT], "error": [error]})
+
+    kept = "last bigint, lseq bigint, status string, error string, start bigint, sseq bigint, resume bigint, done bigint"
+    return rows.groupBy("chunk_id").applyInPandasWithState(step, "chunk_id bigint, status string, resume_point bigint, processed_at timestamp, error string", kept, "update", GroupStateTimeout.NoTimeout)
+
+
+def next_chunk(chunks: DataFrame, states: DataFrame, by: str = "date") -> DataFrame:
+    """The next pending chunk of chunks (chunk_id, date_start, size_bytes): the oldest, the smallest (`size`) or the newest (`label_score`); then the smallest id."""
+    order = {"date": F.asc("date_start"), "size": F.asc("size_bytes"), "label_score": F.desc("date_start")}[by]
+    return chunks.join(states.select("chunk_id", "status"), "chunk_id", "left").where("status is null").drop("status").orderBy(order, "chunk_id").limit(1)
+
+
 def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns the rows that it has put out (for tests and small jobs)."""
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()

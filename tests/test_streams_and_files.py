@@ -138,3 +138,84 @@ def test_clusters_partition_their_ids(spark):
     assert rows(dedupe.clusters(pairs)) == [(1, 1), (1, 2), (1, 3), (10, 10), (10, 11), (10, 12), (10, 13), (10, 14), (20, 20), (20, 21)]
 
 
+
+
+def scanned(text):
+    """A mail folder's messages by a scan of its lines."""
+    out, blank = [], False
+    for line in text.split("\n"):
+        if files.opens_message(line.rstrip("\r"), blank):
+            out.append([])
+        if out:
+            out[-1].append(line)
+        blank = line.strip() == ""
+    return ["\n".join(m) for m in out]
+
+
+def test_mail_folders_in_many_splits(spark, tmp_path):
+    """Body lines that begin with `From ` open no message, wherever a file is split."""
+    body = ["Dear all", "From here on it is body", "", "x" * 150, "From 2024 to 10:30 we met", "From ", "end", ""]
+    text = "a line before any message\nFrom nobody\n" + "\n".join("\n".join(([f"From a{k}@x Mon Jan 01 10:00:{k:02d} 2024"] if k % 3 else ["", f"From plain{k}@x"]) + ["Subject: s", "", *body[: k % 9]]) for k in range(40))
+    (tmp_path / "many.mbox").write_text(text)
+    (tmp_path / "none.mbox").write_text("no message\nFrom x\nat all")
+    (tmp_path / "bare.mbox").write_text("From a@x Mon Jan 01 10:00:00 2024\nFrom here\n\nFrom weak\nz")
+    want = scanned(text)
+    assert 30 < len(want) and any("From here on" in m for m in want)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("134217728", "700", "97", "31"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = files.read_mbox(spark, str(tmp_path)).collect()
+            assert sorted(r.message for r in got if r.file.endswith("many.mbox")) == sorted(want), size
+            assert sorted(r.message for r in got if r.file.endswith("bare.mbox")) == sorted(scanned((tmp_path / "bare.mbox").read_text())) and not [r for r in got if r.file.endswith("none.mbox")]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_chunk_states_after_a_restart(spark, tmp_path):
+    """The states of a stream that is stopped in the middle and goes on are those of the batch."""
+    from dealgraph.plans.mapped import chunk_log
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    folder, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+
+    def run():
+        log = chunk_log(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+        q = (jobs.chunk_states(log).writeStream.outputMode("update").option("checkpointLocation", mark)
+             .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/n={n}")).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    events.where("event_id % 3 = 1").repartition(2).write.mode("append").parquet(folder)
+    run()
+    events.where("event_id % 3 <> 1").repartition(2).write.mode("append").parquet(folder)  # also earlier events, that come late
+    run()
+    updates = spark.read.parquet(out)
+    cols = [c for c in updates.columns if c not in ("n", "chunk_id")]
+    final = updates.groupBy("chunk_id").agg(F.max_by(F.struct(*cols), "n").alias("s")).select("chunk_id", "s.*")
+    batch = jobs.chunk_states(chunk_log(events))
+    assert rows(final.select(sorted(final.columns))) == rows(batch.select(sorted(batch.columns))) and batch.count() > 5
+
+
+def test_reseeded_intersections(spark):
+    from dealgraph.operators import opportunity
+
+    lists = [(1, 1, ["a", "b"]), (1, 2, ["b", "c"]), (1, 3, ["x"]), (1, 4, ["y", "z", "y"]), (1, 5, ["z", "y"]), (2, 1, []), (2, 2, ["q", "q"]), (3, 1, None), (None, 1, ["n"]), (None, 2, ["n", "m"]), (4, 1, ["s"]), (4, 2, [])]
+    df = spark.createDataFrame(lists, "k bigint, o bigint, xs array<string>").repartition(3)
+    got = {r.k: r.xs for r in opportunity.reseeded_intersections(df, "k", "o", "xs").collect()}
+    # 1: b, then nothing, so the fourth list starts anew and keeps its order
+    assert got == {1: ["y", "z"], 2: ["q"], 3: [], None: ["n"], 4: []}
+    assert opportunity.reseeded_intersections(df.limit(0), "k", "o", "xs").collect() == []
+
+
+def test_transforms(spark):
+    from dealgraph.functions import transforms
+
+    df = spark.createDataFrame([("$1,234.5k", "a", "1/5/2024"), ("12%", None, "2024-01-05T10:00:00Z"), ("x", "", "Jan 5, 2024"), (None, "b", "never"), (" -3.5e2 ", "c", None)], "x string, y string, z string")
+    specs = spark.createDataFrame([("a", ["x"], '{"type": "parse_currency"}'), ("b", ["x"], '{"type": "parse_number"}'), ("c", ["z"], '{"type": "parse_date"}'), ("d", ["x", "y"], '{"type": "concat", "params": {"separator": "+"}}'),
+                                   ("e", ["x"], '{"type": "split", "params": {"separator": ",", "index": 1}}'), ("f", ["x"], '{"type": "nonsense"}'), ("g", ["x"], None)], "target string, sources array<string>, spec string")
+    got = [tuple(r) for r in transforms.apply_specs(df, specs).collect()]
+    assert got == [(1234500.0, None, "2024-01-05", "$1,234.5k+a", "234.5k", "$1,234.5k", "$1,234.5k"), (12.0, 0.12, "2024-01-05", "12%", None, "12%", "12%"), (None, None, "2024-01-05", "x", None, "x", "x"),
+                   (None, None, None, "b", None, None, None), (-350.0, -350.0, None, " -3.5e2 +c", None, " -3.5e2 ", " -3.5e2 ")]
