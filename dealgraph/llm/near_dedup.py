@@ -14,8 +14,9 @@ shares on either side, and only if the sets' sizes allow the similarity. Members
 first compared with PIVOTS members of their bucket, one after the other: those that share most of their
 elements with other sets. What is linked gets one label, and pairs of one label add nothing to its
 component, so that a large group of copies costs some comparisons a member. Then all pairs of different
-labels are verified, but for those that an exact bound rules out: two sets have no more elements in
-common than either has that occur in any other set. So this finds the components that comparing all
+labels are verified, but for those that exact bounds rule out: two sets have no more elements in
+common than either has that occur in any other set, and, beside what either has in common with a pivot,
+no more than either has of such elements outside the pivot. So this finds the components that comparing all
 pairs would, without emitting all pairs of a large group.
 
 Defined results: a null or wordless text has an empty set and no links; texts of fewer words
@@ -139,7 +140,12 @@ def first_meeting(a: str, b: str) -> Column:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of ids whose sets are similar enough, with both sizes and the intersection."""
+    """The pairs (a, b) of ids whose sets are similar enough."""
+    return measured(pairs, sets, percent).where("linked").select("a", "b")
+
+
+def measured(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, common, linked) of pairs (a, b) of ids: the size of their sets' intersection, and whether they are similar enough."""
     kind = pairs.schema["a"].dataType.simpleString()
     one = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
@@ -147,18 +153,17 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for row, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            commons, linked = [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = x.values.to_numpy().view(U), y.values.to_numpy().view(U)
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 common = int((x[at] == y).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(row)
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
+                commons.append(common)
+                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(commons, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "common", "linked"])
 
-    return map_arrow(both, run, f"a {kind}, b {kind}")
+    return map_arrow(both, run, f"a {kind}, b {kind}, common bigint, linked boolean")
 
 
 def linkable(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -180,6 +185,16 @@ def may_link(percent: int, n: str, common: str, other_n: str, other_common: str)
     return 100 * most >= percent * (F.col(n) + F.col(other_n) - most)
 
 
+def may_link_beside(percent: int) -> Column:
+    """The same, where it is known what the two sets have in common with the pivots that their bucket had: beside no more of the pivot than either has, they can only share
+    elements outside of it that occur in any other set."""
+    most = F.least("common", "pc")
+    for step in range(PIVOTS):
+        mine, other = F.col(f"ov{step}"), F.col(f"po{step}")
+        most = F.least(most, F.when(mine.isNotNull() & other.isNotNull(), F.least(mine, other) + F.least(F.col("common") - mine, F.col("pc") - other)).otherwise(most))
+    return 100 * most >= percent * (F.col("n") + F.col("pn") - most)
+
+
 def pairs_of_small(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) of the candidate pairs in buckets of at most SMALL members, each pair once."""
     one = members.where(F.col("m") <= SMALL)
@@ -222,15 +237,18 @@ def links_of_large(members: DataFrame, sets: DataFrame, percent: int = PERCENT)
             central = F.struct((F.floor(share * 20) if step else share).alias("share"), F.xxhash64("id", F.lit(step)).alias("by"), F.col("id").alias("pivot"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("common").alias("pc"))
             pivots = placed.where((F.col("label") == F.col("main")) if step else F.lit(True)).groupBy("bucket").agg(F.max(central).alias("_p")).select("bucket", "_p.*")
             fits = (F.col("label") != F.col("pl")) & may_link(percent, "n", "common", "pn", "pc")
+            pivots = stored(pivots)
             pairs = placed.join(pivots, "bucket").where(fits).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+            told = stored(measured(pairs, sets, percent))
+            links.append(told.where("linked").select("a", "b"))
+            labels = stored(relabel(labels, links[-1]))
+            # what each member has in common with its bucket's pivot, where they were compared
+            sides = told.select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.col("common").alias(f"ov{step}")).unionByName(told.select(F.col("b").alias("id"), F.col("a").alias("pivot"), F.col("common").alias(f"ov{step}")))
+            large = stored(large.join(pivots.select("bucket", "pivot"), "bucket", "left").join(sides, ["id", "pivot"], "left").drop("pivot"))
         else:
-            other = placed.select("bucket", F.col("id").alias("b"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("common").alias("pc"), F.col("bands").alias("other"))
-            fits = (F.col("id") < F.col("b")) & (F.col("label") != F.col("pl")) & may_link(percent, "n", "common", "pn", "pc") & first_meeting("bands", "other")
-            pairs = placed.join(other, "bucket").where(fits).select(F.col("id").alias("a"), "b")
-        found = stored(verify(pairs, sets, percent))
-        links.append(found)
-        if step < PIVOTS:
-            labels = stored(relabel(labels, found))
+            other = placed.select("bucket", F.col("id").alias("b"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("common").alias("pc"), F.col("bands").alias("other"), *[F.col(f"ov{k}").alias(f"po{k}") for k in range(PIVOTS)])
+            fits = (F.col("id") < F.col("b")) & (F.col("label") != F.col("pl")) & may_link_beside(percent) & first_meeting("bands", "other")
+            links.append(stored(verify(placed.join(other, "bucket").where(fits).select(F.col("id").alias("a"), "b"), sets, percent)))
     return links
 
 
