@@ -31,6 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         set_dir = sc.getConf().get("spark.checkpoint.dir")
+        if not set_dir and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="dealgraph-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -271,9 +271,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that have no window of the benchmark. They are told
     apart by their texts, on which alone it depends; rows without an id or with the same id are not one."""
-    key = F.sha2(F.col(text).cast("binary"), 256)
-    found = decontaminate(docs.select(key.alias("_text_key"), text), benchmark, "_text_key", item_id, text)
-    return drop_ids(docs.withColumn("_text_key", key), found.where("octet_length(hits) > 0").select("doc_id"), "_text_key").drop("_text_key")
+    names = docs.columns
+    # positions for names, so that no column clashes with another or with ours
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    body = F.col(f"c{names.index(text)}")
+    keyed = plain.withColumn("key", F.sha2(body.cast("binary"), 256))
+    found = decontaminate(keyed.select("key", body.alias(text)), benchmark, "key", item_id, text)
+    clean = drop_ids(keyed, found.where("octet_length(hits) > 0").select("doc_id"), "key")
+    return clean.select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,18 +223,19 @@ def read_back(store: DataFrame) -> DataFrame:
 
 def resolve(sequences: DataFrame, payloads: DataFrame, page_id: str) -> DataFrame:
     """The items of all sequences with what the payloads of their references give: (page_id, pos, kind, text,
-    caption, digest, ...). Texts, and references without a payload, have nulls there; `pos` gives the order."""
-    items = sequences.select(page_id, F.explode("sequence").alias("_i")).select(page_id, "_i.pos", "_i.kind", "_i.text", "_i.caption", "_i.digest")
+    caption, digest, ...). Texts, and references without a payload, have nulls there; `pos` gives the order. A page without
+    items is a row of nulls, so that it stays."""
+    items = sequences.select(page_id, F.explode_outer("sequence").alias("_i")).select(page_id, "_i.pos", "_i.kind", "_i.text", "_i.caption", "_i.digest")
     more = [c for c in payloads.columns if c != "digest"]
     names = [page_id, "pos", "kind", "text", "caption", "digest", *more]
     media = items.where("kind = 'media'").join(payloads, "digest", "left").select(*names)
-    return media.unionByName(items.where("kind <> 'media'").select("*", *[F.lit(None).cast(payloads.schema[c].dataType).alias(c) for c in more]))
+    return media.unionByName(items.where("kind is null or kind <> 'media'").select("*", *[F.lit(None).cast(payloads.schema[c].dataType).alias(c) for c in more]))
 
 
 def interleave(items: DataFrame, page_id: str) -> DataFrame:
-    """(page_id, items): resolved items put back in the order of their page; pages are told apart by their id."""
+    """(page_id, items): resolved items put back in the order of their page; a page without items has none. Pages are told apart by their id."""
     rest = [c for c in items.columns if c not in (page_id, "pos")]
-    return items.groupBy(page_id).agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("items"))
+    return items.groupBy(page_id).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", *rest)))).alias("items"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,8 +68,13 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     (the document at the cut is taken if its middle lies below the budget)."""
     rows = cut(only(docs, doc_id, source, text).select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
                                                        word_count(text).alias("size")))
+    return _mixed(rows, random_key("doc_id"), ("doc_id", "size"), weights, max_epochs, share)
+
+
+def _mixed(rows: DataFrame, key: Column, tie: tuple[str, ...], weights: tuple[int, ...], max_epochs: int, share: float) -> DataFrame:
+    """The mix of rows (doc_id, source, size, ...), in the order of the key and the tie within a source."""
     targets = source_targets(rows, weights=weights, max_epochs=max_epochs, share=share)
-    ranked = gapless_rank(rows, ["source"], random_key("doc_id"), weight="size", tie=("doc_id", "size"))
+    ranked = gapless_rank(rows, ["source"], key, weight="size", tie=tie)
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
     out = ranked.join(t, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     budget = F.floor(F.col("target") + F.lit(0.5))
@@ -77,19 +82,49 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
            .withColumn("_rest", budget - F.col("epochs") * F.col("source_size")))
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_rest") - F.col("before")))
     whole = F.when((F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("_rest")), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "before",
+    return out.select(*[c for c in rows.columns if c != "size"], "size", "source_size", "target", "epochs", "before",
                       (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
                       (F.col("epochs") + whole).cast("int").alias("copies"))
 
 
-def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of the mix, with all the columns of docs: each as often as the mix takes it in whole
-    documents. Rows that repeat an id are taken as often as the one taken most."""
-    copies = cut(mix_sources(docs, doc_id, text, source, **how).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-                 .select(F.col("doc_id").alias("_taken"), "_copies"))
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+               weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0) -> DataFrame:
+    """The rows of the mix, with all the columns of docs (whatever their names): each as often as the mix takes it in whole
+    documents. Rows are told apart by their id and text, and those that repeat both by their number among these, so
+    that each is taken for itself; which of the equal rows gets which number changes nothing. Rows without an id are placed by their text."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    of = {n: F.col(f"c{names.index(n)}") for n in (doc_id, text, source)}
+    digest = F.md5(F.coalesce(of[text].cast("binary"), F.lit("").cast("binary")))
+    identity = F.xxhash64(of[doc_id].cast("string"), digest, of[source].cast("string"))
+    # rows that repeat id, text and source are counted, not numbered: a copy's turn is drawn for it
+    kinds = plain.select(of[doc_id].alias("doc_id"), of[source].alias("source"), digest.alias("digest"), identity.alias("identity"), F.coalesce(F.regexp_count(of[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = cut(kinds.groupBy("doc_id", "source", "digest", "identity", "size").agg(F.count("*").alias("n")).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n"))
+    spread = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.col("digest")), F.when(F.col("turn") > 1, F.col("turn")).cast("string"))), 1, 8), 16, 10).cast("long")
+    told = _mixed(rows, spread, ("doc_id", "digest", "turn"), weights, max_epochs, share)
+    # equal rows are interchangeable: what counts is how many of them are wanted in all
+    copies = cut(told.groupBy("doc_id", "source", "digest").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+                 .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("digest").alias("_g"), "copies", "n"))
     side = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    out = docs.join(side, docs[doc_id].eqNullSafe(side["_taken"]))
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    here = of[doc_id].eqNullSafe(F.col("_d")) & of[source].eqNullSafe(F.col("_s")) & (digest == F.col("_g"))
+    out = plain.join(side, here)
+    if copies.where("n > 1").isEmpty():
+        out = out.withColumn("_t", F.col("copies"))
+    else:
+        # n equal rows share `copies`: each is taken copies div n times, and the first copies mod n of them once more. They are numbered within
+        # the partitions of a stored table, whose counts are added up, so that no task holds all of very many
+        group = ["_d", "_s", "_g"]
+        several = cut(out.where("n > 1").withColumn("_p", F.spark_partition_id()))
+        counts = several.groupBy(*group, "_p").agg(F.count("*").alias("_c"))
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = counts.select(*[F.col(c).alias(f"{c}o") for c in group], F.col("_p").alias("_po"), before.alias("_before"))
+        same = (F.col("_p") == F.col("_po")) & (F.col("_g") == F.col("_go")) & F.col("_d").eqNullSafe(F.col("_do")) & F.col("_s").eqNullSafe(F.col("_so"))
+        number = F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_p").orderBy(F.lit(0)))
+        several = several.join(offsets, same).withColumn("_t", F.floor(F.col("copies") / F.col("n")) + F.when(number <= F.col("copies") % F.col("n"), 1).otherwise(0))
+        single = out.where("n = 1").withColumn("_t", F.col("copies"))
+        out = single.select(*plain.columns, "_t").unionByName(several.select(*plain.columns, "_t"))
+    taken = out.where("_t > 0").withColumn("_t", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_t").cast("bigint"))))
+    return taken.select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,19 +286,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, of which one per group of near-duplicates stays: one
     with the smallest id. Rows without an id or without words stay all."""
-    keyed = docs.withColumns({"_nd_key": F.unhex(F.md5(F.col(text).cast("binary"))), "_nd_id": F.col(doc_id)})
-    found = stored(found_rows(keyed.select(F.col("_nd_id").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col("_nd_key").alias("key"))).where("named"))
+    names = docs.columns
+    # positions for names, so that no column clashes with another or with ours
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    body = F.col(f"c{names.index(text)}").cast("binary")
+    keyed = plain.withColumns({"_key": F.unhex(F.md5(body)), "_id": F.col(f"c{names.index(doc_id)}")})
+    found = stored(found_rows(keyed.select(F.col("_id").alias("doc_id"), body.alias("text"), F.col("_key").alias("key"))).where("named"))
     # per id and text: does it go, or do its rows repeat? Exact copies with other ids are such rows
     odd = stored(found.groupBy("doc_id", "key").agg(F.first("best").alias("best"), F.count("*").alias("n")).where("not best or n > 1")
               .select(F.col("doc_id").alias("_g_id"), F.col("key").alias("_g_key"), "best"))
-    same = (F.col("_nd_id") == F.col("_g_id")) & (F.col("_nd_key") == F.col("_g_key"))
+    same = (F.col("_id") == F.col("_g_id")) & (F.col("_key") == F.col("_g_key"))
     n = odd.count()
     out = keyed.join(F.broadcast(odd) if n <= BROADCAST_IDS else odd, same, "left_anti")
     twice = odd.where("best")
     if not twice.isEmpty():
         again = keyed.join(F.broadcast(twice) if n <= BROADCAST_IDS else twice, same, "left_semi")
-        out = out.unionByName(again.dropDuplicates(["_nd_id", "_nd_key"]))
-    return out.drop("_nd_key", "_nd_id")
+        out = out.unionByName(again.dropDuplicates(["_id", "_key"]))
+    return out.select([F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

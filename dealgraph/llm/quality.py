@@ -3,13 +3,13 @@ network with temperature-calibrated probabilities.
 
 Word vectors: every word has a sparse ternary index vector drawn from its hash, plus those of its
 character trigrams and of its shape, over all of its bytes, so that unseen words are placed too. The context vector of a
-frequent word is the sum of the index vectors of its neighbours over the training sample; its word
+word that the sample has twice is the sum of the index vectors of its neighbours over the training sample; its word
 vector is the sum of both, each normalised. A document is pooled twice: the mean of its word
 vectors, and the mean product of the vectors of adjacent words, which shows repetition; its
 length's logarithm and share of distinct words are added.
 
 The fit uses a bounded sample: at most MAX_FIT labelled documents (by hash of the id), of which a
-fifth sets the temperature, and the MAX_WORDS most frequent words of their texts. Scoring reads
+fifth sets the temperature. Scoring reads
 every whole text. Labels are joined by id; neither ids nor any other column enter a score.
 
 Defined results: a null or wordless text pools to zeros and gets the network's score for that;
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from dealgraph.llm.common import BLANK, U, byte_chunks, cut, hash_words, lower_ascii, map_arrow, mix, table, words_in
 
-#: Labelled documents that the fit uses at most, and words with context vectors.
-MAX_FIT, MAX_WORDS = 4_000, 20_000
+#: Labelled documents that the fit uses at most. All words that occur twice in them have context vectors.
+MAX_FIT = 4_000
 DIM, NONZERO, WINDOW = 64, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 120, 0.01, 1e-4
 THRESHOLD = 0.3
@@ -254,7 +254,7 @@ def fit(train: DataFrame) -> tuple[Pool, Network]:
     """Fits on a bounded sample (doc_id, text binary, label 0/1)."""
     sample = cut(train.coalesce(8))
     pieces = sample.select(F.explode(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
-    top = pieces.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(MAX_WORDS)
+    top = pieces.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy("w")
     hashes, vectors = _contexts(sample, [r["w"].encode() for r in top.select("w").toLocalIterator()])
     pool = Pool(hashes, vectors)
     held = sample.sparkSession.sparkContext.broadcast(pool)
@@ -273,11 +273,11 @@ def fit(train: DataFrame) -> tuple[Pool, Network]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int = MAX_FIT) -> DataFrame:
-    """At most `most` labelled rows (doc_id, text, label), the same in each run."""
+    """At most `most` labelled rows (doc_id, text, label), the same in each run; of several texts of one id the smallest, null before all."""
     ids = (labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
            .where(~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"])
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:

@@ -1,10 +1,10 @@
 """K-d tree partitioning: leaves of near-equal bytes by recursive splits at distributed weighted
 medians along the widest metadata dimension. DataFrame operations only.
 
-A point is a piece of a group of equal texts. All rows of a piece share their coordinates (those
-of the group's smallest id), so that equal texts stay in one leaf; a group that weighs more than
-group_share of a leaf is split by id into pieces below that, so that no group of copies can
-spoil the balance; at a share of infinity no group is ever split, and none is balanced either. A median is found by radix refinement: the ordinals of a node are histogrammed
+A point is a group of equal texts. All rows of a group share their coordinates (those of its smallest
+id), so that equal texts stay in one leaf; a leaf weighs no more than its share of the bytes and the
+heaviest group beside it. With a finite group_share, a group that weighs more than that share of a leaf is split by id into
+pieces below it, each a point, for a balance that no group can spoil. A median is found by radix refinement: the ordinals of a node are histogrammed
 by their highest bits, then by the next ones within the bin that holds the median. The driver
 sees at most 2**RADIX_BITS sums per node and round, whatever the input is.
 
@@ -15,6 +15,7 @@ columns other than the named ones are never read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,8 +28,8 @@ from dealgraph.llm.mixing import random_key
 SHARDS = 24
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 8
-#: Of a leaf's target bytes, the most that one piece of a group of copies weighs, unless the caller says otherwise.
-GROUP_SHARE = 0.05
+#: Of a leaf's target bytes, the most that one piece of a group of equal texts weighs: by default groups are never split, however heavy.
+GROUP_SHARE = math.inf
 #: An ordinal: 12 bits of the coordinate, then 21 bits of the piece's hash, refined in 3 rounds of 11 bits.
 COORD_BITS, TIE_BITS, RADIX_BITS, ROUNDS = 12, 21, 11, 3
 #: Shares of a label in a join with more labels than are broadcast.
@@ -73,8 +74,8 @@ def points(docs: DataFrame, shards: int, doc_id: str, text: str, labels: Sequenc
     groups = cut(groups.select(F.col("_group").alias("_g"), "_weight", *[d.alias(f"_d{i}") for i, d in enumerate(dims)]))
     ranges = groups.agg(F.sum("_weight").alias("total"), *[f(f"_d{i}").alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     total = float(ranges["total"] or 0)
-    piece_bytes = max(1.0, total / shards * group_share)
-    pieces = F.ceil(F.col("_weight") / piece_bytes)
+    # a share without bound leaves one piece
+    pieces = F.ceil(F.col("_weight") / max(1.0, total / shards * group_share)) if math.isfinite(group_share) else F.lit(1)
     piece = F.when(pieces > 1, F.pmod(F.xxhash64("doc_id"), pieces)).otherwise(F.lit(0))
     tie = F.shiftrightunsigned(F.xxhash64("_group", piece.cast("long")), 64 - TIE_BITS)
     top = (1 << COORD_BITS) - 1

@@ -126,7 +126,7 @@ def test_interleaved_sequences(spark):
     assert got[2] == got[3] == []
     payloads = spark.createDataFrame([("aa", 64), ("bb", 128)], "digest string, payload_bytes bigint")
     assert rows_of(media.resolve(seq, payloads, "page_id"), "pos", "kind", "text", "caption", "payload_bytes") == [
-        (0, "text", "One two", None, None), (1, "media", None, "A caption", 64), (2, "text", "tail", None, None), (3, "media", None, "only alt", 128), (4, "media", None, None, None)]
+        (0, "text", "One two", None, None), (1, "media", None, "A caption", 64), (2, "text", "tail", None, None), (3, "media", None, "only alt", 128), (4, "media", None, None, None), *[(None,) * 5] * 2]  # empty pages stay
 
 
 def test_class_lm(docs, empty):
@@ -280,7 +280,7 @@ def test_pages_are_read_whole_and_in_order(spark):
     payloads = spark.createDataFrame([("x", 64)], "digest string, payload_bytes bigint")
     items = media.resolve(media.parse_sequences(pages), payloads, "page_id")
     got = {r.page_id: [(i.kind, i.text, i.caption, i.payload_bytes) for i in r["items"]] for r in media.interleave(items, "page_id").collect()}
-    assert got == {1: [("text", "one", None, None), ("media", None, "pic", 64), ("text", "twothree", None, None)], 2: [("text", "only text", None, None)]}
+    assert got == {1: [("text", "one", None, None), ("media", None, "pic", 64), ("text", "twothree", None, None)], 2: [("text", "only text", None, None)], 3: []}
 
 
 def test_trigrams_across_pieces(spark, monkeypatch):
@@ -336,6 +336,39 @@ def test_mixing(docs, empty):
     assert mixed.columns == docs.columns and mixed.count() >= 1
 
 
+def test_mixed_rows_take_each_row_for_itself(spark):
+    """Rows that repeat an id, or have none, do not change what a source gives, and no column's name does."""
+    rows = [(k if k < 10 else None if k < 15 else 3, "w " * (k % 7 + 3), "x", f"row {k}") for k in range(20)] + [(4, "same text", "x", "a"), (4, "same text", "x", "b"), (4, "same text", "x", "c")] + [(100 + k, "v " * 50, "y", "") for k in range(40)]
+    names = ["_copies", "_k", "_t", "copies", "n", "c0", "source_size", "turn"]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra string").select("*", *[F.lit(f"mine {n}").alias(n) for n in names])
+    budget = {r.source: r.target for r in mixing.mix_sources(frame).select("source", "target").distinct().collect()}
+    mixed = mixing.mixed_rows(frame)
+    got = mixed.collect()
+    assert mixed.columns == frame.columns and all(r[n] == f"mine {n}" for r in got for n in names)
+    longest = {s: max(len(t.split()) for _, t, x, _ in rows if x == s) for s in "xy"}
+    for s in "xy":
+        assert abs(sum(len(r.text.split()) for r in got if r.source == s) - budget[s]) <= longest[s]
+    # equal rows share their turns evenly
+    turns = [sum(r.extra == e and r.text == "same text" for r in got) for e in "abc"]
+    assert max(turns) - min(turns) <= 1
+    assert mixing.mixed_rows(frame.limit(0)).collect() == []
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, benchmark):
+    names = ["_text_key", "_nd_key", "_nd_id", "_key", "_id", "key", "c0", "c1", "_gone"]
+    frame = spark.createDataFrame([(1, prose(1, 60), "a"), (2, prose(1, 60), "a"), (3, prose(9, 30), "b"), (None, None, None)], "doc_id bigint, text string, source string").select("*", *[F.lit(f"mine {n}").alias(n) for n in names])
+    for out, ids in ((near_dedup.drop_near_duplicates(frame), [1, 3, None]), (decontaminate.drop_contaminated(frame, benchmark), [3, None])):
+        got = out.collect()
+        assert out.columns == frame.columns and sorted((r.doc_id for r in got), key=lambda x: (x is None, x)) == ids and all(r[n] == f"mine {n}" for r in got for n in names)
+
+
+def test_pages_without_items_stay(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p><img src='digest:aa'>"), (2, None), (3, "")], "page_id bigint, html string")
+    payloads = spark.createDataFrame([("aa", 64)], "digest string, payload_bytes bigint")
+    whole = media.interleave(media.resolve(media.parse_sequences(pages), payloads, "page_id"), "page_id").collect()
+    assert {r.page_id: [(i.pos, i.kind) for i in r["items"]] for r in whole} == {1: [(0, "text"), (1, "media")], 2: [], 3: []}
+
+
 def test_ranks_and_components(spark):
     df = spark.range(5000).selectExpr("id", "id % 3 as part", "id % 7 as w")
     out = gapless_rank(df, ["part"], F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long"), rows_per_cell=100, weight="w", tie=("id",)).collect()
@@ -366,7 +399,10 @@ def test_shards(docs, empty, shards):
 def test_shards_balance_and_keep_copies_together(spark):
     r = random.Random(2)
     rows = [(i, prose(i % 700, 20 + r.randrange(40)) if i < 3000 else "hot text " * 20, f"l{i % 3}", f"s{i % 11}") for i in range(4000)]
-    got = sharding.kd_shards(spark.createDataFrame(rows, SCHEMA)).collect()
+    frame = spark.createDataFrame(rows, SCHEMA)
+    whole = sharding.kd_shards(frame).collect()
+    assert len({x.shard for x in whole if x.doc_id >= 3000}) == 1  # a group is never split, unless it is asked for
+    got = sharding.kd_shards(frame, group_share=0.05).collect()
     load = [0] * 24
     for x in got:
         load[x.shard] += x.size
