@@ -148,7 +148,9 @@ def fuzzy_scores(a: list[str | None], b: list[str | None], least: float = 0.0) -
     if not len(rows):
         return best
     common = _overlaps([a[k] for k in rows], [b[k] for k in rows])
-    shorter = np.array([min(len(a[k]), len(b[k])) for k in rows])
+    # a token-set ratio counts a word once
+    lengths = {t: len(" ".join(dict.fromkeys(t.split(" ")))) for k in rows for t in (a[k], b[k])}
+    shorter = np.array([min(lengths[a[k]], lengths[b[k]]) for k in rows])
     bare = np.array([min(len(a[k]) - a[k].count(" "), len(b[k]) - b[k].count(" ")) for k in rows])
     # the most that a whole, sorted or partial ratio (common of the shorter text) or dice (common of its bigrams) can be
     hope = 100.0 * np.maximum(common / shorter, common / np.maximum(1, bare - 1)) + 0.5
