@@ -223,6 +223,7 @@ def links_of_large(members: DataFrame, sets: DataFrame, percent: int = PERCENT)
     may = stored(linkable(sets.join(ids, "id", "left_semi"), percent))
     large = stored(large.join(may, "id"))
     labels, links = may.select("id", F.col("id").alias("label")), []
+    chosen, shared = [], []  # the pivots of each step, and what was in common with them
     for step in range(PIVOTS + 1):
         # stored, as both what follows and the pairs read it; the bands are needed for the last pairs alone
         placed = large.drop("bands") if step < PIVOTS else large
@@ -242,10 +243,13 @@ def links_of_large(members: DataFrame, sets: DataFrame, percent: int = PERCENT)
             told = stored(measured(pairs, sets, percent))
             links.append(told.where("linked").select("a", "b"))
             labels = stored(relabel(labels, links[-1]))
-            # what each member has in common with its bucket's pivot, where they were compared
-            sides = told.select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.col("common").alias(f"ov{step}")).unionByName(told.select(F.col("b").alias("id"), F.col("a").alias("pivot"), F.col("common").alias(f"ov{step}")))
-            large = stored(large.join(pivots.select("bucket", "pivot"), "bucket", "left").join(sides, ["id", "pivot"], "left").drop("pivot"))
+            chosen.append(pivots.select("bucket", F.lit(step).alias("step"), "pivot"))
+            shared.append(told.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("pivot"), "common"), F.struct(F.col("b").alias("id"), F.col("a").alias("pivot"), "common"))).alias("_s")).select("_s.*"))
         else:
+            # what each member has in common with its buckets' pivots, where they were compared: a set has a few buckets, so a few entries
+            of = reduce(DataFrame.unionByName, chosen).groupBy("bucket").agg(*[F.max(F.when(F.col("step") == k, F.col("pivot"))).alias(f"p{k}") for k in range(PIVOTS)])
+            known = reduce(DataFrame.unionByName, shared).groupBy("id", "pivot").agg(F.max("common").alias("ov")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "ov"))).alias("_k"))
+            placed = stored(placed.join(of, "bucket", "left").join(known, "id", "left").select(*placed.columns, *[F.try_element_at("_k", F.col(f"p{k}")).alias(f"ov{k}") for k in range(PIVOTS)]))
             other = placed.select("bucket", F.col("id").alias("b"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("common").alias("pc"), F.col("bands").alias("other"), *[F.col(f"ov{k}").alias(f"po{k}") for k in range(PIVOTS)])
             fits = (F.col("id") < F.col("b")) & (F.col("label") != F.col("pl")) & may_link_beside(percent) & first_meeting("bands", "other")
             links.append(stored(verify(placed.join(other, "bucket").where(fits).select(F.col("id").alias("a"), "b"), sets, percent)))
