@@ -122,3 +122,9 @@ def rule_failures(rules: list[Rule]) -> Column:
             raise ValueError(f"no such kind of rule: {kind}")
         out.append(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.lit(impact).alias("impact"))))
     return F.array_compact(F.array(*out))
+
+
+def range_hours(text: Column) -> Column:
+    """the hours of a time range such as 12h, 7d or 2w; 24 for anything else."""
+    n = F.regexp_extract(text, r"^(\d+)[hdw]$", 1).try_cast("bigint")
+    return F.coalesce(n * F.when(text.endswith("h"), 1).when(text.endswith("d"), 24).otherwise(168), F.lit(24))

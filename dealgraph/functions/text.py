@@ -135,3 +135,13 @@ def stage_hint(text: Column) -> Column:
     for name, pattern in reversed(STAGE_HINTS):
         out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
     return out
+
+
+def linked_text(html: Column) -> Column:
+    """Links as [text](url)."""
+    return F.regexp_replace(html, r'(?i)<a\s+(?:[^>]*?\s+)?href="([^"]*)"[^>]*>(.*?)</a>', r"[$2]($1)")
+
+
+def is_html(text: Column) -> Column:
+    """Whether a text holds a tag."""
+    return F.coalesce(text.rlike(r"(?i)<[a-z][\s\S]*>"), F.lit(False))

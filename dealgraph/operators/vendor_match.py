@@ -123,6 +123,29 @@ def in_texts(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
     return found.withColumn("confidence", F.when(F.col("strategy") == "fuzzy", 0.8).otherwise(0.9))
 
 
+def cross_reference(mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(mention_id, vendor_id, match, confidence): the first vendor (by id) that a mentioned name (lower case, trimmed) fits: the same name or normalised name (1.0), else one of its domains (domains: an
+    array) holds the name or is held by it (.8), else its name does (.7). Blank names fit none."""
+    def low(c: str) -> Column:
+        return F.trim(F.lower(c))
+
+    m = mentions.select("mention_id", low("name").alias("m")).where("m <> ''")
+    v = catalogue.select("vendor_id", low("vendor_name").alias("v"), low("normalized_name").alias("k"), F.transform(F.coalesce("domains", F.array().cast("array<string>")), lambda d: F.lower(d)).alias("ds"))
+    exact = v.select("vendor_id", F.col("v").alias("w"), F.lit(0).alias("rank")).unionByName(v.select("vendor_id", F.col("k").alias("w"), F.lit(0).alias("rank")))
+    names = m.select(F.col("m").alias("short")), m.select(F.col("m").alias("long"))
+
+    def holding(words: DataFrame, rank: int) -> DataFrame:
+        """(vendor_id, m, rank) for words (vendor_id, w) that hold a name or are held by it."""
+        held = contained_in(words.select(F.col("w").alias("short")), names[1]).select(F.col("short").alias("w"), F.col("long").alias("m"))
+        holds = contained_in(names[0], words.select(F.col("w").alias("long"))).select(F.col("long").alias("w"), F.col("short").alias("m"))
+        return held.unionByName(holds).distinct().join(words, "w").select("vendor_id", "m", F.lit(rank).alias("rank"))
+
+    found = exact.withColumnRenamed("w", "m").unionByName(holding(v.select("vendor_id", F.explode("ds").alias("w")), 1)).unionByName(holding(v.select("vendor_id", F.col("v").alias("w")), 2))
+    first = m.join(found.distinct(), "m").groupBy("mention_id").agg(F.min(F.struct("vendor_id", "rank")).alias("b"))
+    kinds = F.array(*[F.struct(F.lit(n).alias("match"), F.lit(c).alias("confidence")) for n, c in (("exact", 1.0), ("partial", 0.8), ("fuzzy", 0.7))])
+    return first.select("mention_id", "b.vendor_id", F.get(kinds, F.col("b.rank")).alias("k")).select("mention_id", "vendor_id", "k.match", "k.confidence")
+
+
 # ---------------------------------------------------------------- aliases, detections, reviews
 
 def best_alias(mentions: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -7,8 +7,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgraph.functions import business
+from dealgraph.functions import business, fields, text
+from dealgraph.functions.normalize import vendor_key
+from dealgraph.operators import vendor_match
 from dealgraph.plans.extraction import texts, texts_sql
+from dealgraph.plans.named import VENDORS, vendor_catalogue, vendor_mentions
 from dealgraph.plans.registry import register
 from dealgraph.plans.scalars import customers, customers_sql
 from dealgraph.plans.written import written, written_sql
@@ -120,3 +123,13 @@ register("f07_vendors", lambda s, d: business.vendor_records(customers(s, d, ["A
 SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'Acme ' || c_custkey WHEN 1 THEN 'B ' || c_custkey ELSE c_custkey::VARCHAR END AS name, ['a.com', 'b' || c_custkey] AS email_domains, CASE c_custkey % 4 WHEN 0 THEN 'www.x' || c_custkey || '.com' WHEN 3 THEN 'y' END AS website FROM customer""")
 register("f07_contacts", lambda s, d: business.contact_records(customers(s, d, [" Ann {} ", ""]).select("id", F.col("x").alias("name"), written(F.col("id").cast("string"), F.col("id"), ["X{}@Y.Z", None, ""]).alias("email"), written(F.lit(""), F.col("id"), ["+1 555 123 4567", ""]).alias("phone"))), """
 SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'Ann ' || c_custkey END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'x' || c_custkey || '@y.z' END AS email, CASE WHEN c_custkey % 2 = 0 THEN '+15551234567' END AS phone FROM customer""")
+
+register("e09_links", lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.linked_text(F.col("html"))).alias("digest"), text.is_html(written(F.col("html"), F.col("page_id"), ["{}", "a < b", "", None])).alias("is_html")),
+         rf"""SELECT page_id, md5(regexp_replace(html, '(?i)<a\s+(?:[^>]*?\s+)?href="([^"]*)"[^>]*>(.*?)</a>', '[\2](\1)', 'g')) AS digest, coalesce(regexp_matches({written_sql('html', 'page_id', ["{}", "a < b", "", None])}, '(?i)<[a-z](?s:.*)>'), false) AS is_html FROM pages""")
+RANGES = ["{}h", "{}d", "{}w", "{}", "h{}", "", None, "{}D"]
+register("f42_time_ranges", lambda s, d: table(s, d, "events").select("event_id", fields.range_hours(written((F.col("user_id") % 50).cast("string"), F.col("event_id"), RANGES)).alias("hours")),
+         rf"WITH t AS (SELECT event_id, {written_sql('(user_id % 50)::VARCHAR', 'event_id', RANGES)} AS x FROM events) SELECT event_id, CASE WHEN regexp_matches(x, '^\d+[hdw]$') THEN left(x, length(x) - 1)::BIGINT * CASE right(x, 1) WHEN 'h' THEN 1 WHEN 'd' THEN 24 ELSE 168 END ELSE 24 END::BIGINT AS hours FROM t")
+register("f20_vendor_reference", lambda s, d: vendor_match.cross_reference(vendor_mentions(s, d), vendor_catalogue(s, d).withColumn("normalized_name", vendor_key(F.col("vendor_name")))), VENDORS + """
+, x AS (SELECT mention_id, vendor_id, trim(lower(name)) AS m, trim(lower(vendor_name)) AS v, vc.k AS k, domains FROM vm, vc WHERE trim(coalesce(name, '')) <> ''),
+f AS (SELECT mention_id, vendor_id, CASE WHEN m = v OR m = k THEN 0 WHEN len(list_filter(domains, lambda z: contains(m, z) OR contains(z, m))) > 0 THEN 1 WHEN contains(m, v) OR contains(v, m) THEN 2 END AS r FROM x)
+SELECT mention_id, vendor_id, CASE r WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' ELSE 'fuzzy' END AS match, CASE r WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM f WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY vendor_id) = 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dealgraph.functions import text
+from dealgraph.functions import cleaning, text
 from dealgraph.operators import extraction, opportunity
 from dealgraph.plans.registry import register
 from dealgraph.plans.written import written, written_sql
@@ -68,7 +68,7 @@ for _p, _s in ((r"!{3,}", "'!!'"), (r"\?{3,}", "'??'"), (r"\.{4,}", "'...'"), (r
     _T = f"regexp_replace({_T}, '{_p}', {_s}, 'g')"
 
 
-register("e06_tidy", lambda s, d: documents(s, d, MESSY).select("doc_id", F.md5(text.tidy(F.col("x"))).alias("digest")), _documents(MESSY) + rf"SELECT doc_id, md5(trim(regexp_replace({_T}, '(?m)^ +| +$', '', 'g'), ' ')) AS digest FROM t")
+register("e06_tidy", lambda s, d: documents(s, d, MESSY).select("doc_id", F.md5(text.tidy(cleaning.composed(F.col("x")))).alias("digest")), _documents(MESSY) + rf"SELECT doc_id, md5(trim(regexp_replace({_T}, '(?m)^ +| +$', '', 'g'), ' ')) AS digest FROM (SELECT doc_id, nfc_normalize(x) AS x FROM t)")
 
 MAILS = ["Hello\n> quoted\n{}\n> more\nbye", "{}\nOn Mon, Jan 1, A wrote:\n> x\n> y", "no quotes {}", "> all\n> quoted {}", "{}\n----- Original Message -----\nold", "From: someone\n{}", "", None, " > {}\nfrom here: on\nFROM: x@y.z\nend"]
 _QUOTED = "list_filter(string_split({}, chr(10)), lambda l: trim(l, ' ') LIKE '>%')"
