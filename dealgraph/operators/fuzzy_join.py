@@ -2,17 +2,17 @@
 
 Of two plain texts with a score of at least t, one holds, unbroken, at least one of few pieces of the other.
 Each edit of the alignment behind a whole, partial or token ratio (a character of one text that is not
-matched, or one of the other in between) breaks at most one of any disjoint pieces of a text, a piece being one or
-two neighbouring characters of a word (words may move, pieces do not cross them). The ratios allow at most
+matched, or one of the other in between) breaks at most one of any disjoint pieces of a text, a piece being one, two
+or three neighbouring characters of a word (words may move, pieces do not cross them). The ratios allow at most
 2 (1 - t) / t edits per character of the text in question (the shorter one for partial and token-set ratios, either
 for the others; both are tried), so one more piece than that is enough, and the globally rarest pieces are taken. For
 dice, t / (2 - t) of a text's bigrams must be common, so the rarest of them, one more than may miss, must
-hold a common one. The pieces are looked up among all bigrams (and, where texts are too short for bigrams, characters)
-of the other side by an equi join; what meets is scored exactly.
+hold a common one. The pieces are looked up among all pieces of the other side by an equi join; what meets is scored exactly. The higher t, the
+fewer and longer pieces are needed.
 
 The lower t, the more pieces are needed and the less they tell: joins are meant for scores from about 75 on, or for a stated set
 of queries on one side. Plain texts consist of letters, digits and signs of words (37 characters), so the
-table of frequencies has at most 1,406 rows whatever the input, and is handed to the tasks."""
+table of frequencies has at most 52,059 rows whatever the input, and is handed to the tasks."""
 
 from __future__ import annotations
 
@@ -26,19 +26,28 @@ from pyspark.sql import functions as F
 from dealgraph.functions.similarity import fuzzy_of_plain, grams
 
 
-def _grams_of(text) -> F.Column:
-    """The distinct bigrams of a text without blanks."""
-    return F.array_distinct(grams(F.regexp_replace(text, " ", ""), 2))
+def pieces_of(text) -> F.Column:
+    """The distinct pieces of one to three characters of a text without blanks."""
+    bare = F.regexp_replace(text, " ", "")
+    return F.array_distinct(F.concat(grams(bare, 3), grams(bare, 2), F.split(bare, "")))
 
 
-def _characters_of(text) -> F.Column:
-    return F.array_distinct(F.split(F.regexp_replace(text, " ", ""), ""))
+def frequencies(texts: DataFrame) -> dict[str, int]:
+    """In how many texts each piece is; at most 37 + 37**2 + 37**3 rows of plain texts."""
+    return {r["p"]: r["n"] for r in texts.select(F.explode(pieces_of(F.col("text"))).alias("p")).groupBy("p").agg(F.count("*").alias("n")).toLocalIterator()}
 
 
-def frequencies(texts: DataFrame) -> dict[str, int]:
-    """In how many texts each bigram and character is; at most 37 * 38 rows of plain texts."""
-    pieces = texts.select(F.explode(F.concat(_grams_of(F.col("text")), _characters_of(F.col("text")))).alias("p"))
-    return {r["p"]: r["n"] for r in pieces.groupBy("p").agg(F.count("*").alias("n")).collect()}
+def _disjoint(places: list[tuple[int, str]], need: int, threes: int, rare) -> list[str] | None:
+    """`need` disjoint pieces, the rarest `threes` trigrams first, then bigrams, then characters; None if there are not so many."""
+    used, out = set(), []
+    for size, most in ((3, threes), (2, need), (1, need)):
+        for k, p in sorted(((k, p[:size]) for k, p in places if len(p) >= size), key=lambda x: rare(x[1])):
+            if len(out) >= most:
+                break
+            if not any(j in used for j in range(k, k + size)):
+                used |= set(range(k, k + size))
+                out.append(p)
+    return out if len(out) >= need else None
 
 
 def pieces(text: str, t: float, often: dict[str, int]) -> list[str]:
@@ -47,24 +56,14 @@ def pieces(text: str, t: float, often: dict[str, int]) -> list[str]:
         return often.get(p, 0), p
 
     need = math.floor(2 * (1 - t) / t * len(text)) + 1
-    used, out = set(), []
-    places, at = [], 0
-    seen = set()
+    places, at, seen = [], 0, set()
     for word in text.split(" "):
         if word not in seen:  # a token-set ratio counts a word once
             seen.add(word)
-            places += [(at + k, word[k : k + 2]) for k in range(len(word))]
+            places += [(at + k, word[k : k + 3]) for k in range(len(word))]
         at += len(word) + 1
-    for k, p in sorted(places, key=lambda x: rare(x[1])):
-        if len(out) < need and len(p) == 2 and k not in used and k + 1 not in used:
-            used |= {k, k + 1}
-            out.append(p)
-    for k, p in sorted(places, key=lambda x: rare(x[1][0])):
-        if len(out) < need and k not in used:
-            used.add(k)
-            out.append(p[0])
-    if len(out) < need:  # so short that all of its characters are needed
-        out += [p[0] for _, p in places]
+    # as many trigrams as leave room for the others; a text so short that all of its characters are needed gives these
+    out = next((x for threes in range(min(need, len(places) // 3), -1, -1) if (x := _disjoint(places, need, threes, rare)) is not None), [p[0] for _, p in places])
     bare = text.replace(" ", "")
     all_grams = sorted((bare[k : k + 2] for k in range(len(bare) - 1)), key=rare)
     common = math.ceil(t / (2 - t) * len(all_grams) - 1e-9)
@@ -87,8 +86,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     often = frequencies(left.unionByName(right).distinct())
 
     def met(probing: DataFrame, other: DataFrame, names: tuple[str, str]) -> DataFrame:
-        held = F.concat(_grams_of(F.col("text")), _characters_of(F.col("text")))
-        index = other.select(F.col("text").alias("other"), F.explode(held).alias("piece"))
+        index = other.select(F.col("text").alias("other"), F.explode(pieces_of(F.col("text"))).alias("piece"))
         return _probes(probing, t, often).join(index, "piece").select(F.col("text").alias(names[0]), F.col("other").alias(names[1]))
 
     candidates = met(left, right, ("a", "b")).unionByName(met(right, left, ("b", "a")))

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealgraph.functions.normalize import email_domain, vendor_key
-from dealgraph.functions.similarity import dice, grams, ratio
-from dealgraph.operators.fuzzy_join import frequencies, pieces, similar_pairs
+from dealgraph.functions.similarity import dice, ratio
+from dealgraph.operators.fuzzy_join import frequencies, pieces, pieces_of, similar_pairs
 from dealgraph.operators.vendor_match import contained_in
 
 #: Bands of the fuzzy score, weights of the combined score, its least and highest value.
@@ -53,9 +53,7 @@ def _lookups(texts: DataFrame, often: dict[str, int], kind: str) -> DataFrame:
 
 
 def _index(names: DataFrame) -> DataFrame:
-    bare = F.regexp_replace("text", " ", "")
-    held = F.array_distinct(F.concat(grams(bare, 2), F.split(bare, "")))
-    return names.select(F.col("text").alias("other"), F.explode(held).alias("piece"))
+    return names.select(F.col("text").alias("other"), F.explode(pieces_of(F.col("text"))).alias("piece"))
 
 
 def _scored(candidates: DataFrame, kind: str) -> DataFrame:

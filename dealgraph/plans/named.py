@@ -1,7 +1,6 @@
 """Deals with company and deal names as several people write them, and the fuzzy similarity of all pairs of names in SQL.
 
-Five customers of the tables are one company, whose name is made of syllables by the digits of its number (so that
-some companies are alike); each order writes it, and the part's name, in one of several forms."""
+Five customers of the tables are one company, whose name is spelt from its number; each order writes it, and the part's name, in one of several forms."""
 
 from __future__ import annotations
 
@@ -11,24 +10,33 @@ from pyspark.sql import functions as F
 from dealgraph.plans.written import written, written_sql
 from dealgraph.sources.fixtures import SQL, deals, table
 
-SYLLABLES = (["Bra", "Cal", "Del", "Fos", "Gor", "Hel", "Kin", "Mor", "Pal", "Tre"], ["mont", "vik", "ster", "dale", "ford", "gate", "ham", "ley", "ridge", "wick"],
-             ["Ana", "Bel", "Cor", "Dun", "Eri", "Fal", "Gal", "Hol", "Ise", "Jor"], ["tech", "ware", "soft", "data", "net", "link", "grid", "labs", "works", "point"])
+CONSONANTS, VOWELS = "bcdfghjklmnpqrstvwxz", "aeiou"
+#: A prime and two multipliers, by which numbers are mixed before they are spelt, so that numbers near each other give other names.
+PRIME, FIRST, SECOND = 1_000_003, 654_321, 389
 CUSTOMERS = ["{}", "{} Inc.", "{} Corporation", "The {}", "{} Co., Ltd", "{}", "{} & Sons", "{}s"]
 NAMES = ["{}", "{} order", "New {}", "{} - phase 2", "{}", "Renewal: {}"]
 #: What asks: the stated query set of a search.
 ASKED = 50
 
 
-def _company(k: Column) -> Column:
-    digit = [k % 10, F.floor(k / 10) % 10, F.floor(k / 100) % 10, F.floor(k / 1000) % 10]
-    a, b, c, d = (F.get(F.array(*[F.lit(x) for x in s]), n.cast("int")) for s, n in zip(SYLLABLES, digit, strict=True))
-    return F.concat(a, b, F.lit(" "), c, d, F.when(k >= 10_000, F.concat(F.lit(" "), F.floor(k / 10_000).cast("string"))).otherwise(""))
+def _word(m: Column) -> Column:
+    """Five letters of a number, consonants and vowels in turn."""
+    def letter(letters: str, by: int) -> Column:
+        return F.substring(F.lit(letters), (F.floor(m / by) % len(letters) + 1).cast("int"), F.lit(1))
+
+    return F.initcap(F.concat(letter(CONSONANTS, 1), letter(VOWELS, 20), letter(CONSONANTS, 100), letter(VOWELS, 2_000), letter(CONSONANTS, 10_000)))
+
+
+def with_company(df: DataFrame, key: Column, name: str = "company") -> DataFrame:
+    """df with the name of the company with a number. In steps, as one expression would hold each number ten times."""
+    out = df.withColumn("_k", key).withColumn("_m", (F.col("_k") * FIRST + 98_765) % PRIME).withColumn("_n", (F.col("_m") * SECOND + 7) % PRIME)
+    return out.withColumn(name, F.concat(_word(F.col("_m")), F.lit(" "), _word(F.col("_n")), F.when(F.col("_k") >= PRIME, F.concat(F.lit(" "), F.floor(F.col("_k") / PRIME).cast("string"))).otherwise(""))).drop("_k", "_m", "_n")
 
 
 def named_deals(s: SparkSession, d: str) -> DataFrame:
     """(id, deal_name, customer_name, vendor_id, deal_value, created_at, status, customer_id)."""
-    x, k = deals(s, d), F.floor(F.col("customer_id") / 5)
-    return x.select("id", written(F.col("deal_name"), F.col("id"), NAMES).alias("deal_name"), F.when(F.col("customer_id").isNotNull(), written(_company(k), F.col("id"), CUSTOMERS)).alias("customer_name"),
+    x = with_company(deals(s, d), F.floor(F.col("customer_id") / 5))
+    return x.select("id", written(F.col("deal_name"), F.col("id"), NAMES).alias("deal_name"), F.when(F.col("customer_id").isNotNull(), written(F.col("company"), F.col("id"), CUSTOMERS)).alias("customer_name"),
                     "vendor_id", F.when(F.col("id") % 11 > 0, F.col("deal_value")).alias("deal_value"), "created_at", F.when(F.col("id") % 13 == 0, "rejected").otherwise("open").alias("status"), "customer_id")
 
 
@@ -39,9 +47,17 @@ def product_sets(s: SparkSession, d: str) -> DataFrame:
     return kinds.join(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.concat(F.lit("a"), (F.col("o_custkey") % 100).cast("string"), F.lit("@x.com")), F.concat(F.lit("B"), F.col("o_custkey").cast("string"), F.lit("@Y.com"))).alias("emails")), "id")
 
 
-_K = "(customer_id // 5)"
-_COMPANY = " || ".join([f"{SYLLABLES[0]}[{_K} % 10 + 1]", f"{SYLLABLES[1]}[{_K} // 10 % 10 + 1]", "' '", f"{SYLLABLES[2]}[{_K} // 100 % 10 + 1]", f"{SYLLABLES[3]}[{_K} // 1000 % 10 + 1]",
-                        f"CASE WHEN {_K} >= 10000 THEN ' ' || {_K} // 10000 ELSE '' END"])
+def _word_sql(m: str) -> str:
+    first, *rest = [f"'{letters}'[{m} // {by} % {len(letters)} + 1]" for letters, by in ((CONSONANTS, 1), (VOWELS, 20), (CONSONANTS, 100), (VOWELS, 2_000), (CONSONANTS, 10_000))]
+    return " || ".join([f"upper({first})", *rest])
+
+
+def _company_of(k: str) -> str:
+    m = f"(({k} * {FIRST} + 98765) % {PRIME})"
+    return f"{_word_sql(m)} || ' ' || {_word_sql(f'(({m} * {SECOND} + 7) % {PRIME})')} || CASE WHEN {k} >= {PRIME} THEN ' ' || {k} // {PRIME} ELSE '' END"
+
+
+_COMPANY = _company_of("(customer_id // 5)")
 
 
 def plain_sql(x: str) -> str:
@@ -92,25 +108,12 @@ def fuzzy_ctes(name: str, pairs: str) -> str:
 MENTIONED = ["{}", "{} Inc.", "{} Hldgs", "{}s LLC", "the {}", "{} Grp.", "x{}", "{}", None, "LLC"]
 
 
-def _spread(k: Column) -> Column:
-    """Another number for each number, so that names near in number are not alike."""
-    return k * 7919 % 10_000 + F.floor(k / 10_000) * 10_000
-
-
-def _spread_sql(k: str) -> str:
-    return f"({k} * 7919 % 10000 + {k} // 10000 * 10000)"
-
-
-def _company_of(k: str) -> str:
-    return _COMPANY.replace(_K, k)
-
-
 def vendor_catalogue(s: SparkSession, d: str) -> DataFrame:
     """(vendor_id, vendor_name, domains, products): suppliers as companies; the products are the name (whole or its last word) and the type of the part with their number."""
     k = F.col("s_suppkey")
     part = table(s, d, "part").select(F.col("p_partkey").alias("s_suppkey"), "p_name", "p_type")
-    return table(s, d, "supplier").join(part, "s_suppkey", "left").select(
-        k.alias("vendor_id"), F.concat(_company(_spread(k)), F.when(k % 3 == 0, ", Inc.").otherwise("")).alias("vendor_name"),
+    return with_company(table(s, d, "supplier"), k).join(part, "s_suppkey", "left").select(
+        k.alias("vendor_id"), F.concat("company", F.when(k % 3 == 0, ", Inc.").otherwise("")).alias("vendor_name"),
         F.array(F.concat(F.lit("s"), k.cast("string"), F.lit(".example.com")), F.concat(F.lit("m"), (k % 60).cast("string"), F.lit(".example.com"))).alias("domains"),
         F.array(F.when(k % 2 == 0, F.col("p_name")).otherwise(F.element_at(F.split("p_name", " "), -1)), F.lower("p_type")).alias("products"))
 
@@ -119,8 +122,8 @@ def vendor_mentions(s: SparkSession, d: str) -> DataFrame:
     """(mention_id, name, email, products, keywords): customers as mentions of vendors, some of them unknown."""
     k = F.col("c_custkey")
     part = table(s, d, "part").select(F.col("p_partkey").alias("_p"), "p_name", "p_type")
-    return table(s, d, "customer").withColumn("_p", k % 150).join(part, "_p", "left").select(
-        k.alias("mention_id"), written(_company(_spread(k * 7 % 130)), k, MENTIONED).alias("name"),
+    return with_company(table(s, d, "customer"), k * 7 % 130).withColumn("_p", k % 150).join(part, "_p", "left").select(
+        k.alias("mention_id"), written(F.col("company"), k, MENTIONED).alias("name"),
         F.when(k % 4 == 0, F.concat(F.lit("x@s"), (k * 3 % 120).cast("string"), F.lit(".example.com"))).when(k % 4 == 1, F.concat(F.lit("y@m"), (k % 70).cast("string"), F.lit(".example.com"))).alias("email"),
         F.when(k % 3 == 0, F.array(F.initcap("p_name"), F.element_at(F.split("p_name", " "), 1))).when(k % 3 == 1, F.array(F.concat("p_name", F.lit("x")))).otherwise(F.array().cast("array<string>")).alias("products"),
         F.when(k % 5 == 0, F.array(F.lower("p_type"), F.lit("none"))).otherwise(F.array().cast("array<string>")).alias("keywords"))
@@ -145,9 +148,9 @@ def ratio_ctes(name: str, pairs: str) -> str:
 
 
 #: vc, the catalogue, and vm, the mentions, with their normalised names; nr, ratio and dice of all pairs of names.
-VENDORS = f"""WITH vc AS (SELECT s_suppkey AS vendor_id, ({_company_of(_spread_sql('s_suppkey'))}) || CASE WHEN s_suppkey % 3 = 0 THEN ', Inc.' ELSE '' END AS vendor_name, ['s' || s_suppkey || '.example.com', 'm' || (s_suppkey % 60) || '.example.com'] AS domains,
+VENDORS = f"""WITH vc AS (SELECT s_suppkey AS vendor_id, ({_company_of('s_suppkey')}) || CASE WHEN s_suppkey % 3 = 0 THEN ', Inc.' ELSE '' END AS vendor_name, ['s' || s_suppkey || '.example.com', 'm' || (s_suppkey % 60) || '.example.com'] AS domains,
   [CASE WHEN s_suppkey % 2 = 0 THEN p_name ELSE string_split(p_name, ' ')[-1] END, lower(p_type)] AS products, {key_sql('vendor_name')} AS k FROM supplier LEFT JOIN part ON p_partkey = s_suppkey),
-vm AS (SELECT c_custkey AS mention_id, {written_sql(f"({_company_of(_spread_sql('(c_custkey * 7 % 130)'))})", 'c_custkey', MENTIONED)} AS name,
+vm AS (SELECT c_custkey AS mention_id, {written_sql(f"({_company_of('(c_custkey * 7 % 130)')})", 'c_custkey', MENTIONED)} AS name,
   CASE c_custkey % 4 WHEN 0 THEN 's' || (c_custkey * 3 % 120) || '.example.com' WHEN 1 THEN 'm' || (c_custkey % 70) || '.example.com' END AS domain,
   CASE c_custkey % 3 WHEN 0 THEN [p_name, string_split(p_name, ' ')[1]] WHEN 1 THEN [p_name || 'x'] ELSE [] END AS products, CASE WHEN c_custkey % 5 = 0 THEN [lower(p_type), 'none'] ELSE [] END AS keywords, {key_sql('name')} AS k FROM customer LEFT JOIN part ON p_partkey = c_custkey % 150),
 """ + ratio_ctes("nr", "SELECT x.k AS a, y.k AS b FROM (SELECT DISTINCT k FROM vm) x, (SELECT DISTINCT k FROM vc) y")
