@@ -81,15 +81,18 @@ def exact(r: DataFrame, asked: Column | str | None = None) -> DataFrame:
 
 
 def fuzzy_name(r: DataFrame, asked: Column | str | None = None) -> DataFrame:
-    """Deal and customer names (suffixes and all) at least 70 percent alike, and 85 in the mean. Names meet as distinct names; pairs of
-    alike names that reach the mean are the key on which the records meet."""
+    """Deal and customer names (suffixes and all) at least 70 percent alike, and 85 in the mean. So one of the two reaches 85: records meet by alike customers, and by alike deal names, and the other
+    names are compared then, each distinct pair once, against what the mean still asks of them."""
     left, right, order = _sides(r, asked)
-    names, customers = alike(r, asked, "_n", NAME_LEAST / 100), alike(r, asked, "_m", NAME_LEAST / 100)
-    kinds = left.select("_n_1", "_m_1").distinct()
-    kinds = kinds.join(names.select(F.col("a").alias("_n_1"), F.col("b").alias("_n_2"), F.col("score").alias("_x")), "_n_1").join(
-        customers.select(F.col("a").alias("_m_1"), F.col("b").alias("_m_2"), F.col("score").alias("_y")), "_m_1").where(F.round((F.col("_x") + F.col("_y")) / 2, 9) >= NAME_MEAN / 100)
-    p = left.join(kinds, ["_n_1", "_m_1"]).join(right, ["_n_2", "_m_2"]).where(order)
-    return _found(p, "fuzzy_name", (F.col("_x") + F.col("_y")) / 2)
+    found = None
+    for near, other in (("_m", "_n"), ("_n", "_m")):
+        pairs = alike(r, asked, near, NAME_MEAN / 100).select(F.col("a").alias(f"{near}_1"), F.col("b").alias(f"{near}_2"), (F.col("score") * 100).alias("_x"))
+        met = left.join(pairs, f"{near}_1").join(right, f"{near}_2").where(order)
+        kinds = met.select(f"{other}_1", f"{other}_2").distinct()
+        kinds = kinds.withColumn("_y", similarity.fuzzy_of_plain(F.col(f"{other}_1"), F.col(f"{other}_2"), NAME_LEAST)).where(F.col("_y") >= NAME_LEAST)
+        p = met.join(kinds, [f"{other}_1", f"{other}_2"]).where(F.round(F.col("_x") + F.col("_y"), 7) >= 2 * NAME_MEAN).select("id_1", "id_2", ((F.col("_x") + F.col("_y")) / 200).alias("_s"))
+        found = p if found is None else found.unionByName(p)
+    return _found(found.dropDuplicates(["id_1", "id_2"]), "fuzzy_name", F.col("_s"))
 
 
 def customer_value(r: DataFrame, asked: Column | str | None = None, customers: DataFrame | None = None, least: float = ALIKE) -> DataFrame:
