@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgraph.functions.text import tidy
+from dealgraph.functions.workers import ship
 from dealgraph.operators.extraction import unquoted
 
 # Patterns, words and confidences that results depend on.
@@ -32,6 +33,7 @@ def _composed(xs: pd.Series) -> pd.Series:
 
 def composed(text: Column) -> Column:
     """Unicode's composed form (NFC), which Spark has no function for."""
+    ship()
     return F.pandas_udf(_composed, "string")(text)
 
 

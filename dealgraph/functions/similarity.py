@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dealgraph.functions.normalize import company_key, plain
+from dealgraph.functions.workers import ship
 
 #: Weights of name, customer, vendor, value, date, products and contacts.
 WEIGHTS = {"name": 0.25, "customer": 0.25, "vendor": 0.15, "value": 0.15, "date": 0.10, "products": 0.05, "contacts": 0.05}
@@ -197,11 +198,13 @@ def fuzzy_of_plain(a: Column, b: Column, least: float = 0.0) -> Column:
     def scores(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(fuzzy_scores(list(x), list(y), least))
 
+    ship()
     return F.pandas_udf(scores, "double").asNondeterministic()(a, b)
 
 
 def ratio(a: Column, b: Column) -> Column:
     """The whole ratio of two texts as they are, in whole percents; 0 where one is empty."""
+    ship()
     return F.pandas_udf(_ratio_series, "double").asNondeterministic()(a, b)
 
 

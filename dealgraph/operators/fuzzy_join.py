@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealgraph.functions.similarity import fuzzy_of_plain, grams
+from dealgraph.functions.workers import ship
 
 
 def pieces_of(text) -> F.Column:
@@ -75,6 +76,7 @@ def _probes(texts: DataFrame, t: float, often: dict[str, int]) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"text": frame["text"], "pieces": [pieces(x, t, often) for x in frame["text"]]})
 
+    ship(texts.sparkSession)
     return texts.mapInPandas(run, "text string, pieces array<string>").select("text", F.explode("pieces").alias("piece"))
 
 

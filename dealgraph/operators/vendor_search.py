@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from dealgraph.functions.normalize import email_domain, vendor_key
 from dealgraph.functions.similarity import dice, ratio
+from dealgraph.functions.workers import ship
 from dealgraph.operators.fuzzy_join import frequencies, pieces, pieces_of, similar_pairs
 from dealgraph.operators.vendor_match import contained_in
 
@@ -49,6 +50,7 @@ def _lookups(texts: DataFrame, often: dict[str, int], kind: str) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"text": frame["text"], "pieces": [chosen(x, b) for x, b in zip(frame["text"], frame["bound"], strict=True)]})
 
+    ship(texts.sparkSession)
     return texts.select("text", "bound").mapInPandas(run, "text string, pieces array<string>").select("text", F.explode("pieces").alias("piece"))
 
 

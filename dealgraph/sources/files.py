@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dealgraph.functions.workers import ship
+
 # Header signatures by format.
 SIGNATURES = {
     "hubspot": ("Deal Name", "Deal Stage", "Pipeline", "Close Date", "Amount", "Deal Owner"),
@@ -126,6 +128,7 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(chunk, columns=names).astype({"opens": "object"})
 
     pieces = spark.read.text(path, lineSep=_BREAK).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    ship(spark)
     rows = pieces.mapInPandas(run, "file string, block bigint, k int, head boolean, tail boolean, opens boolean, blank boolean, message string")
     inner = rows.where("not head and not tail").select("file", "message")
     w = Window.partitionBy("file").orderBy("block", "k")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from dealgraph.functions.workers import ship
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -56,6 +58,7 @@ def _pass(times, start: int, used: int, width: int, most: int) -> tuple[list[boo
 def throttle(events: DataFrame, seconds: int = 3600, most: int = 2, key: str = "user_id") -> DataFrame:
     """(user_id, event_id) of the events that pass. On a stream the window's start and use are
     kept as state per key; a key with very many events holds two numbers, not its events."""
+    ship(events.sparkSession)
     width = seconds * 1_000_000
     rows = events.select(F.col(key).cast("bigint").alias("user_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
