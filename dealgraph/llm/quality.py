@@ -30,6 +30,8 @@ from dealgraph.llm.common import BLANK, U, byte_chunks, cut, hash_words, lower_a
 
 #: Labelled documents that the fit uses at most. All words that occur twice in them have context vectors.
 MAX_FIT = 4_000
+#: Words whose vectors are made and sent at once.
+WORDS_AT_ONCE = 8_000
 DIM, NONZERO, WINDOW = 64, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 120, 0.01, 1e-4
 THRESHOLD = 0.3
@@ -166,13 +168,17 @@ class Pool:
 def _contexts(sample: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Context vectors of the words: sums over the sample of their neighbours' index vectors.
     Each task adds up its own documents; the driver adds up one bounded matrix per task."""
-    raw = [np.frombuffer(w, np.uint8) for w in words]
-    flat = np.concatenate([*raw, np.zeros(0, np.uint8)])
-    ends = np.cumsum([len(r) for r in raw]).astype(np.int64) if raw else np.zeros(0, np.int64)
     if not words:
         return np.zeros(0, U), np.zeros((0, DIM), np.float32)
-    starts = ends - np.array([len(r) for r in raw], np.int64)
-    hashes, static = hash_words(flat, starts, ends), _static(flat, starts, ends)
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words]).astype(np.int64)
+    starts = ends - np.array([len(w) for w in words], np.int64)
+    hashes, static = np.empty(len(words), U), np.empty((len(words), DIM), np.float32)
+    for at in range(0, len(words), WORDS_AT_ONCE):  # the vectors of all characters' trigrams at once would be many times as large
+        part = slice(at, at + WORDS_AT_ONCE)
+        own = flat[starts[at] : ends[part][-1]]
+        hashes[part] = hash_words(own, starts[part] - starts[at], ends[part] - starts[at])
+        static[part] = _static(own, starts[part] - starts[at], ends[part] - starts[at])
     order = np.argsort(hashes)
     held = sample.sparkSession.sparkContext.broadcast((hashes[order], static[order]))
 
@@ -193,14 +199,18 @@ def _contexts(sample: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.nda
                     for a, b in ((np.flatnonzero(same & known[gap:]) + gap, -gap), (np.flatnonzero(same & known[:-gap]), gap)):
                         np.add.at(total, k[a], v[a + b])
         used = np.flatnonzero(np.abs(total).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array([used.astype("<i4").tobytes()]), pa.array([total[used].tobytes()])], names=["rows", "sums"])
+        for at in range(0, len(used), WORDS_AT_ONCE):
+            rows = used[at : at + WORDS_AT_ONCE]
+            yield pa.RecordBatch.from_arrays([pa.array([rows.astype("<i4").tobytes()]), pa.array([total[rows].tobytes()])], names=["rows", "sums"])
 
     total = np.zeros((len(words), DIM), np.float32)
     for row in map_arrow(sample.coalesce(8), run, "rows binary, sums binary").toLocalIterator():
         total[np.frombuffer(row["rows"], "<i4")] += np.frombuffer(row["sums"], np.float32).reshape(-1, DIM)
-    back = np.empty_like(total)
-    back[order] = total
-    return hashes, _unit(static + 0.5 * _unit(back))
+    held.unpersist()
+    for at in range(0, len(total), WORDS_AT_ONCE):
+        rows = order[at : at + WORDS_AT_ONCE]
+        static[rows] = _unit(static[rows] + 0.5 * _unit(total[at : at + WORDS_AT_ONCE]))
+    return hashes, static
 
 
 class Network:
