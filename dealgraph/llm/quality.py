@@ -129,7 +129,7 @@ class Pool:
 
     def __init__(self, hashes: np.ndarray, vectors: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.vectors = hashes[order], vectors[order].astype(np.float32)
+        self.hashes, self.vectors = hashes[order], vectors[order].astype(np.float16)  # half the size to hand out, and no less told
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         starts, ends, firsts = words_in(raw, offsets, ~BLANK)
@@ -206,7 +206,7 @@ def _contexts(sample: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.nda
     total = np.zeros((len(words), DIM), np.float32)
     for row in map_arrow(sample.coalesce(8), run, "rows binary, sums binary").toLocalIterator():
         total[np.frombuffer(row["rows"], "<i4")] += np.frombuffer(row["sums"], np.float32).reshape(-1, DIM)
-    held.unpersist()
+    held.destroy()  # a session that fits again and again would keep them all
     for at in range(0, len(total), WORDS_AT_ONCE):
         rows = order[at : at + WORDS_AT_ONCE]
         static[rows] = _unit(static[rows] + 0.5 * _unit(total[at : at + WORDS_AT_ONCE]))
@@ -278,6 +278,7 @@ def fit(train: DataFrame) -> tuple[Pool, Network]:
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     rows = map_arrow(sample, run, f"doc_id {kind}, label int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label").collect()  # MAX_FIT rows at most
+    held.destroy()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float32).reshape(len(rows), 2 * DIM + 2)
     return pool, Network().fit(x, np.array([r["label"] for r in rows], np.int64))
 
