@@ -55,3 +55,34 @@ def test_candidates_are_few():
             often[p] = often.get(p, 0) + 1
     met = sum(bool(held[b] & set(fuzzy_join.pieces(a, 0.945, often))) for a in some for b in some)
     assert met < 0.35 * len(some) ** 2
+
+
+def test_few_candidates_leave_the_join(spark):
+    """The outlines rule out what can't reach the score before it is shuffled and scored, and nothing that does."""
+    from pyspark.sql import functions as F
+
+    from dealgraph.functions.similarity import may_reach, outline
+
+    some = sorted({*names(5, 120), *(" ".join(random.Random(k).choices(["bramont", "calvik", "delster", "fosdale", "gorford", "kinham"], k=2)) + str(k) for k in range(120))})
+    df = spark.createDataFrame([(x,) for x in some], "text string").select("text", outline(F.col("text")).alias("o"))
+    for least in (70, 80, 85, 95):
+        kept = {tuple(x) for x in df.alias("x").crossJoin(df.alias("y")).where(may_reach(F.col("x.o"), F.col("y.o"), least)).select("x.text", "y.text").collect()}
+        score = fuzzy_scores([a for a in some for _ in some], some * len(some))
+        reached = {(a, b) for (a, b), s in zip(((a, b) for a in some for b in some), score.tolist(), strict=True) if s >= least and a and b}
+        assert reached <= kept
+        assert least < 80 or len(kept) < 0.25 * len(some) ** 2
+
+
+def test_common_lengths_by_bits_equal_tables():
+    from dealgraph.functions.similarity import _common_by_tables, common_lengths
+
+    r = random.Random(7)
+    texts = ["".join(r.choices("abcé ", k=r.choice([0, 1, 5, 20, 63, 64, 65, 90]))) for _ in range(120)]
+    a, b = texts[:60], texts[60:]
+    assert common_lengths(a, b).tolist() == _common_by_tables(a, b).tolist()
+
+
+def test_shorter_texts_look_up_longer_ones():
+    """A text probes only those that are not shorter, with as many pieces as their two lengths ask for."""
+    assert fuzzy_join.edits(11, 11, 0.845) == 2 and fuzzy_join.edits(11, 15, 0.845) == 4 and fuzzy_join.edits(11, 40, 0.845) == 2
+    assert len(fuzzy_join.pieces("bacad kifol", 0.845, {}, 2)) < len(fuzzy_join.pieces("bacad kifol", 0.845, {}))
