@@ -210,6 +210,17 @@ def test_reseeded_intersections(spark):
     assert opportunity.reseeded_intersections(df.limit(0), "k", "o", "xs").collect() == []
 
 
+def test_reseeded_intersections_of_one_order(spark):
+    """Lists of one order go by themselves, whatever order they are read in."""
+    from dealgraph.operators import opportunity
+
+    lists = [(1, 1, ["b"]), (1, 1, ["a", "c"]), (1, 1, ["a", "b"]), (1, 2, ["d", "a"])]
+    for rows in (lists, lists[::-1], lists[2:] + lists[:2]):
+        df = spark.createDataFrame(rows, "k bigint, o bigint, xs array<string>").coalesce(1)
+        # a; then nothing is left, so the fourth list starts anew
+        assert [r.xs for r in opportunity.reseeded_intersections(df, "k", "o", "xs").collect()] == [["d", "a"]]
+
+
 def test_transforms(spark):
     from dealgraph.functions import transforms
 
