@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from dealgraph.functions import similarity
 from dealgraph.functions.similarity import fuzzy_scores
-from dealgraph.operators import fuzzy_join
+from dealgraph.operators import dedupe, fuzzy_join
 from tests.test_literals import brute_fuzzy
 
 
@@ -86,3 +88,29 @@ def test_shorter_texts_look_up_longer_ones():
     """A text probes only those that are not shorter, with as many pieces as their two lengths ask for."""
     assert fuzzy_join.edits(11, 11, 0.845) == 2 and fuzzy_join.edits(11, 15, 0.845) == 4 and fuzzy_join.edits(11, 40, 0.845) == 2
     assert len(fuzzy_join.pieces("bacad kifol", 0.845, {}, 2)) < len(fuzzy_join.pieces("bacad kifol", 0.845, {}))
+
+
+def deals(spark, n):
+    """Deals of few vendors whose names, values and dates are near those of some others."""
+    r = random.Random(11)
+    some, rows = names(12, 40), []
+    for k in range(n):
+        rows.append((k, r.choice(some[:12]) or None, r.choice(some), r.choice(some) or None, r.choice([1, 2, 3, None]), r.choice([None, 0.0, 100.0, 103.0, 109.0, 128.0, 135.0, 5000.0]), f"2024-0{r.randrange(1, 4)}-{r.randrange(10, 28)}"))
+    return spark.createDataFrame(rows, "id bigint, _n string, _m string, _k string, vendor_id bigint, deal_value double, created_at string").withColumn("created_at", F.to_date("created_at"))
+
+
+@pytest.mark.parametrize("asked", [None, "id % 3 = 0"])
+def test_vendor_and_factors_need_no_join_of_all_names(spark, monkeypatch, asked):
+    """D13 and D14 find the pairs that comparing all finds, and don't join the names of all deals for it."""
+    r = deals(spark, 160)
+    monkeypatch.setattr(dedupe, "similar_pairs", None)
+    x, y = (r.select([F.col(c).alias(f"{c}_{k}") for c in r.columns]) for k in (1, 2))
+    order = F.col("id_1") < F.col("id_2") if asked is None else (F.col("id_1") % 3 == 0) & (F.col("id_1") != F.col("id_2"))
+    w = similarity.WEIGHTS
+    every = x.crossJoin(y).where(order).withColumn("n", dedupe.both(similarity.fuzzy_of_plain, "_n") / 100).withColumn("c", dedupe.both(similarity.fuzzy_of_plain, "_k") / 100)
+    same = F.coalesce((F.col("vendor_id_1") == F.col("vendor_id_2")).cast("double"), F.lit(0.0))
+    score = F.round(w["name"] * F.col("n") + w["customer"] * F.col("c") + w["vendor"] * same + w["value"] * dedupe.both(similarity.value_similarity, "deal_value") + w["date"] * dedupe.both(similarity.date_similarity, "created_at"), 9)
+    rows = every.select("id_1", "id_2", "n", "c", same.alias("same"), score.alias("score")).collect()
+    for run, want in ((dedupe.vendor_customer, {(p.id_1, p.id_2, round(min(1, 0.3 + 0.5 * p.c + 0.2 * p.n), 6)) for p in rows if p.same and p.c >= 0.8}), (dedupe.multi_factor, {(p.id_1, p.id_2, round(p.score, 6)) for p in rows if p.score >= 0.7})):
+        got = [(p.id_1, p.id_2, round(p.score, 6)) for p in run(r, asked).collect()]
+        assert len(want) > 20 and len(got) == len(set(got)) and set(got) == want
