@@ -19,6 +19,8 @@ with null labels or ids don't train; repeated rows get equal scores; empty table
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,7 +131,7 @@ class Pool:
 
     def __init__(self, hashes: np.ndarray, vectors: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.vectors = hashes[order], vectors[order].astype(np.float16)  # half the size to hand out, and no less told
+        self.hashes, self.vectors = hashes[order], vectors.astype(np.float16)[order]  # half the size to hand out, and no less told
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         starts, ends, firsts = words_in(raw, offsets, ~BLANK)
@@ -179,8 +181,10 @@ def _contexts(sample: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.nda
         own = flat[starts[at] : ends[part][-1]]
         hashes[part] = hash_words(own, starts[part] - starts[at], ends[part] - starts[at])
         static[part] = _static(own, starts[part] - starts[at], ends[part] - starts[at])
+    del flat
     order = np.argsort(hashes)
-    held = sample.sparkSession.sparkContext.broadcast((hashes[order], static[order]))
+    hashes, static = hashes[order], static[order]
+    held = sample.sparkSession.sparkContext.broadcast((hashes, static))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, own = held.value
@@ -208,8 +212,8 @@ def _contexts(sample: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.nda
         total[np.frombuffer(row["rows"], "<i4")] += np.frombuffer(row["sums"], np.float32).reshape(-1, DIM)
     held.destroy()  # a session that fits again and again would keep them all
     for at in range(0, len(total), WORDS_AT_ONCE):
-        rows = order[at : at + WORDS_AT_ONCE]
-        static[rows] = _unit(static[rows] + 0.5 * _unit(total[at : at + WORDS_AT_ONCE]))
+        rows = slice(at, at + WORDS_AT_ONCE)
+        static[rows] = _unit(static[rows] + 0.5 * _unit(total[rows]))
     return hashes, static
 
 
@@ -260,6 +264,15 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x).astype(np.float64) / self.temperature, -30, 30)))
 
 
+def _let_go() -> None:
+    """Gives freed memory back to the system. The C library keeps that of arrays of some MB, which stays the driver's through all that follows a fit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fit(train: DataFrame) -> tuple[Pool, Network]:
     """Fits on a bounded sample (doc_id, text binary, label 0/1)."""
     sample = cut(train.coalesce(8))
@@ -267,6 +280,7 @@ def fit(train: DataFrame) -> tuple[Pool, Network]:
     top = pieces.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy("w")
     hashes, vectors = _contexts(sample, [r["w"].encode() for r in top.select("w").toLocalIterator()])
     pool = Pool(hashes, vectors)
+    del hashes, vectors
     held = sample.sparkSession.sparkContext.broadcast(pool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +294,10 @@ def fit(train: DataFrame) -> tuple[Pool, Network]:
     rows = map_arrow(sample, run, f"doc_id {kind}, label int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label").collect()  # MAX_FIT rows at most
     held.destroy()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float32).reshape(len(rows), 2 * DIM + 2)
-    return pool, Network().fit(x, np.array([r["label"] for r in rows], np.int64))
+    network = Network().fit(x, np.array([r["label"] for r in rows], np.int64))
+    del rows, x
+    _let_go()
+    return pool, network
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int = MAX_FIT) -> DataFrame:

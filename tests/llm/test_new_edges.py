@@ -212,3 +212,17 @@ def test_vocabulary(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.word: r.n for r in spelling.vocabulary(frame).collect()} == {w: n for w, n in want.items() if len(w) >= 7 and n >= 2} and len(want) > 3
     assert spelling.vocabulary(frame.limit(0)).withColumn("x", F.lit(1)).collect() == []
+
+
+def test_fit_gives_its_memory_back(spark, monkeypatch):
+    """The words' vectors are handed out as they are sorted, and the driver's freed memory goes back to the system once a fit."""
+    from dealgraph.llm import quality
+
+    words = [f"word{k}".encode() for k in range(2_000)]
+    sample = spark.createDataFrame([(k, bytearray(b" ".join(words)), k % 2) for k in range(2)], "doc_id bigint, text binary, label int")
+    hashes, vectors = quality._contexts(sample, words)
+    assert len(hashes) == len(words) == len(vectors) and (hashes[1:] > hashes[:-1]).all()
+    let_go, calls = quality._let_go, []
+    monkeypatch.setattr(quality, "_let_go", lambda: calls.append(let_go()))
+    pool, _ = quality.fit(sample)
+    assert len(calls) == 1 and len(pool.hashes) == len(words)
