@@ -14,3 +14,12 @@ def test_every_general_insight_applies(spark):
     records = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "id bigint, vendor_id bigint")
     got = sorted(tuple(r) for r in opportunity.applicable(insights, records).collect())
     assert got == sorted((r, i) for r, v in ((1, 0), (2, 1), (3, None)) for i in range(5, 150) if i < 130 or i % 2 == v)
+
+
+def test_trigrams_are_made_once_a_text(spark):
+    """What the pairs are compared by is made below the join, for each name once."""
+    import __spark_entry__ as contract
+
+    plan = contract.queries()["j06_trigram_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner")
+    assert "regexp_replace" in below and "regexp_replace" not in above
