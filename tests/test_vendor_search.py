@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from dealgraph.operators import vendor_search
+from dealgraph.operators import vendor_match, vendor_search
 
 
 def most_rows(df) -> int:
@@ -84,3 +84,14 @@ def test_factors_equal_brute_force(spark):
         if best:
             want[i] = (best[2], round(min(0.95, -best[0]), 6))
     assert got == want
+
+
+def test_names_with_one_beginning(spark):
+    """Names that begin alike meet a text only where it holds them, and more beginnings than tasks should hold give the same."""
+    texts = spark.range(300).select(F.col("id").alias("text_id"), F.concat(F.lit("😀 see SUPPLIER00000"), F.lpad(F.col("id").cast("string"), 4, "0"), F.lit(" or b and \u00e9t\u00e9.")).alias("text"))
+    names = spark.range(250).select(F.concat(F.lit("supplier00000"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("name")).unionByName(spark.createDataFrame([("b",), ("\u00c9T\u00c9",), ("zz",), ("supplier00000",)], "name string"))
+    found = vendor_match.found_in_texts(texts, names)
+    assert most_rows(found) < 20_000  # 300 places and 250 names have one beginning
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows == sorted(tuple(r) for r in vendor_match.found_in_texts(texts, names, most=2).collect())
+    assert rows == sorted([(k, n) for k in range(300) for n in ("b", "\u00c9T\u00c9", "supplier00000")] + [(k, f"supplier00000{k:04d}") for k in range(250)])
