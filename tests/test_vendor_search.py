@@ -56,6 +56,15 @@ def test_suggestions_of_many_ties(spark):
     assert {(r.rank, r.vendor_id) for r in found.collect()} == {(k + 1, k) for k in range(5)}
 
 
+def test_repeated_mentions(spark, many):
+    """Of rows with one mention_id the best result counts."""
+    m, v = many
+    m = m.where("mention_id < 40").withColumn("mention_id", F.col("mention_id") % 20)
+    for found in (vendor_search.by_similar_name(m, v), vendor_search.by_factors(m, v)):
+        assert found.count() == found.select("mention_id").distinct().count() == 20
+    assert max(r.n for r in vendor_search.suggestions(m, v).groupBy("mention_id").agg(F.count("*").alias("n")).collect()) <= 5
+
+
 def test_factors_equal_brute_force(spark):
     """Domains, products and names that pull apart, names of one character, and blanks."""
     names = ["ab cd", "abcd", "a", "xy zt inc", "", None, "abab ab", "qq"]
