@@ -114,3 +114,31 @@ def test_vendor_and_factors_need_no_join_of_all_names(spark, monkeypatch, asked)
     for run, want in ((dedupe.vendor_customer, {(p.id_1, p.id_2, round(min(1, 0.3 + 0.5 * p.c + 0.2 * p.n), 6)) for p in rows if p.same and p.c >= 0.8}), (dedupe.multi_factor, {(p.id_1, p.id_2, round(p.score, 6)) for p in rows if p.score >= 0.7})):
         got = [(p.id_1, p.id_2, round(p.score, 6)) for p in run(r, asked).collect()]
         assert len(want) > 20 and len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("least", [60, 70, 85, 95])
+def test_cells_lose_no_pair(least):
+    """Bounds by characters, bigrams, words and common subsequences rule out no pair that comparing all finds; short, long and repeating texts."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice(x) for x in ("bcdfg", "aeiou", "klmnp", "aeiou", "rstvw"))
+    some = [f"{word()} {word()}" for _ in range(12)]
+    forms = ["{}", "{} corporation", "the {}", "{} co ltd", "{}s", "{} {} a b c d e f", "{} of the corporation of {} " + "x" * 50]
+    spelt = sorted({f.format(x, x[::-1]) for x in some for f in forms} | {x[:k] + x[k + 1 :] for x in some for k in (2, 5)})
+    left, right = spelt[::2] + names(32, 40)[1:], spelt[1::2] + names(33, 40)[1:] + [spelt[0]]
+    score = fuzzy_scores([a for a in left for _ in right], right * len(left))
+    want = {(a, b): s for (a, b), s in zip(((a, b) for a in left for b in right), score.tolist(), strict=True) if s >= least}
+    got = [tuple(x) for part in fuzzy_join.compared(left, right, least) for x in part.itertuples(index=False)]
+    assert len(want) > 50 and len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+    assert not list(fuzzy_join.compared([], right, least)) + list(fuzzy_join.compared(left, [], least))
+
+
+def test_texts_are_shuffled_bare_and_in_several_cells(spark, monkeypatch):
+    """No pieces and no outlines are shuffled: a text goes to one cell for each group of the other side, and to no join."""
+    monkeypatch.setattr(fuzzy_join, "LEFT_AT_ONCE", 20)
+    monkeypatch.setattr(fuzzy_join, "RIGHT_AT_ONCE", 30)
+    left, right = names(41, 50), names(42, 70)
+    out = fuzzy_join.similar_pairs(*(spark.createDataFrame([(x,) for x in side], "text string") for side in (left, right)), 80)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    score = fuzzy_scores([a for a in left for _ in right], right * len(left))
+    assert sorted((a, b) for a, b, _ in out.collect()) == sorted(p for p, s in zip(((a, b) for a in left for b in right), score.tolist(), strict=True) if s >= 80)
