@@ -142,3 +142,16 @@ def test_texts_are_shuffled_bare_and_in_several_cells(spark, monkeypatch):
     assert "Join" not in plan and plan.count("Exchange") == 1
     score = fuzzy_scores([a for a in left for _ in right], right * len(left))
     assert sorted((a, b) for a, b, _ in out.collect()) == sorted(p for p, s in zip(((a, b) for a in left for b in right), score.tolist(), strict=True) if s >= 80)
+
+
+def test_candidates_on_line_are_judged_by_themselves(spark, monkeypatch):
+    """D27 gives what D15 finds among the candidates, without a join of all names."""
+    r = deals(spark, 140).withColumn("status", F.when(F.col("id") % 7 == 0, "rejected").otherwise("open"))
+    named = r.select("id", F.col("_n").alias("deal_name"), F.col("_m").alias("customer_name"), "vendor_id", "deal_value", "created_at", "status")
+    pairs = dedupe.online_candidates(named, "id % 3 = 0").select("id_1", "id_2")
+    want = {tuple(x) for x in dedupe.detect(named, "id % 3 = 0").join(pairs, ["id_1", "id_2"], "left_semi").select("id_1", "id_2", "strategy", "score", "action").collect()}
+    monkeypatch.setattr(dedupe, "similar_pairs", None)
+    got = [(x.id_1, x.id_2, x.strategy, x.score, x.action) for x in dedupe.find_similar(named, "id % 3 = 0").collect()]
+    assert len(want) > 20 and len(got) == len(set(got)) and set(got) == want
+    with pytest.raises(ValueError):
+        dedupe.judged(dedupe.prepared(named), pairs, 0.8)
