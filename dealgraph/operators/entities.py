@@ -6,9 +6,13 @@ joins on the text and a bucket of positions or values, so that no text is carrie
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealgraph.functions.workers import ship
 from dealgraph.operators.dedupe import _cut
 
 # Patterns, labels and confidences that results depend on.
@@ -161,41 +165,72 @@ def _tokens(x: Column) -> Column:
     return F.array_distinct(F.split(F.lower(x), r"\s+"))
 
 
-def _tokens_alike(a: Column, b: Column) -> Column:
-    """Common over all of two arrays of distinct tokens."""
-    common = F.size(F.array_intersect(a, b))
-    return common / (F.size(a) + F.size(b) - common)
-
-
-def deal_similarity(a: Column, b: Column) -> Column:
-    """The weighted similarity of two deals (structs of value, status, and the distinct tokens of name and customer, _n and _c) over the fields that both have."""
-    both = {"name": (F.size(a["_n"]) > 0) & (F.size(b["_n"]) > 0), "customer": (F.size(a["_c"]) > 0) & (F.size(b["_c"]) > 0),
-            "value": (F.coalesce(a["value"], F.lit(0.0)) != 0) & (F.coalesce(b["value"], F.lit(0.0)) != 0), "status": (F.coalesce(a["status"], F.lit("")) != "") & (F.coalesce(b["status"], F.lit("")) != "")}
-    scores = {"name": _tokens_alike(a["_n"], b["_n"]), "customer": _tokens_alike(a["_c"], b["_c"]), "value": 1 - F.abs(a["value"] - b["value"]) / F.greatest(a["value"], b["value"]), "status": (a["status"] == b["status"]).cast("double")}
-    total, weight = F.lit(0.0), F.lit(0.0)
-    for f, w in LIKE.items():
-        total, weight = total + F.when(both[f], w * scores[f]).otherwise(0.0), weight + F.when(both[f], w).otherwise(0.0)
-    return F.when(weight > 0, total / weight).otherwise(0.0)
+def _similarity(a: tuple, b: tuple) -> float:
+    """The weighted similarity of two deals (tokens of name, of customer, value, status; empty, 0 or '' where it lacks) over the fields that both have."""
+    total = weight = 0.0
+    for field, k in (("name", 0), ("customer", 1)):
+        if a[k] and b[k]:
+            common = len(a[k] & b[k])
+            total, weight = total + LIKE[field] * (common / (len(a[k]) + len(b[k]) - common)), weight + LIKE[field]
+    if a[2] != 0 and b[2] != 0:
+        total, weight = total + LIKE["value"] * (1 - abs(a[2] - b[2]) / max(a[2], b[2])), weight + LIKE["value"]
+    if a[3] and b[3]:
+        total, weight = total + LIKE["status"] * (a[3] == b[3]), weight + LIKE["status"]
+    return total / weight if weight > 0 else 0.0
+
+
+def fold(deals: list[tuple], confidence: list[float], least: float) -> tuple[list[int], list[int]]:
+    """Which deals of a text stay, and which are duplicates, by their numbers. Two deals with names need so many tokens of them in common that one looks up the uniques that have one of its rarest
+    tokens, not all; where values may be negative, or least is low, it is compared with all."""
+    share = 1 - (1 - least) / LIKE["name"]  # of the tokens of both names
+    narrow = share > 0.01 and all(d[2] >= 0 for d in deals)
+    unique, duplicates, held, unnamed = [], [], {}, set()
+    for k, d in enumerate(deals):
+        places = range(len(unique))
+        if narrow and d[0]:
+            tokens = sorted(d[0], key=lambda w: len(held.get(w, ())))
+            probes = tokens[: len(tokens) - math.ceil(share * len(tokens) - 1e-6) + 1]
+            places = sorted(unnamed.union(*[held.get(w, ()) for w in probes]))
+        at = next((p for p in places if round(_similarity(d, deals[unique[p]]), 9) >= least), None)
+        if at is not None and not confidence[k] > confidence[unique[at]]:
+            duplicates.append(k)
+            continue
+        if at is None:
+            at = len(unique)
+            unique.append(k)
+        else:
+            duplicates.append(unique[at])
+            unique[at] = k
+        # a place keeps the tokens of what stood there before: it is only compared more often
+        for w in d[0]:
+            held.setdefault(w, set()).add(at)
+        if not d[0]:
+            unnamed.add(at)
+    return unique, duplicates
 
 
 def unique_deals(deals: Column, least: float = DUPLICATE) -> Column:
     """(unique, duplicates), both arrays, of a text's deals (an array of structs of name, customer, value, status and confidence, in their order). A deal is a duplicate of the first
-    unique one that it is like; the surer of the two stays in that place. A fold over one row's array: texts never meet."""
-    fields = ("name", "customer", "value", "status", "confidence")
-    none = F.array().cast("array<struct<name:string,customer:string,value:double,status:string,confidence:double,_n:array<string>,_c:array<string>>>")
+    unique one that it is like; the surer of the two stays in that place. A fold over one row's array, in Arrow batches: texts never meet."""
+    kinds = {"name": "string", "customer": "string", "value": "double", "status": "string", "confidence": "double"}
+
+    def tokens(field: str) -> Column:
+        return F.transform(deals, lambda d: F.when(F.coalesce(d[field], F.lit("")) != "", _tokens(d[field])).otherwise(F.array().cast("array<string>")))
 
-    def ready(d: Column) -> Column:
-        tokens = [F.when(F.coalesce(d[f], F.lit("")) != "", _tokens(d[f])).otherwise(F.array().cast("array<string>")).alias(n) for f, n in (("name", "_n"), ("customer", "_c"))]
-        return F.struct(*[d[f].cast("double" if f in ("value", "confidence") else "string").alias(f) for f in fields], *tokens)
+    def of(names: pd.Series, customers: pd.Series, values: pd.Series, statuses: pd.Series, confidence: pd.Series) -> pd.DataFrame:
+        rows = []
+        for n, c, v, s, x in zip(names, customers, values, statuses, confidence, strict=True):
+            rows.append(([], []) if n is None else fold(list(zip(map(frozenset, n), map(frozenset, c), map(float, v), s, strict=True)), [float(y) for y in x], least))
+        return pd.DataFrame(rows, columns=["unique", "duplicates"])
 
-    def step(acc: Column, d: Column) -> Column:
-        at = F.array_position(F.transform(acc["unique"], lambda u: F.round(deal_similarity(d, u), 9) >= least), F.lit(True))
-        old = F.get(acc["unique"], (at - 1).cast("int"))
-        surer = d["confidence"] > old["confidence"]
-        return F.struct(F.when(at == 0, F.concat(acc["unique"], F.array(d))).when(surer, F.transform(acc["unique"], lambda u, i: F.when(i == at - 1, d).otherwise(u))).otherwise(acc["unique"]).alias("unique"),
-                        F.when(at == 0, acc["duplicates"]).otherwise(F.concat(acc["duplicates"], F.array(F.when(surer, old).otherwise(d)))).alias("duplicates"))
+    ship()
+    none = float("nan")  # unknown confidences are never surer, nor less sure
+    numbers = F.pandas_udf(of, "unique array<int>, duplicates array<int>").asNondeterministic()(
+        tokens("name"), tokens("customer"), F.transform(deals, lambda d: F.coalesce(d["value"].cast("double"), F.lit(0.0))), F.transform(deals, lambda d: F.coalesce(d["status"].cast("string"), F.lit(""))), F.transform(deals, lambda d: F.coalesce(d["confidence"].cast("double"), F.lit(none))))
 
-    def plain(found: Column) -> Column:
-        return F.transform(found, lambda d: F.struct(*[d[f].alias(f) for f in fields]))
+    def found(x: Column, which: str) -> Column:
+        return F.transform(x["numbers"][which], lambda k: F.struct(*[F.get(x["deals"], k)[f].cast(kind).alias(f) for f, kind in kinds.items()])).alias(which)
 
-    return F.aggregate(F.coalesce(F.transform(deals, ready), none), F.struct(none.alias("unique"), none.alias("duplicates")), step, lambda acc: F.struct(plain(acc["unique"]).alias("unique"), plain(acc["duplicates"]).alias("duplicates")))
+    # bound to a variable: as an expression, the deals would be made anew for each number
+    bound = F.array(F.struct(deals.alias("deals"), numbers.alias("numbers")))
+    return F.get(F.transform(bound, lambda x: F.struct(found(x, "unique"), found(x, "duplicates"))), F.lit(0))
