@@ -1,7 +1,6 @@
 """Amounts, companies, entities and their relations in texts (E14, E15, E30, E31), and one deal of each of a text's like ones.
 
-A pattern's matches are rows with their positions: a text is split by the pattern, and the lengths of what stands between the matches and
-of the matches before give each one's start (a running sum over the matches of one text). Spans meet by equi
+A pattern's matches are rows with their positions; all patterns of a query are looked for in one pass over the texts (functions.matches). Spans meet by equi
 joins on the text and a bucket of positions or values, so that no text is carried along."""
 
 from __future__ import annotations
@@ -9,9 +8,10 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealgraph.functions import matches
 from dealgraph.functions.workers import ship
 from dealgraph.operators.dedupe import _cut
 
@@ -42,18 +42,23 @@ RELATIONS = (("works_for", 0.9, "PERSON", 1, "ORGANIZATION", 3, r"(?i)\b([A-Z][a
              ("uses_product", 0.8, "ORGANIZATION", 1, "ORGANIZATION", 2, r"(?i)\b([A-Z][a-zA-Z\s]+(?:Inc|Corp|LLC|Company))\s+(?:is\s+)?(?:currently\s+)?(?:using|uses?|has)\s+([A-Z][a-zA-Z\s]+)"))
 
 
-#: A word's edge, words being of ASCII letters (Java's own edge also knows others).
-EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-
-
-def spans(texts: DataFrame, pattern: str, groups: tuple[int, ...] = ()) -> DataFrame:
-    """(text_id, k, start, end, g0, ...): the matches of a pattern in texts (text_id, text), counted from 0, with the groups asked for. Null texts have none."""
-    pattern = pattern.replace(r"\b", EDGE)
-    found = {g: F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (0, *groups)}
-    rows = texts.select("text_id", F.posexplode(F.arrays_zip(F.split("text", pattern, -1).alias("gap"), *[c.alias(f"g{g}") for g, c in found.items()])).alias("k", "m")).select("text_id", "k", "m.*")
-    before = Window.partitionBy("text_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.length("gap") + F.coalesce(F.length("g0"), F.lit(0))).over(before)
-    return rows.withColumn("end", end.cast("int")).where("g0 is not null").select("text_id", "k", (F.col("end") - F.length("g0")).alias("start"), "end", *[f"g{g}" for g in found])
+#: The same patterns with where they are tried: all matches of one of them begin with a word, or hold one.
+_NAMED = matches.LETTERS + matches.DIGITS + matches.BLANKS + "&"
+_FIRMS, _TITLES = ("inc", "corp", "llc", "company"), ("ceo", "cto", "cfo", "director", "manager", "vp")
+_BUYERS = ("customer", "client", "end user", "end-user")
+_FORMS = ("Inc", "LLC", "Corp", "Ltd", "Limited", "Co", "Group", "Partners", "Solutions", "Technologies", "Systems", "Services", "Enterprises", "Associates")
+_BY_TYPE = {"EMAIL": matches.addresses, "PHONE": matches.phones, "MONEY": matches.sums, "DATE": matches.dates,
+            "ORGANIZATION": matches.suffixed(matches.LETTERS + matches.LETTERS.upper() + matches.BLANKS, _FORMS, r"(?:Inc|Corp|Corporation|LLC|Ltd|Limited|Co|Company|Technologies|Systems|Solutions|Group|Partners|Associates)\b", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"),
+            "PERSON": matches.at("my", "this", "i'm", "speaking", "talk", "reach"), "JOB_TITLE": matches.at("ceo", "cto", "cfo", "coo", "director", "manager", "vp", "vice", "president", "head", "chief")}
+_BY_RELATION = {"works_for": matches.within(matches.LETTERS + matches.BLANKS, _FIRMS), "has_title": matches.after_two_words(*_TITLES), "uses_product": matches.to_the_end(_FIRMS, r"\s+(?:is\s+)?(?:currently\s+)?(?:using|uses?|has)\s")}
+ENTITY_RULES = tuple(matches.Rule(p, _BY_TYPE[kind], (1, g) if g else ()) for kind, _, g, p in ENTITIES)
+RELATION_RULES = tuple(matches.Rule(p, _BY_RELATION[name], (one, two)) for name, _, _, one, _, two, p in RELATIONS)
+COMPANY_RULES = (matches.Rule(CUSTOMERS[0], matches.at(*_BUYERS, "end customer", "end-customer"), (1,)), matches.Rule(CUSTOMERS[1], matches.within(_NAMED, ("customer", "client", "company", "corporation", "inc", "llc"), after_blank=True), (1,)),
+                 matches.Rule(CUSTOMERS[2], matches.called(_NAMED + "-", _BUYERS, ("our", "the"), ("is", "are")), (1,)),
+                 matches.Rule(SUFFIXED, matches.suffixed(_NAMED + matches.LETTERS.upper() + ".,'-", _FORMS, SUFFIXED[SUFFIXED.index("(Inc") :]), (1, 2)))
+ROLE_RULES = tuple(matches.Rule(f"(?i){p}", matches.at(*p.split("|"))) for _, p in ROLE_WORDS)
+AMOUNT_RULES = (matches.Rule(LABELLED, matches.at("deal", "contract", "total", "project", "purchase", "tcv", "acv", "arr", "mrr"), (1,)), matches.Rule(QUALIFIED, matches.at("$"), (1, 2)), matches.Rule(ABBREVIATED, matches.at("$"), (1, 2)),
+                matches.Rule(WRITTEN, matches.within(matches.LETTERS + matches.BLANKS, ("dollar",), more=2)), matches.Rule(PLAIN_AMOUNT, matches.at("$"), (1,)))
 
 
 def number(text: Column) -> Column:
@@ -81,16 +86,17 @@ def written_number(words: Column) -> Column:
 def amounts(texts: DataFrame) -> DataFrame:
     """(text_id, label, value, confidence, start, end): amounts with a label (.9), abbreviated (.8), in words (.7), and plain ones from 1,000 on (.6) that are not within 100 of a
     surer one than .7 in the same text; those meet by buckets of values."""
-    def rows(found: DataFrame, label: str, confidence: float, value: Column) -> DataFrame:
-        return found.select("text_id", F.lit(label).alias("label"), value.alias("value"), F.lit(confidence).alias("confidence"), "start", "end").where("value > 0")
+    found = _cut(matches.found(texts, AMOUNT_RULES))
 
-    sure = (rows(spans(texts, LABELLED, (1,)), "deal_value", 0.9, number(F.col("g1"))).unionByName(rows(spans(texts, QUALIFIED, (1, 2)), "deal_value", 0.9, number(F.col("g1")) * _times(F.col("g2"))))
-            .unionByName(rows(spans(texts, ABBREVIATED, (1, 2)), "estimated_value", 0.8, number(F.col("g1")) * _times(F.col("g2")))))
-    plain = rows(spans(texts, PLAIN_AMOUNT, (1,)), "possible_value", 0.6, number(F.col("g1"))).where(F.col("value") >= LEAST_PLAIN)
+    def rows(rule: int, label: str, confidence: float, value: Column) -> DataFrame:
+        return found.where(F.col("rule") == rule).select("text_id", F.lit(label).alias("label"), value.alias("value"), F.lit(confidence).alias("confidence"), "start", "end").where("value > 0")
+
+    sure = rows(0, "deal_value", 0.9, number(F.col("g1"))).unionByName(rows(1, "deal_value", 0.9, number(F.col("g1")) * _times(F.col("g2")))).unionByName(rows(2, "estimated_value", 0.8, number(F.col("g1")) * _times(F.col("g2"))))
+    plain = rows(4, "possible_value", 0.6, number(F.col("g1"))).where(F.col("value") >= LEAST_PLAIN)
     bucket = F.floor(F.col("value") / SAME_VALUE)
     near = sure.where(F.col("confidence") > SURE).select("text_id", F.col("value").alias("_v"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: bucket + k)).alias("_b"))
     left = plain.withColumn("_b", bucket).alias("p").join(near.alias("s"), (F.col("p.text_id") == F.col("s.text_id")) & (F.col("p._b") == F.col("s._b")) & (F.abs(F.col("p.value") - F.col("s._v")) < SAME_VALUE), "left_anti").drop("_b")
-    return sure.unionByName(rows(spans(texts, WRITTEN), "written_amount", 0.7, written_number(F.col("g0")))).unionByName(left)
+    return sure.unionByName(rows(3, "written_amount", 0.7, written_number(F.col("g0")))).unionByName(left)
 
 
 def _trimmed(x: Column) -> Column:
@@ -104,13 +110,11 @@ def companies(texts: DataFrame) -> DataFrame:
         name = F.col("name")
         return found.where(~F.lower(name).isin(*NO_NAMES) & F.length(name).between(3, 100) & ~name.rlike(r"^\d+$") & (F.size(F.split(name, r"\s+")) <= 8))
 
-    named = [valid(spans(texts, p, (1,)).select("text_id", "k", "start", "end", _trimmed(F.col("g1")).alias("name"))).withColumn("rule", F.lit(i)) for i, p in enumerate(CUSTOMERS)]
-    customers = named[0].unionByName(named[1]).unionByName(named[2]).select("text_id", "rule", "k", "name", F.lit("customer").alias("type"), F.lit(0.9).alias("confidence"))
-    suffixed = valid(spans(texts, SUFFIXED, (1, 2)).select("text_id", "k", "start", "end", F.concat(_trimmed(F.col("g1")), F.lit(" "), "g2").alias("name")))
-    words = None
-    for rank, (_, pattern) in enumerate(ROLE_WORDS):
-        found = spans(texts, f"(?i){pattern}").select("text_id", F.lit(rank).alias("role"), F.col("start").alias("at"), F.col("end").alias("to"))
-        words = found if words is None else words.unionByName(found)
+    found = _cut(matches.found(texts, (*COMPANY_RULES, *ROLE_RULES)))
+    last = len(CUSTOMERS)
+    customers = valid(found.where(F.col("rule") < last).select("text_id", "rule", "k", _trimmed(F.col("g1")).alias("name"))).select("text_id", "rule", "k", "name", F.lit("customer").alias("type"), F.lit(0.9).alias("confidence"))
+    suffixed = valid(found.where(F.col("rule") == last).select("text_id", "k", "start", "end", F.concat(_trimmed(F.col("g1")), F.lit(" "), "g2").alias("name")))
+    words = found.where(F.col("rule") > last).select("text_id", (F.col("rule") - (last + 1)).alias("role"), F.col("start").alias("at"), F.col("end").alias("to"))
     width = 4 * CONTEXT
     reach = F.sequence(F.floor((F.col("start") - CONTEXT) / width), F.floor((F.col("end") + CONTEXT) / width))
     placed = suffixed.withColumn("_b", F.explode(reach)).alias("c").join(words.withColumn("_b", F.floor(F.col("at") / width)).alias("w"), ["text_id", "_b"])
@@ -125,24 +129,29 @@ def companies(texts: DataFrame) -> DataFrame:
 
 def entities(texts: DataFrame) -> DataFrame:
     """(text_id, type, text, confidence, start, end) of addresses, phones, money, dates, organisations, people and titles."""
-    out = None
-    for kind, confidence, group, pattern in ENTITIES:
-        found = spans(texts, pattern, (1, group) if group else ())
-        start = F.col("start") + F.length("g1") + 1 if group else F.col("start")
-        found = found.select("text_id", F.lit(kind).alias("type"), F.col(f"g{group}").alias("text"), F.lit(confidence).alias("confidence"), start.alias("start"), "end")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return _typed(matches.found(texts, ENTITY_RULES))
+
+
+def _typed(found: DataFrame) -> DataFrame:
+    def of(value) -> Column:
+        return F.get(F.array(*[value(*e) for e in ENTITIES]), F.col("rule"))
+
+    start = of(lambda kind, confidence, group, p: F.col("start") + F.length("g1") + 1 if group else F.col("start"))
+    return found.select("text_id", of(lambda kind, *_: F.lit(kind)).alias("type"), of(lambda kind, confidence, group, p: F.col(f"g{group}")).alias("text"), of(lambda kind, confidence, *_: F.lit(confidence)).alias("confidence"), start.alias("start"), "end")
 
 
 def relations(texts: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(text_id, relation, one, two, confidence, start): who works for whom, has which title, uses what, where both ends are entities of the text (found: entities()); of several
     that fit, the first. A person is the words themselves; organisations and titles hold them."""
-    found = _cut((entities(texts) if found is None else found).where(F.col("type").isin("PERSON", "ORGANIZATION", "JOB_TITLE")))
+    ends = ("PERSON", "ORGANIZATION", "JOB_TITLE")
+    # entities that are no ends are not looked for: rules keep their numbers
+    wanted = [i for i, (kind, *_) in enumerate(ENTITIES) if kind in ends and found is None]
+    told = _cut(matches.found(texts, [*(ENTITY_RULES[i] for i in wanted), *RELATION_RULES]))
+    if found is None:
+        found = _typed(told.where(F.col("rule") < len(wanted)).withColumn("rule", F.get(F.array(*[F.lit(i) for i in wanted]), F.col("rule"))))
     out = None
-    for relation, confidence, kind_1, group_1, kind_2, group_2, pattern in RELATIONS:
-        # no text without such a word can match; the pattern itself is dear on long runs of words
-        told = texts.where(F.col("text").rlike(r"(?i)ceo|cto|cfo|director|manager|vp" if relation == "has_title" else "(?i)inc|corp|llc|company"))
-        said = spans(told, pattern, (group_1, group_2)).select("text_id", "k", "start", F.col(f"g{group_1}").alias("_1"), F.col(f"g{group_2}").alias("_2"))
+    for i, (relation, confidence, kind_1, group_1, kind_2, group_2, _) in enumerate(RELATIONS, len(wanted)):
+        said = told.where(F.col("rule") == i).select("text_id", "k", "start", F.col(f"g{group_1}").alias("_1"), F.col(f"g{group_2}").alias("_2"))
         for side, kind in ((1, kind_1), (2, kind_2)):
             ends = found.where(F.col("type") == kind).groupBy("text_id", "text").agg(F.min("start").alias("_at"))
             fits = (F.col("text") == F.col(f"_{side}")) if kind == "PERSON" else F.contains("text", F.col(f"_{side}"))
